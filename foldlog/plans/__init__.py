@@ -1 +1,4 @@
-"""foldlog.plans"""
+"""The registered queries over the driver's tables and the same queries in SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
