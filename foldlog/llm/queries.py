@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+from . import bpe, mixing, quality, sharding, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_warc_zip": warc.op2_warc_zip,
+    "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality_rules": quality.op5_quality_rules,
 }
