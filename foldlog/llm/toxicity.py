@@ -1,28 +1,25 @@
-"""Toxicity by two Kneser-Ney bigram models, one of toxic and one of ordinary labelled texts, with shared backoff counts."""
+"""Toxicity by two Kneser-Ney letter models, of toxic and of ordinary labelled texts, with shared backoff counts."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
-
-#: Words and bigrams are counted in hashed slots, so a model's size is fixed: 2**18 slots each, 4 registers a slot.
-WORDS, PAIRS, REGISTERS = 1 << 18, 1 << 18, 4
-DISCOUNT, WINDOW, CALIBRATION_ROWS, THRESHOLD = 0.75, 8, 50_000, 0.3
-#: name: (length, dtype, how the parts of two tasks merge)
-_TABLES = {
-    "followed": (WORDS * REGISTERS, np.uint8, np.maximum),  # how many different words stand before a word, all documents
-    **{f"{k}{c}": v for c in (0, 1) for k, v in {
-        "word": (WORDS, np.int32, np.add), "pair": (PAIRS, np.int32, np.add), "types": (WORDS * REGISTERS, np.uint8, np.maximum)}.items()},
-}
+from .common import held_out, table, written
+
+#: Letters are counted in hashed slots, so a model's size is fixed whatever the corpus.
+SLOTS, ORDER, SHARED_ORDER, PIECE = 1 << 20, 8, 4, 32
+DISCOUNTS = np.array([0, 1, 2, 3])  # of counts 0, 1, 2 and more: what one text or two use once is left to the backoff
+WINDOW, CALIBRATION_ROWS, THRESHOLD, SLICE = 2, 50_000, 0.3, 2048
+#: name: (dtype, how the parts of two tasks merge). n: how often an expression stands; f: which letters follow it, as 32 hashed bits.
+_TABLES = {f"{k}_{c}": v for c in ("toxic", "plain", "shared") for k, v in {"n": (np.int32, np.add), "f": (np.uint32, np.bitwise_or)}.items()}
 _CHUNK = 1 << 15
 
 
@@ -33,125 +30,131 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (letters and digits, lower case) of all texts, and where each text's words begin."""
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words (letters and digits, lower case; long ones in pieces), each word's place among them, and where texts begin."""
     clean = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{N}]+", " ")
+    clean = pc.replace_substring_regex(clean, r"(\S{%d})" % PIECE, r"\1 ")
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(clean))
-    words = lists.flatten().dictionary_encode()
-    known = np.array([xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()], dtype=np.uint64)
-    # a text without words still gives one empty string
-    starts = lists.offsets.to_numpy()
-    codes = words.indices.to_numpy(zero_copy_only=False)
-    return (known[codes] if len(codes) else np.zeros(0, np.uint64)), starts
-
-
-def _pairs(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word and the word before it (0 at a text's start), and those words' own hashes."""
-    before = np.zeros_like(h)
-    before[1:] = h[:-1]
-    before[starts[:-1][starts[:-1] < len(h)]] = 0
-    return _mix(before * np.uint64(0x9E3779B97F4A7C15) + h), before
-
-
-def _register(registers: np.ndarray, slot: np.ndarray, h: np.ndarray) -> None:
-    """HyperLogLog: raise the register that h falls to in each slot."""
-    rank = np.minimum(64 - np.frexp((h >> np.uint64(12)).astype(np.float64))[1] - 11, 50).astype(np.uint8)
-    np.maximum.at(registers, slot.astype(np.int64) * REGISTERS + (h & np.uint64(REGISTERS - 1)).astype(np.int64), rank)
+    words = lists.flatten().dictionary_encode()  # a text without words gives one empty word
+    return words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+
+
+def expressions(words: list[str], order: int) -> list[tuple[np.ndarray, ...]]:
+    """For each order: word number, place, slot of the letters up to it, slot of those before its last one, and that one's bit."""
+    codes = np.zeros((len(words), max((len(w) for w in words), default=0) + 2), dtype=np.uint64)
+    length = np.array([len(w) for w in words], dtype=np.int64)
+    for i, w in enumerate(words):
+        codes[i, 1 : len(w) + 1] = np.frombuffer(w.encode("utf-32-le"), np.uint32)
+    codes[:, 0] = 2
+    codes[np.arange(len(words)), length + 1] = 3
+    codes = _mix(codes)
+    places = np.arange(codes.shape[1])
+    out, gram = [], np.zeros_like(codes)
+    for k in range(order):
+        before = np.zeros_like(gram)  # the k letters before each place
+        before[:, 1:] = gram[:, :-1]
+        gram = gram.copy()
+        gram[:, k:] += codes[:, : codes.shape[1] - k] * np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64))
+        row, at = np.nonzero((places >= max(k, 1)) & (places <= length[:, None] + 1))
+        salt = np.uint64((k + 1) * 0xD1B54A32D192ED03 % (1 << 64))
+        slot = _mix(gram[row, at] + salt) % np.uint64(SLOTS)
+        context = _mix(before[row, at] + salt + np.uint64(1)) % np.uint64(SLOTS)
+        bit = np.uint32(1) << (codes[row, at] >> np.uint64(59)).astype(np.uint32)
+        out.append((row, at, slot.astype(np.int64), context.astype(np.int64), bit))
+    return out
 
 
-def _estimate(registers: np.ndarray) -> np.ndarray:
-    r = registers.reshape(-1, REGISTERS).astype(np.float64)
-    raw = 0.532 * REGISTERS**2 / np.exp2(-r).sum(1)
-    empty = (r == 0).sum(1)
-    return np.where(empty == REGISTERS, 0, np.where((raw <= 2.5 * REGISTERS) & (empty > 0), REGISTERS * np.log(REGISTERS / np.maximum(empty, 1)), raw))
+def _add(held: dict[str, np.ndarray], kind: str, words: list[str], times: np.ndarray, order: int) -> None:
+    for row, _, slot, context, bit in expressions(words, order):
+        held[f"n_{kind}"] += np.bincount(slot, times[row], SLOTS).astype(np.int32) + np.bincount(context, times[row], SLOTS).astype(np.int32)
+        key = np.unique((context << 32) | bit)
+        np.bitwise_or.at(held[f"f_{kind}"], key >> 32, (key & 0xFFFFFFFF).astype(np.uint32))
 
 
 def _counts(rows: DataFrame, labelled: bool) -> DataFrame:
     """Each task's tables in chunks: kind, chunk, part. rows has text, and label where labelled."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {k: np.zeros(n, t) for k, (n, t, _) in _TABLES.items() if labelled != (k == "followed")}
-        for batch in it:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                h, starts = token_hashes(part.column("text"))
-                if not len(h):
-                    continue
-                pair, before = _pairs(h, starts)
-                word, context = h % np.uint64(WORDS), before % np.uint64(WORDS)
-                if not labelled:
-                    u, at = np.unique(pair, return_index=True)
-                    _register(held["followed"], word[at], u)
-                    continue
-                label = np.repeat(np.asarray(part.column("label").to_pylist()), np.diff(starts))
-                for c in (0, 1):
-                    mine = label == c
-                    held[f"word{c}"] += np.bincount(word[mine].astype(np.int64), minlength=WORDS).astype(np.int32)
-                    held[f"pair{c}"] += np.bincount((pair[mine] % np.uint64(PAIRS)).astype(np.int64), minlength=PAIRS).astype(np.int32)
-                    u, at = np.unique(pair[mine], return_index=True)
-                    _register(held[f"types{c}"], context[mine][at], u)
+        kinds = ("plain", "toxic") if labelled else ("shared",)
+        held = {f"{x}_{k}": np.zeros(SLOTS, _TABLES[f"{x}_{k}"][0]) for k in kinds for x in "nf"}
+        for part in _slices(it):
+            words, codes, starts = words_of(part.column("text"))
+            if not labelled:
+                # as Kneser and Ney count: in how many different words, not how often
+                _add(held, "shared", words, np.ones(len(words)), SHARED_ORDER)
+                continue
+            row = np.repeat(np.arange(part.num_rows), np.diff(starts))
+            label = np.asarray(part.column("label").to_pylist())
+            seen = np.unique(row * len(words) + codes)  # a text counts a word once
+            for c, kind in enumerate(kinds):
+                times = np.bincount(seen[label[seen // max(len(words), 1)] == c] % max(len(words), 1), minlength=len(words))
+                own = np.flatnonzero(times)
+                _add(held, kind, [words[i] for i in own], times[own].astype(np.float64), ORDER)
         for k, v in held.items():
-            for i in range(0, len(v), _CHUNK):
+            for i in range(0, SLOTS, _CHUNK):
                 if v[i : i + _CHUNK].any():
-                    yield pa.RecordBatch.from_pydict({"kind": [k], "chunk": pa.array([i], pa.int32()), "part": pa.array([v[i : i + _CHUNK].tobytes()], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"kind": [k], "chunk": pa.array([i], pa.int32()), "part": pa.array([zlib.compress(v[i : i + _CHUNK].tobytes(), 1)], pa.binary())})
 
     return rows.mapInArrow(run, "kind string, chunk int, part binary")
 
 
+def _slices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        for lo in range(0, batch.num_rows, SLICE):
+            yield batch.slice(lo, SLICE)
+
+
 def _merged(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind, chunk = key[0].as_py(), key[1].as_py()
-    _, dtype, merge = _TABLES[kind]
-    out = None
+    dtype, merge = _TABLES[kind]
+    out = np.zeros(_CHUNK, dtype)
     for b in parts:
         for raw in b.column("part"):
-            x = np.frombuffer(raw.as_buffer(), dtype)
-            out = x.copy() if out is None else merge(out, x)
+            merge(out, np.frombuffer(zlib.decompress(raw.as_py()), dtype), out=out)
     yield pa.RecordBatch.from_pydict({"kind": [kind], "chunk": pa.array([chunk], pa.int32()), "part": pa.array([out.tobytes()], pa.binary())})
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
-    """The two models' counts.
+    """The models' counts.
 
     docs: text; labels: text and label (1 toxic, 0 ordinary). Every text of docs counts for the shared backoff, every
-    labelled text for its class. Each task counts into tables of fixed size, which merge by sum or maximum in a
-    second step; the driver gets the merged tables, 8 MB for any corpus.
+    labelled text for its class. Each task counts into tables of fixed size, which merge by sum or union in a
+    second step; the driver gets the merged tables, 24 MB at most for any corpus.
     """
     parts = _counts(docs.select("text"), False).unionByName(_counts(labels.select("text", "label"), True))
     merged = parts.groupBy("kind", "chunk").applyInArrow(_merged, "kind string, chunk int, part binary")
-    out = {k: np.zeros(n, t) for k, (n, t, _) in _TABLES.items()}
+    out = {k: np.zeros(SLOTS, t) for k, (t, _) in _TABLES.items()}
     for r in merged.toLocalIterator():
-        x = np.frombuffer(bytes(r["part"]), out[r["kind"]].dtype)
-        out[r["kind"]][r["chunk"] : r["chunk"] + len(x)] = x
-    return out
-
-
-def _model(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """What scoring needs: by class, the discounted pair counts, contexts' totals and backoff weights, and words' probabilities."""
-    followed = _estimate(counts["followed"]) + 0.5
-    shared = followed / followed.sum()
-    out = {}
-    for c in (0, 1):
-        words = counts[f"word{c}"].astype(np.float64)
-        whole = max(words.sum(), 1)
-        low = np.maximum(words - DISCOUNT, 0)
-        unigram = (low + (whole - low.sum()) * shared) / whole
-        total = np.maximum(words, 1)
-        types = np.minimum(_estimate(counts[f"types{c}"]), total)
-        out[f"word{c}"] = unigram.astype(np.float32)
-        out[f"total{c}"] = total.astype(np.float32)
-        out[f"weight{c}"] = np.where(words > 0, np.clip(DISCOUNT * types / total, 0.05, 1), 1).astype(np.float32)
-        out[f"pair{c}"] = np.maximum(counts[f"pair{c}"] - DISCOUNT, 0).astype(np.float32)
-    return out
-
-
-def log_ratios(model: dict[str, np.ndarray], h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Of each word: log probability in the toxic model less that in the ordinary one."""
-    pair, before = _pairs(h, starts)
-    word, context, slot = (x.astype(np.int64) for x in (h % np.uint64(WORDS), before % np.uint64(WORDS), pair % np.uint64(PAIRS)))
-    p = [
-        np.minimum(model[f"pair{c}"][slot] / model[f"total{c}"][context], 1) * (1 - model[f"weight{c}"][context]) + model[f"weight{c}"][context] * model[f"word{c}"][word]
-        for c in (0, 1)]
-    return np.log(p[1] + 1e-12) - np.log(p[0] + 1e-12)
+        out[r["kind"]][r["chunk"] : r["chunk"] + _CHUNK] = np.frombuffer(bytes(r["part"]), out[r["kind"]].dtype)
+    return {k: np.bitwise_count(v).astype(np.uint8) if k[0] == "f" else v for k, v in out.items()}
+
+
+def word_ratios(model: dict[str, np.ndarray], words: list[str]) -> np.ndarray:
+    """Of each word: log probability by the toxic model less that by the ordinary one, a letter (its end counts as one)."""
+    out, parts = np.zeros(len(words)), expressions(words, ORDER)
+    if not words:
+        return out
+    shape = (len(words), max(len(w) for w in words) + 2)
+
+    def step(kind: str, p: np.ndarray, part: tuple) -> None:
+        row, at, slot, context, _ = part
+        n, whole = model[f"n_{kind}"][slot], np.maximum(model[f"n_{kind}"][context], 1)
+        known = model[f"n_{kind}"][context] > 0
+        kept = np.maximum(n - DISCOUNTS[np.minimum(n, 3)], 0)
+        left = np.minimum(DISCOUNTS[2] * model[f"f_{kind}"][context], 0.9 * whole)
+        p[row, at] = np.where(known, np.minimum(kept / whole, 1) + left / whole * p[row, at], p[row, at])
+
+    base = np.full(shape, 1 / 64)
+    for part in parts[:SHARED_ORDER]:
+        step("shared", base, part)
+    logs = []
+    for kind in ("toxic", "plain"):
+        p = base.copy()
+        for part in parts[1:]:
+            step(kind, p, part)
+        logs.append(np.log(np.maximum(p, 1e-9)))
+    row, at = parts[0][:2]
+    return np.bincount(row, (logs[0] - logs[1])[row, at], len(words)) / np.array([len(w) + 1 for w in words])
 
 
 def text_features(ratio: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -167,18 +170,16 @@ def text_features(ratio: np.ndarray, starts: np.ndarray, window: int = WINDOW) -
 
 
 def score_texts(docs: DataFrame, counts: dict[str, np.ndarray]) -> DataFrame:
-    """docs without its text, with mean and peak; the model is broadcast (5 MB, whatever the corpus)."""
-    model = docs.sparkSession.sparkContext.broadcast(_model(counts))
+    """docs without its text, with mean and peak; the model is broadcast (15 MB, whatever the corpus)."""
+    model = docs.sparkSession.sparkContext.broadcast(counts)
     keep = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", mean double, peak double"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                h, starts = token_hashes(part.column("text"))
-                mean, peak = text_features(log_ratios(model.value, h, starts), starts)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(mean), pa.array(peak)], names=[*keep, "mean", "peak"])
+        for part in _slices(it):
+            words, codes, starts = words_of(part.column("text"))
+            mean, peak = text_features(word_ratios(model.value, words)[codes], starts)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(mean), pa.array(peak)], names=[*keep, "mean", "peak"])
 
     return docs.mapInArrow(run, schema)
 
@@ -218,5 +219,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tra
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
