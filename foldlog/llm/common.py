@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +45,25 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of the documents whose labels are never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def whole_runs(it: Iterator[pa.RecordBatch], key: str, rows: int = 50_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of batches that come sorted by key, cut between keys, with the bounds of their runs of two rows or more."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(last: bool) -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        k = t.column(key).to_numpy()
+        end = len(k) if last else int(np.searchsorted(k, k[-1]))
+        held[:] = t.slice(end).to_batches()
+        at = np.concatenate([[0], np.flatnonzero(np.diff(k[:end])) + 1, [end]])
+        more = np.diff(at) > 1
+        return t.slice(0, end), np.column_stack([at[:-1][more], at[1:][more]])
+
+    for batch in it:
+        if batch.num_rows:
+            held.append(batch)
+            if sum(b.num_rows for b in held) > rows and held[0].column(key)[0] != batch.column(key)[-1]:
+                yield cut(False)
+    if held:
+        yield cut(True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, sharding, warc
+from . import bpe, embeddings, langid, mixing, quality, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,5 +10,9 @@ QUERIES = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_simhash": simhash.op7_simhash,
+    "op9_language_id": langid.op9_language_id,
+    "op10_embedding_near_dup": embeddings.op10_embedding_near_dup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_warc_zip": warc.ORACLE}
