@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, langid, mixing, quality, sharding, simhash, toxicity, warc
+from . import bpe, embeddings, langid, mixing, quality, sharding, simhash, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_simhash": simhash.op7_simhash,
+    "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_language_id": langid.op9_language_id,
     "op10_embedding_near_dup": embeddings.op10_embedding_near_dup,
 }

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table, written
+from .common import held_out, table
 
 #: Letters are counted in hashed slots, so a model's size is fixed whatever the corpus.
 SLOTS, ORDER, SHARED_ORDER, PIECE = 1 << 20, 8, 4, 32
@@ -169,10 +169,10 @@ def text_features(ratio: np.ndarray, starts: np.ndarray, window: int = WINDOW) -
     return mean, best
 
 
-def score_texts(docs: DataFrame, counts: dict[str, np.ndarray]) -> DataFrame:
-    """docs without its text, with mean and peak; the model is broadcast (15 MB, whatever the corpus)."""
+def score_texts(docs: DataFrame, counts: dict[str, np.ndarray], keep_text: bool = False) -> DataFrame:
+    """docs, without its text unless asked for, with mean and peak; the model is broadcast (15 MB, whatever the corpus)."""
     model = docs.sparkSession.sparkContext.broadcast(counts)
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if keep_text or c != "text"]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", mean double, peak double"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +186,7 @@ def score_texts(docs: DataFrame, counts: dict[str, np.ndarray]) -> DataFrame:
 
 def _fit(rows: pd.DataFrame) -> np.ndarray:
     """Logistic regression on mean and peak by Newton's method, with a little ridge."""
-    if rows.empty or rows["label"].nunique() < 2:
+    if rows["label"].nunique() < 2:
         base = float(rows["label"].mean()) if len(rows) else 0.0
         return np.array([np.log((base * len(rows) + 0.5) / ((1 - base) * len(rows) + 5)), 0, 0])
     x = np.column_stack([np.ones(len(rows)), rows["mean"], rows["peak"]])
@@ -198,25 +198,35 @@ def _fit(rows: pd.DataFrame) -> np.ndarray:
     return w
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", train_parts: tuple[int, ...] = (0, 1), fit_parts: tuple[int, ...] = (3,)) -> DataFrame:
-    """docs' columns but the text, with score (0 to 1) of each whole text.
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", train_parts: tuple[int, ...] = (0, 1), fit_parts: tuple[int, ...] = (3,)) -> tuple[dict, np.ndarray]:
+    """Both models' counts, and how mean and peak become a probability.
 
-    Labels count where crc32(key as text) mod 4 is in train_parts (both models) or in fit_parts (how mean and peak become
-    a probability: a three-number fit on at most CALIBRATION_ROWS labelled rows, those of the smallest hash).
-    Null and empty texts have ratio 0 and get the fit's constant. Null labels and labels without a document don't
+    Labels count where crc32(key as text) mod 4 is in train_parts (the models) or in fit_parts (three numbers, from at
+    most CALIBRATION_ROWS labelled rows, those of the smallest hash). Null labels and labels without a document don't
     count; a document labelled twice counts twice. No labels at all: every score is low.
     """
     part = F.crc32(F.col(key).cast("string").cast("binary")) % 4
-    own = labels.where("toxic is not null").select(F.col(key).alias("_key"), F.when(F.col("toxic") == 1, 1).otherwise(0).alias("label"))
-    learn = docs.where(part.isin(*train_parts)).select(key, "text").join(own, F.col(key) == F.col("_key"))
-    scored = written(score_texts(docs, train(docs, learn)), "toxicity")
-    sample = scored.where(part.isin(*fit_parts)).join(own, F.col(key) == F.col("_key")).orderBy(F.xxhash64(key), "label").limit(CALIBRATION_ROWS)
-    w = _fit(sample.select("mean", "peak", "label").toPandas())
+    own = labels.where("toxic is not null").select(F.col(key), F.when(F.col("toxic") == 1, 1).otherwise(0).alias("label"))
+    text = docs.select(key, "text")
+    counts = train(docs, text.where(part.isin(*train_parts)).join(own.where(part.isin(*train_parts)), key))
+    some = own.where(part.isin(*fit_parts)).orderBy(F.xxhash64(key), "label").limit(CALIBRATION_ROWS)
+    # at most CALIBRATION_ROWS rows of two numbers
+    sample = text.where(part.isin(*fit_parts)).join(F.broadcast(some), key)
+    return counts, _fit(score_texts(sample.select("text", "label"), counts).toPandas())
+
+
+def scored(docs: DataFrame, model: tuple[dict, np.ndarray], keep_text: bool = False) -> DataFrame:
+    """docs, without its text unless asked for, with the score (0 to 1) of each whole text.
+
+    Null and empty texts have ratio 0 and get the fit's constant.
+    """
+    counts, w = model
     z = F.lit(float(w[0])) + F.lit(float(w[1])) * F.col("mean") + F.lit(float(w[2])) * F.col("peak")
-    return scored.withColumn("score", 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))).drop("mean", "peak")
+    out = score_texts(docs, counts, keep_text)
+    return out.withColumn("score", 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))).drop("mean", "peak")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = toxicity_scores(docs, table(spark, sf_dir, "labels"))
+    out = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
