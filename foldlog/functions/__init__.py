@@ -1 +1 @@
-"""foldlog.functions"""
+"""Column expressions."""

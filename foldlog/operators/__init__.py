@@ -1 +1 @@
-"""foldlog.operators"""
+"""Operators over event logs."""

@@ -1,4 +1,6 @@
 """The registered queries over the driver's tables and the same queries in SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import folds, tables
+
+QUERIES: dict = {**folds.QUERIES, **tables.QUERIES}
+ORACLES: dict = {**folds.ORACLES, **tables.ORACLES}

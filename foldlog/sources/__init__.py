@@ -1 +1 @@
-"""foldlog.sources"""
+"""Sources, sinks and appends."""

@@ -1 +1,65 @@
-"""foldlog.streaming"""
+"""Continuous read models over Structured Streaming."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+
+def run_projection(events: DataFrame, fn: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """One query per projection, with a checkpoint of its own; fn folds mergeable registers (groupBy and max of structs).
+
+    sink gets the groups that a micro-batch changed, whole; writing them again has the same effect.
+    """
+    out = fn(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(sink)
+    return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime="5 seconds")).start()
+
+
+def latest_by_key(path: str, key: str) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps every micro-batch's changed rows in a folder of its own: a batch that is run again replaces its folder."""
+
+    def sink(df: DataFrame, batch: int) -> None:
+        df.withColumn("batch_id", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/batch={batch:010d}")
+
+    return sink
+
+
+def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest row of each key of latest_by_key's folders."""
+    rows = spark.read.parquet(path).drop("batch")
+    cols = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch_id").alias("r")).select(*keys, "r.*")
+
+
+def stream_progress(events: DataFrame) -> DataFrame:
+    """Per stream: events, head, last type: the fold that the streaming queries share with the batch ones."""
+    return events.groupBy("stream_id").agg(
+        F.count("*").alias("n"), F.max("stream_position").alias("version"), F.max(F.struct("stream_position", "event_type"))["event_type"].alias("last_type"))
+
+
+def quarantine(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Good rows, and those whose payload is no JSON object: a deterministic fold would fail on them each time."""
+    good = F.try_parse_json("payload").isNotNull() & F.coalesce(F.json_object_keys("payload").isNotNull(), F.lit(False))
+    return log.where(good), log.where(~good)
+
+
+def relay_outbox(outbox: DataFrame, publish: Callable[[DataFrame], DataFrame], attempts: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """At-least-once publishing: publish returns event_id and ok of a micro-batch, which attempts records."""
+
+    def each(df: DataFrame, batch: int) -> None:
+        attempts(publish(df).withColumn("attempts", F.lit(1)), batch)
+
+    return outbox.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stage_timeouts(log: DataFrame, asked: str, done: str, seconds: int) -> DataFrame:
+    """Requests of a stream with no completion within so many seconds after them."""
+    next_done = F.first(F.when(F.col("event_type") == done, F.col("recorded_at")), ignorenulls=True).over(
+        W.partitionBy("stream_id").orderBy("stream_position").rowsBetween(1, W.unboundedFollowing))
+    e = log.where(F.col("event_type").isin(asked, done)).withColumn("done_time", next_done).where(F.col("event_type") == asked)
+    late = F.col("done_time").isNull() | (F.timestamp_diff("SECOND", F.col("recorded_at"), F.col("done_time")) > seconds)
+    return e.where(late).select("stream_id", "stream_position")
