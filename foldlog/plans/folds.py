@@ -92,12 +92,12 @@ query("g1_application_summary", f""", s AS (SELECT *, min(CASE WHEN event_type =
   arg_max(event_type, global_position) AS last_event_type, max(recorded_at) AS last_event_at, count(*) AS n_events,
   coalesce(max('agent-' || agent_id || '-' || session_id) FILTER (event_type = 'CreditAnalysisCompleted'), '') AS agent_sessions FROM w GROUP BY app""")(
     lambda log: R.application_summary(log).withColumn("agent_sessions", F.array_join("agent_sessions_completed", ",")).drop("agent_sessions_completed"))
-_PERF = """, asof AS (SELECT r.global_position, r.recorded_at, r.is_override, d.agent_id, d.model_version FROM log r ASOF JOIN (SELECT * FROM log WHERE event_type = 'DecisionGenerated') d ON r.app = d.app AND r.global_position > d.global_position
+_PERF = """, rv AS (SELECT r.global_position, r.recorded_at, r.is_override, d.agent_id, d.model_version FROM log r ASOF JOIN (SELECT * FROM log WHERE event_type = 'DecisionGenerated') d ON r.app = d.app AND r.global_position > d.global_position
   WHERE r.event_type = 'HumanReviewCompleted')"""
 query("j4_review_attribution", ", rev AS (SELECT * FROM log WHERE event_type = 'HumanReviewCompleted'), dec AS (SELECT * FROM log WHERE event_type = 'DecisionGenerated') SELECT rev.global_position, dec.agent_id, dec.model_version FROM rev ASOF LEFT JOIN dec ON rev.app = dec.app AND rev.global_position > dec.global_position")(
     lambda log: R.review_attribution(log).select("global_position", "agent_id", "model_version"))
 query("g2_agent_performance", _PERF + """, x AS (SELECT agent_id, model_version, event_type AS t, global_position, recorded_at, recommendation AS rec, score, duration_ms, false AS ov FROM log WHERE event_type IN ('AgentContextLoaded', 'CreditAnalysisCompleted', 'DecisionGenerated')
-  UNION ALL SELECT agent_id, model_version, 'HumanReviewCompleted', global_position, recorded_at, NULL, 0, 0, is_override FROM asof)
+  UNION ALL SELECT agent_id, model_version, 'HumanReviewCompleted', global_position, recorded_at, NULL, 0, 0, is_override FROM rv)
  SELECT agent_id, model_version, count(*) FILTER (t = 'CreditAnalysisCompleted') AS analyses_completed, count(*) FILTER (t = 'DecisionGenerated') AS decisions_generated,
   round(avg(score) FILTER (t = 'DecisionGenerated'), 9) AS avg_confidence_score, round(coalesce(avg(CASE rec WHEN 'APPROVE' THEN 1.0 ELSE 0.0 END) FILTER (t = 'DecisionGenerated'), 0), 9) AS approve_rate,
   count(*) FILTER (t = 'HumanReviewCompleted') AS human_reviews_total, count(*) FILTER (t = 'HumanReviewCompleted' AND ov) AS human_overrides_total, min(recorded_at) AS first_seen_at, max(recorded_at) AS last_seen_at,
@@ -116,8 +116,8 @@ query("g4_compliance_current", _RULES + """, u AS (SELECT app, max(recorded_at)
 query("g5_compliance_at", ", mo AS (SELECT min(recorded_at) + (max(recorded_at) - min(recorded_at)) / 2 AS m FROM log) SELECT app AS application_id, rule_id, arg_max(CASE event_type WHEN 'ComplianceRulePassed' THEN 'PASSED' ELSE 'FAILED' END, global_position) AS status FROM log, mo WHERE event_type LIKE 'ComplianceRule%' AND recorded_at <= m GROUP BY app, rule_id")(
     lambda log: T.compliance_at(log, R.compliance_history(log).select("application_id").distinct().crossJoin(_middle(log))).drop("moment"))
 query("g6_compliance_snapshots", """, h AS (SELECT *, row_number() OVER (PARTITION BY app ORDER BY global_position) AS n FROM log WHERE event_type IN ('ComplianceCheckRequested','ComplianceRulePassed','ComplianceRuleFailed')),
- s AS (SELECT app, global_position AS at FROM h WHERE n % 10 = 0)
- SELECT s.app AS application_id, at, rule_id, arg_max(CASE event_type WHEN 'ComplianceRulePassed' THEN 'PASSED' ELSE 'FAILED' END, h.global_position) AS status FROM s JOIN h ON s.app = h.app AND h.global_position <= at AND event_type LIKE 'ComplianceRule%' GROUP BY ALL""")(lambda log: T.compliance_snapshots(log, 10))
+ s AS (SELECT app, global_position AS "at" FROM h WHERE n % 10 = 0)
+ SELECT s.app AS application_id, "at", rule_id, arg_max(CASE event_type WHEN 'ComplianceRulePassed' THEN 'PASSED' ELSE 'FAILED' END, h.global_position) AS status FROM s JOIN h ON s.app = h.app AND h.global_position <= "at" AND event_type LIKE 'ComplianceRule%' GROUP BY ALL""")(lambda log: T.compliance_snapshots(log, 10))
 query("j7_state_from_snapshot", ORACLES["g5_compliance_at"][len(LOG):])(lambda log: _from_snapshot(log))
 query("g7_audit_trail", "SELECT app AS application_id, global_position, event_type, stream_id AS source_stream_id, recorded_at FROM log WHERE event_type <> 'AgentContextLoaded'")(lambda log: R.audit_trail(S.mirror_to_audit(log)))
 query("g8_agent_session_view", """, a AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY stream_position DESC) AS back FROM log WHERE stream_id LIKE 'agent-%')
@@ -203,11 +203,11 @@ _FOLD = f"SELECT stream_id, scenario, count(*) AS n, coalesce(arg_max(st, stream
 query("p2_outcome", f", l AS (SELECT *, {FLOOR_STATE} AS st, 'real' AS scenario FROM log WHERE stream_id LIKE 'loan-%'), o AS ({_FOLD} FROM l GROUP BY stream_id, scenario) SELECT stream_id, state, risk_tier, fraud_score, decision, confidence_score, final_decision, human_reviewer_id, approved_amount_usd FROM o")(
     lambda log: T.outcome(log).drop("compliance_status"))
 _CF = '{"risk_tier":"HIGH","confidence_score":0.5}'
-query("p1_what_if", f""", l AS (SELECT stream_id, CAST(stream_position AS DOUBLE) AS stream_position, event_type, risk_tier, score, recommendation, final_decision, reviewer_id, value, min(CASE WHEN event_type = 'CreditAnalysisCompleted' THEN stream_position END) OVER (PARTITION BY stream_id) AS at FROM log WHERE stream_id LIKE 'loan-%'),
- f AS (SELECT *, stream_position > at AND event_type IN ('DecisionGenerated','ApplicationApproved','ApplicationDeclined','HumanReviewCompleted') AS skip FROM l),
+query("p1_what_if", f""", l AS (SELECT stream_id, CAST(stream_position AS DOUBLE) AS stream_position, event_type, risk_tier, score, recommendation, final_decision, reviewer_id, value, min(CASE WHEN event_type = 'CreditAnalysisCompleted' THEN stream_position END) OVER (PARTITION BY stream_id) AS branch_at FROM log WHERE stream_id LIKE 'loan-%'),
+ f AS (SELECT *, stream_position > branch_at AND event_type IN ('DecisionGenerated','ApplicationApproved','ApplicationDeclined','HumanReviewCompleted') AS skip FROM l),
  u AS (SELECT stream_id, 'real' AS scenario, stream_position, event_type, risk_tier, score, recommendation, final_decision, reviewer_id, value FROM l UNION ALL
-  SELECT stream_id, 'cf', stream_position, event_type, risk_tier, score, recommendation, final_decision, reviewer_id, value FROM f WHERE NOT coalesce(skip, false) AND NOT coalesce(stream_position = at, false) UNION ALL
-  SELECT stream_id, 'cf', coalesce(max(at), max(stream_position) + 1), 'CreditAnalysisCompleted', 'HIGH', 0.5, NULL, NULL, NULL, NULL FROM l GROUP BY stream_id),
+  SELECT stream_id, 'cf', stream_position, event_type, risk_tier, score, recommendation, final_decision, reviewer_id, value FROM f WHERE NOT coalesce(skip, false) AND NOT coalesce(stream_position = branch_at, false) UNION ALL
+  SELECT stream_id, 'cf', coalesce(max(branch_at), max(stream_position) + 1), 'CreditAnalysisCompleted', 'HIGH', 0.5, NULL, NULL, NULL, NULL FROM l GROUP BY stream_id),
  o AS ({_FOLD} FROM (SELECT *, {FLOOR_STATE} AS st FROM u) z GROUP BY stream_id, scenario), sk AS (SELECT stream_id, count(*) FILTER (skip) AS events_skipped FROM f GROUP BY stream_id)
  SELECT r.stream_id, concat_ws(',', {", ".join(f"CASE WHEN r.{c} IS DISTINCT FROM c.{c} THEN '{c}' END" for c in ("state", "risk_tier", "fraud_score", "decision", "confidence_score", "final_decision", "human_reviewer_id", "approved_amount_usd"))}) AS divergence,
  c.n AS events_replayed, events_skipped, r.state AS real_state, c.state AS cf_state FROM o r JOIN o c ON r.stream_id = c.stream_id AND r.scenario = 'real' AND c.scenario = 'cf' JOIN sk ON sk.stream_id = r.stream_id""")(
