@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from .common import held_out, table
 
 #: Letters are counted in hashed slots, so a model's size is fixed whatever the corpus.
-SLOTS, ORDER, SHARED_ORDER, PIECE = 1 << 20, 8, 4, 32
+SLOTS, PIECE = 1 << 20, 32
+#: Expressions of up to 4 letters are counted for all documents together, longer ones for each class.
+SHARED, OWN = range(1, 5), range(5, 9)
 DISCOUNTS = np.array([0, 1, 2, 3])  # of counts 0, 1, 2 and more: what one text or two use once is left to the backoff
-WINDOW, CALIBRATION_ROWS, THRESHOLD, SLICE = 2, 50_000, 0.3, 2048
+WINDOW, CALIBRATION_ROWS, THRESHOLD, SLICE = 2, 50_000, 0.3, 4096
 #: name: (dtype, how the parts of two tasks merge). n: how often an expression stands; f: which letters follow it, as 32 hashed bits.
 _TABLES = {f"{k}_{c}": v for c in ("toxic", "plain", "shared") for k, v in {"n": (np.int32, np.add), "f": (np.uint32, np.bitwise_or)}.items()}
 _CHUNK = 1 << 15
@@ -39,35 +41,46 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
 
 
-def expressions(words: list[str], order: int) -> list[tuple[np.ndarray, ...]]:
-    """For each order: word number, place, slot of the letters up to it, slot of those before its last one, and that one's bit."""
-    codes = np.zeros((len(words), max((len(w) for w in words), default=0) + 2), dtype=np.uint64)
-    length = np.array([len(w) for w in words], dtype=np.int64)
-    for i, w in enumerate(words):
-        codes[i, 1 : len(w) + 1] = np.frombuffer(w.encode("utf-32-le"), np.uint32)
-    codes[:, 0] = 2
-    codes[np.arange(len(words)), length + 1] = 3
-    codes = _mix(codes)
-    places = np.arange(codes.shape[1])
-    out, gram = [], np.zeros_like(codes)
-    for k in range(order):
-        before = np.zeros_like(gram)  # the k letters before each place
-        before[:, 1:] = gram[:, :-1]
-        gram = gram.copy()
-        gram[:, k:] += codes[:, : codes.shape[1] - k] * np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64))
-        row, at = np.nonzero((places >= max(k, 1)) & (places <= length[:, None] + 1))
-        salt = np.uint64((k + 1) * 0xD1B54A32D192ED03 % (1 << 64))
-        slot = _mix(gram[row, at] + salt) % np.uint64(SLOTS)
-        context = _mix(before[row, at] + salt + np.uint64(1)) % np.uint64(SLOTS)
-        bit = np.uint32(1) << (codes[row, at] >> np.uint64(59)).astype(np.uint32)
-        out.append((row, at, slot.astype(np.int64), context.astype(np.int64), bit))
-    return out
+def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Words of one length at a time, with their places in words."""
+    lengths = np.array([len(w) for w in words])
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        yield at, [words[i] for i in at]
 
 
-def _add(held: dict[str, np.ndarray], kind: str, words: list[str], times: np.ndarray, order: int) -> None:
-    for row, _, slot, context, bit in expressions(words, order):
-        held[f"n_{kind}"] += np.bincount(slot, times[row], SLOTS).astype(np.int32) + np.bincount(context, times[row], SLOTS).astype(np.int32)
-        key = np.unique((context << 32) | bit)
+def expressions(words: list[str], orders: range) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For words of one length and each of orders: the first place, and for each word and place from there on the slot of the
+    letters up to it, the slot of those before its last one, and that one's bit. Words stand between two marks."""
+    n, length = len(words), len(words[0])
+    codes = np.empty((n, length + 2), dtype=np.uint64)
+    codes[:, 0], codes[:, length + 1] = 2, 3
+    codes[:, 1:-1] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, length)
+    codes = _mix(codes)
+    bits = np.uint32(1) << (codes >> np.uint64(59)).astype(np.uint32)
+    gram = np.zeros_like(codes)
+    for k in range(min(orders.stop - 1, length + 2)):
+        before = gram[:, :-1].copy()  # the k letters before each place but the first
+        gram[:, k:] += codes[:, : codes.shape[1] - k] * np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64))
+        if k + 1 in orders:
+            lo = max(k, 1)
+            salt = np.uint64((k + 1) * 0xD1B54A32D192ED03 % (1 << 64))
+            slot = _mix(gram[:, lo:] + salt) % np.uint64(SLOTS)
+            context = _mix(before[:, lo - 1 :] + salt + np.uint64(1)) % np.uint64(SLOTS)
+            yield lo, slot.astype(np.int64), context.astype(np.int64), bits[:, lo:]
+
+
+def _add(held: dict[str, np.ndarray], kind: str, words: list[str], times: np.ndarray, orders: range) -> None:
+    slots, weights, keys = [], [], []
+    for at, own in by_length(words):
+        for _, slot, context, bit in expressions(own, orders):
+            w = np.repeat(times[at], slot.shape[1])
+            slots += [slot.ravel(), context.ravel()]
+            weights += [w, w]
+            keys.append(np.unique((context.ravel() << 32) | bit.ravel()))
+    if slots:
+        held[f"n_{kind}"] += np.bincount(np.concatenate(slots), np.concatenate(weights), SLOTS).astype(np.int32)
+        key = np.unique(np.concatenate(keys))
         np.bitwise_or.at(held[f"f_{kind}"], key >> 32, (key & 0xFFFFFFFF).astype(np.uint32))
 
 
@@ -81,7 +94,7 @@ def _counts(rows: DataFrame, labelled: bool) -> DataFrame:
             words, codes, starts = words_of(part.column("text"))
             if not labelled:
                 # as Kneser and Ney count: in how many different words, not how often
-                _add(held, "shared", words, np.ones(len(words)), SHARED_ORDER)
+                _add(held, "shared", words, np.ones(len(words)), SHARED)
                 continue
             row = np.repeat(np.arange(part.num_rows), np.diff(starts))
             label = np.asarray(part.column("label").to_pylist())
@@ -89,7 +102,7 @@ def _counts(rows: DataFrame, labelled: bool) -> DataFrame:
             for c, kind in enumerate(kinds):
                 times = np.bincount(seen[label[seen // max(len(words), 1)] == c] % max(len(words), 1), minlength=len(words))
                 own = np.flatnonzero(times)
-                _add(held, kind, [words[i] for i in own], times[own].astype(np.float64), ORDER)
+                _add(held, kind, [words[i] for i in own], times[own].astype(np.float64), OWN)
         for k, v in held.items():
             for i in range(0, SLOTS, _CHUNK):
                 if v[i : i + _CHUNK].any():
@@ -131,30 +144,26 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
 
 def word_ratios(model: dict[str, np.ndarray], words: list[str]) -> np.ndarray:
     """Of each word: log probability by the toxic model less that by the ordinary one, a letter (its end counts as one)."""
-    out, parts = np.zeros(len(words)), expressions(words, ORDER)
-    if not words:
-        return out
-    shape = (len(words), max(len(w) for w in words) + 2)
-
-    def step(kind: str, p: np.ndarray, part: tuple) -> None:
-        row, at, slot, context, _ = part
-        n, whole = model[f"n_{kind}"][slot], np.maximum(model[f"n_{kind}"][context], 1)
-        known = model[f"n_{kind}"][context] > 0
-        kept = np.maximum(n - DISCOUNTS[np.minimum(n, 3)], 0)
-        left = np.minimum(DISCOUNTS[2] * model[f"f_{kind}"][context], 0.9 * whole)
-        p[row, at] = np.where(known, np.minimum(kept / whole, 1) + left / whole * p[row, at], p[row, at])
+    out = np.zeros(len(words))
 
-    base = np.full(shape, 1 / 64)
-    for part in parts[:SHARED_ORDER]:
-        step("shared", base, part)
-    logs = []
-    for kind in ("toxic", "plain"):
-        p = base.copy()
-        for part in parts[1:]:
-            step(kind, p, part)
-        logs.append(np.log(np.maximum(p, 1e-9)))
-    row, at = parts[0][:2]
-    return np.bincount(row, (logs[0] - logs[1])[row, at], len(words)) / np.array([len(w) + 1 for w in words])
+    def step(kind: str, p: np.ndarray, slot: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Interpolate: the discounted share of an expression, and its backoff by what the discounts left over."""
+        whole, n = model[f"n_{kind}"][context].astype(np.float64), model[f"n_{kind}"][slot]
+        left = np.minimum(DISCOUNTS[2] * model[f"f_{kind}"][context], 0.9 * whole)
+        seen = np.maximum(whole, 1)
+        return np.where(whole > 0, np.minimum(np.maximum(n - DISCOUNTS[np.minimum(n, 3)], 0) / seen, 1) + left / seen * p, p)
+
+    for at, own in by_length(words):
+        length = len(own[0])
+        toxic = np.full((len(own), length + 2), 1 / 64)
+        for lo, slot, context, _ in expressions(own, SHARED):
+            toxic[:, lo:] = step("shared", toxic[:, lo:], slot, context)
+        plain = toxic.copy()
+        for lo, slot, context, _ in expressions(own, OWN):
+            toxic[:, lo:] = step("toxic", toxic[:, lo:], slot, context)
+            plain[:, lo:] = step("plain", plain[:, lo:], slot, context)
+        out[at] = np.log(np.maximum(toxic[:, 1:], 1e-9) / np.maximum(plain[:, 1:], 1e-9)).sum(axis=1) / (length + 1)
+    return out
 
 
 def text_features(ratio: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", train_parts: tu
     part = F.crc32(F.col(key).cast("string").cast("binary")) % 4
     own = labels.where("toxic is not null").select(F.col(key), F.when(F.col("toxic") == 1, 1).otherwise(0).alias("label"))
     text = docs.select(key, "text")
-    counts = train(docs, text.where(part.isin(*train_parts)).join(own.where(part.isin(*train_parts)), key))
+    counts = train(docs, text.where(part.isin(*train_parts)).join(own.where(part.isin(*train_parts)).hint("merge"), key))
     some = own.where(part.isin(*fit_parts)).orderBy(F.xxhash64(key), "label").limit(CALIBRATION_ROWS)
     # at most CALIBRATION_ROWS rows of two numbers
     sample = text.where(part.isin(*fit_parts)).join(F.broadcast(some), key)
