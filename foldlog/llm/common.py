@@ -67,3 +67,27 @@ def whole_runs(it: Iterator[pa.RecordBatch], key: str, rows: int = 50_000) -> It
                 yield cut(False)
     if held:
         yield cut(True)
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (the public splitmix64 constants)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Words of one length at a time, with their places in words."""
+    lengths = np.array([len(w) for w in words])
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        yield at, [words[i] for i in at]
+
+
+def letter_codes(words: list[str]) -> np.ndarray:
+    """A row of hashed letters for each of some words of one length, between two marks."""
+    n, length = len(words), len(words[0])
+    codes = np.empty((n, length + 2), dtype=np.uint64)
+    codes[:, 0], codes[:, length + 1] = 2, 3
+    codes[:, 1:-1] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, length)
+    return mix64(codes)

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import by_length, held_out, letter_codes, mix64, table
 
-ORDERS, SLOTS, PROBES, SLICE = (1, 2, 3, 4), 1 << 20, 3, 1024
+ORDERS, SLOTS, PROBES, SLICE = range(1, 5), 1 << 20, 3, 2048
 #: A language's filter holds the n-grams of an order that are at least this share of its n-grams of that order: 4 * 5,000 at most.
 LEAST_SHARE = 2e-4
 UNKNOWN = "und"
@@ -28,10 +26,15 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
 
 
-def ngrams(word: str) -> list[str]:
-    """All n-grams of a word between two spaces; none of an empty word."""
-    w = f" {word} "
-    return [w[i : i + n] for n in ORDERS for i in range(len(w) - n + 1) if w[i : i + n] != " "] if word else []
+def ngrams(words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """For words of one length and each order: hashes of their n-grams between two marks, a row for each word."""
+    codes = letter_codes(words)
+    gram = np.zeros_like(codes)
+    for n in range(1, min(ORDERS[-1], codes.shape[1]) + 1):
+        gram = gram[:, : codes.shape[1] - n + 1] + codes[:, n - 1 :] * np.uint64(pow(0x9E3779B97F4A7C15, n - 1, 1 << 64))
+        if n in ORDERS:
+            own = gram[:, 1:-1] if n == 1 else gram  # a mark alone is no n-gram
+            yield n, mix64(own + np.uint64(n))
 
 
 def _slices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,43 +44,40 @@ def _slices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def language_ngrams(docs: DataFrame) -> DataFrame:
-    """lang, gram, n: the n-grams that are frequent in each language of docs (text, lang; null lang: left out)."""
+    """lang, order, gram (its hash), n: the n-grams that are frequent in each language of docs (text, lang; null lang: left out)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
-
-        def out() -> pa.RecordBatch:
-            rows = [(lang, g, n) for lang, c in held.items() for g, n in c.items()]
-            held.clear()
-            return pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate((("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())))})
-
         for part in _slices(it):
             words, codes, starts = words_of(part.column("text"))
             langs = np.repeat(np.asarray(part.column("lang").to_pylist(), dtype=object), np.diff(starts))
             for lang in set(langs):
-                times, grams = np.bincount(codes[langs == lang], minlength=len(words)), held.setdefault(lang, Counter())
-                for i in np.flatnonzero(times):
-                    for g in ngrams(words[i]):
-                        grams[g] += int(times[i])
-            if sum(map(len, held.values())) > 200_000:
-                yield out()
-        if held:
-            yield out()
-
-    counts = docs.where("lang is not null").select("text", "lang").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    whole = counts.groupBy("lang", F.length("gram").alias("order")).agg(F.sum("n").alias("whole"))
-    both = counts.withColumn("order", F.length("gram")).join(whole, ["lang", "order"])
-    return both.where(F.col("n") >= LEAST_SHARE * F.col("whole")).select("lang", "gram", "n")
+                times = np.bincount(codes[langs == lang], minlength=len(words))
+                own = [i for i in np.flatnonzero(times) if words[i]]
+                found: dict[int, list] = {n: [] for n in ORDERS}
+                for at, same in by_length([words[i] for i in own]):
+                    weight = times[np.array(own)[at]]
+                    for n, h in ngrams(same):
+                        found[n].append((h.ravel(), np.repeat(weight, h.shape[1])))
+                for n, parts in found.items():
+                    if parts:
+                        gram, place = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+                        count = np.bincount(place, np.concatenate([w for _, w in parts])).astype(np.int64)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([lang] * len(gram), pa.string()), pa.array(np.full(len(gram), n, np.int32)), pa.array(gram.view(np.int64)), pa.array(count)], names=["lang", "order", "gram", "n"])
+
+    counts = docs.where("lang is not null").select("text", "lang").mapInArrow(run, "lang string, order int, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
+    whole = counts.groupBy("lang", "order").agg(F.sum("n").alias("whole"))
+    return counts.join(whole, ["lang", "order"]).where(F.col("n") >= LEAST_SHARE * F.col("whole")).select("lang", "order", "gram", "n")
 
 
 class Filters:
     """A row of the table is a slot, a column is a language: PROBES rows, taken together, name all languages with an n-gram."""
 
-    def __init__(self, grams: dict[str, list[str]]):
+    def __init__(self, grams: dict[str, list[int]]):
         self.langs = sorted(grams)
         self.table = np.zeros((SLOTS, (len(self.langs) + 63) // 64), dtype=np.uint64)
         for i, lang in enumerate(self.langs):
-            self.table[slots(grams[lang]).ravel(), i // 64] |= np.uint64(1 << (i % 64))
+            self.table[slots(np.array(grams[lang], np.int64).view(np.uint64)).ravel(), i // 64] |= np.uint64(1 << (i % 64))
         filled = self.columns(self.table).mean(axis=0) if self.langs else np.zeros(0)
         self.false_rate = filled**PROBES  # of an n-gram that the language's filter doesn't hold
 
@@ -87,27 +87,22 @@ class Filters:
 
     def hits(self, words: list[str]) -> np.ndarray:
         """For each word: number of n-grams, then hits by language."""
-        grams = [ngrams(w) for w in words]
-        n = np.array([len(g) for g in grams], dtype=np.int64)
-        distinct = list({g for x in grams for g in x})
-        if not distinct:
-            return np.zeros((len(words), 1 + len(self.langs)))
-        place = {g: i for i, g in enumerate(distinct)}
-        rows = self.table[slots(distinct)]
-        bits = self.columns(np.bitwise_and.reduce(rows, axis=1))
-        flat = bits[np.array([place[g] for x in grams for g in x])]
-        owner = np.repeat(np.arange(len(words)), n)
-        return np.column_stack([n, *(np.bincount(owner, flat[:, i], len(words)) for i in range(len(self.langs)))]).astype(np.float64)
+        out = np.zeros((len(words), 1 + len(self.langs)))
+        for at, own in by_length(words):
+            for _, h in ngrams(own) if own[0] else ():
+                rows = np.bitwise_and.reduce(self.table[slots(h.ravel())], axis=1)
+                out[at, 0] += h.shape[1]
+                out[at, 1:] += self.columns(rows).reshape(*h.shape, -1).sum(axis=1, dtype=np.int64) if self.langs else 0
+        return out
 
 
-def slots(grams: list[str]) -> np.ndarray:
-    h = np.array([xxhash.xxh3_128_intdigest(g) & (1 << 60) - 1 for g in grams], dtype=np.int64).reshape(-1, 1)
-    return (h >> (20 * np.arange(PROBES))) % SLOTS
+def slots(grams: np.ndarray) -> np.ndarray:
+    return (grams.reshape(-1, 1) >> (np.uint64(20) * np.arange(PROBES, dtype=np.uint64))).astype(np.int64) % SLOTS
 
 
 def train(docs: DataFrame) -> Filters:
     """Filters of the languages of docs; the driver gets at most 20,000 n-grams a language, from all texts."""
-    grams: dict[str, list[str]] = {}
+    grams: dict[str, list[int]] = {}
     for r in language_ngrams(docs).toLocalIterator():
         grams.setdefault(r["lang"], []).append(r["gram"])
     return Filters(grams)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_runs, written
+from .common import mix64, table, whole_runs, written
 from .components import connected_components
 
 SEED = 42
@@ -43,13 +43,8 @@ def majority_bits(h: np.ndarray) -> int:
 
 
 def _mix(x: np.ndarray, lane: int) -> np.ndarray:
-    """Another 64-bit hash of each hash (splitmix64 constants); lane 0 is the hash itself."""
-    if not lane:
-        return x
-    x = x + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """Another 64-bit hash of each hash; lane 0 is the hash itself."""
+    return mix64(x + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))) if lane else x
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_runs, written
+from .common import mix64, table, whole_runs, written
 
 LENGTH, GRAM = 100, 28
 _WINDOWS = LENGTH - GRAM + 1
@@ -21,13 +21,6 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _VALUES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (the public splitmix64 constants)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _powers(n: int, base: int) -> np.ndarray:
     out = np.full(n, np.uint64(base % (1 << 64)))
     out[0] = 1
@@ -47,7 +40,7 @@ class _Hasher:
         np.cumsum(_VALUES[data] * self.up[: len(data)], out=self.sums[1:])
 
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[hi] - self.sums[lo]) * self.down[lo])
+        return mix64((self.sums[hi] - self.sums[lo]) * self.down[lo])
 
 
 def _sliding_least(x: np.ndarray) -> np.ndarray:
@@ -94,7 +87,7 @@ def window_runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:] - 1, [len(s) - 1]])
     lo, hi, a = s[first], s[last], anchor[first]
-    context = _mix(hasher.of(lo, hi + LENGTH) + (a - lo).astype(np.uint64))
+    context = mix64(hasher.of(lo, hi + LENGTH) + (a - lo).astype(np.uint64))
     return lo, hi, own[a], context
 
 

@@ -12,12 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import by_length, held_out, letter_codes, mix64, table
 
 #: Letters are counted in hashed slots, so a model's size is fixed whatever the corpus.
 SLOTS, PIECE = 1 << 20, 32
-#: Expressions of up to 4 letters are counted for all documents together, longer ones for each class.
-SHARED, OWN = range(1, 5), range(5, 9)
+#: Orders that are counted for all documents together, and those that each class counts over them.
+SHARED, OWN = range(1, 5), range(3, 9)
 DISCOUNTS = np.array([0, 1, 2, 3])  # of counts 0, 1, 2 and more: what one text or two use once is left to the backoff
 WINDOW, CALIBRATION_ROWS, THRESHOLD, SLICE = 2, 50_000, 0.3, 4096
 #: name: (dtype, how the parts of two tasks merge). n: how often an expression stands; f: which letters follow it, as 32 hashed bits.
@@ -25,13 +25,6 @@ _TABLES = {f"{k}_{c}": v for c in ("toxic", "plain", "shared") for k, v in {"n":
 _CHUNK = 1 << 15
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (the public splitmix64 constants)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words (letters and digits, lower case; long ones in pieces), each word's place among them, and where texts begin."""
     clean = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{N}]+", " ")
@@ -41,22 +34,10 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
 
 
-def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Words of one length at a time, with their places in words."""
-    lengths = np.array([len(w) for w in words])
-    for n in np.unique(lengths):
-        at = np.flatnonzero(lengths == n)
-        yield at, [words[i] for i in at]
-
-
 def expressions(words: list[str], orders: range) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For words of one length and each of orders: the first place, and for each word and place from there on the slot of the
     letters up to it, the slot of those before its last one, and that one's bit. Words stand between two marks."""
-    n, length = len(words), len(words[0])
-    codes = np.empty((n, length + 2), dtype=np.uint64)
-    codes[:, 0], codes[:, length + 1] = 2, 3
-    codes[:, 1:-1] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, length)
-    codes = _mix(codes)
+    codes, length = letter_codes(words), len(words[0])
     bits = np.uint32(1) << (codes >> np.uint64(59)).astype(np.uint32)
     gram = np.zeros_like(codes)
     for k in range(min(orders.stop - 1, length + 2)):
@@ -65,8 +46,8 @@ def expressions(words: list[str], orders: range) -> Iterator[tuple[int, np.ndarr
         if k + 1 in orders:
             lo = max(k, 1)
             salt = np.uint64((k + 1) * 0xD1B54A32D192ED03 % (1 << 64))
-            slot = _mix(gram[:, lo:] + salt) % np.uint64(SLOTS)
-            context = _mix(before[:, lo - 1 :] + salt + np.uint64(1)) % np.uint64(SLOTS)
+            slot = mix64(gram[:, lo:] + salt) % np.uint64(SLOTS)
+            context = mix64(before[:, lo - 1 :] + salt + np.uint64(1)) % np.uint64(SLOTS)
             yield lo, slot.astype(np.int64), context.astype(np.int64), bits[:, lo:]
 
 
