@@ -168,4 +168,4 @@ def near_duplicate_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "
 
 def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
