@@ -16,46 +16,48 @@ from ..schema import SESSION_ENDS, SESSION_PARTIAL, SESSION_TYPES
 REVIEWED = ("DecisionGenerated", "HumanReviewCompleted")
 
 
+def register(value: Column, when: Column, position: str = "global_position") -> Column:
+    """pos and v of the event at the highest position among those that match; null values count."""
+    return F.max(F.when(when, F.struct(F.col(position).alias("pos"), value.alias("v"))))
+
+
 def last(value: Column, when: Column, position: str = "global_position") -> Column:
-    """The value at the highest position among events that match; null values count."""
-    return F.max(F.when(when, F.struct(F.col(position).alias("pos"), value.alias("v"))))["v"]
+    return register(value, when, position)["v"]
 
 
 def application_summary(log: DataFrame) -> DataFrame:
     """One row per submitted application, from all streams but audit copies, in global order.
 
-    Nothing counts before an application's first valid submission; the sessions are in the order they were first seen.
+    Nothing counts before an application's first valid submission: a register whose last writer stands before it is empty, so the
+    start is one more minimum of the same aggregation. The sessions are in the order they were first seen.
     """
-    e = typed(log.where(~F.col("stream_id").startswith("audit-"))).withColumn("app", F.col("p")["application_id"]).where("app != ''")
-    t, p = F.col("event_type"), F.col("p")
-    submits = (t == "ApplicationSubmitted") & (F.coalesce(p["applicant_id"], F.lit("")) != "")
-    # an unsubmitted or invalid event never counts; the start is one partial minimum per application
-    known = F.min(F.when(submits, F.col("global_position"))).over(W.partitionBy("app"))
-    e = e.withColumn("start", known).where((F.col("global_position") >= F.col("start")) & ((t != "ApplicationSubmitted") | submits))
-    state = state_of_event("summary")
     types = (
         "ApplicationSubmitted", "CreditAnalysisRequested", "CreditAnalysisCompleted", "ComplianceCheckRequested", "ComplianceRulePassed",
         "ComplianceRuleFailed", "FraudScreeningCompleted", "DecisionGenerated", "HumanReviewCompleted", "ApplicationApproved", "ApplicationDeclined")
-    e = e.where(t.isin(*types)).withColumn("state", state)
+    e = typed(log.where(~F.col("stream_id").startswith("audit-") & F.col("event_type").isin(*types)))
+    t, p, pos = F.col("event_type"), F.col("p"), F.col("global_position")
+    submits = (t == "ApplicationSubmitted") & (F.coalesce(p["applicant_id"], F.lit("")) != "")
+    e = e.withColumn("app", p["application_id"]).where(F.col("app") != "").where((t != "ApplicationSubmitted") | submits).withColumn("set_state", state_of_event("summary"))
     decided = t == "DecisionGenerated"
     session = session_stream_id(p["agent_id"], p["session_id"])
-    main = e.groupBy("app").agg(
-        last(F.col("state"), F.col("state").isNotNull()).alias("state"),
-        last(p["applicant_id"], submits).alias("applicant_id"),
-        last(F.coalesce(p["requested_amount_usd"], F.lit(0.0)), submits).alias("requested_amount_usd"),
-        last(p["risk_tier"], t == "CreditAnalysisCompleted").alias("risk_tier"),
-        last(F.coalesce(p["fraud_score"], F.lit(0.0)).cast("decimal(5,2)"), t == "FraudScreeningCompleted").alias("fraud_score"),
-        last(F.when(t == "ComplianceRulePassed", "PASSED").otherwise("FAILED"), t.startswith("ComplianceRule")).alias("compliance_status"),
-        last(p["recommendation"], decided).alias("decision"),
-        last(p["orchestrator_agent_id"], decided).alias("orchestrator_agent_id"),
-        last(F.try_element_at(p["model_versions"], p["orchestrator_agent_id"]), decided).alias("orchestrator_model_version"),
-        last(p["reviewer_id"], t == "HumanReviewCompleted").alias("human_reviewer_id"),
-        last(F.coalesce(p["approved_amount_usd"], F.lit(0.0)), t == "ApplicationApproved").alias("approved_amount_usd"),
-        last(F.col("recorded_at"), t.isin("ApplicationApproved", "ApplicationDeclined")).alias("final_decision_at"),
-        last(t, F.lit(True)).alias("last_event_type"), last(F.col("recorded_at"), F.lit(True)).alias("last_event_at"),
-        F.count("*").alias("n_events"),
-        F.array_sort(F.collect_set(F.when(t == "CreditAnalysisCompleted", F.struct(F.col("global_position"), session.alias("s"))))).alias("seen"))
-    return main.withColumn("agent_sessions_completed", F.array_distinct(F.transform("seen", lambda x: x["s"]))).drop("seen").withColumnRenamed("app", "application_id")
+    fields = {
+        "state": register(F.col("set_state"), F.col("set_state").isNotNull()), "applicant_id": register(p["applicant_id"], submits),
+        "requested_amount_usd": register(F.coalesce(p["requested_amount_usd"], F.lit(0.0)), submits),
+        "risk_tier": register(p["risk_tier"], t == "CreditAnalysisCompleted"),
+        "fraud_score": register(F.coalesce(p["fraud_score"], F.lit(0.0)).cast("decimal(5,2)"), t == "FraudScreeningCompleted"),
+        "compliance_status": register(F.when(t == "ComplianceRulePassed", "PASSED").otherwise("FAILED"), t.startswith("ComplianceRule")),
+        "decision": register(p["recommendation"], decided), "orchestrator_agent_id": register(p["orchestrator_agent_id"], decided),
+        "orchestrator_model_version": register(F.try_element_at(p["model_versions"], p["orchestrator_agent_id"]), decided),
+        "human_reviewer_id": register(p["reviewer_id"], t == "HumanReviewCompleted"),
+        "approved_amount_usd": register(F.coalesce(p["approved_amount_usd"], F.lit(0.0)), t == "ApplicationApproved"),
+        "final_decision_at": register(F.col("recorded_at"), t.isin("ApplicationApproved", "ApplicationDeclined")),
+        "last_event_type": register(t, F.lit(True)), "last_event_at": register(F.col("recorded_at"), F.lit(True))}
+    seen = F.collect_set(F.when(t == "CreditAnalysisCompleted", F.struct(pos.alias("pos"), session.alias("s"))))
+    out = e.groupBy("app").agg(F.min(F.when(submits, pos)).alias("start"), seen.alias("seen"), *(c.alias(n) for n, c in fields.items())).where("start is not null")
+    after = F.array_sort(F.filter("seen", lambda x: x["pos"] >= F.col("start")))
+    return out.select(
+        F.col("app").alias("application_id"), *(F.when(F.col(f"{n}.pos") >= F.col("start"), F.col(f"{n}.v")).alias(n) for n in fields),
+        F.array_distinct(F.transform(after, lambda x: x["s"])).alias("agent_sessions_completed"))
 
 
 def review_attribution(log: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ query("g1_application_summary", f""", s AS (SELECT *, min(CASE WHEN event_type =
   arg_max(recommendation, global_position) FILTER (event_type = 'DecisionGenerated') AS decision, arg_max(agent_id, global_position) FILTER (event_type = 'DecisionGenerated') AS orchestrator_agent_id,
   arg_max_null(model_version, global_position) FILTER (event_type = 'DecisionGenerated') AS orchestrator_model_version, arg_max(reviewer_id, global_position) FILTER (event_type = 'HumanReviewCompleted') AS human_reviewer_id,
   arg_max(value, global_position) FILTER (event_type = 'ApplicationApproved') AS approved_amount_usd, max(recorded_at) FILTER (event_type IN ('ApplicationApproved', 'ApplicationDeclined')) AS final_decision_at,
-  arg_max(event_type, global_position) AS last_event_type, max(recorded_at) AS last_event_at, count(*) AS n_events,
+  arg_max(event_type, global_position) AS last_event_type, max(recorded_at) AS last_event_at,
   coalesce(max('agent-' || agent_id || '-' || session_id) FILTER (event_type = 'CreditAnalysisCompleted'), '') AS agent_sessions FROM w GROUP BY app""")(
     lambda log: R.application_summary(log).withColumn("agent_sessions", F.array_join("agent_sessions_completed", ",")).drop("agent_sessions_completed"))
 _PERF = """, rv AS (SELECT r.global_position, r.recorded_at, r.is_override, d.agent_id, d.model_version FROM log r ASOF JOIN (SELECT * FROM log WHERE event_type = 'DecisionGenerated') d ON r.app = d.app AND r.global_position > d.global_position
