@@ -16,7 +16,7 @@ from .common import mix64, table, whole_runs, written
 
 LENGTH, GRAM = 100, 28
 _WINDOWS = LENGTH - GRAM + 1
-CHUNK, RUN_SUFFIXES, RANGE_SUFFIXES, SAMPLE_DOCS = 1 << 22, 200_000, 300_000, 5_000
+CHUNK, RUN_SUFFIXES, RANGE_SUFFIXES, SAMPLE_DOCS = 1 << 20, 200_000, 300_000, 5_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _VALUES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -148,7 +148,7 @@ def _own_runs(docs: DataFrame, asked: bool) -> DataFrame:
             got = _runs_of_chunk(*chunk)
             if len(got["gram"]):
                 held.append(got)
-            if sum(len(h["gram"]) for h in held) > 2_000_000:
+            if sum(len(h["gram"]) for h in held) > 500_000:
                 yield settle()
         if held:
             yield settle()
