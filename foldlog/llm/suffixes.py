@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import math
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -348,9 +349,11 @@ def _merge_range(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
 
 
 def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of jobs whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of jobs whose results are written: it does so when the driver collects its garbage."""
+    for _ in range(2):  # what the first round frees may hold what the second one finds
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
