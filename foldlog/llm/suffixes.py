@@ -267,9 +267,11 @@ def merge_runs(runs: list[tuple[bytes, bytes, list[int], list[int]]]) -> Iterato
             node >>= 1
 
 
-def _sorted_runs(work: DataFrame, splitters: np.ndarray) -> DataFrame:
+def _sorted_runs(work: DataFrame, splitters: np.ndarray, turn: int, turns: int) -> DataFrame:
     """part, shared, rest, docs, places: front-coded sorted runs of the windows to sort, a row for each range of suffixes.
 
+    Every turns-th range, from number turn on, takes part.
+
     Windows that equal another of the same run are repeats already; the run holds the earliest, and the others go
     along as a row without bytes. So a passage that stands in a third of all texts is one suffix a run.
     """
@@ -314,7 +316,11 @@ def _sorted_runs(work: DataFrame, splitters: np.ndarray) -> DataFrame:
                 s = np.repeat(lo - np.concatenate([[0], np.cumsum(more + 1)[:-1]]), more + 1) + np.arange((more + 1).sum())
                 for k in range(0, len(s), RUN_SUFFIXES):
                     own = s[k : k + RUN_SUFFIXES]
-                    rows.append(np.lib.stride_tricks.sliding_window_view(text, LENGTH)[own])
+                    m = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[own]
+                    if turns > 1:
+                        mine = np.searchsorted(splitters, m.view(f"S{LENGTH}").ravel(), side="right") % turns == turn
+                        m, own = m[mine], own[mine]
+                    rows.append(m)
                     docs.append(np.full(len(own), batch.column("doc")[i].as_py(), np.int64))
                     places.append(base[0] | own)
                     held += len(own)
@@ -359,7 +365,7 @@ def _release(spark: SparkSession) -> None:
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """doc, place, more: windows of LENGTH bytes that start at place to place + more and also start earlier.
 
-    docs: doc (long), crc (of the text) and text (binary). Three written steps.
+    docs: doc (long), crc (of the text) and text (binary). Written steps:
     1. Windows are grouped by their least n-gram (a function of the window's bytes alone), in runs of 29 on average. A run whose
        n-gram stands nowhere else has no repeat; a run whose whole context stands earlier is all repeats.
     2. The windows of the others are suffixes to sort: each task sorts its own, front-codes them and deals them by range.
@@ -373,11 +379,17 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     n = sort.agg(F.sum(F.col("more") + 1)).first()[0] or 0
     splitters = _splitters(docs, max(1, math.ceil(n / RANGE_SUFFIXES)))
     lists = sort.groupBy("doc", F.shiftright("place", 32).alias("crc")).agg(F.array_sort(F.collect_list(F.struct("place", "more"))).alias("runs"))
-    runs = _sorted_runs(docs.join(lists, ["doc", "crc"]), splitters)
-    repeats = runs.groupBy("part").applyInArrow(_merge_range, "doc long, place long")
-    repeats = written(repeats, "suffix-repeats").withColumn("more", F.lit(0))
-    _release(spark)
-    return settled.where(F.col("kind") == REPEAT).select("doc", "place", "more").unionByName(repeats)
+    # a turn sorts about as many bytes as the texts have, however much of them must be sorted; its shuffle files go before the next
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    turns = max(1, math.ceil(n * LENGTH / size))
+    found = settled.where(F.col("kind") == REPEAT).select("doc", "place", "more")
+    for turn in range(turns):
+        runs = _sorted_runs(docs.join(lists, ["doc", "crc"]), splitters, turn, turns)
+        repeats = written(runs.groupBy("part").applyInArrow(_merge_range, "doc long, place long"), "suffix-repeats")
+        found = found.unionByName(repeats.withColumn("more", F.lit(0)))
+        del runs
+        _release(spark)
+    return found
 
 
 def _keyed(docs: DataFrame, key: str) -> DataFrame:
