@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import mix64, table, whole_runs, written
 from .components import connected_components
+from .shingles import similar_sets
 
 SEED = 42
 
@@ -150,13 +151,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = 4, lane
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Components of documents whose five-word shingles have a similarity of about 0.8 or more.
+    """Components of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    256 bits (four lanes) in place of 64 tell the similarity well: sets of Jaccard similarity 0.8 differ in 39 bits on
-    average, of 0.7 in 49. Pairs within 42 bits link. Candidates share three bytes of a lane, which of such pairs
-    about four in five do at 0.8 and nearly all at 0.9.
+    Fingerprints can only estimate that, so the sets themselves are indexed and compared; no such pair is missed.
     """
-    return near_duplicates(docs, key, shingle=5, lanes=4, most=42, tuple_size=3)
+    return similar_sets(docs, key, 5)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
