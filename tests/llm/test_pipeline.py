@@ -35,3 +35,9 @@ def test_copies_without_id_and_empty_tables(spark):
     got = sorted(map(str, P.drop_near_duplicates(spark, docs, DATA).toPandas().doc_id.tolist()))
     assert got == ["1.0", "3.0", "nan"]
     assert P.drop_near_duplicates(spark, docs.where("false"), DATA).count() == 0
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    docs = spark.createDataFrame([(4, "a b c d e f g"), (5, "a b c d e f g"), (5, "h i j k l m n"), (5, "o p q r s t u"), (5, "o p q r s t u")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text[0]) for r in P.drop_near_duplicates(spark, docs, DATA).collect())
+    assert got == [(4, "a"), (5, "h"), (5, "o")]
