@@ -148,7 +148,7 @@ query("a8_append_events", """WITH RECURSIVE p AS (SELECT 'loan-' || l_orderkey A
   SELECT p.stream_id, p.ord, p.expected, CASE WHEN f.ok THEN greatest(f.head, 0) + 1 ELSE f.head END, p.expected = CASE WHEN f.ok THEN greatest(f.head, 0) + 1 ELSE f.head END FROM f JOIN p ON p.stream_id = f.stream_id AND p.ord = f.ord + 1)
  SELECT stream_id, ord, greatest(head, 0) + 1 AS stream_position FROM f WHERE ok""")(
     lambda s, d: S.append_events(proposals(s, d), _heads(s))[0].select("stream_id", "ord", "stream_position"))
-query("a9_admit_groups")(lambda s, d: S.admit_groups(proposals(s, d).withColumn("group_id", F.floor(F.regexp_extract("stream_id", r"(\d+)", 1).cast("long") / 3) * 8 + F.least("ord", F.lit(8))), _heads(s)))
+query("a9_admit_groups")(lambda s, d: S.admit_groups(proposals(s, d).withColumn("group_id", F.shiftleft(F.floor(F.regexp_extract("stream_id", r"(\d+)", 1).cast("long") / 3), 20) + F.col("ord")), _heads(s)))
 query("a10_assign_global_positions", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS global_position FROM orders")(
     lambda s, d: S.assign_global_positions(table(s, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], buckets=16).select("o_orderkey", F.col("global_position").cast("long").alias("global_position")))
 query("t1_streaming_projection", LOG + "SELECT stream_id, count(*) AS n, max(stream_position) AS version, arg_max(event_type, stream_position) AS last_type FROM log GROUP BY stream_id")(lambda s, d: _streamed(s, d))

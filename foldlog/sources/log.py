@@ -116,26 +116,34 @@ def append_events(proposals: DataFrame, heads: DataFrame) -> tuple[DataFrame, Da
     return accepted, out.where("not accepted").select("stream_id", F.col("expected_version").alias("expected"), "actual")
 
 
-def admit_groups(proposals: DataFrame, heads: DataFrame, group: str = "group_id", rounds: int = 20) -> DataFrame:
+def admit_groups(proposals: DataFrame, heads: DataFrame, group: str = "group_id") -> DataFrame:
     """All-or-nothing appends over several streams: group and accepted.
 
-    Each round takes the first waiting group of every stream. A group that is first on all its streams is decided: accepted if all its
-    proposals meet their heads, which then move on. At most rounds rounds; groups still waiting then come back undecided (null).
+    A group stands on a stream where its first proposal there does (of equal ord, the smaller group first); its own later ones
+    follow on the head that the first moved. Each round decides the groups that are first on all their streams: accepted
+    if every first proposal meets its head and the others follow; the heads then move on. Rounds go on until nothing
+    waits. Groups that wait for each other in a circle have no order: ValueError.
     """
-    waiting, now, done = proposals, heads, None
-    for _ in range(rounds):
-        first = F.min("ord").over(W.partitionBy("stream_id"))
-        ready = waiting.withColumn("first", F.col("ord") == first).groupBy(group).agg(F.bool_and("first").alias("ready")).where("ready").select(group)
+    own = W.partitionBy(group, "stream_id").orderBy("ord")
+    begin, k = F.first("expected_version").over(own), F.row_number().over(own)
+    follows = (k == 1) | (F.col("expected_version") == F.greatest(begin, F.lit(0)) + k - 1)
+    steps = proposals.select(group, "stream_id", "ord", begin.alias("expected"), F.coalesce(follows, F.lit(False)).alias("follows"))
+    waiting = steps.groupBy(group, "stream_id").agg(F.min("ord").alias("ord"), F.count("*").alias("n"), F.first("expected").alias("expected"), F.bool_and("follows").alias("follows")).checkpoint()
+    now, done = heads.select("stream_id", "version"), None
+    while not waiting.isEmpty():
+        place = F.struct("ord", group)
+        first = waiting.withColumn("first", place == F.min(place).over(W.partitionBy("stream_id")))
+        ready = first.groupBy(group).agg(F.bool_and("first").alias("ready")).where("ready").select(group)
         tried = waiting.join(ready, group).join(now, "stream_id", "left").withColumn("head", F.coalesce("version", F.lit(-1)))
-        verdict = tried.groupBy(group).agg(F.bool_and(F.col("expected_version") == F.col("head")).alias("accepted")).checkpoint()
+        meets = F.coalesce(F.col("follows") & (F.col("expected") == F.col("head")), F.lit(False))
+        verdict = tried.groupBy(group).agg(F.bool_and(meets).alias("accepted")).checkpoint()
         if verdict.isEmpty():
-            break
-        moved = tried.join(verdict.where("accepted"), group).select("stream_id", (F.greatest("head", F.lit(0)) + 1).alias("version"))
+            raise ValueError(f"{waiting.select(group).distinct().count()} groups wait for each other in a circle")
+        moved = tried.join(verdict.where("accepted"), group).select("stream_id", (F.greatest("head", F.lit(0)) + F.col("n")).alias("version"))
         now = now.unionByName(moved).groupBy("stream_id").agg(F.max("version").alias("version")).checkpoint()
         waiting = waiting.join(verdict, group, "left_anti").checkpoint()
         done = verdict if done is None else done.unionByName(verdict)
-    left = waiting.select(group).distinct().withColumn("accepted", F.lit(None).cast("boolean"))
-    return left if done is None else done.unionByName(left)
+    return waiting.select(group, F.lit(None).cast("boolean").alias("accepted")) if done is None else done
 
 
 def assign_global_positions(accepted: DataFrame, order: list[str], start: int = 0, buckets: int = 64) -> DataFrame:
