@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
-import time
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, table, whole_runs, written
+from .common import byte_slices, mix64, table, written
 
 LENGTH, GRAM = 100, 44
 _WINDOWS = LENGTH - GRAM + 1
-CHUNK, RUN_SUFFIXES, RANGE_SUFFIXES, SAMPLE_DOCS = 1 << 20, 200_000, 300_000, 5_000
+#: A suffix to sort is led by _LEAD bytes of its first n-gram's hash, so that ranges are even; up to _REACH bytes before it go along.
+_LEAD, _REACH = 8, _WINDOWS - 1
+_WIDTH = _LEAD + LENGTH
+CHUNK, FLUSH_RUNS, RUN_CONTEXTS, RANGE_CONTEXTS = 1 << 20, 500_000, 100_000, 200_000
+#: An n-gram that more windows' runs share than this, and more than one in HOT_SHARE, is sorted window by window: at most HOT_SHARE n-grams are.
+HOT_RUNS, HOT_SHARE = 20_000, 4096
 _BASE = 0x9E3779B97F4A7C15 | 1
 _VALUES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -56,11 +59,11 @@ def _sliding_least(x: np.ndarray) -> np.ndarray:
 
 
 def window_runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """lo, hi, gram, context of the runs of windows that share their least n-gram.
+    """lo, hi, gram, place of the n-gram, of the runs of windows that share their least n-gram.
 
     data: texts end to end, bounds: where they begin, and the end. Windows are LENGTH bytes within one text; those that
-    start at lo to hi have the same n-gram of the least hash. Equal windows have equal least n-grams, wherever they stand;
-    equal contexts (all bytes of a run's windows, and the n-gram's place) mean that all windows of two runs are equal.
+    start at lo to hi have the same n-gram of the least hash. Equal windows have equal least n-grams, wherever they stand,
+    and have them at the same place.
     """
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
@@ -89,8 +92,7 @@ def window_runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:] - 1, [len(s) - 1]])
     lo, hi, a = s[first], s[last], anchor[first]
-    context = mix64(hasher.of(lo, hi + LENGTH) + (a - lo).astype(np.uint64))
-    return lo, hi, own[a], context
+    return lo, hi, own[a], a
 
 
 def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -108,132 +110,135 @@ def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarra
             at = to
 
 
-def _runs_of_chunk(data, bounds, doc, crc) -> dict[str, np.ndarray]:
-    """The chunk's runs, with ask: those that other tasks must be asked about; resolved: those equal to an earlier one here."""
-    lo, hi, gram, context = window_runs(data, bounds)
-    own = np.searchsorted(bounds, lo, side="right") - 1
-    return {"gram": gram, "context": context, "doc": doc[own], "place": (crc[own] << 32) | (lo - bounds[own]), "more": hi - lo}
+#: A run's meta: windows after its first one, the n-gram's distance from lo, two marks, and how many runs of its task it stands for.
+_LEFT, _PASS, _SHARED, _TIMES = 6, 1 << 12, 1 << 13, 14
+_RUNS = "key long, doc long, place long, meta int"
 
 
-_KIND = "kind int, gram long, context long, doc long, place long, more int"
-ASK, REPEAT, SORT = 0, 1, 2
+def _listed_runs(docs: DataFrame) -> DataFrame:
+    """The runs of docs' windows: key (the n-gram's hash), doc, place (crc and lo) and meta.
 
-
-def _own_runs(docs: DataFrame, asked: bool) -> DataFrame:
-    """The runs of docs' windows: those to ask about (asked), or those settled where they were found.
-
-    A task groups its own runs first. Of equal contexts all but the earliest are repeats, whatever other tasks hold.
-    Of several contexts with one n-gram the earliest alone is asked about, and all are to be sorted. So a task sends one
-    row for an n-gram, however often it stands in its texts.
+    A task groups its own runs first: the first of those that share an n-gram asks for all of them, and the others are dealt
+    anywhere, as it is known already that they share it. So a task asks once for an n-gram, however often it stands in its texts.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def settle() -> pa.RecordBatch:
-            all_ = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+            gram, doc, place, meta = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            order = np.lexsort((all_["place"], all_["doc"], all_["context"], all_["gram"]))
-            all_ = {k: v[order] for k, v in all_.items()}
-            same_gram = np.concatenate([[False], all_["gram"][1:] == all_["gram"][:-1]])
-            same = np.concatenate([[False], all_["context"][1:] == all_["context"][:-1]]) & same_gram
-            gram_no = np.cumsum(~same_gram) - 1
-            contexts = np.bincount(gram_no[~same], minlength=gram_no[-1] + 1)
-            sort = ~same & (contexts[gram_no] > 1)
-            pick = ~same_gram if asked else same | sort
-            kind = np.where(same, REPEAT, SORT)[pick] if not asked else np.where(sort, SORT, ASK)[pick]
-            return pa.RecordBatch.from_arrays([
-                pa.array(kind.astype(np.int32)), pa.array(all_["gram"][pick].view(np.int64)), pa.array(all_["context"][pick].view(np.int64)),
-                pa.array(all_["doc"][pick]), pa.array(all_["place"][pick]), pa.array(all_["more"][pick].astype(np.int32))], names=["kind", "gram", "context", "doc", "place", "more"])
-
-        for chunk in _texts(it):
-            got = _runs_of_chunk(*chunk)
-            if len(got["gram"]):
-                held.append(got)
-            if sum(len(h["gram"]) for h in held) > 500_000:
+            order = np.argsort(gram, kind="stable")
+            gram, doc, place, meta = gram[order], doc[order], place[order], meta[order]
+            first = np.concatenate([[True], gram[1:] != gram[:-1]])
+            times = np.diff(np.append(np.flatnonzero(first), len(gram)))
+            meta[first] |= np.where(times > 1, _SHARED, 0) | np.minimum(times, (1 << 17) - 1) << _TIMES
+            meta[~first] |= _PASS
+            key = np.where(first, gram, mix64((doc * 31 + place).view(np.uint64)))
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(place), pa.array(meta.astype(np.int32))], names=["key", "doc", "place", "meta"])
+
+        for data, bounds, doc, crc in _texts(it):
+            lo, hi, gram, at = window_runs(data, bounds)
+            if len(lo):
+                own = np.searchsorted(bounds, lo, side="right") - 1
+                held.append((gram, doc[own], (crc[own] << 32) | (lo - bounds[own]), (hi - lo) | (at - lo) << _LEFT))
+            if sum(len(h[0]) for h in held) > FLUSH_RUNS:
                 yield settle()
         if held:
             yield settle()
 
-    return docs.select("doc", "crc", "text").mapInArrow(run, _KIND)
+    return docs.select("doc", "crc", "text").mapInArrow(run, _RUNS)
 
 
-def _compared(asked: DataFrame) -> DataFrame:
-    """Of the asked runs that share an n-gram with another task's: repeats, and those to sort."""
+def _shared_runs(listed: DataFrame, hot: int) -> DataFrame:
+    """Of listed runs those whose n-gram stands in another run, too; and a row (key, no doc) for each n-gram of more than hot runs."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, runs in whole_runs(it, "gram", 500_000):
-            if not len(runs):
+        names = ["key", "doc", "place", "meta"]
+        last: tuple[np.ndarray, ...] | None = None  # the row before, which may share the next one's key
+        total = 0
+
+        def judged(cols: tuple[np.ndarray, ...], held: bool, final: bool) -> pa.RecordBatch:
+            """All rows but the last one (unless final); held: the first row's group has total runs so far."""
+            nonlocal total
+            key, doc, place, meta = cols
+            ask = (meta & _PASS) == 0
+            pair = (key[1:] == key[:-1]) & ask[1:] & ask[:-1]
+            shared = np.concatenate([[False], pair]) | np.concatenate([pair, [False]]) | ~ask | ((meta & _SHARED) != 0)
+            shared[0] |= held
+            begin = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+            sums = np.add.reduceat(np.where(ask, meta >> _TIMES, 0).astype(np.int64), begin)
+            sums[0] += total
+            over = np.flatnonzero(sums[: len(begin) if final else -1] > hot)
+            end = len(key) if final else len(key) - 1
+            # the last row is judged with the next batch, and its group goes on there
+            total = int(sums[-1] - (0 if final or not ask[-1] else meta[-1] >> _TIMES))
+            pick = np.flatnonzero(shared[:end])
+            out = [np.concatenate([c[pick], x]) for c, x in ((key, key[begin[over]]), (doc, np.zeros(len(over), np.int64)), (place, np.zeros(len(over), np.int64)), (meta, np.full(len(over), -1, meta.dtype)))]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
+
+        held = False
+        for b in it:
+            if not b.num_rows:
                 continue
-            col = {c: t.column(c).to_numpy() for c in t.column_names}
-            size = runs[:, 1] - runs[:, 0]
-            rows = np.repeat(runs[:, 0] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            group = np.repeat(np.arange(len(runs)), size)
-            context = col["context"][rows]
-            same = np.concatenate([[False], (context[1:] == context[:-1]) & (group[1:] == group[:-1])])
-            several = (np.bincount(group[~same], minlength=len(runs)) > 1) | (np.bincount(group[col["kind"][rows] == SORT], minlength=len(runs)) > 0)
-            # what a task knew to be sorted it has listed itself
-            kind = np.where(same, REPEAT, np.where(several[group] & (col["kind"][rows] == ASK), SORT, ASK)).astype(np.int32)
-            pick = kind != ASK
-            yield pa.RecordBatch.from_arrays([pa.array(kind[pick]), *(pa.array(col[c][rows][pick]) for c in ("gram", "context", "doc", "place", "more"))], names=["kind", "gram", "context", "doc", "place", "more"])
-
-    dealt = asked.repartition("gram").sortWithinPartitions("gram", "context", "doc", "place")
-    return dealt.mapInArrow(run, _KIND)
-
-
-def _splitters(docs: DataFrame, ranges: int) -> np.ndarray:
-    """ranges - 1 suffix prefixes that part the suffixes evenly, from four places of each of about SAMPLE_DOCS texts (balance only)."""
-    n = docs.count()
-    some = docs.select("text").sample(min(1.0, SAMPLE_DOCS / max(n, 1)), seed=3).where(F.octet_length("text") >= LENGTH)
-    at = [F.substring("text", F.floor((F.octet_length("text") - 16) * x / 4).cast("int") + 1, F.lit(12)) for x in range(4)]
-    got = sorted(bytes(r[0]) for r in some.select(F.explode(F.array(*at))).collect())
-    return np.array([got[len(got) * i // ranges] for i in range(1, ranges)] if got else [], dtype=f"S{LENGTH}")
+            cols = tuple(b.column(c).to_numpy() for c in names)
+            if last is not None:
+                cols = tuple(np.concatenate([x, y]) for x, y in zip(last, cols, strict=True))
+            yield judged(cols, held, False)
+            key, ask = cols[0], (cols[3] & _PASS) == 0
+            # whether the last row shares its n-gram with one that has been passed on
+            held = len(key) > 1 and bool(key[-1] == key[-2] and ask[-1] and ask[-2]) or (len(key) == 1 and held)
+            last = tuple(c[-1:] for c in cols)
+        if last is not None:
+            yield judged(last, held, True)
+
+    return listed.repartition("key").sortWithinPartitions("key", F.col("meta").bitwiseAND(_PASS)).mapInArrow(run, _RUNS)
 
 
 def front_coded(rows: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Of sorted rows of LENGTH bytes: how many bytes each shares with the row before, and the bytes that it doesn't share."""
-    equal = np.ones((len(rows), LENGTH + 1), bool)
-    equal[0, 0], equal[:, LENGTH] = False, False
-    equal[1:, :LENGTH] = rows[1:] == rows[:-1]
+    """Of sorted rows of bytes of one width: how many bytes each shares with the row before, and the bytes that it doesn't share."""
+    width = rows.shape[1]
+    equal = np.ones((len(rows), width + 1), bool)
+    equal[0, 0], equal[:, width] = False, False
+    equal[1:, :width] = rows[1:] == rows[:-1]
     shared = equal.argmin(axis=1).astype(np.uint8)
-    return shared, rows[np.arange(LENGTH) >= shared[:, None]].tobytes()
+    return shared, rows[np.arange(width) >= shared[:, None]].tobytes()
 
 
-def merge_runs(runs: list[tuple[bytes, bytes, list[int], list[int]]]) -> Iterator[tuple[int, int]]:
-    """Document and place of each suffix that equals one before it, from front-coded sorted runs, by a loser tree.
+def merge_runs(runs: list[tuple[bytes, bytes]], width: int = _WIDTH) -> Iterator[tuple[int, int]]:
+    """In sorted order, the run that each suffix comes from and how many bytes it shares with the suffix before, from
+    front-coded sorted runs, by a loser tree.
 
     The tree keeps, with each run's head, how much of it is known to agree with the last suffix put out. Of two heads the one
     that agrees further comes first; only where both agree as far are bytes compared, and only from there on.
     """
     k = 1 << max(0, (len(runs) - 1).bit_length())
     head: list[bytes] = [b""] * k
-    doc, place, known = [0] * k, [0] * k, [-1] * k  # -1: the run is over
+    known = [-1] * k  # -1: the run is over
 
-    def reader(i: int):
-        shared, rest, docs, places = runs[i]
+    def reader(i: int) -> Iterator[int]:
+        shared, rest = runs[i]
         at, now = 0, b""
-        for n, d, p in zip(shared, docs, places, strict=True):
-            to = at + LENGTH - n
+        for n in shared:
+            to = at + width - n
             now = now[:n] + rest[at:to]
             at = to
-            head[i], doc[i], place[i] = now, d, p
+            head[i] = now
             yield n
 
     feeds = [reader(i) for i in range(len(runs))]
     for i, f in enumerate(feeds):
-        known[i] = next(f, -1)
-        known[i] = 0 if known[i] >= 0 else -1
+        known[i] = min(next(f, -1), 0)
 
     def before(a: int, b: int) -> bool:
         """Whether a's head comes before b's, which agree with the last suffix equally far; sets what is known of the later one."""
         n = known[a]
         x, y = head[a], head[b]
         if x == y:
-            first = (doc[a], place[a]) <= (doc[b], place[b])
-            known[b if first else a] = LENGTH
-            return first
+            known[b] = width
+            return True
         gap = int.from_bytes(x[n:], "big") ^ int.from_bytes(y[n:], "big")
-        same = LENGTH - (gap.bit_length() + 7) // 8
+        same = width - (gap.bit_length() + 7) // 8
         first = x[same] < y[same]
         known[b if first else a] = same
         return first
@@ -255,8 +260,7 @@ def merge_runs(runs: list[tuple[bytes, bytes, list[int], list[int]]]) -> Iterato
 
     now = play(1)
     while known[now] >= 0:
-        if known[now] == LENGTH:
-            yield doc[now], place[now]
+        yield now, known[now]
         known[now] = next(feeds[now], -1)
         node = (now + k) >> 1
         while node:
@@ -267,99 +271,172 @@ def merge_runs(runs: list[tuple[bytes, bytes, list[int], list[int]]]) -> Iterato
             node >>= 1
 
 
-def _sorted_runs(work: DataFrame, splitters: np.ndarray, turn: int, turns: int) -> DataFrame:
-    """part, shared, rest, docs, places: front-coded sorted runs of the windows to sort, a row for each range of suffixes.
+def _hash_rows(rows: np.ndarray) -> np.ndarray:
+    """The hash of each row of bytes, as _Hasher has it."""
+    out = np.zeros(len(rows), np.uint64)
+    for j in reversed(range(rows.shape[1])):
+        out = out * np.uint64(_BASE) + _VALUES[rows[:, j]]
+    return mix64(out)
+
+
+def contexts(text: np.ndarray, lo: np.ndarray, more: np.ndarray, left: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Suffixes (a row of _WIDTH bytes: a hash of the leading n-gram, and the text from it on), the bytes before each (backwards,
+    _REACH of them), lo, more, left. Bytes that are in no window of the run are 0.
+
+    Runs whose n-gram's hash is in hot come apart into windows: such a suffix is led by the hash of its whole window.
+    """
+    padded = np.concatenate([np.zeros(_REACH, np.uint8), text, np.zeros(LENGTH, np.uint8)])
+    view = np.lib.stride_tricks.sliding_window_view(padded, _REACH + LENGTH)
+    lead = _hash_rows(view[lo + left][:, _REACH : _REACH + GRAM])
+    if len(hot):
+        own = np.isin(lead & ~np.uint64(255), hot)
+        if own.any():
+            each = np.repeat(lo[own] - np.cumsum(more[own] + 1) + more[own] + 1, more[own] + 1) + np.arange((more[own] + 1).sum())
+            zero = np.zeros(len(each), np.int64)
+            lead = np.concatenate([lead[~own], _hash_rows(view[each][:, _REACH:])])
+            lo, more, left = np.concatenate([lo[~own], each]), np.concatenate([more[~own], zero]), np.concatenate([left[~own], zero])
+    # least n-grams have low hashes: mixed again they fall evenly into ranges
+    lead = mix64(lead + np.uint64(1))
+    m = view[lo + left]
+    at = np.arange(_REACH + LENGTH)
+    m[(at < (_REACH - left)[:, None]) | (at >= (_REACH + more + LENGTH - left)[:, None])] = 0
+    suffix = np.concatenate([lead.astype(">u8").view(np.uint8).reshape(-1, _LEAD), m[:, _REACH:]], axis=1)
+    return suffix, m[:, :_REACH][:, ::-1], lo, more, left
+
+
+_PARTS = "part int, shared binary, rest binary, before binary, docs binary, places binary, metas binary"
+
 
-    Every turns-th range, from number turn on, takes part.
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 3)
 
-    Windows that equal another of the same run are repeats already; the run holds the earliest, and the others go
-    along as a row without bytes. So a passage that stands in a third of all texts is one suffix a run.
+
+def _sorted_runs(work: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
+    """Front-coded sorted runs of suffixes, a row for each range of their hashes.
+
+    Of contexts that are equal within a run the earliest stands for all; the others are repeats already, and go along as a row without
+    bytes. So a passage that stands in a third of all texts is one suffix a run.
     """
+    step = -(-(1 << 32) // parts)
+    step_runs = RUN_CONTEXTS // (4 * _WINDOWS if len(hot) else 4)  # a hot run comes apart into up to _WINDOWS
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, docs, places, held = [], [], [], 0
+        held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
-            m, doc, place = np.concatenate(rows), np.concatenate(docs), np.concatenate(places)
-            rows.clear(), docs.clear(), places.clear()
-            key = m.view(f"S{LENGTH}").ravel()
+            suffix, before, doc, place, more, left = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            whole = np.concatenate([suffix, before, more[:, None].astype(np.uint8), left[:, None].astype(np.uint8)], axis=1)
             order = np.lexsort((place, doc))
-            order = order[np.argsort(key[order], kind="stable")]
-            m, doc, place = m[order], doc[order], place[order]
-            again = np.concatenate([[False], (m[1:] == m[:-1]).all(axis=1)])
-            out = {"part": [], "shared": [], "rest": [], "docs": [], "places": []}
-            if again.any():
+            order = order[np.argsort(whole[order].view(f"S{whole.shape[1]}").ravel(), kind="stable")]
+            whole, doc, place, meta = whole[order], doc[order], place[order], (more | left << _LEFT)[order].astype(np.int32)
+            again = np.concatenate([[False], (whole[1:] == whole[:-1]).all(axis=1)])
+            head = np.maximum.accumulate(np.where(again, 0, np.arange(len(again))))
+            found = again & ((doc != doc[head]) | (place != place[head]))  # a row that stands twice is no repeat of itself
+            out: list[tuple] = []
+            if found.any():
                 # any part will do: these are only passed on
-                out["part"].append(int(place[0]) % (len(splitters) + 1))
-                out["shared"].append(b"")
-                out["rest"].append(b"")
-                out["docs"].append(doc[again])
-                out["places"].append(place[again])
-            m, doc, place = m[~again], doc[~again], place[~again]
-            cuts = [0, *np.searchsorted(m.view(f"S{LENGTH}").ravel(), splitters).tolist(), len(m)]
-            for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if hi > lo:
-                    shared, rest = front_coded(m[lo:hi])
-                    out["part"].append(i)
-                    out["shared"].append(shared.tobytes())
-                    out["rest"].append(zlib.compress(rest, 1))
-                    out["docs"].append(doc[lo:hi])
-                    out["places"].append(place[lo:hi])
-            return pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), pa.array(out["shared"], pa.binary()), pa.array(out["rest"], pa.binary()), pa.array(out["docs"], pa.list_(pa.int64())), pa.array(out["places"], pa.list_(pa.int64()))], names=list(out))
-
-        for batch in it:
+                out.append((int(place[0]) % parts, b"", b"", b"", _packed(doc[found]), _packed(place[found]), _packed(meta[found])))
+            whole, doc, place, meta = whole[~again], doc[~again], place[~again], meta[~again]
+            part = whole[:, :4].copy().view(">u4").ravel().astype(np.int64) // step
+            cuts = np.searchsorted(part, np.arange(parts + 1))
+            for i in np.flatnonzero(np.diff(cuts)).tolist():
+                lo, hi = cuts[i], cuts[i + 1]
+                shared, rest = front_coded(whole[lo:hi, :_WIDTH])
+                out.append((i, shared.tobytes(), zstandard.compress(rest, 3), _packed(whole[lo:hi, _WIDTH : _WIDTH + _REACH]), _packed(doc[lo:hi]), _packed(place[lo:hi]), _packed(meta[lo:hi])))
+            types = [pa.int32(), *[pa.binary()] * 6]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["part", "shared", "rest", "before", "docs", "places", "metas"])
+
+        size = 0
+        for batch, texts in _inflated(it):
             for i in range(batch.num_rows):
-                text = np.frombuffer(batch.column("text")[i].as_buffer(), np.uint8)
-                runs = batch.column("runs")[i].values
-                lo, more = (runs.field(c).to_numpy() for c in ("place", "more"))
-                base, lo = lo & ~0xFFFFFFFF, lo & 0xFFFFFFFF
-                s = np.repeat(lo - np.concatenate([[0], np.cumsum(more + 1)[:-1]]), more + 1) + np.arange((more + 1).sum())
-                for k in range(0, len(s), RUN_SUFFIXES):
-                    own = s[k : k + RUN_SUFFIXES]
-                    m = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[own]
-                    if turns > 1:
-                        mine = np.searchsorted(splitters, m.view(f"S{LENGTH}").ravel(), side="right") % turns == turn
-                        m, own = m[mine], own[mine]
-                    rows.append(m)
-                    docs.append(np.full(len(own), batch.column("doc")[i].as_py(), np.int64))
-                    places.append(base[0] | own)
-                    held += len(own)
-                    if held >= RUN_SUFFIXES:
+                text = np.frombuffer(texts[i], np.uint8)
+                runs, doc = batch.column("runs")[i].values, batch.column("doc")[i].as_py()
+                place, meta = (runs.field(c).to_numpy() for c in ("place", "meta"))
+                crc = int(place[0]) & ~0xFFFFFFFF
+                for k in range(0, len(place), step_runs):
+                    own = slice(k, k + step_runs)
+                    n = meta[own].astype(np.int64)
+                    suffix, before, lo, more, left = contexts(text, place[own] & 0xFFFFFFFF, n & 63, (n >> _LEFT) & 63, hot)
+                    held.append((suffix, before, np.full(len(lo), doc, np.int64), crc | lo, more, left))
+                    size += len(lo)
+                    if size >= RUN_CONTEXTS:
                         yield flush()
-                        held = 0
+                        size = 0
         if held:
             yield flush()
 
-    return work.select("doc", "text", "runs").mapInArrow(run, "part int, shared binary, rest binary, docs array<long>, places array<long>")
+    return work.select("doc", "text", "runs").mapInArrow(run, _PARTS)
 
 
-def _merge_range(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    runs, done = [], []
+def repeated_offsets(shared: np.ndarray, before: np.ndarray, doc: np.ndarray, place: np.ndarray, more: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Which windows of sorted contexts also start earlier: a row each, a column for each distance of the n-gram from the window's start.
+
+    shared: how many bytes a suffix shares with the one before. Two windows are equal where the n-gram has the same distance d in
+    both, the suffixes share LENGTH - d bytes, and the d bytes before agree. Both are read from sorted orders: neighbours
+    between which no smaller number stands agree that far.
+    """
+    k = len(shared)
+    rank = np.lexsort((place, doc))
+    by = np.argsort(np.ascontiguousarray(before).view(f"S{_REACH}").ravel(), kind="stable")
+    rows = before[by]
+    equal = np.zeros((k, _REACH + 1), bool)
+    equal[1:, :_REACH] = rows[1:] == rows[:-1]
+    agree = equal.argmin(axis=1)
+    agree[0] = -1
+    out = np.zeros((k, _WINDOWS), bool)
+    behind = np.empty(k, np.int64)
+    for d in range(_WINDOWS):
+        on = rank[((left - more <= d) & (left >= d))[rank]]  # in order of documents and places
+        if len(on) < 2:
+            continue
+        behind[by] = np.cumsum(agree < d)
+        key = np.cumsum(shared < _WIDTH - d)[on] * (k + 1) + behind[on]
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        one = on[first[which]]
+        out[on, d] = (doc[on] != doc[one]) | (place[on] + left[on] != place[one] + left[one])
+    return out
+
+
+_FOUND = "doc long, place long, more int"
+
+
+def _merge_range(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    runs, columns = [], []
+
+    def rows(doc: np.ndarray, place: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), pa.array(more.astype(np.int32))], names=["doc", "place", "more"])
+
     for b in batches:
-        for shared, rest, docs, places in zip(*(b.column(c) for c in ("shared", "rest", "docs", "places")), strict=True):
-            if not len(shared.as_buffer()):
-                done.append((docs.values, places.values))
-            else:
-                runs.append((shared.as_py(), zlib.decompress(rest.as_py()), docs.values.to_pylist(), places.values.to_pylist()))
-    names = ["doc", "place"]
-    for d, p in done:
-        yield pa.RecordBatch.from_arrays([d, p], names=names)
-    found: list[tuple[int, int]] = []
-    for x in merge_runs(runs) if runs else ():
-        found.append(x)
-        if len(found) == 100_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=names)
-            found = []
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=names)
-
-
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of jobs whose results are written: it does so when the driver collects its garbage."""
-    for _ in range(2):  # what the first round frees may hold what the second one finds
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
+        for r in b.to_pylist():
+            doc, place = (np.frombuffer(zstandard.decompress(r[c]), np.int64) for c in ("docs", "places"))
+            meta = np.frombuffer(zstandard.decompress(r["metas"]), np.int32).astype(np.int64)
+            if not r["shared"]:
+                yield rows(doc, place, meta & 63)
+                continue
+            runs.append((r["shared"], zstandard.decompress(r["rest"])))
+            columns.append((doc, place, meta, np.frombuffer(zstandard.decompress(r["before"]), np.uint8).reshape(-1, _REACH)))
+    if not runs:
+        return
+    doc, place, meta, before = (np.concatenate(c) for c in zip(*columns, strict=True))
+    next_ = np.cumsum([0, *(len(r[0]) for r in runs)])[:-1].tolist()
+    order, shared = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
+    for i, (run, n) in enumerate(merge_runs(runs)):
+        order[i], shared[i] = next_[run], n
+        next_[run] += 1
+    # a suffix that shares no n-gram with a neighbour has no equal windows
+    near = shared >= _LEAD + GRAM
+    some = near | np.append(near[1:], False)
+    order, shared = order[some], shared[some]
+    if not len(order):
+        return
+    doc, place, meta, before = doc[order], place[order], meta[order], before[order]
+    more, left = meta & 63, (meta >> _LEFT) & 63
+    hit = np.zeros((len(doc), _WINDOWS + 2), bool)
+    hit[:, 1:-1] = repeated_offsets(shared, before, doc, place, more, left)
+    row, least = np.nonzero(hit[:, 1:-1] & ~hit[:, :-2])
+    _, most = np.nonzero(hit[:, 1:-1] & ~hit[:, 2:])
+    yield rows(doc[row], place[row] + left[row] - most, most - least)
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -367,38 +444,55 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
     docs: doc (long), crc (of the text) and text (binary). Written steps:
     1. Windows are grouped by their least n-gram (a function of the window's bytes alone), in runs of 29 on average. A run whose
-       n-gram stands nowhere else has no repeat; a run whose whole context stands earlier is all repeats.
-    2. The windows of the others are suffixes to sort: each task sorts its own, front-codes them and deals them by range.
-    3. A task merges the runs of its range; a suffix that agrees with the one before in all LENGTH bytes is a repeat.
+       n-gram stands nowhere else has no repeat.
+    2. The others' suffixes, from the n-gram on, are sorted with the bytes before them: each task sorts its own, front-codes
+       them and deals them by range. A task merges the runs of its range; what neighbours share tells which windows are equal.
+    Windows count as equal only where all their bytes have been compared; hashes choose what is compared, and its order.
     """
     spark = docs.sparkSession
-    settled = _own_runs(docs, False).unionByName(_compared(_own_runs(docs, True))).drop("gram", "context")
-    settled = written(settled, "suffix-runs")
-    _release(spark)
-    sort = settled.where(F.col("kind") == SORT)
-    n = sort.agg(F.sum(F.col("more") + 1)).first()[0] or 0
-    splitters = _splitters(docs, max(1, math.ceil(n / RANGE_SUFFIXES)))
-    lists = sort.groupBy("doc", F.shiftright("place", 32).alias("crc")).agg(F.array_sort(F.collect_list(F.struct("place", "more"))).alias("runs"))
-    # a turn sorts about as many bytes as the texts have, however much of them must be sorted; its shuffle files go before the next
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1
-    turns = max(1, math.ceil(n * LENGTH / size))
-    found = settled.where(F.col("kind") == REPEAT).select("doc", "place", "more")
-    for turn in range(turns):
-        runs = _sorted_runs(docs.join(lists, ["doc", "crc"]), splitters, turn, turns)
-        repeats = written(runs.groupBy("part").applyInArrow(_merge_range, "doc long, place long"), "suffix-repeats")
-        found = found.unionByName(repeats.withColumn("more", F.lit(0)))
-        del runs
-        _release(spark)
-    return found
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    hot = max(HOT_RUNS, size // (_WINDOWS // 2) // HOT_SHARE)
+    runs = written(_shared_runs(_listed_runs(docs), hot), "suffix-runs")
+    # at most HOT_SHARE rows, but for roundings
+    keys = [r[0] for r in runs.where("meta = -1").select("key").distinct().collect()]
+    runs = runs.where("meta != -1").select("doc", F.shiftright("place", 32).alias("crc"), "place", F.col("meta").bitwiseAND(_PASS - 1).alias("meta"))
+    parts = max(1, math.ceil(runs.count() / RANGE_CONTEXTS))
+    lists = runs.groupBy("doc", "crc").agg(F.collect_set(F.struct("place", "meta")).alias("runs"))
+    front = _sorted_runs(_deflated(docs).join(lists, ["doc", "crc"]), parts, np.array(keys, np.int64).view(np.uint64))
+    return written(front.groupBy("part").applyInArrow(_merge_range, _FOUND), "suffix-repeats")
 
 
 def _keyed(docs: DataFrame, key: str) -> DataFrame:
+    """doc, crc, null (whether the text is), text (bytes), and own: the other columns, so that their names can't clash."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.withColumn("doc", F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))).withColumn("crc", F.shiftright(F.crc32(text), 1)).withColumn("text", text)
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(
+        F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.shiftright(F.crc32(text), 1).alias("crc"),
+        F.col("text").isNull().alias("null"), F.struct(*others).alias("own"), text.alias("text"))
+
+
+def _deflated(docs: DataFrame) -> DataFrame:
+    """docs with each text compressed, for the shuffle."""
+    at = docs.columns.index("text")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for part in byte_slices(it, "text"):
+            yield part.set_column(at, "text", pa.array([pack(t.as_buffer()) for t in part.column("text")], pa.binary()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _inflated(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    for batch in it:
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
+            unpack = zstandard.ZstdDecompressor().decompress
+            yield part, [unpack(t.as_buffer()) for t in part.column("text")]
 
 
 def repeat_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with the text as bytes (null: empty) and spans, the stretches (lo, hi) that repeats cover, not merged; null if none.
+    """_keyed's columns, the text compressed, and spans: the stretches (lo, hi) that repeats cover, not merged; null if none.
 
     A null key comes last. Rows of one key and different texts are ordered by their texts' checksums; equal rows don't
     count as earlier than each other.
@@ -407,12 +501,12 @@ def repeat_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     found = repeated_windows(keyed.select("doc", "crc", "text"))
     at = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
     spans = found.groupBy("doc", F.shiftright("place", 32).alias("crc")).agg(F.collect_list(F.struct(at.alias("lo"), (at + F.col("more") + LENGTH).alias("hi"))).alias("spans"))
-    return keyed.join(spans, ["doc", "crc"], "left").drop("doc", "crc")
+    return _deflated(keyed).join(spans, ["doc", "crc"], "left")
 
 
-def merged_spans(spans) -> np.ndarray:
+def merged_spans(spans: pa.Scalar) -> np.ndarray:
     """Maximal covered stretches, as rows lo, hi."""
-    if spans is None:
+    if not spans.is_valid:
         return np.zeros((0, 2), np.int64)
     lo, hi = (spans.values.field(c).to_numpy() for c in ("lo", "hi"))
     order = np.argsort(lo, kind="stable")
@@ -432,46 +526,47 @@ def _kept(text: bytes, spans: np.ndarray) -> bytes:
 def without_repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs with all repeats taken out of the text; a character that a repeat covers only in part stays.
 
-    n_chars, where docs has it, is counted anew. A null text stays null.
+    n_chars, where docs has it, is counted anew. A null text stays null, an empty table empty; other columns may have any names.
     """
     names, schema = docs.columns, docs.schema
-    rows = repeat_spans(docs.withColumn("_null", F.col("text").isNull()), key).select(*names, "_null", "spans")
+    rows = repeat_spans(docs, key).select("own", "null", "text", "spans")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b, texts in _inflated(it):
             out = []
-            for raw, spans, null in zip(b.column("text"), b.column("spans"), b.column("_null"), strict=True):
-                text = raw.as_py()
-                cut = merged_spans(spans if spans.is_valid else None)
+            for text, spans, null in zip(texts, b.column("spans"), b.column("null"), strict=True):
+                cut = merged_spans(spans)
                 for i in range(len(cut)):  # to whole characters: a byte 10xxxxxx goes on with one
                     while cut[i, 0] < cut[i, 1] and cut[i, 0] < len(text) and text[cut[i, 0]] & 0xC0 == 0x80:
                         cut[i, 0] += 1
                     while cut[i, 1] > cut[i, 0] and cut[i, 1] < len(text) and text[cut[i, 1]] & 0xC0 == 0x80:
                         cut[i, 1] -= 1
                 out.append(None if null.as_py() else _kept(text, cut).decode("utf-8"))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
+            own = b.column("own")
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else own.field(c) for c in names], names=names)
 
     out = rows.mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
 def repeat_digest(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, n_bytes, n_removed, n_spans and kept_sha256 of each document."""
-    rows = repeat_spans(docs.select(key, "text"), key).select(key, "text", "spans")
+    """key, n_bytes, n_removed, n_spans and kept_sha256 of each document; null and empty texts have 0 bytes."""
+    rows = repeat_spans(docs.select(key, "text"), key).select("own", "text", "spans")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b, texts in _inflated(it):
             n, removed, count, sha = [], [], [], []
-            for raw, spans in zip(b.column("text"), b.column("spans"), strict=True):
-                text, cut = raw.as_py(), merged_spans(spans if spans.is_valid else None)
+            for text, spans in zip(texts, b.column("spans"), strict=True):
+                cut = merged_spans(spans)
                 n.append(len(text))
                 removed.append(int((cut[:, 1] - cut[:, 0]).sum()))
                 count.append(len(cut))
                 sha.append(hashlib.sha256(_kept(text, cut)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha)], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("own").field(key), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha)], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return rows.mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents; see repeat_spans for null ids, repeated rows and texts that share an id."""
     return repeat_digest(table(spark, sf_dir, "documents"))

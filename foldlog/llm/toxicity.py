@@ -1,28 +1,29 @@
-"""Toxicity by two Kneser-Ney letter models, of toxic and of ordinary labelled texts, with shared backoff counts."""
+"""Toxicity by two Kneser-Ney models of words as letter sequences, of toxic and of ordinary labelled texts, with shared backoff counts."""
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import by_length, held_out, letter_codes, mix64, table
+from .common import byte_slices, free_name, held_out, table, written
 
-#: Letters are counted in hashed slots, so a model's size is fixed whatever the corpus.
-SLOTS, PIECE = 1 << 20, 32
-#: Orders that are counted for all documents together, and those that each class counts over them.
-SHARED, OWN = range(1, 5), range(3, 9)
-DISCOUNTS = np.array([0, 1, 2, 3])  # of counts 0, 1, 2 and more: what one text or two use once is left to the backoff
-WINDOW, CALIBRATION_ROWS, THRESHOLD, SLICE = 2, 50_000, 0.3, 4096
-#: name: (dtype, how the parts of two tasks merge). n: how often an expression stands; f: which letters follow it, as 32 hashed bits.
-_TABLES = {f"{k}_{c}": v for c in ("toxic", "plain", "shared") for k, v in {"n": (np.int32, np.add), "f": (np.uint32, np.bitwise_or)}.items()}
-_CHUNK = 1 << 15
+#: Longer words are cut into pieces of PIECE letters. A part of the sorted word list has about PART_WORDS of them.
+PIECE, PART_WORDS = 32, 200_000
+#: Up to so many distinct words (12 bytes each: 48 MB) their ratios go to every task; beyond that they are joined to the words of texts.
+BROADCAST_WORDS = 4_000_000
+#: Discounts: of a shared count, and the most of a class's count, so that what one text or two use once is left to the backoff.
+SHARED_DISCOUNT, CLASS_DISCOUNT, UNIFORM = 0.75, 3, 1 / 64
+WINDOW, CALIBRATION_ROWS, THRESHOLD = 2, 50_000, 0.3
+SHARED, TOXIC, PLAIN = range(3)
+_END = 3
 
 
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -34,117 +35,166 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
 
 
-def expressions(words: list[str], orders: range) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For words of one length and each of orders: the first place, and for each word and place from there on the slot of the
-    letters up to it, the slot of those before its last one, and that one's bit. Words stand between two marks."""
-    codes, length = letter_codes(words), len(words[0])
-    bits = np.uint32(1) << (codes >> np.uint64(59)).astype(np.uint32)
-    gram = np.zeros_like(codes)
-    for k in range(min(orders.stop - 1, length + 2)):
-        before = gram[:, :-1].copy()  # the k letters before each place but the first
-        gram[:, k:] += codes[:, : codes.shape[1] - k] * np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64))
-        if k + 1 in orders:
-            lo = max(k, 1)
-            salt = np.uint64((k + 1) * 0xD1B54A32D192ED03 % (1 << 64))
-            slot = mix64(gram[:, lo:] + salt) % np.uint64(SLOTS)
-            context = mix64(before[:, lo - 1 :] + salt + np.uint64(1)) % np.uint64(SLOTS)
-            yield lo, slot.astype(np.int64), context.astype(np.int64), bits[:, lo:]
-
-
-def _add(held: dict[str, np.ndarray], kind: str, words: list[str], times: np.ndarray, orders: range) -> None:
-    slots, weights, keys = [], [], []
-    for at, own in by_length(words):
-        for _, slot, context, bit in expressions(own, orders):
-            w = np.repeat(times[at], slot.shape[1])
-            slots += [slot.ravel(), context.ravel()]
-            weights += [w, w]
-            keys.append(np.unique((context.ravel() << 32) | bit.ravel()))
-    if slots:
-        held[f"n_{kind}"] += np.bincount(np.concatenate(slots), np.concatenate(weights), SLOTS).astype(np.int32)
-        key = np.unique(np.concatenate(keys))
-        np.bitwise_or.at(held[f"f_{kind}"], key >> 32, (key & 0xFFFFFFFF).astype(np.uint32))
-
-
-def _counts(rows: DataFrame, labelled: bool) -> DataFrame:
-    """Each task's tables in chunks: kind, chunk, part. rows has text, and label where labelled."""
+def word_counts(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """word, n_toxic, n_plain of every distinct word of docs (text) and labelled (text, label): in how many texts of each class it stands.
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = ("plain", "toxic") if labelled else ("shared",)
-        held = {f"{x}_{k}": np.zeros(SLOTS, _TABLES[f"{x}_{k}"][0]) for k in kinds for x in "nf"}
-        for part in _slices(it):
+    A task lists the distinct words of a few megabytes of text at a time; Spark adds them up before and after the shuffle.
+    """
+
+    def listed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in byte_slices(it, "text"):
+            words, _, _ = words_of(part.column("text"))
+            zero = pa.array(np.zeros(len(words), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), zero, zero], names=["word", "n_toxic", "n_plain"])
+
+    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in byte_slices(it, "text"):
             words, codes, starts = words_of(part.column("text"))
-            if not labelled:
-                # as Kneser and Ney count: in how many different words, not how often
-                _add(held, "shared", words, np.ones(len(words)), SHARED)
-                continue
             row = np.repeat(np.arange(part.num_rows), np.diff(starts))
             label = np.asarray(part.column("label").to_pylist())
             seen = np.unique(row * len(words) + codes)  # a text counts a word once
-            for c, kind in enumerate(kinds):
-                times = np.bincount(seen[label[seen // max(len(words), 1)] == c] % max(len(words), 1), minlength=len(words))
-                own = np.flatnonzero(times)
-                _add(held, kind, [words[i] for i in own], times[own].astype(np.float64), OWN)
-        for k, v in held.items():
-            for i in range(0, SLOTS, _CHUNK):
-                if v[i : i + _CHUNK].any():
-                    yield pa.RecordBatch.from_pydict({"kind": [k], "chunk": pa.array([i], pa.int32()), "part": pa.array([zlib.compress(v[i : i + _CHUNK].tobytes(), 1)], pa.binary())})
-
-    return rows.mapInArrow(run, "kind string, chunk int, part binary")
-
-
-def _slices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        for lo in range(0, batch.num_rows, SLICE):
-            yield batch.slice(lo, SLICE)
+            at, of = seen % len(words), label[seen // len(words)]
+            times = [pa.array(np.bincount(at[of == c], minlength=len(words)).astype(np.int64)) for c in (1, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *times], names=["word", "n_toxic", "n_plain"])
+
+    ddl = "word string, n_toxic long, n_plain long"
+    both = docs.select("text").mapInArrow(listed, ddl).unionByName(labelled.select("text", "label").mapInArrow(counted, ddl))
+    return both.where("word != ''").groupBy("word").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_plain").alias("n_plain"))
+
+
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """What is taken off each count (rows: shared, toxic, plain) and left to the backoff."""
+    off = np.minimum(counts, CLASS_DISCOUNT).astype(np.float64)
+    off[SHARED] = SHARED_DISCOUNT * (counts[SHARED] > 0)
+    return off
+
+
+class _Level:
+    """The expressions of one length: contexts (the first letters of words), what follows each, and their counts by kind."""
+
+    def __init__(self, active: np.ndarray, start: np.ndarray, letter: np.ndarray, counts: np.ndarray):
+        self.active = active
+        self.child_start = start.copy()
+        self.child_start[1:] |= letter[1:] != letter[:-1]
+        self.child = np.cumsum(self.child_start) - 1  # of each active word
+        at = np.flatnonzero(self.child_start)
+        self.child_counts = np.add.reduceat(counts[:, active], at, axis=1)
+        self.parent = (np.cumsum(start) - 1)[at]  # of each child
+        self._first = np.flatnonzero(np.concatenate([[True], self.parent[1:] != self.parent[:-1]]))
+        self.parent_counts = np.add.reduceat(self.child_counts, self._first, axis=1)
+
+    def mass(self, without: tuple[int, ...] = ()) -> np.ndarray:
+        """The discounted mass of each context, leaving out some children."""
+        off = discounts(self.child_counts)
+        for i in without:
+            off[:, i] = 0
+        return np.add.reduceat(off, self._first, axis=1)
+
+
+def levels(words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, Iterator[_Level]]:
+    """Letters (with an end mark) and lengths of some sorted words, and their expressions by length."""
+    flat = np.array(words, dtype=f"U{PIECE}")
+    codes = np.zeros((len(words), PIECE + 1), np.uint32)
+    codes[:, :PIECE] = flat.view(np.uint32).reshape(len(words), PIECE)
+    length = (codes != 0).sum(axis=1)
+    codes[np.arange(len(words)), length] = _END
+
+    def run() -> Iterator[_Level]:
+        active, start = np.arange(len(words)), np.zeros(len(words), bool)
+        start[0] = True
+        for d in range(int(length.max()) + 1):
+            level = _Level(active, start, codes[active, d], counts)
+            yield level
+            on = length[active] > d
+            # the first word that goes on within a child begins the next context
+            no = level.child[on]
+            start = np.concatenate([[True], no[1:] != no[:-1]]) if len(no) else no.astype(bool)
+            active = active[on]
+
+    return codes, length, run()
+
+
+def _sorted_part(batches: Iterator[pa.RecordBatch]) -> tuple[list[str], np.ndarray]:
+    t = pa.Table.from_batches(list(batches)).sort_by("word")
+    return t.column("word").to_pylist(), np.stack([np.ones(len(t), np.int64), t.column("n_toxic").to_numpy(), t.column("n_plain").to_numpy()])
+
+
+def _key(codes: np.ndarray) -> str:
+    return "".join(map(chr, codes.tolist()))
+
+
+_EDGE = "expression string, s long, t long, p long, mass_s double, mass_t double, mass_p double"
+
+
+def _edges(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts in this part of the expressions that its neighbours may hold, too: the beginnings of its first and last word."""
+    words, counts = _sorted_part(batches)
+    codes, length, each = levels(words, counts)
+    rows: dict[str, tuple] = {}
+    for d, level in enumerate(each):
+        ends = [(i, w) for i, w in ((0, 0), (-1, len(words) - 1)) if length[w] >= d]
+        mass = level.mass(tuple(i for i, _ in ends))
+        for i, w in ends:
+            rows[_key(codes[w, :d])] = (*level.parent_counts[:, i].tolist(), *mass[:, i].tolist())
+            rows[_key(codes[w, : d + 1])] = (*level.child_counts[:, i].tolist(), 0.0, 0.0, 0.0)
+    columns = zip(*((k, *v) for k, v in rows.items()), strict=True)
+    types = [pa.string(), *[pa.int64()] * 3, *[pa.float64()] * 3]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["expression", "s", "t", "p", "mass_s", "mass_t", "mass_p"])
+
+
+def _whole_edges(parts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Counts and discounted mass over all parts of the expressions at their edges: at most 2 * (PIECE + 2) a part."""
+    own = parts.groupBy("part").applyInArrow(_edges, _EDGE)
+    rows = own.groupBy("expression").agg(*(F.sum(c).alias(c) for c in ("s", "t", "p", "mass_s", "mass_t", "mass_p"))).collect()
+    whole = {r[0]: (np.array(r[1:4], np.int64), np.array(r[4:7])) for r in rows}
+    for k, (n, _) in whole.items():
+        if k:
+            whole[k[:-1]][1][:] += discounts(n[:, None])[:, 0]
+    return whole
+
+
+def part_ratios(words: list[str], counts: np.ndarray, whole: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Of each of some sorted words: log probability by the toxic model less that by the ordinary one, a letter (the end counts as one).
+
+    The probability of a letter after the letters before it is its discounted share of the class's texts, and what the discounts
+    left over goes by the shared model: in how many different words of the whole corpus it follows, as Kneser and Ney count.
+    """
+    codes, length, each = levels(words, counts)
+    out = np.zeros(len(words))
+    for d, level in enumerate(each):
+        mass, n, total = level.mass(), level.child_counts.copy(), level.parent_counts.copy()
+        for i, w in ((0, 0), (-1, len(words) - 1)):
+            if length[w] >= d:
+                total[:, i], mass[:, i] = whole[_key(codes[w, :d])]
+                n[:, i] = whole[_key(codes[w, : d + 1])][0]
+        share = np.maximum(total[:, level.parent], 1)
+        kept, left = (n - discounts(n)) / share, (mass[:, level.parent] / share)
+        shared = kept[SHARED] + left[SHARED] * UNIFORM
+        p = [np.where(total[k][level.parent] > 0, kept[k] + left[k] * shared, shared) for k in (TOXIC, PLAIN)]
+        out[level.active] += np.log(p[0] / p[1])[level.child]
+    return out / (length + 1)
 
 
-def _merged(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind, chunk = key[0].as_py(), key[1].as_py()
-    dtype, merge = _TABLES[kind]
-    out = np.zeros(_CHUNK, dtype)
-    for b in parts:
-        for raw in b.column("part"):
-            merge(out, np.frombuffer(zlib.decompress(raw.as_py()), dtype), out=out)
-    yield pa.RecordBatch.from_pydict({"kind": [kind], "chunk": pa.array([chunk], pa.int32()), "part": pa.array([out.tobytes()], pa.binary())})
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64).view(np.int64)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
-    """The models' counts.
+def word_ratios(counts: DataFrame) -> DataFrame:
+    """word (its hash) and ratio of each word of word_counts' table: the model, which grows with the corpus.
 
-    docs: text; labels: text and label (1 toxic, 0 ordinary). Every text of docs counts for the shared backoff, every
-    labelled text for its class. Each task counts into tables of fixed size, which merge by sum or union in a
-    second step; the driver gets the merged tables, 24 MB at most for any corpus.
+    Words are dealt in sorted ranges, where all that begin alike stand together, so that a task counts its expressions by
+    itself; those that reach over an edge are added up first. Neither counts nor ratios depend on how words are dealt.
     """
-    parts = _counts(docs.select("text"), False).unionByName(_counts(labels.select("text", "label"), True))
-    merged = parts.groupBy("kind", "chunk").applyInArrow(_merged, "kind string, chunk int, part binary")
-    out = {k: np.zeros(SLOTS, t) for k, (t, _) in _TABLES.items()}
-    for r in merged.toLocalIterator():
-        out[r["kind"]][r["chunk"] : r["chunk"] + _CHUNK] = np.frombuffer(bytes(r["part"]), out[r["kind"]].dtype)
-    return {k: np.bitwise_count(v).astype(np.uint8) if k[0] == "f" else v for k, v in out.items()}
+    counts = written(counts, "toxicity-counts")
+    parts = max(1, -(-counts.count() // PART_WORDS))
+    ranges = written(counts.repartitionByRange(parts, "word").withColumn("part", F.spark_partition_id()), "toxicity-words")
+    whole = counts.sparkSession.sparkContext.broadcast(_whole_edges(ranges))
 
+    def run(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, n = _sorted_part(batches)
+        yield pa.RecordBatch.from_arrays([pa.array(word_hashes(words)), pa.array(part_ratios(words, n, whole.value).astype(np.float32))], names=["word", "ratio"])
 
-def word_ratios(model: dict[str, np.ndarray], words: list[str]) -> np.ndarray:
-    """Of each word: log probability by the toxic model less that by the ordinary one, a letter (its end counts as one)."""
-    out = np.zeros(len(words))
-
-    def step(kind: str, p: np.ndarray, slot: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Interpolate: the discounted share of an expression, and its backoff by what the discounts left over."""
-        whole, n = model[f"n_{kind}"][context].astype(np.float64), model[f"n_{kind}"][slot]
-        left = np.minimum(DISCOUNTS[2] * model[f"f_{kind}"][context], 0.9 * whole)
-        seen = np.maximum(whole, 1)
-        return np.where(whole > 0, np.minimum(np.maximum(n - DISCOUNTS[np.minimum(n, 3)], 0) / seen, 1) + left / seen * p, p)
-
-    for at, own in by_length(words):
-        length = len(own[0])
-        toxic = np.full((len(own), length + 2), 1 / 64)
-        for lo, slot, context, _ in expressions(own, SHARED):
-            toxic[:, lo:] = step("shared", toxic[:, lo:], slot, context)
-        plain = toxic.copy()
-        for lo, slot, context, _ in expressions(own, OWN):
-            toxic[:, lo:] = step("toxic", toxic[:, lo:], slot, context)
-            plain[:, lo:] = step("plain", plain[:, lo:], slot, context)
-        out[at] = np.log(np.maximum(toxic[:, 1:], 1e-9) / np.maximum(plain[:, 1:], 1e-9)).sum(axis=1) / (length + 1)
-    return out
+    return written(ranges.groupBy("part").applyInArrow(run, "word long, ratio float"), "toxicity-ratios")
 
 
 def text_features(ratio: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -155,23 +205,67 @@ def text_features(ratio: np.ndarray, starts: np.ndarray, window: int = WINDOW) -
     best = mean.copy()
     for i in np.flatnonzero(n > window):
         a, b = starts[i], starts[i + 1]
-        best[i] = (sums[a + window : b + 1] - sums[a : b + 1 - window]).max() / window
+        own = np.concatenate([[0.0], np.cumsum(ratio[a:b], dtype=np.float64)])
+        mean[i] = own[-1] / n[i]  # a text's own sums: the same whatever stands beside it
+        best[i] = (own[window:] - own[:-window]).max() / window
     return mean, best
 
 
-def score_texts(docs: DataFrame, counts: dict[str, np.ndarray], keep_text: bool = False) -> DataFrame:
-    """docs, without its text unless asked for, with mean and peak; the model is broadcast (15 MB, whatever the corpus)."""
-    model = docs.sparkSession.sparkContext.broadcast(counts)
-    keep = [c for c in docs.columns if keep_text or c != "text"]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", mean double, peak double"
+def _found(words: np.ndarray, hashes: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """Ratios of hashed words from sorted ones; 0 for the empty word."""
+    if not len(hashes):
+        return np.zeros(len(words))
+    at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
+    return np.where(hashes[at] == words, ratios[at], 0.0)
+
+
+def score_texts(docs: DataFrame, ratios: DataFrame, mean: str, peak: str, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """docs with two columns named by mean and peak: the features of each whole text.
+
+    ratios: word_ratios' table. Up to broadcast_words rows it goes to every task; a larger one is joined to the distinct
+    words of each text, whose ratios then come back to the text as a list. Both ways give the same.
+    """
+    if ratios.count() > broadcast_words:
+        return _score_by_join(docs, ratios, mean, peak)
+    rows = ratios.toPandas().sort_values("word")
+    model = docs.sparkSession.sparkContext.broadcast((rows["word"].to_numpy(np.int64), rows["ratio"].to_numpy(np.float32)))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(it):
+        for part in byte_slices(it, "text"):
             words, codes, starts = words_of(part.column("text"))
-            mean, peak = text_features(word_ratios(model.value, words)[codes], starts)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(mean), pa.array(peak)], names=[*keep, "mean", "peak"])
+            a, b = text_features(_found(word_hashes(words), *model.value)[codes], starts)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(a), pa.array(b)], names=[*part.schema.names, mean, peak])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(mean, "double").add(peak, "double"))
+
+
+def _score_by_join(docs: DataFrame, ratios: DataFrame, mean: str, peak: str) -> DataFrame:
+    row, pairs = free_name(docs, "row"), free_name(docs, "pairs")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "toxicity-texts")
+
+    def listed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in byte_slices(it, "text"):
+            words, codes, starts = words_of(part.column("text"))
+            own = np.unique(np.repeat(np.arange(part.num_rows), np.diff(starts)) * len(words) + codes)
+            hashes = word_hashes(words)
+            yield pa.RecordBatch.from_arrays([part.column(row).take(pa.array(own // len(words))), pa.array(hashes[own % len(words)])], names=["row", "word"])
+
+    found = rows.select(row, "text").mapInArrow(listed, "row long, word long").join(ratios, "word").groupBy("row").agg(F.collect_list(F.struct("word", "ratio")).alias(pairs))
+    both = rows.join(found.withColumnRenamed("row", row), row, "left")
+    keep = docs.columns
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in byte_slices(it, "text"):
+            out = []
+            for i in range(part.num_rows):
+                words, codes, starts = words_of(part.column("text").slice(i, 1))
+                own = part.column(pairs)[i].values
+                h, r = (own.field("word").to_numpy(), own.field("ratio").to_numpy()) if own is not None else (np.zeros(0, np.int64), np.zeros(0, np.float32))
+                by = np.argsort(h)
+                out.append([x[0] for x in text_features(_found(word_hashes(words), h[by], r[by])[codes], starts)])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(np.array(out, float)[:, i]) for i in (0, 1))], names=[*keep, mean, peak])
 
-    return docs.mapInArrow(run, schema)
+    return both.mapInArrow(run, StructType([*docs.schema.fields]).add(mean, "double").add(peak, "double"))
 
 
 def _fit(rows: pd.DataFrame) -> np.ndarray:
@@ -179,6 +273,7 @@ def _fit(rows: pd.DataFrame) -> np.ndarray:
     if rows["label"].nunique() < 2:
         base = float(rows["label"].mean()) if len(rows) else 0.0
         return np.array([np.log((base * len(rows) + 0.5) / ((1 - base) * len(rows) + 5)), 0, 0])
+    rows = rows.sort_values(["mean", "peak", "label"])  # sums don't depend on the order in which rows arrive
     x = np.column_stack([np.ones(len(rows)), rows["mean"], rows["peak"]])
     y, w = rows["label"].to_numpy(float), np.zeros(3)
     for _ in range(30):
@@ -188,35 +283,38 @@ def _fit(rows: pd.DataFrame) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", train_parts: tuple[int, ...] = (0, 1), fit_parts: tuple[int, ...] = (3,)) -> tuple[dict, np.ndarray]:
-    """Both models' counts, and how mean and peak become a probability.
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", train_parts: tuple[int, ...] = (0, 1), fit_parts: tuple[int, ...] = (3,)) -> tuple[DataFrame, np.ndarray]:
+    """The ratio of every word of docs, and how mean and peak become a probability.
 
-    Labels count where crc32(key as text) mod 4 is in train_parts (the models) or in fit_parts (three numbers, from at
-    most CALIBRATION_ROWS labelled rows, those of the smallest hash). Null labels and labels without a document don't
-    count; a document labelled twice counts twice. No labels at all: every score is low.
+    docs: key, text; labels: key and toxic (1, or anything else that isn't null). Every text of docs counts for the shared
+    backoff. Labels count where crc32(key as text) mod 4 is in train_parts (the models) or in fit_parts (three numbers, from
+    at most CALIBRATION_ROWS labelled texts, those of the smallest hash). Null labels and labels without a document don't
+    count; a document labelled twice counts twice, and so does a label of two documents. No labels at all: every score is low.
     """
     part = F.crc32(F.col(key).cast("string").cast("binary")) % 4
     own = labels.where("toxic is not null").select(F.col(key), F.when(F.col("toxic") == 1, 1).otherwise(0).alias("label"))
     text = docs.select(key, "text")
-    counts = train(docs, text.where(part.isin(*train_parts)).join(own.where(part.isin(*train_parts)).hint("merge"), key))
-    some = own.where(part.isin(*fit_parts)).orderBy(F.xxhash64(key), "label").limit(CALIBRATION_ROWS)
-    # at most CALIBRATION_ROWS rows of two numbers
-    sample = text.where(part.isin(*fit_parts)).join(F.broadcast(some), key)
-    return counts, _fit(score_texts(sample.select("text", "label"), counts).toPandas())
+    ratios = word_ratios(word_counts(docs, text.where(part.isin(*train_parts)).join(own.where(part.isin(*train_parts)), key)))
+    both = text.where(part.isin(*fit_parts)).join(own.where(part.isin(*fit_parts)), key)
+    some = both.orderBy(F.xxhash64(key, "text"), "label").limit(CALIBRATION_ROWS).select("text", "label")
+    return ratios, _fit(score_texts(some, ratios, "mean", "peak").select("label", "mean", "peak").toPandas())
 
 
-def scored(docs: DataFrame, model: tuple[dict, np.ndarray], keep_text: bool = False) -> DataFrame:
-    """docs, without its text unless asked for, with the score (0 to 1) of each whole text.
+def scored(docs: DataFrame, model: tuple[DataFrame, np.ndarray], name: str = "score") -> DataFrame:
+    """docs with the score (0 to 1) of each whole text, in a column of that name (one that docs has is replaced).
 
-    Null and empty texts have ratio 0 and get the fit's constant.
+    Null and empty texts have ratio 0 and get the fit's constant. Equal texts get equal scores. An empty table stays empty.
     """
-    counts, w = model
-    z = F.lit(float(w[0])) + F.lit(float(w[1])) * F.col("mean") + F.lit(float(w[2])) * F.col("peak")
-    out = score_texts(docs, counts, keep_text)
-    return out.withColumn("score", 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))).drop("mean", "peak")
+    ratios, w = model
+    docs = docs.drop(name)
+    mean, peak = free_name(docs, "mean"), free_name(docs, "peak")
+    z = F.lit(float(w[0])) + F.lit(float(w[1])) * F.col(mean) + F.lit(float(w[2])) * F.col(peak)
+    out = score_texts(docs, ratios, mean, peak)
+    return out.withColumn(name, 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))).drop(mean, peak)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of each row of documents: null ids aren't held out, repeated rows get equal scores."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

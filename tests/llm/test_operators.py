@@ -199,10 +199,59 @@ def test_toxicity_held_out(spark):
     assert ((got.score >= 0.3) == (got.doc_id % 5 == 0)).mean() > 0.97
 
 
+def plain_ratios(counts):
+    """Kneser-Ney over all beginnings of words, one expression at a time."""
+    n = {}
+    for word, (toxic, plain) in counts.items():
+        for i in range(len(word) + 2):
+            x = (word + "$")[:i]
+            a = n.setdefault(x, [0, 0, 0])
+            for k, v in enumerate((1, toxic, plain)):
+                a[k] += v
+    after = {}
+    for x in n:
+        if x:
+            after.setdefault(x[:-1], []).append(x)
+    off = lambda x, k: 0.75 * (n[x][0] > 0) if k == 0 else min(n[x][k], 3)
+
+    def p(x, k):
+        c = x[:-1]
+        if k and n[c][k] == 0:
+            return p(x, 0)
+        backoff = p(x, 0) if k else 1 / 64
+        return (n[x][k] - off(x, k)) / n[c][k] + sum(off(y, k) for y in after[c]) / n[c][k] * backoff
+
+    return {w: sum(np.log(p((w + "$")[:i], 1) / p((w + "$")[:i], 2)) for i in range(1, len(w) + 2)) / (len(w) + 1) for w in counts}
+
+
+def test_toxicity_model_equals_plain_kneser_ney(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    counts = {"".join(rng.choice(list("abcé"), rng.integers(1, 7))): (int(rng.integers(0, 6)), int(rng.integers(0, 9))) for _ in range(400)}
+    want = {h: r for h, r in zip(toxicity.word_hashes(list(counts)).tolist(), plain_ratios(counts).values(), strict=True)}
+    rows = spark.createDataFrame([(w, *n) for w, n in counts.items()], "word string, n_toxic long, n_plain long")
+    for part_words in (10**6, 40, 7):
+        monkeypatch.setattr(toxicity, "PART_WORDS", part_words)
+        got = {r.word: r.ratio for r in toxicity.word_ratios(rows).collect()}
+        assert got.keys() == want.keys() and all(abs(got[w] - want[w]) < 1e-6 for w in want)
+
+
+def test_toxicity_scores_do_not_depend_on_partitions_or_the_way_of_joining(spark, monkeypatch):
+    labels, docs = table(spark, DATA, "labels"), table(spark, DATA, "documents").select("doc_id", "text")
+    one = {r.doc_id: r.score for r in toxicity.scored(docs.coalesce(1), toxicity.fit(docs.coalesce(1), labels)).collect()}
+    monkeypatch.setattr(toxicity, "PART_WORDS", 5000)
+    many = docs.repartition(16)
+    model = toxicity.fit(many, labels)
+    assert {r.doc_id: r.score for r in toxicity.scored(many, model).collect()} == one
+    joined = toxicity.score_texts(docs.withColumn("row", F.lit(1)), model[0], "mean", "peak", broadcast_words=0)
+    plain = {r.doc_id: (r["mean"], r.peak) for r in toxicity.score_texts(docs, model[0], "mean", "peak").collect()}
+    assert {r.doc_id: (r["mean"], r.peak) for r in joined.collect()} == plain and joined.columns == ["doc_id", "text", "row", "mean", "peak"]
+
+
 def test_toxicity_of_awkward_rows(spark, awkward):
     labels = spark.createDataFrame([(3, None), (99, 1)], "doc_id long, toxic int")
-    got = toxicity.scored(awkward, toxicity.fit(awkward, labels), keep_text=True).toPandas()
-    assert len(got) == len(AWKWARD) and got.score.between(0, 0.3).all()
+    own = awkward.withColumn("mean", F.lit("m")).withColumn("peak", F.lit("p")).withColumn("score", F.lit("s"))
+    got = toxicity.scored(own, toxicity.fit(own, labels), "_score").toPandas()
+    assert len(got) == len(AWKWARD) and got._score.between(0, 0.3).all() and set(got.score) == {"s"} and set(got["mean"]) == {"m"}
     assert toxicity.scored(awkward.where("false"), toxicity.fit(awkward.where("false"), labels)).count() == 0
 
 
@@ -272,8 +321,11 @@ def test_repeats_equal_brute_force(spark, docs):
 
 
 def test_repeats_of_awkward_rows(spark, awkward):
-    got = suffixes.without_repeats(awkward)
-    assert got.columns == awkward.columns
+    own = awkward
+    for c in ("doc", "crc", "spans", "null", "own", "place", "more", "runs"):
+        own = own.withColumn(c, F.lit(c))
+    got = suffixes.without_repeats(own)
+    assert got.columns == own.columns and {tuple(r)[6:] for r in got.collect()} == {("doc", "crc", "spans", "null", "own", "place", "more", "runs")}
     rows = {r.doc_id: r for r in got.collect()}
     assert rows[1].text is None and rows[5].n_chars == len(rows[5].text) and len(rows[6].text) < 40
     assert suffixes.without_repeats(awkward.where("false")).count() == 0
@@ -283,15 +335,38 @@ def test_loser_tree_merges_like_a_sort():
     rng = np.random.default_rng(5)
     pool = rng.integers(97, 99, (60, 100)).astype(np.uint8)
     runs, every = [], []
-    for r in range(5):
+    for _ in range(5):
         pick = pool[rng.choice(60, 30, replace=False)]
         pick = pick[np.argsort(pick.view("S100").ravel())]
         shared, rest = suffixes.front_coded(pick)
-        runs.append((shared.tobytes(), rest, [r] * 30, list(range(30))))
-        every += [(bytes(x), r, i) for i, x in enumerate(pick)]
-    every.sort()
-    want = {(d, p) for (a, _, _), (b, d, p) in pairwise(every) if a == b}
-    assert set(suffixes.merge_runs(runs)) == want
+        runs.append((shared.tobytes(), rest))
+        every.append([bytes(x) for x in pick])
+    at, got, agree = [0] * 5, [], []
+    for run, n in suffixes.merge_runs(runs, 100):
+        got.append(every[run][at[run]])
+        agree.append(n)
+        at[run] += 1
+    assert got == sorted(x for r in every for x in r)
+    for (a, b), n in zip(pairwise(got), agree[1:], strict=True):
+        assert n == next((i for i in range(100) if a[i] != b[i]), 100)
+
+
+def test_repeats_of_hot_ngrams_and_small_runs(spark, docs, monkeypatch):
+    """Every n-gram that stands three times or more is sorted window by window, over several runs and ranges."""
+    for name, value in (("HOT_RUNS", 2), ("HOT_SHARE", 1 << 40), ("RUN_CONTEXTS", 700), ("RANGE_CONTEXTS", 500)):
+        monkeypatch.setattr(suffixes, name, value)
+    passage = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(160))
+    rows = [(i, f"{i * 7919 % 1000:03d}" * (i % 50) + passage + f"{i * 104729 % 1000:03d}" * ((i * 3) % 40)) for i in range(60)] + [(100 + i, "ab" * (40 + i)) for i in range(30)]
+    rows += list(zip((docs.doc_id[:60] + 1000).tolist(), docs.text[:60], strict=True))
+    got = suffixes.repeat_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+    assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == plain_repeats(rows)
+
+
+def test_repeated_rows_are_no_repeats_of_themselves(spark):
+    text = "".join(map(chr, np.random.default_rng(6).integers(97, 123, 300)))
+    rows = [(1, text), (1, text), (2, "-" + text), (None, text), (None, text), (3, "short")]
+    got = [(r.doc_id, r.n_bytes, r.n_removed) for r in suffixes.repeat_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got, key=str) == sorted([(1, 300, 0), (1, 300, 0), (2, 301, 300), (None, 300, 300), (None, 300, 300), (3, 5, 0)], key=str)
 
 
 def test_language_held_out(spark):
