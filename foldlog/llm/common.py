@@ -10,8 +10,10 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,6 +66,41 @@ def byte_slices(it: Iterator[pa.RecordBatch], column: str, most: int = 1 << 22)
             at = to
 
 
+def deflated(docs: DataFrame) -> DataFrame:
+    """docs with each text (or null) compressed, as bytes, for a shuffle or a table."""
+    at = docs.columns.index("text")
+    schema = StructType([StructField("text", BinaryType()) if f.name == "text" else f for f in docs.schema.fields])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for part in byte_slices(it, "text"):
+            packed = pa.array([pack(t.as_buffer()) if t.is_valid else None for t in part.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed if i == at else c for i, c in enumerate(part.columns)], names=part.schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def inflated(it: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """Slices of batches, and the texts of some compressed columns (null: None)."""
+    for batch in it:
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
+            unpack = zstandard.ZstdDecompressor().decompress
+            yield part, *([unpack(t.as_buffer()) if t.is_valid else None for t in part.column(c)] for c in columns)
+
+
+def inflate(docs: DataFrame) -> DataFrame:
+    """The reverse of deflated."""
+    at = docs.columns.index("text")
+    schema = StructType([StructField("text", StringType()) if f.name == "text" else f for f in docs.schema.fields])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in inflated(it, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()) if i == at else c for i, c in enumerate(part.columns)], names=part.schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of the documents whose labels are never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

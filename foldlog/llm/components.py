@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node it reaches) of every node of links (a, b).
 
     Alternates large-star and small-star steps: each round points the larger neighbours, then the smaller ones, of every
@@ -18,9 +18,7 @@ def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
     now = written(links.where("a is not null and b is not null and a != b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     mark = _mark(now)
-    for _ in range(rounds):
-        if mark == (0, 0):
-            break
+    while mark != (0, 0):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()

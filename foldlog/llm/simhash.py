@@ -18,9 +18,9 @@ from .shingles import similar_sets
 SEED = 42
 
 
-def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+def shingle_hashes(text: str | bytes | None, size: int) -> np.ndarray:
     """XXH64 of every word shingle, repeats included; of all words if they are fewer; none without words."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z and the six ASCII white-space characters only
+    words = (text.encode() if isinstance(text, str) else text or b"").lower().split()  # bytes: A-Z and the six ASCII white-space characters only
     if not words:
         return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), len(words)

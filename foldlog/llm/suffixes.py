@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, mix64, table, written
+from .common import deflated, inflated, mix64, table, written
 
 LENGTH, GRAM = 100, 44
 _WINDOWS = LENGTH - GRAM + 1
@@ -348,7 +348,7 @@ def _sorted_runs(work: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["part", "shared", "rest", "before", "docs", "places", "metas"])
 
         size = 0
-        for batch, texts in _inflated(it):
+        for batch, texts in inflated(it, "text"):
             for i in range(batch.num_rows):
                 text = np.frombuffer(texts[i], np.uint8)
                 runs, doc = batch.column("runs")[i].values, batch.column("doc")[i].as_py()
@@ -458,7 +458,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     runs = runs.where("meta != -1").select("doc", F.shiftright("place", 32).alias("crc"), "place", F.col("meta").bitwiseAND(_PASS - 1).alias("meta"))
     parts = max(1, math.ceil(runs.count() / RANGE_CONTEXTS))
     lists = runs.groupBy("doc", "crc").agg(F.collect_set(F.struct("place", "meta")).alias("runs"))
-    front = _sorted_runs(_deflated(docs).join(lists, ["doc", "crc"]), parts, np.array(keys, np.int64).view(np.uint64))
+    front = _sorted_runs(deflated(docs).join(lists, ["doc", "crc"]), parts, np.array(keys, np.int64).view(np.uint64))
     return written(front.groupBy("part").applyInArrow(_merge_range, _FOUND), "suffix-repeats")
 
 
@@ -471,26 +471,6 @@ def _keyed(docs: DataFrame, key: str) -> DataFrame:
         F.col("text").isNull().alias("null"), F.struct(*others).alias("own"), text.alias("text"))
 
 
-def _deflated(docs: DataFrame) -> DataFrame:
-    """docs with each text compressed, for the shuffle."""
-    at = docs.columns.index("text")
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for part in byte_slices(it, "text"):
-            yield part.set_column(at, "text", pa.array([pack(t.as_buffer()) for t in part.column("text")], pa.binary()))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def _inflated(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for batch in it:
-        for lo in range(0, batch.num_rows, 1024):
-            part = batch.slice(lo, 1024)
-            unpack = zstandard.ZstdDecompressor().decompress
-            yield part, [unpack(t.as_buffer()) for t in part.column("text")]
-
-
 def repeat_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """_keyed's columns, the text compressed, and spans: the stretches (lo, hi) that repeats cover, not merged; null if none.
 
@@ -501,7 +481,7 @@ def repeat_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     found = repeated_windows(keyed.select("doc", "crc", "text"))
     at = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
     spans = found.groupBy("doc", F.shiftright("place", 32).alias("crc")).agg(F.collect_list(F.struct(at.alias("lo"), (at + F.col("more") + LENGTH).alias("hi"))).alias("spans"))
-    return _deflated(keyed).join(spans, ["doc", "crc"], "left")
+    return deflated(keyed).join(spans, ["doc", "crc"], "left")
 
 
 def merged_spans(spans: pa.Scalar) -> np.ndarray:
@@ -532,7 +512,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = repeat_spans(docs, key).select("own", "null", "text", "spans")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in _inflated(it):
+        for b, texts in inflated(it, "text"):
             out = []
             for text, spans, null in zip(texts, b.column("spans"), b.column("null"), strict=True):
                 cut = merged_spans(spans)
@@ -554,7 +534,7 @@ def repeat_digest(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = repeat_spans(docs.select(key, "text"), key).select("own", "text", "spans")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in _inflated(it):
+        for b, texts in inflated(it, "text"):
             n, removed, count, sha = [], [], [], []
             for text, spans in zip(texts, b.column("spans"), strict=True):
                 cut = merged_spans(spans)

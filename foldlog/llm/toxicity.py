@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import byte_slices, free_name, held_out, table, written
+from .common import byte_slices, deflated, free_name, held_out, inflate, table, written
 
 #: Longer words are cut into pieces of PIECE letters. A part of the sorted word list has about PART_WORDS of them.
 PIECE, PART_WORDS = 32, 200_000
@@ -227,8 +227,10 @@ def score_texts(docs: DataFrame, ratios: DataFrame, mean: str, peak: str, broadc
     """
     if ratios.count() > broadcast_words:
         return _score_by_join(docs, ratios, mean, peak)
-    rows = ratios.toPandas().sort_values("word")
-    model = docs.sparkSession.sparkContext.broadcast((rows["word"].to_numpy(np.int64), rows["ratio"].to_numpy(np.float32)))
+    rows = ratios.toArrow()
+    hashes, values = rows.column("word").to_numpy(), rows.column("ratio").to_numpy()
+    by = np.argsort(hashes)
+    model = docs.sparkSession.sparkContext.broadcast((hashes[by], values[by]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(it, "text"):
@@ -294,10 +296,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", train_parts: tu
     part = F.crc32(F.col(key).cast("string").cast("binary")) % 4
     own = labels.where("toxic is not null").select(F.col(key), F.when(F.col("toxic") == 1, 1).otherwise(0).alias("label"))
     text = docs.select(key, "text")
-    ratios = word_ratios(word_counts(docs, text.where(part.isin(*train_parts)).join(own.where(part.isin(*train_parts)), key)))
-    both = text.where(part.isin(*fit_parts)).join(own.where(part.isin(*fit_parts)), key)
-    some = both.orderBy(F.xxhash64(key, "text"), "label").limit(CALIBRATION_ROWS).select("text", "label")
-    return ratios, _fit(score_texts(some, ratios, "mean", "peak").select("label", "mean", "peak").toPandas())
+    learned = inflate(deflated(text.where(part.isin(*train_parts))).join(own.where(part.isin(*train_parts)), key).select("text", "label"))
+    ratios = word_ratios(word_counts(docs, learned))
+    # at most CALIBRATION_ROWS keys, and of the rows that have them as many: two numbers each
+    some = own.where(part.isin(*fit_parts)).orderBy(F.xxhash64(key), "label").limit(CALIBRATION_ROWS)
+    sample = text.where(part.isin(*fit_parts)).join(F.broadcast(some), key).select("text", "label")
+    features = score_texts(sample, ratios, "mean", "peak").select("label", "mean", "peak")
+    return ratios, _fit(features.orderBy(F.xxhash64("label", "mean", "peak")).limit(CALIBRATION_ROWS).toArrow().to_pandas())
 
 
 def scored(docs: DataFrame, model: tuple[DataFrame, np.ndarray], name: str = "score") -> DataFrame:
