@@ -55,7 +55,7 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def byte_slices(it: Iterator[pa.RecordBatch], column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def byte_slices(it: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about most bytes of a text column; a longer text is a slice of its own."""
     for batch in it:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -83,8 +83,8 @@ def deflated(docs: DataFrame) -> DataFrame:
 def inflated(it: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """Slices of batches, and the texts of some compressed columns (null: None)."""
     for batch in it:
-        for lo in range(0, batch.num_rows, 1024):
-            part = batch.slice(lo, 1024)
+        for lo in range(0, batch.num_rows, 512):
+            part = batch.slice(lo, 512)
             unpack = zstandard.ZstdDecompressor().decompress
             yield part, *([unpack(t.as_buffer()) if t.is_valid else None for t in part.column(c)] for c in columns)
 

@@ -19,7 +19,7 @@ _WINDOWS = LENGTH - GRAM + 1
 #: A suffix to sort is led by _LEAD bytes of its first n-gram's hash, so that ranges are even; up to _REACH bytes before it go along.
 _LEAD, _REACH = 8, _WINDOWS - 1
 _WIDTH = _LEAD + LENGTH
-CHUNK, FLUSH_RUNS, RUN_CONTEXTS, RANGE_CONTEXTS = 1 << 20, 500_000, 100_000, 200_000
+CHUNK, FLUSH_RUNS, RUN_CONTEXTS, RANGE_CONTEXTS = 1 << 19, 300_000, 60_000, 120_000
 #: An n-gram that more windows' runs share than this, and more than one in HOT_SHARE, is sorted window by window: at most HOT_SHARE n-grams are.
 HOT_RUNS, HOT_SHARE = 20_000, 4096
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import byte_slices, deflated, free_name, held_out, inflate, table, written
+from .common import byte_slices, deflated, free_name, held_out, inflated, table, written
 
 #: Longer words are cut into pieces of PIECE letters. A part of the sorted word list has about PART_WORDS of them.
-PIECE, PART_WORDS = 32, 200_000
+PIECE, PART_WORDS = 32, 100_000
 #: Up to so many distinct words (12 bytes each: 48 MB) their ratios go to every task; beyond that they are joined to the words of texts.
 BROADCAST_WORDS = 4_000_000
 #: Discounts: of a shared count, and the most of a class's count, so that what one text or two use once is left to the backoff.
@@ -36,7 +36,7 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def word_counts(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """word, n_toxic, n_plain of every distinct word of docs (text) and labelled (text, label): in how many texts of each class it stands.
+    """word, n_toxic, n_plain of every distinct word of docs (text) and labelled (text as deflated, label): in how many texts of each class it stands.
 
     A task lists the distinct words of a few megabytes of text at a time; Spark adds them up before and after the shuffle.
     """
@@ -48,8 +48,8 @@ def word_counts(docs: DataFrame, labelled: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), zero, zero], names=["word", "n_toxic", "n_plain"])
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in byte_slices(it, "text"):
-            words, codes, starts = words_of(part.column("text"))
+        for part, texts in inflated(it, "text"):
+            words, codes, starts = words_of(pa.array(texts, pa.binary()).cast(pa.string()))
             row = np.repeat(np.arange(part.num_rows), np.diff(starts))
             label = np.asarray(part.column("label").to_pylist())
             seen = np.unique(row * len(words) + codes)  # a text counts a word once
@@ -296,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", train_parts: tu
     part = F.crc32(F.col(key).cast("string").cast("binary")) % 4
     own = labels.where("toxic is not null").select(F.col(key), F.when(F.col("toxic") == 1, 1).otherwise(0).alias("label"))
     text = docs.select(key, "text")
-    learned = inflate(deflated(text.where(part.isin(*train_parts))).join(own.where(part.isin(*train_parts)), key).select("text", "label"))
+    learned = deflated(text.where(part.isin(*train_parts))).join(own.where(part.isin(*train_parts)), key)
     ratios = word_ratios(word_counts(docs, learned))
     # at most CALIBRATION_ROWS keys, and of the rows that have them as many: two numbers each
     some = own.where(part.isin(*fit_parts)).orderBy(F.xxhash64(key), "label").limit(CALIBRATION_ROWS)
