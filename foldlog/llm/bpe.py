@@ -33,7 +33,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-@functools.lru_cache(maxsize=2)
+def vocabulary(path: str) -> dict[str, int]:
+    """The id of each token, its bytes written as characters."""
+    table_ = byte_to_char()
+    return {"".join(table_[x] for x in b): r for b, r in load_ranks(path).items()}
+
+
 def tokenizer(path: str, pattern: str):
     """A tokenizers.Tokenizer that splits by pattern (none: not at all) and merges by the ranks of the file at path.
 
@@ -45,10 +50,9 @@ def tokenizer(path: str, pattern: str):
 
     ranks, table_ = load_ranks(path), byte_to_char()
     chars = lambda b: "".join(table_[x] for x in b)
-    vocab = {chars(b): r for b, r in ranks.items()}
     merges = [
         (chars(b[:i]), chars(b[i:])) for b, _ in sorted(ranks.items(), key=lambda x: x[1]) for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
-    out = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
+    out = Tokenizer(models.BPE(vocab=vocabulary(path), merges=merges, ignore_merges=True))
     whole = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), whole]) if pattern else whole
     out.decoder = decoders.ByteLevel()
@@ -59,7 +63,7 @@ def tokenizer(path: str, pattern: str):
 def id_bytes(path: str) -> list[bytes]:
     """The bytes of each id: what its characters in the vocabulary stand for, by the byte table's reverse."""
     back = {c: b for b, c in enumerate(byte_to_char())}
-    vocab = tokenizer(path, "").get_vocab()
+    vocab = vocabulary(path)
     out = [b""] * (max(vocab.values()) + 1)
     for token, i in vocab.items():
         out[i] = bytes(map(back.__getitem__, token))

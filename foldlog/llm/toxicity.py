@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -270,14 +269,15 @@ def _score_by_join(docs: DataFrame, ratios: DataFrame, mean: str, peak: str) ->
     return both.mapInArrow(run, StructType([*docs.schema.fields]).add(mean, "double").add(peak, "double"))
 
 
-def _fit(rows: pd.DataFrame) -> np.ndarray:
+def _fit(rows: pa.Table) -> np.ndarray:
     """Logistic regression on mean and peak by Newton's method, with a little ridge."""
-    if rows["label"].nunique() < 2:
-        base = float(rows["label"].mean()) if len(rows) else 0.0
-        return np.array([np.log((base * len(rows) + 0.5) / ((1 - base) * len(rows) + 5)), 0, 0])
-    rows = rows.sort_values(["mean", "peak", "label"])  # sums don't depend on the order in which rows arrive
-    x = np.column_stack([np.ones(len(rows)), rows["mean"], rows["peak"]])
-    y, w = rows["label"].to_numpy(float), np.zeros(3)
+    rows = rows.sort_by([(c, "ascending") for c in ("mean", "peak", "label")])  # sums don't depend on the order in which rows arrive
+    y, n = rows.column("label").to_numpy().astype(float), len(rows)
+    if len(np.unique(y)) < 2:
+        base = float(y.mean()) if n else 0.0
+        return np.array([np.log((base * n + 0.5) / ((1 - base) * n + 5)), 0, 0])
+    x = np.column_stack([np.ones(n), rows.column("mean").to_numpy(), rows.column("peak").to_numpy()])
+    w = np.zeros(3)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         ridge = np.diag([1e-6, 1e-2, 1e-2])
@@ -302,7 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", train_parts: tu
     some = own.where(part.isin(*fit_parts)).orderBy(F.xxhash64(key), "label").limit(CALIBRATION_ROWS)
     sample = text.where(part.isin(*fit_parts)).join(F.broadcast(some), key).select("text", "label")
     features = score_texts(sample, ratios, "mean", "peak").select("label", "mean", "peak")
-    return ratios, _fit(features.orderBy(F.xxhash64("label", "mean", "peak")).limit(CALIBRATION_ROWS).toArrow().to_pandas())
+    return ratios, _fit(features.orderBy(F.xxhash64("label", "mean", "peak")).limit(CALIBRATION_ROWS).toArrow())
 
 
 def scored(docs: DataFrame, model: tuple[DataFrame, np.ndarray], name: str = "score") -> DataFrame:
