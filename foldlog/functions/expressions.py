@@ -65,11 +65,6 @@ def short_hash(text: Column) -> Column:
     return F.substring(F.sha2(F.concat(F.lit('"'), text, F.lit('"')), 256), 1, 16)
 
 
-def payload_hash(payload: Column) -> Column:
-    """SHA-256 of the stored payload text."""
-    return F.sha2(payload, 256)
-
-
 def recommendation_with_floor(recommendation: Column, confidence: Column) -> Column:
     """REFER below the confidence floor; a missing confidence passes, a missing recommendation is REFER."""
     low = F.coalesce(confidence, F.lit(1.0)) < CONFIDENCE_FLOOR
@@ -120,6 +115,7 @@ def narrative() -> Column:
     app = or_("application_id", "")
     say = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
     confidence = F.when(p["confidence_score"].isNull(), "").otherwise(F.format_string(" with confidence %.2f", p["confidence_score"]))
+    # These sentences are part of stored packages.
     sentences = {
         "ApplicationSubmitted": say("Application ", app, " submitted by ", or_("applicant_id"), " for $", or_("requested_amount_usd"), "."),
         "CreditAnalysisRequested": say("Credit analysis requested for application ", app, "."),

@@ -1,6 +1,7 @@
 """Hash chains over audit streams: links, verification, tampering, package checksums.
 
-A link hashes the previous hash and the payload hashes of the events since. All links are recomputed at once: the stored hash of
+A link hashes the previous hash and the payload hashes of the events since. Payloads are hashed as canonical JSON, so
+blanks and the order of keys don't matter. All links are recomputed at once: the stored hash of
 the check before is part of the data, so no link waits for another. A segment's hashes are collected per segment,
 which is bounded by how often checks are run, not by the log.
 """
@@ -15,15 +16,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StringType
 
-from ..functions.expressions import by_category, payload_hash
+from ..functions.expressions import by_category, iso_timestamp
 
 CHECK = "AuditIntegrityCheckRun"
 
 
 @F.pandas_udf(StringType())
 def canonical_json(payload: pd.Series) -> pd.Series:
-    """Sorted keys, no blanks, ASCII only: the text that byte-parity hashes are taken of."""
-    return payload.map(lambda x: None if x is None else json.dumps(json.loads(x), sort_keys=True, separators=(",", ":")))
+    """Sorted keys, no blanks, ASCII only: the text that hashes are taken of. Text that is no JSON stays as it is."""
+
+    def one(x: str | None) -> str | None:
+        try:
+            return None if x is None else json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"))
+        except ValueError:
+            return x
+
+    return payload.map(one)
+
+
+def payload_hash(payload: Column) -> Column:
+    """SHA-256 of the canonical payload."""
+    return F.sha2(canonical_json(payload), 256)
 
 
 def segments(log: DataFrame, hash_of: Column | None = None) -> DataFrame:
@@ -97,7 +110,12 @@ def close_segments(log: DataFrame, every: int = 20) -> DataFrame:
 
 
 def package_checksum(log: DataFrame) -> DataFrame:
-    """Per stream: SHA-256 over its events' positions, types and payloads in order (bounded by the stream)."""
-    row = F.concat_ws("|", "stream_position", "event_type", "payload")
-    return log.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("stream_position", row.alias("r")))).alias("rows")).select(
-        "stream_id", F.sha2(F.array_join(F.transform("rows", lambda x: x["r"]), "\n"), 256).alias("checksum"))
+    """Per stream: SHA-256 over its events as a canonical JSON array, in order (bounded by the stream). Times are UTC."""
+    text = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    parts = {"event_id": text("event_id"), "event_type": text("event_type"), "event_version": F.col("event_version").cast("string"),
+             "global_position": F.col("global_position").cast("string"), "payload": F.coalesce("payload", F.lit("null")),
+             "recorded_at": F.concat(F.lit('"'), iso_timestamp(F.col("recorded_at")), F.lit('+00:00"')), "stream_position": F.col("stream_position").cast("string")}
+    items = [F.concat(F.lit(f'"{k}":'), F.coalesce(v, F.lit("null"))) for k, v in parts.items()]
+    row = canonical_json(F.concat(F.lit("{"), F.concat_ws(",", *items), F.lit("}")))
+    rows = log.select("stream_id", F.struct("stream_position", row.alias("r")).alias("e")).groupBy("stream_id").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    return rows.select("stream_id", F.sha2(F.concat(F.lit("["), F.array_join("e.r", ","), F.lit("]")), 256).alias("checksum"))

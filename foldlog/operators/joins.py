@@ -103,18 +103,23 @@ def orphan_events(log: DataFrame) -> DataFrame:
     return e.join(submitted, "application_id", "left_anti").select("global_position", "application_id", "event_type")
 
 
-def causation_chain(log: DataFrame, correlation_id: str, max_depth: int = 20) -> DataFrame:
-    """Events of a correlation and how many causes stand above each, up to max_depth."""
+def causation_chain(log: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Events of every correlation and how many causes of that correlation stand above each (up to max_depth, if given).
+
+    Pointers double: after n rounds each event knows its cause 2**n steps up, so a chain takes the logarithm of its
+    length in rounds. Events on a cycle of causes are under no root and left out. Rounds are checkpointed.
+    """
     meta = lambda k: F.get_json_object("metadata", f"$.{k}")
-    own = log.where(meta("correlation_id") == correlation_id).select("event_id", meta("causation_id").alias("cause"), "event_type", "global_position").checkpoint()
-    front = own.join(own.select(F.col("event_id").alias("cause")), "cause", "left_anti").select("event_id", "event_type", "global_position", F.lit(0).alias("depth"))
-    out = front
-    for depth in range(1, max_depth + 1):
-        front = own.join(front.select(F.col("event_id").alias("cause")), "cause").select("event_id", "event_type", "global_position", F.lit(depth).alias("depth")).checkpoint()
-        if front.isEmpty():
-            break
-        out = out.unionByName(front)
-    return out
+    own = log.select("event_id", meta("correlation_id").alias("correlation_id"), meta("causation_id").alias("up"), "event_type", "global_position").where("correlation_id is not null")
+    causes = own.select(F.col("event_id").alias("up"), "correlation_id", F.lit(1).alias("d"))
+    now = own.join(causes, ["up", "correlation_id"], "left").select("event_id", F.when(F.col("d") == 1, F.col("up")).alias("up"), F.coalesce("d", F.lit(0)).alias("depth")).checkpoint()
+    longest, reach = now.count(), 1
+    while reach <= longest and not now.where("up is not null").isEmpty():
+        next_ = now.select(F.col("event_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"))
+        now = now.join(next_, "up", "left").select("event_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")).checkpoint()
+        reach *= 2
+    out = own.drop("up").join(now.where("up is null").drop("up"), "event_id")
+    return out if max_depth is None else out.where(F.col("depth") <= max_depth)
 
 
 def entity_timeline(log: DataFrame) -> DataFrame:

@@ -19,10 +19,12 @@ def compliance_flags(flags: DataFrame, active_only: bool = False) -> DataFrame:
 
 
 def financial_ratios(h: DataFrame) -> DataFrame:
-    """Debt to equity and margins, denominators at least 1, two decimals."""
+    """Leverage, liquidity, coverage and margins, denominators at least 1, two decimals."""
     over = lambda a, b: F.round(F.col(a) / F.greatest(F.col(b), F.lit(1)), 2)
-    return h.withColumns({"debt_to_equity": over("total_liabilities", "total_equity"), "liabilities_to_assets": over("total_liabilities", "total_assets"),
-                          "revenue_to_assets": over("total_revenue", "total_assets")})
+    return h.withColumns({
+        "debt_to_equity": over("total_liabilities", "total_equity"), "current_ratio": over("current_assets", "current_liabilities"),
+        "debt_to_ebitda": over("total_liabilities", "ebitda"), "interest_coverage": over("operating_income", "interest_expense"),
+        "gross_margin": over("gross_profit", "total_revenue"), "ebitda_margin": over("ebitda", "total_revenue"), "net_margin": over("net_income", "total_revenue")})
 
 
 def balance_sheet_check(h: DataFrame) -> DataFrame:
@@ -44,7 +46,11 @@ def credit_policy(rows: DataFrame) -> DataFrame:
     cap = F.floor(0.35 * F.col("revenue")).cast("double")
     capped = (cap > 0) & (F.col("limit_usd") > cap)
     lower = F.col("has_high_flag") & (F.col("confidence") > 0.50)
-    names = F.array_join(F.array_compact(F.array(F.when(capped, "limit_cap"), F.when(F.col("has_default"), "prior_default"), F.when(lower, "high_flag"))), ",")
+    raised = F.col("has_default") & ~F.col("risk_tier").eqNullSafe("HIGH")
+    # Texts in stored logs.
+    names = F.array_join(F.array_compact(F.array(
+        F.when(capped, F.concat(F.lit("POLICY_REV_CAP: limit capped at 35% of revenue ($"), F.format_number(cap, 0), F.lit(")"))),
+        F.when(raised, "POLICY_PRIOR_DEFAULT: risk_tier elevated to HIGH"), F.when(lower, "POLICY_COMPLIANCE_FLAG: confidence capped at 0.50"))), "; ")
     return rows.withColumns({
         "overrides": names, "limit_usd": F.when(capped, cap).otherwise(F.col("limit_usd")),
         "risk_tier": F.when(F.col("has_default"), "HIGH").otherwise(F.col("risk_tier")), "confidence": F.when(lower, 0.50).otherwise(F.col("confidence"))})

@@ -90,21 +90,28 @@ def model_version_mismatch(log: DataFrame) -> DataFrame:
     return done.join(own, "session").where("declared is not null and declared != locked")
 
 
-def validate_commands(df: DataFrame, rules: list[tuple[str, Column, str]]) -> DataFrame:
-    """df with errors, an array of (error_type, message) of the rules that fail; rules: error type, what must hold, message."""
-    errors = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.struct(F.lit(kind).alias("error_type"), F.lit(say).alias("message"))) for kind, ok, say in rules)))
+def validate_commands(df: DataFrame, rules: list[tuple[str, Column, str, str]]) -> DataFrame:
+    """df with errors, an array of (error_type, message, suggested_action) of the rules that fail, and is_valid.
+
+    rules: error type, what must hold, message, suggested action, as outcomes.command_rules gives them. Unknown counts as not held.
+    """
+    error = lambda *texts: F.struct(*(F.lit(x).alias(n) for x, n in zip(texts, ("error_type", "message", "suggested_action"), strict=True)))
+    errors = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), error(kind, say, do)) for kind, ok, say, do in rules)))
     return df.withColumn("errors", errors).withColumn("is_valid", F.size("errors") == 0)
 
 
 def evaluate_regulations(apps: DataFrame, as_of_year: int) -> DataFrame:
     """One row per application and rule evaluated; evaluation stops at the first hard block.
 
-    apps: application_id, jurisdiction, legal_type, founded_year, requested_amount, aml_watch, sanctions (booleans).
+    apps: application_id, jurisdiction, legal_type, founded_year, requested_amount, aml_watch, sanctions (booleans). An unknown
+    year of foundation counts as as_of_year and blocks; every other unknown passes.
     """
-    years = F.lit(as_of_year) - F.col("founded_year")
-    table = [  # rule, holds, hard
-        ("REG-001", ~F.col("aml_watch"), False), ("REG-002", ~F.col("sanctions"), True), ("REG-003", F.col("jurisdiction") != "MT", True),
-        ("REG-004", ~((F.col("legal_type") == "Sole Proprietor") & (F.col("requested_amount") > 250_000)), False),
+    true = lambda c: F.coalesce(c, F.lit(True))
+    years = F.lit(as_of_year) - F.coalesce("founded_year", F.lit(as_of_year))
+    # Rule, what must hold, whether it blocks.
+    table = [
+        ("REG-001", true(~F.col("aml_watch")), False), ("REG-002", true(~F.col("sanctions")), True), ("REG-003", true(F.col("jurisdiction") != "MT"), True),
+        ("REG-004", true(~((F.col("legal_type") == "Sole Proprietor") & (F.col("requested_amount") > 250_000))), False),
         ("REG-005", years >= 2, True), ("REG-006", F.lit(True), False)]
     rows = F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(r).alias("rule_id"), F.when(ok, "NOTED" if r == "REG-006" else "PASSED").otherwise("FAILED").alias("status"), (F.lit(hard) & ~ok).alias("block")) for i, (r, ok, hard) in enumerate(table)))
     stop = F.array_min(F.transform(F.filter(rows, lambda x: x["block"]), lambda x: x["ordinal"]))
@@ -128,9 +135,10 @@ def decision_constraints(rows: DataFrame) -> DataFrame:
     null counts as 0.5.
     """
     confidence = F.when(F.coalesce("confidence", F.lit(0.0)) == 0, 0.5).otherwise(F.col("confidence"))
+    # Names in stored logs.
     steps = [
-        ("compliance_block", F.col("verdict") == "BLOCKED", "DECLINE"), ("confidence_floor", confidence < CONFIDENCE_FLOOR, "REFER"),
-        ("fraud_score", F.col("fraud_score") > 0.60, "REFER"), ("high_risk", (F.col("risk_tier") == "HIGH") & (confidence < 0.70), "REFER")]
+        ("COMPLIANCE_BLOCKED", F.col("verdict") == "BLOCKED", "DECLINE"), ("CONFIDENCE_FLOOR", confidence < CONFIDENCE_FLOOR, "REFER"),
+        ("FRAUD_SCORE_THRESHOLD", F.col("fraud_score") > 0.60, "REFER"), ("HIGH_RISK_CONFIDENCE_FLOOR", (F.col("risk_tier") == "HIGH") & (confidence < 0.70), "REFER")]
     final = F.col("recommendation")
     for _, hit, to in steps:
         final = F.when(F.coalesce(hit, F.lit(False)), to).otherwise(final)

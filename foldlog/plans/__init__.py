@@ -1,6 +1,6 @@
 """The registered queries over the driver's tables and the same queries in SQL."""
 
-from . import folds, tables
+from . import folds, stages, tables
 
-QUERIES: dict = {**folds.QUERIES, **tables.QUERIES}
-ORACLES: dict = {**folds.ORACLES, **tables.ORACLES}
+QUERIES: dict = {**folds.QUERIES, **tables.QUERIES, **stages.QUERIES}
+ORACLES: dict = {**folds.ORACLES, **tables.ORACLES, **stages.ORACLES}

@@ -53,7 +53,6 @@ query("a11_mirror_to_audit", """SELECT 'audit-loan-' || app AS stream_id, global
 query("a12_outbox_rows", "SELECT CAST(event_id AS VARCHAR) AS event_id, 'ALL' AS destination, 0 AS attempts, recorded_at AS created_at FROM log")(lambda log: S.outbox_rows(log).select("event_id", "destination", "attempts", "created_at"))
 query("a13_pending_outbox", "SELECT CAST(event_id AS VARCHAR) AS event_id FROM log WHERE event_id % 2 = 1 ORDER BY recorded_at, CAST(event_id AS VARCHAR) LIMIT 100")(
     lambda log: S.pending_outbox(S.outbox_rows(log).withColumn("attempts", F.when(F.col("event_id").cast("long") % 2 == 0, 5).otherwise(0))).select("event_id"))
-query("a25_check_constraints", "SELECT 'none' AS rule, 'none' AS key, CAST(0 AS BIGINT) AS n WHERE false")(S.check_constraints)
 
 query("f1_by_category", "SELECT global_position, stream_id FROM log WHERE stream_id LIKE 'agent-%'")(lambda log: X.by_category(log, "agent-").select("global_position", "stream_id"))
 query("f3_in_shard", "SELECT global_position FROM log WHERE global_position BETWEEN 6 AND 5011")(lambda log: log.where(X.in_shard(F.col("global_position"), F.lit(6), F.lit(5011))).select("global_position"))
@@ -151,11 +150,9 @@ query("j9_causal_chain_violations", "SELECT 'agent-' || agent_id || '-' || sessi
 query("j11_pending_work_items", """, m AS (SELECT app, global_position, CASE WHEN event_type IN ('CreditAnalysisRequested','CreditAnalysisCompleted') THEN 'credit' WHEN event_type IN ('FraudScreeningRequested','FraudScreeningCompleted') THEN 'fraud' WHEN event_type IN ('ComplianceCheckRequested','ComplianceRulePassed') THEN 'compliance' END AS stage,
   event_type LIKE '%Requested' AS asked FROM log), p AS (SELECT app AS application_id, stage, max(CASE WHEN asked THEN global_position END) AS asked_at, max(CASE WHEN NOT asked THEN global_position END) AS done_at FROM m WHERE stage IS NOT NULL GROUP BY app, stage)
  SELECT * FROM p WHERE asked_at IS NOT NULL AND (done_at IS NULL OR done_at < asked_at)""")(J.pending_work_items)
-query("j12_sessions_without_context", "SELECT stream_id, arg_min(event_type, stream_position) AS first_type FROM log WHERE stream_id LIKE 'agent-%' GROUP BY stream_id HAVING arg_min(event_type, stream_position) <> 'AgentContextLoaded'")(J.sessions_without_context)
-query("j13_causation_chain", """, own AS (SELECT event_id, event_type, global_position, row_number() OVER (ORDER BY event_id) - 1 AS depth FROM log WHERE user_id = 7) SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, global_position, CAST(depth AS INTEGER) AS depth FROM own WHERE depth <= 5""")(
-    lambda log: J.causation_chain(log, "corr-7", 5))
+query("j13_causation_chain", """ SELECT CAST(event_id AS VARCHAR) AS event_id, 'corr-' || user_id AS correlation_id, event_type, global_position,
+ CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS depth FROM log""")(J.causation_chain)
 query("j14_entity_timeline", "SELECT app AS application_id, stream_id, event_type, global_position, recorded_at, row_number() OVER (PARTITION BY app ORDER BY recorded_at, global_position) AS seq FROM log WHERE event_type <> 'AgentContextLoaded'")(J.entity_timeline)
-query("j15_orphan_events", "SELECT global_position, app AS application_id, event_type FROM log WHERE event_type <> 'AgentContextLoaded' AND app NOT IN (SELECT app FROM log WHERE event_type = 'ApplicationSubmitted')")(J.orphan_events)
 query("j16_latest_stage_results", """SELECT app AS application_id, arg_max(risk_tier, global_position) FILTER (event_type = 'CreditAnalysisCompleted') AS risk_tier, arg_max(score, global_position) FILTER (event_type = 'FraudScreeningCompleted') AS fraud_score,
  arg_max(event_type, global_position) FILTER (event_type LIKE 'ComplianceRule%') AS compliance FROM log WHERE event_type <> 'AgentContextLoaded' GROUP BY app""")(J.latest_stage_results)
 query("j17_decision_model_versions", ", sm AS (SELECT stream_id, max(agent_id) AS agent_id, arg_max(model_version, stream_position) AS model_version FROM log WHERE stream_id LIKE 'agent-%' GROUP BY stream_id) SELECT global_position, sm.agent_id, sm.model_version FROM log JOIN sm ON sm.stream_id = 'agent-' || log.agent_id || '-' || session_id WHERE event_type = 'DecisionGenerated'")(J.decision_model_versions)
@@ -170,7 +167,6 @@ query("r1_audit_transitions", _PRIOR + """, v AS (SELECT stream_id, stream_posit
   WHEN event_type = 'ApplicationApproved' THEN 'compliance_dependency' END AS rule_name FROM b) SELECT * FROM v WHERE rule_name IS NOT NULL""")(U.audit_transitions)
 query("r2_model_version_lock", _PRIOR + " SELECT stream_id, stream_position, global_position, event_type FROM b WHERE locked")(lambda log: U.rule_violations(log, "model_version_locking"))
 query("r3_confidence_floor", "SELECT stream_id, stream_position, global_position, event_type FROM log WHERE event_type = 'DecisionGenerated' AND score < 0.6 AND recommendation <> 'REFER'")(lambda log: U.rule_violations(log, "confidence_floor"))
-query("r4_decision_needs_sessions", "SELECT stream_id, stream_position, global_position, event_type FROM log WHERE false")(lambda log: U.rule_violations(log, "causal_chain"))
 query("r5_approval_needs_compliance", "SELECT stream_id, stream_position, global_position, event_type FROM log WHERE event_type = 'ApplicationApproved'")(lambda log: U.rule_violations(log, "compliance_dependency"))
 query("r7_session_protocol", "SELECT stream_id, stream_position, event_type, 'context_must_be_first' AS rule_name FROM log WHERE event_type = 'AgentContextLoaded' AND stream_position > 1")(U.session_protocol)
 query("r8_model_version_mismatch", ", sm AS (SELECT stream_id AS session, arg_max(model_version, stream_position) AS locked FROM log WHERE stream_id LIKE 'agent-%' GROUP BY stream_id) SELECT session, global_position, model_version AS declared, locked FROM log JOIN sm ON session = 'agent-' || agent_id || '-' || session_id WHERE event_type = 'CreditAnalysisCompleted' AND model_version <> locked")(U.model_version_mismatch)
@@ -178,13 +174,17 @@ query("r9_override_needs_reason", "SELECT global_position, app AS application_id
 
 _CHAIN = """, au AS (SELECT *, row_number() OVER (PARTITION BY app ORDER BY global_position) AS n FROM log WHERE event_type <> 'AgentContextLoaded')"""
 query("g14_audit_state", _CHAIN + " SELECT 'audit-loan-' || app AS stream_id, count(*) // 20 AS checks FROM au GROUP BY app")(lambda log: A.audit_state(_renumber(I.close_segments(S.mirror_to_audit(log)))).select("stream_id", "checks"))
-query("g15_integrity_hash", """, au AS (SELECT app, global_position, sha256(stream_id || '#' || stream_position) AS h FROM log WHERE event_type <> 'AgentContextLoaded') SELECT 'audit-loan-' || app AS stream_id, sha256(string_agg(h, '' ORDER BY global_position)) AS integrity_hash, CAST(count(*) AS INTEGER) AS events_hashed FROM au GROUP BY app""")(
-    lambda log: I.integrity_hash(S.mirror_to_audit(log.withColumn("text", F.concat_ws("#", "stream_id", "stream_position"))).withColumn("payload", F.col("text"))).drop("previous_hash"))
+query("g15_integrity_hash", """, au AS (SELECT app, global_position, sha256('{"a":"' || stream_id || '","z":' || stream_position || '}') AS h FROM log WHERE event_type <> 'AgentContextLoaded')
+ SELECT 'audit-loan-' || app AS stream_id, sha256(string_agg(h, '' ORDER BY global_position)) AS integrity_hash, CAST(count(*) AS INTEGER) AS events_hashed FROM au GROUP BY app""")(
+    lambda log: I.integrity_hash(_with_payload(S.mirror_to_audit(log.withColumn("text", _plain_payload())))).drop("previous_hash"))
 query("g16_verify_chain", _CHAIN + " SELECT 'audit-loan-' || app AS stream_id, true AS is_valid, count(*) // 20 AS checks FROM au GROUP BY app")(lambda log: I.verify_chain(I.close_segments(S.mirror_to_audit(log))).select("stream_id", "is_valid", "checks"))
 query("g16_verify_tampered", _CHAIN + ", x AS (SELECT app, max(n) AS size, min(CASE WHEN event_id % 997 = 0 THEN n END) AS bad FROM au GROUP BY app) SELECT 'audit-loan-' || app AS stream_id, bad IS NULL OR bad > size // 20 * 20 AS is_valid, CASE WHEN bad <= size // 20 * 20 THEN 'hash_mismatch' END AS failure FROM x")(
     lambda log: I.verify_chain(_tampered(I.close_segments(S.mirror_to_audit(log)))).select("stream_id", "is_valid", "failure"))
-query("g30_package_checksum", "SELECT stream_id, sha256(string_agg(stream_position || '|' || event_type || '|' || app, chr(10) ORDER BY stream_position)) AS checksum FROM log WHERE stream_id LIKE 'loan-%' GROUP BY stream_id")(
-    lambda log: I.package_checksum(X.by_category(log, "loan-").withColumn("payload", F.get_json_object("payload", "$.application_id"))))
+query("g30_package_checksum", """, r AS (SELECT stream_id, stream_position, '{"event_id":"' || event_id || '","event_type":"' || event_type || '","event_version":' || event_version || ',"global_position":' || global_position
+ || ',"payload":{"a":"' || stream_id || '","z":' || stream_position || '},"recorded_at":"' || CASE WHEN epoch_us(recorded_at) % 1000000 = 0 THEN strftime(recorded_at, '%Y-%m-%dT%H:%M:%S') ELSE strftime(recorded_at, '%Y-%m-%dT%H:%M:%S.%f') END
+ || '+00:00","stream_position":' || stream_position || '}' AS row FROM log WHERE stream_id LIKE 'loan-%')
+ SELECT stream_id, sha256('[' || string_agg(row, ',' ORDER BY stream_position) || ']') AS checksum FROM r GROUP BY stream_id""")(
+    lambda log: I.package_checksum(X.by_category(log, "loan-").withColumn("payload", _plain_payload())))
 query("g26_version_distribution", "SELECT event_type, event_version, count(*) AS n, min(recorded_at) AS oldest, max(recorded_at) AS newest, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY event_type), 1)::DOUBLE AS pct FROM log GROUP BY event_type, event_version")(
     lambda log: Q.version_distribution(log).withColumn("pct", F.col("pct").cast("double")))
 query("g27_event_type_counts", "SELECT event_type, count(*) AS n FROM log GROUP BY event_type ORDER BY n DESC, event_type LIMIT 8")(Q.event_type_counts)
@@ -237,5 +237,16 @@ def _renumber(log):
 
 
 def _tampered(log):
+    """One value of some payloads changed; others only written differently, which is no tampering."""
     bad = F.col("event_id").isNotNull() & (F.col("event_id").cast("long") % 997 == 0)
-    return log.withColumn("payload", F.when(bad, F.concat("payload", F.lit(" "))).otherwise(F.col("payload")))
+    changed = F.regexp_replace("payload", '"application_id":"', '"application_id":"X')
+    return log.withColumn("payload", F.when(bad, changed).otherwise(F.regexp_replace("payload", '":', '" : ')))
+
+
+def _plain_payload():
+    """A payload whose keys aren't in order and that both engines can write."""
+    return F.concat(F.lit('{"z": '), F.col("stream_position"), F.lit(', "a": "'), F.col("stream_id"), F.lit('"}'))
+
+
+def _with_payload(log):
+    return log.withColumn("payload", F.col("text")).drop("text")
