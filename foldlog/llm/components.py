@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: A table of links is written in parts of about so many: small tables in few files, large ones in many.
+PART_LINKS = 200_000
+
 
 def connected_components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node it reaches) of every node of links (a, b).
@@ -24,13 +27,19 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("s")).select("s.*")
-        after = written(small.where("a != b").distinct(), "cc")
+        after = written(small.where("a != b").distinct().coalesce(_parts(mark)), "cc")
         seen, mark = mark, _mark(after)
         now = after
         if mark == seen:
             break
-    return now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(
+    roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return roots.coalesce(_parts(mark))
+
+
+def _parts(mark: tuple[int, int]) -> int:
+    """How many files a round writes, by the links before it; results don't depend on it."""
+    return mark[0] // PART_LINKS + 1
 
 
 def _mark(links: DataFrame) -> tuple[int, int]:
