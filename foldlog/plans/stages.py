@@ -166,11 +166,16 @@ query("g23_node_profile", """SELECT 'agent-' || l_suppkey % 5 AS agent_type, l_r
  round(sum(l_partkey / 1e6), 6) AS cost FROM lineitem GROUP BY ALL""")(
     lambda s, d: O.node_profile(table(s, d, "lineitem").select(F.concat(F.lit("agent-"), F.col("l_suppkey") % 5).alias("agent_type"), F.col("l_returnflag").alias("node_name"), F.col("l_quantity").cast("double").alias("duration_ms"), (F.col("l_partkey") / 1e6).alias("cost"))).withColumns(
         {"avg_duration_ms": F.round("avg_duration_ms", 6), "cost": F.round("cost", 6)}))
-_SO_FAR = W.partitionBy("p.agent_id").orderBy("global_position").rowsBetween(W.unboundedPreceding, 0)
+
+
+def _so_far():
+    return W.partitionBy("p.agent_id").orderBy("global_position").rowsBetween(W.unboundedPreceding, 0)
+
+
 query("w9_running_averages", LOG + """SELECT global_position, agent_id, round(sum(score) OVER w, 2) / count(*) OVER w AS running_confidence
  FROM log WHERE event_type = 'CreditAnalysisCompleted' WINDOW w AS (PARTITION BY agent_id ORDER BY global_position ROWS UNBOUNDED PRECEDING)""")(lambda s, d: X.typed(events_log(s, d).where("event_type = 'CreditAnalysisCompleted'")).select(
     "global_position", F.col("p.agent_id").alias("agent_id"),
-    (F.round(F.sum("p.confidence_score").over(_SO_FAR), 2) / F.count("*").over(_SO_FAR)).alias("running_confidence")))
+    (F.round(F.sum("p.confidence_score").over(_so_far()), 2) / F.count("*").over(_so_far())).alias("running_confidence")))
 query("p6_decision_history", LOG + """SELECT app AS application_id, stream_position, recorded_at, event_type, CASE WHEN event_type IN ('CreditAnalysisCompleted', 'FraudScreeningCompleted', 'DecisionGenerated') THEN agent_id WHEN event_type = 'HumanReviewCompleted' THEN reviewer_id END AS actor,
  CASE event_type WHEN 'DecisionGenerated' THEN recommendation WHEN 'HumanReviewCompleted' THEN final_decision WHEN 'CreditAnalysisCompleted' THEN risk_tier END AS outcome,
  CASE WHEN event_type IN ('CreditAnalysisCompleted', 'DecisionGenerated', 'FraudScreeningCompleted') THEN score END AS score FROM log WHERE stream_id LIKE 'loan-%'""")(lambda s, d: O.decision_history(events_log(s, d)))
