@@ -14,6 +14,8 @@ from ..functions.expressions import by_category, parse_audit_stream, session_str
 from ..schema import SESSION_ENDS, SESSION_PARTIAL, SESSION_TYPES
 
 REVIEWED = ("DecisionGenerated", "HumanReviewCompleted")
+#: Entries of an array of a running mean at most: positions in a range, and ranges in a coarser one.
+RANGE = 4096
 
 
 def register(value: Column, when: Column, position: str = "global_position") -> Column:
@@ -76,8 +78,8 @@ def agent_performance(log: DataFrame, streams: str = "all", override_field: str
     """Counts, averages and rates per agent and model.
 
     streams: 'all' counts audit and session copies as the stored logs hold them, 'primary' only loan and agent-context streams.
-    avg_duration_ms is the running mean that skips durations of 0 but still counts them: an ordered fold over the sorted
-    durations of the analyses. override_field: None reports no overrides; 'override' counts that payload field.
+    avg_duration_ms is the running mean that skips durations of 0 but still counts them (running_means); 0 without analyses.
+    override_field: None reports no overrides; 'override' counts that payload field.
     """
     own = log if streams == "all" else log.where(F.col("stream_id").startswith("loan-") | (F.col("event_type") == "AgentContextLoaded"))
     e, t, p = typed(own), F.col("event_type"), F.col("p")
@@ -95,30 +97,66 @@ def agent_performance(log: DataFrame, streams: str = "all", override_field: str
     rate = lambda rec: F.coalesce(F.count_if(is_("DecisionGenerated") & (F.col("rec") == rec)) / F.nullif(decided, F.lit(0)), F.lit(0.0))
     out = rows.groupBy("agent_id", "model_version").agg(
         F.count_if(is_("CreditAnalysisCompleted")).alias("analyses_completed"), decided.alias("decisions_generated"),
-        F.array_sort(F.collect_list(F.when(is_("CreditAnalysisCompleted"), F.struct("global_position", "ms")))).alias("durations"),
         F.avg(F.when(is_("DecisionGenerated"), F.col("conf"))).alias("avg_confidence_score"),
         rate("APPROVE").alias("approve_rate"), rate("DECLINE").alias("decline_rate"), rate("REFER").alias("refer_rate"),
         F.count_if(is_("HumanReviewCompleted")).alias("human_reviews_total"), F.count_if(is_("HumanReviewCompleted") & F.col("override")).alias("human_overrides_total"),
         F.min("recorded_at").alias("first_seen_at"), F.max("recorded_at").alias("last_seen_at"))
-    start = F.struct(F.lit(0.0).alias("avg"), F.lit(0).alias("n"))
-    mean = F.aggregate("durations", start, lambda a, x: F.struct(
-        F.when(x["ms"] > 0, (a["avg"] * a["n"] + x["ms"]) / (a["n"] + 1)).otherwise(a["avg"]).alias("avg"), (a["n"] + 1).alias("n")), lambda a: a["avg"])
-    return out.withColumn("avg_duration_ms", mean).drop("durations")
+    means = running_means(rows.where(is_("CreditAnalysisCompleted")).select("agent_id", "model_version", "global_position", "ms"))
+    return out.join(means, ["agent_id", "model_version"], "left").fillna(0.0, ["avg_duration_ms"])
 
 
-def compliance_history(log: DataFrame) -> DataFrame:
-    """Compliance events, once per application and position."""
+def running_means(analyses: DataFrame) -> DataFrame:
+    """avg_duration_ms of each agent_id and model_version, from analyses' ms in order of global_position.
+
+    The analysis after k others takes the mean m to (m * k + ms) / (k + 1), and leaves it where ms is 0: an affine map of m.
+    The maps of RANGE positions compose to one, those of RANGE such ranges again, so no array holds an agent's analyses.
+    """
+    keys = ["agent_id", "model_version"]
+    parts = analyses.groupBy(*keys, F.floor(F.col("global_position") / RANGE).alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("global_position", "ms"))).alias("own")).checkpoint()
+    sizes = parts.select(*keys, "part", F.size("own").alias("n"))
+    before = sizes.select(*keys, "part", (F.sum("n").over(W.partitionBy(*keys).orderBy("part")) - F.col("n")).cast("double").alias("k"))
+    state = lambda a, b, k: F.struct(a.alias("a"), b.alias("b"), k.alias("k"))
+    step = lambda m, x: state(
+        F.when(x["ms"] > 0, m["a"] * m["k"] / (m["k"] + 1)).otherwise(m["a"]),
+        F.when(x["ms"] > 0, (m["b"] * m["k"] + x["ms"]) / (m["k"] + 1)).otherwise(m["b"]), m["k"] + 1)
+    maps = parts.join(before, [*keys, "part"]).select(
+        *keys, "part", F.aggregate("own", state(F.lit(1.0), F.lit(0.0), F.col("k")), step).alias("m")).select(*keys, "part", "m.a", "m.b")
+    then = lambda m, x: F.struct((x["a"] * m["a"]).alias("a"), (x["a"] * m["b"] + x["b"]).alias("b"))
+    for coarser in ([F.floor(F.col("part") / RANGE).alias("part")], []):
+        own = F.array_sort(F.collect_list(F.struct("part", "a", "b")))
+        whole = F.aggregate("own", F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")), then)
+        maps = maps.groupBy(*keys, *coarser).agg(own.alias("own")).withColumn("m", whole).drop("own").select("*", "m.a", "m.b").drop("m")
+    return maps.select(*keys, F.col("b").alias("avg_duration_ms"))
+
+
+def compliance_events(log: DataFrame) -> DataFrame:
     e = typed(log.where(F.col("event_type").isin("ComplianceCheckRequested", "ComplianceRulePassed", "ComplianceRuleFailed")))
     p = F.col("p")
     return e.where(p["application_id"].isNotNull()).select(
-        p["application_id"].alias("application_id"), "global_position", "event_type", p["rule_id"].alias("rule_id"), "recorded_at").dropDuplicates(["application_id", "global_position"])
+        p["application_id"].alias("application_id"), "global_position", "event_type", p["rule_id"].alias("rule_id"), "recorded_at")
+
+
+def compliance_history(log: DataFrame) -> DataFrame:
+    """Compliance events, once per application and position."""
+    return compliance_events(log).dropDuplicates(["application_id", "global_position"])
+
+
+def compliance_registers(log: DataFrame) -> DataFrame:
+    """application_id, rule_id, status, last_updated: the last result of each rule; a row without rule for events that name none.
+
+    One aggregation of maxima, which events that come twice don't change, so a stream folds it as well.
+    """
+    asked = F.col("event_type") == "ComplianceCheckRequested"
+    result = F.when(F.col("event_type") == "ComplianceRulePassed", "PASSED").otherwise("FAILED")
+    e = compliance_events(log).withColumn("rule_id", F.when(~asked, F.col("rule_id")))
+    return e.groupBy("application_id", "rule_id").agg(
+        F.max_by(F.when(F.col("rule_id").isNotNull(), result), "global_position").alias("status"), F.max("recorded_at").alias("last_updated"))
 
 
 def compliance_rules(log: DataFrame) -> DataFrame:
     """application_id, rule_id, status: the last result of each rule."""
-    h = compliance_history(log).where("event_type != 'ComplianceCheckRequested' and rule_id is not null")
-    return h.groupBy("application_id", "rule_id").agg(
-        F.max_by(F.when(F.col("event_type") == "ComplianceRulePassed", "PASSED").otherwise("FAILED"), "global_position").alias("status"))
+    return compliance_registers(log).where("rule_id is not null").drop("last_updated")
 
 
 def compliance_current(log: DataFrame) -> DataFrame:
@@ -126,9 +164,13 @@ def compliance_current(log: DataFrame) -> DataFrame:
 
     PASSED if every rule passed, FAILED if one failed, IN_PROGRESS after a request without results.
     """
-    per = compliance_rules(log).groupBy("application_id").agg(F.count_if(F.col("status") == "PASSED").alias("passed"), F.count_if(F.col("status") == "FAILED").alias("failed"))
-    seen = compliance_history(log).groupBy("application_id").agg(F.max("recorded_at").alias("last_updated"))
-    out = seen.join(per, "application_id", "left").fillna(0, ["passed", "failed"])
+    return compliance_totals(compliance_registers(log))
+
+
+def compliance_totals(registers: DataFrame) -> DataFrame:
+    """compliance_current from compliance_registers, also from those that a stream keeps."""
+    out = registers.groupBy("application_id").agg(
+        F.max("last_updated").alias("last_updated"), F.count_if(F.col("status") == "PASSED").alias("passed"), F.count_if(F.col("status") == "FAILED").alias("failed"))
     return out.withColumn("overall_status", F.when(F.col("failed") > 0, "FAILED").when(F.col("passed") > 0, "PASSED").otherwise("IN_PROGRESS"))
 
 

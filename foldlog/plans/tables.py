@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import partial
 
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,9 +13,11 @@ from ..functions import expressions as X
 from ..operators import quality as Q
 from ..operators import registry as G
 from ..operators import rules as U
+from ..operators.readmodels import compliance_totals
 from ..sources import log as S
-from ..streaming import latest_by_key, read_latest, run_projection, stream_progress
+from ..streaming import FOLDS, latest_by_key, read_latest, replay, run_projection, stream_progress
 from .fixtures import LOG, events_log, table
+from .folds import ORACLES as FOLD_SQL
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -145,24 +149,45 @@ query("a8_append_events", """WITH RECURSIVE p AS (SELECT 'loan-' || l_orderkey A
     lambda s, d: S.append_events(proposals(s, d), _heads(s))[0].select("stream_id", "ord", "stream_position"))
 query("a9_admit_groups")(lambda s, d: S.admit_groups(proposals(s, d).withColumn("group_id", F.shiftleft(F.floor(F.regexp_extract("stream_id", r"(\d+)", 1).cast("long") / 3), 20) + F.col("ord")), _heads(s)))
 query("a10_assign_global_positions", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS global_position FROM orders")(
-    lambda s, d: S.assign_global_positions(table(s, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], buckets=16).select("o_orderkey", F.col("global_position").cast("long").alias("global_position")))
-query("t1_streaming_projection", LOG + "SELECT stream_id, count(*) AS n, max(stream_position) AS version, arg_max(event_type, stream_position) AS last_type FROM log GROUP BY stream_id")(lambda s, d: _streamed(s, d))
+    lambda s, d: S.assign_global_positions(table(s, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", F.col("global_position").cast("long").alias("global_position")))
+query("t1_streaming_projection", LOG + "SELECT stream_id, count(*) AS n, max(stream_position) AS version, arg_max(event_type, stream_position) AS last_type FROM log GROUP BY stream_id")(lambda s, d: _streamed(s, d, stream_progress, ["stream_id"]))
+query("t5_bounded_replay", LOG + """, b AS (SELECT max(global_position) // 4 AS lo, max(global_position) // 4 * 3 AS hi FROM log)
+ SELECT stream_id, count(*) AS n, max(stream_position) AS version, arg_max(event_type, stream_position) AS last_type FROM log, b WHERE global_position BETWEEN lo AND hi GROUP BY stream_id""")(lambda s, d: _replayed(s, d))
+query("t7_application_summary", FOLD_SQL["g1_application_summary"])(
+    lambda s, d: _folded(s, d, "application_summary").withColumn("agent_sessions", F.array_join("agent_sessions_completed", ",")).drop("agent_sessions_completed"))
+query("t7_loan_state", FOLD_SQL["g10_loan_state"])(
+    lambda s, d: _folded(s, d, "loan_state").withColumn("model_versions", F.array_join("model_versions", ",")).drop("contributing_sessions"))
+query("t7_session_state", FOLD_SQL["g11_session_state"])(lambda s, d: _folded(s, d, "session_state").drop("contributed_apps"))
+query("t7_compliance_current", FOLD_SQL["g4_compliance_current"])(lambda s, d: compliance_totals(_folded(s, d, "compliance_registers")))
 
 
 def _shared(spark):
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", base) if not spark.conf.get("spark.checkpoint.dir", None) else None
+    """The folder that driver and executors share; only a local master may go without the setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
-def _streamed(spark, d):
+def _streamed(spark, d, fold, keys, run=run_projection):
+    """What a stream over the log, in several micro-batches, has kept of a fold at its end."""
     base = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
     events_log(spark, d).repartitionByRange(4, "global_position").write.parquet(f"{base}/log")
     events = spark.readStream.schema(spark.read.parquet(f"{base}/log").schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/log")
-    run_projection(events, stream_progress, latest_by_key(f"{base}/out", "stream_id"), f"{base}/checkpoint").awaitTermination()
-    return read_latest(spark, f"{base}/out", ["stream_id"])
+    run(events, fold, latest_by_key(f"{base}/out", keys[0]), f"{base}/checkpoint").awaitTermination()
+    return read_latest(spark, f"{base}/out", keys)
+
+
+def _folded(spark, d, name):
+    return _streamed(spark, d, *FOLDS[name])
+
+
+def _replayed(spark, d):
+    newest = table(spark, d, "events").agg(F.max("event_id") + 1).first()[0] or 0
+    return _streamed(spark, d, stream_progress, ["stream_id"], partial(replay, first=newest // 4, last=newest // 4 * 3))
 
 
 def _upsert(s, d):

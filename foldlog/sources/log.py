@@ -146,12 +146,13 @@ def admit_groups(proposals: DataFrame, heads: DataFrame, group: str = "group_id"
     return waiting.select(group, F.lit(None).cast("boolean").alias("accepted")) if done is None else done
 
 
-def assign_global_positions(accepted: DataFrame, order: list[str], start: int = 0, buckets: int = 64) -> DataFrame:
+def assign_global_positions(accepted: DataFrame, order: list[str], start: int = 0) -> DataFrame:
     """Dense positions after start in the order of the given columns, without one task that sorts all rows.
 
-    Rows are dealt by range and numbered in their partition; each partition starts where those before it end.
+    Rows are dealt by range into the session's number of shuffle partitions and numbered there; each partition starts
+    where those before it end.
     """
-    ranged = accepted.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    ranged = accepted.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"))
     starts = sizes.select("_part", (F.sum("n").over(W.orderBy("_part")) - F.col("n")).alias("before"))  # one row a partition
     number = F.row_number().over(W.partitionBy("_part").orderBy(*order))

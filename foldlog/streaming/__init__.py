@@ -9,6 +9,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.expressions import in_shard
+from ..operators.aggregates import loan_state, session_state
+from ..operators.readmodels import application_summary, compliance_registers
+
+#: Read models that are one aggregation of mergeable registers, so that a stream keeps them as it is, and the keys of their rows.
+#: Compliance states follow from the registers by compliance_totals.
+FOLDS = {
+    "application_summary": (application_summary, ["application_id"]), "loan_state": (loan_state, ["stream_id"]),
+    "session_state": (session_state, ["stream_id"]), "compliance_registers": (compliance_registers, ["application_id", "rule_id"])}
+
 
 def run_projection(events: DataFrame, fn: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """One query per projection, with a checkpoint of its own; fn folds mergeable registers (groupBy and max of structs).
@@ -35,6 +45,11 @@ def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch_id").alias("r")).select(*keys, "r.*")
 
 
+def replay(events: DataFrame, fn: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, first: int, last: int) -> StreamingQuery:
+    """A projection over the positions first to last only, which ends with them."""
+    return run_projection(events.where(in_shard(F.col("global_position"), F.lit(first), F.lit(last))), fn, sink, checkpoint)
+
+
 def stream_progress(events: DataFrame) -> DataFrame:
     """Per stream: events, head, last type: the fold that the streaming queries share with the batch ones."""
     return events.groupBy("stream_id").agg(
