@@ -101,11 +101,20 @@ def mix_sources(docs: DataFrame, size: Column | None = None) -> DataFrame:
 
     Null text: size 0. A source of size 0 gets target 0 and no copies. Null source: a source of its own, last.
     Equal rows are told apart by their order and get their own copies. An empty table gives an empty result.
+    Columns of docs named like one of the four new ones are replaced; all others stay, whatever their names.
     """
-    sized = docs.withColumn("size", word_count(F.col("text")) if size is None else size).withColumn("_h", F.xxhash64(*docs.columns))
+    new = ["size", "source_size", "target", "copies"]
+    keep = [F.col(f"own.`{c}`") for c in docs.columns if c.lower() not in new]
+    return _with_copies(docs, size).select(*keep, *new)
+
+
+def _with_copies(docs: DataFrame, size: Column | None = None) -> DataFrame:
+    """own (the row of docs), size, source_size, target and copies of each row."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    sized = docs.select(F.struct(*columns).alias("own"), "source", (word_count(F.col("text")) if size is None else size).alias("size"), F.xxhash64(*columns).alias("hash"))
     # equal rows need keys of their own: the hash and a number within it
-    numbered = F.row_number().over(W.partitionBy("_h").orderBy("size"))
-    keyed = sized.withColumn("row", F.xxhash64("_h", numbered)).drop("_h")
+    numbered = F.row_number().over(W.partitionBy("hash").orderBy("size"))
+    keyed = sized.withColumn("row", F.xxhash64("hash", numbered)).drop("hash")
     slim = written(keyed.select("row", "source", "size"), "mix-rows")
     targets = source_targets(slim)
     limit = F.col("target") / F.greatest(F.col("source_size"), F.lit(1))
@@ -126,14 +135,18 @@ def mix_sources(docs: DataFrame, size: Column | None = None) -> DataFrame:
     picked = done[0]
     for d in done[1:]:
         picked = picked.unionByName(d)
-    out = keyed.join(picked.select("row", "picked"), "row").join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    return out.withColumn("copies", F.floor(limit).cast("int") + F.col("picked")).drop("row", "picked", "_source")
+    # a row is known by its key, size and source, so keys that meet by chance part rows all the same
+    k, p = keyed.alias("k"), picked.select("row", "size", "source", "picked").alias("p")
+    same = (F.col("k.row") == F.col("p.row")) & (F.col("k.size") == F.col("p.size")) & F.col("k.source").eqNullSafe(F.col("p.source"))
+    both = k.join(p, same).select("k.own", "k.source", "k.size", "p.picked")
+    out = both.join(targets, both["source"].eqNullSafe(targets["source"]))
+    return out.select("own", "size", "source_size", "target", (F.floor(limit).cast("int") + F.col("picked")).alias("copies"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of docs as often as mix_sources takes it."""
-    out = mix_sources(docs)
-    return out.where("copies > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The mix itself: each row of docs as often as mix_sources takes it, with all columns of docs, whatever their names."""
+    out = _with_copies(docs).where("copies > 0")
+    return out.select("own", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("own.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

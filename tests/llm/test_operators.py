@@ -151,6 +151,15 @@ def test_mix_of_awkward_rows(spark, awkward):
     assert mixing.mixed(awkward).columns == awkward.columns and mixing.mixed(awkward.where("false")).count() == 0
 
 
+def test_mix_keeps_columns_of_any_name(spark, awkward):
+    names = ("row", "picked", "size", "copies", "own", "hash", "bin", "block", "prob", "_c", "_h", "_source", "a.b")
+    more = awkward.select("*", *(F.lit(f"my {n}").alias(n) for n in names))
+    got = mixing.mixed(more)
+    assert got.columns == more.columns and all(r[n] == f"my {n}" for r in got.collect() for n in names)
+    kept = mixing.mix_sources(more)
+    assert {"row", "picked", "own", "a.b"} < set(kept.columns) and kept.count() == len(AWKWARD) and dict(kept.dtypes)["size"] == "bigint"
+
+
 def plain_stats(text):
     w = words(text)
     grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
