@@ -16,7 +16,8 @@ METRICS = {
     "repeats": ("n_repeat_words", "n_words", 1000, 200, "high"),
     "word_length": ("word_chars", "n_words", 100, 250, "both"),
 }
-FENCE, LEAST_GROUP = 3, 30
+#: Quartile ranges beyond the quartiles, and how many documents a coarser sketch counts for beside a group's own.
+FENCE, PRIOR = 3, 30
 
 
 def word_stats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -68,19 +69,35 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     b = F.col("bucket")
     octave = F.greatest(F.floor(b / 32) - 1, F.lit(0)).cast("int")
     edge = F.when(b < 64, b).otherwise(F.call_function("shiftleft", b - 32 * octave, octave))
-    ranked = sketch.withColumn("upto", F.sum("n").over(at.orderBy("bucket"))).withColumn("rows", F.sum("n").over(at)).withColumn("edge", edge)
+    ranked = sketch.withColumn("upto", F.sum("n").over(at.orderBy("bucket"))).withColumn("rows", F.max("upto").over(at)).withColumn("edge", edge)
     return ranked.groupBy(*keys, "metric").agg(
         F.max("rows").alias("rows"),
         F.min(F.when(4 * F.col("upto") >= F.col("rows"), F.col("edge"))).alias("q1"),
         F.min(F.when(4 * F.col("upto") >= 3 * F.col("rows"), F.col("edge"))).alias("q3"))
 
 
+def blended(own: DataFrame, coarser: DataFrame, keys: list[str], upper: list[str]) -> DataFrame:
+    """Sketches of keys in which the coarser sketch (by upper, some of keys) counts for PRIOR documents beside the group's own.
+
+    One rule at every size: a group of few documents is close to the coarser sketch, one of many to its own.
+    """
+    at = W.partitionBy(*upper, "metric")
+    # totals add up in the buckets' order, so fractions come out alike in every run
+    shares = coarser.withColumn("upto", F.sum("n").over(at.orderBy("bucket"))).withColumn("n", PRIOR * F.col("n") / F.max("upto").over(at))
+    shares = shares.select(*(F.col(k).alias(f"up_{k}") for k in upper), F.col("metric").alias("up_metric"), "bucket", "n")
+    on = F.col("metric") == F.col("up_metric")
+    for k in upper:
+        on = on & F.col(k).eqNullSafe(F.col(f"up_{k}"))
+    prior = own.select(*keys, "metric").distinct().join(shares, on).select(*keys, "metric", "bucket", "n")
+    both = own.select(*keys, "metric", "bucket", F.col("n").cast("double").alias("n")).unionByName(prior)
+    return both.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
+
+
 def adaptive_limits(stats: DataFrame, keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """keys, metric, lo, hi: the range that a language and source's own documents keep to.
 
     hi = q3 + the larger of FENCE quartile ranges and the metric's margin, lo likewise below q1. Quartiles come from
-    the group's sketch; a group with fewer than LEAST_GROUP documents takes the merged sketch of its language, and one
-    whose language has as few takes that of the whole corpus.
+    the group's sketch blended with that of its language, which is blended with that of the whole corpus.
     """
     lang = keys[0]
     pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), _metric(m).alias("value")) for m in METRICS)))
@@ -88,10 +105,7 @@ def adaptive_limits(stats: DataFrame, keys: tuple[str, ...] = ("lang", "source")
     # merging is adding counts: the coarser sketches come from the finer ones, not from the documents
     by_lang = fine.groupBy(lang, "metric", "bucket").agg(F.sum("n").alias("n"))
     whole = by_lang.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
-    a, b, c = quartiles(fine, list(keys)).alias("a"), quartiles(by_lang, [lang]).alias("b"), quartiles(whole, []).alias("c")
-    both = a.join(b, (F.col(f"a.{lang}").eqNullSafe(F.col(f"b.{lang}"))) & (F.col("a.metric") == F.col("b.metric"))).join(c, F.col("a.metric") == F.col("c.metric"))
-    pick = lambda q: F.when(F.col("a.rows") >= LEAST_GROUP, F.col(f"a.{q}")).when(F.col("b.rows") >= LEAST_GROUP, F.col(f"b.{q}")).otherwise(F.col(f"c.{q}"))
-    out = both.select(*(F.col(f"a.{k}") for k in keys), F.col("a.metric"), pick("q1").alias("q1"), pick("q3").alias("q3"))
+    out = quartiles(blended(fine, blended(by_lang, whole, [lang], []), list(keys), [lang]), list(keys))
     by = lambda i: F.element_at(F.create_map(*(F.lit(x) for m, r in METRICS.items() for x in (m, r[i]))), F.col("metric"))
     reach = F.greatest(FENCE * (F.col("q3") - F.col("q1")), by(3))
     return out.select(*keys, "metric", F.when(by(4) == "both", F.col("q1") - reach).otherwise(F.lit(-1)).alias("lo"), (F.col("q3") + reach).alias("hi"))

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 from itertools import pairwise
 
 import numpy as np
@@ -185,6 +186,43 @@ def test_quality_limits(spark, awkward):
     assert quality.quality_rules(awkward).count() == len(AWKWARD) and quality.quality_rules(awkward.where("false")).count() == 0
 
 
+def plain_limits(stats):
+    """Quartiles of each group by lists of buckets with weights: its own documents, and the coarser groups' as 30."""
+    values = {m: np.floor(r[2] * stats[r[0]] / stats[r[1]].clip(lower=1)).astype(int) for m, r in quality.METRICS.items()}
+    out = {}
+    for m, v in values.items():
+        rows = [(lg, so, quality_bucket(int(x))) for lg, so, x, n in zip(stats.lang, stats.source, v, stats.n_words, strict=True) if n]
+
+        def blend(own, prior):
+            total = sum(prior.values())
+            return {b: own.get(b, 0) + 30 * prior.get(b, 0) / total for b in own.keys() | prior.keys()}
+
+        whole = Counter(b for *_, b in rows)
+        for lg, so in {r[:2] for r in rows}:
+            w = blend(Counter(b for x, y, b in rows if (x, y) == (lg, so)), blend(Counter(b for x, _, b in rows if x == lg), whole))
+            q, total = [], sum(w.values())
+            for share in (0.25, 0.75):
+                upto = 0
+                for b in sorted(w):
+                    upto += w[b]
+                    if upto >= share * total - 1e-9:
+                        break
+                octave = max(b // 32 - 1, 0)
+                q.append(b if b < 64 else (b - 32 * octave) << octave)
+            reach = max(3 * (q[1] - q[0]), quality.METRICS[m][3])
+            out[lg, so, m] = (q[0] - reach if quality.METRICS[m][4] == "both" else -1, q[1] + reach)
+    return values, out
+
+
+def test_kept_against_plain_quantiles(spark):
+    got = quality.judged(quality.word_stats(table(spark, "/root/testdata/sf0.01", "documents")).drop("text")).toPandas()
+    got["lang"], got["source"] = got.lang.fillna("-"), got.source.fillna("-")
+    values, limits = plain_limits(got)
+    fits = lambda i, r: all(limits[r.lang, r.source, m][0] <= values[m][i] <= limits[r.lang, r.source, m][1] for m in values)
+    want = [bool(not r.base_failed and fits(i, r)) for i, r in enumerate(got.itertuples())]
+    assert got.kept.tolist() == want and 0 < sum(want) < len(want)
+
+
 def test_sketch_buckets(spark):
     values = [0, 1, 63, 64, 65, 127, 128, 1000, 12345, 10**9]
     rows = spark.createDataFrame([(v,) for v in values], "value long").withColumn("bucket", quality.sketch_bucket(F.col("value")))
