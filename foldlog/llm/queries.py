@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, langid, mixing, quality, sharding, simhash, suffixes, toxicity, warc
+from . import bpe, embeddings, langid, lines, mixing, quality, runs, sharding, simhash, suffixes, toxicity, warc, whitening
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_language_id": langid.op9_language_id,
     "op10_embedding_near_dup": embeddings.op10_embedding_near_dup,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_line_dedup": lines.op12_line_dedup,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
-ORACLES: dict[str, str] = {"op2_warc_zip": warc.ORACLE}
+ORACLES: dict[str, str] = {"op2_warc_zip": warc.ORACLE, "op12_line_dedup": lines.ORACLE}
