@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 #: A word is a run of characters other than the six ASCII white-space characters.
@@ -81,12 +82,17 @@ def deflated(docs: DataFrame) -> DataFrame:
 
 
 def inflated(it: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
-    """Slices of batches, and the texts of some compressed columns (null: None)."""
+    """Slices of batches, of 512 rows and about 4 MB of texts at most, and the texts of some compressed columns (null: None)."""
+    size = lambda t: zstandard.frame_content_size(t.as_buffer()) if t.is_valid else 0
     for batch in it:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
+        ends = np.cumsum([sum(map(size, row)) for row in zip(*(batch.column(c) for c in columns), strict=True)], dtype=np.int64)
+        lo = 0
+        while lo < batch.num_rows:
+            to = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 22), side="right"))
+            part = batch.slice(lo, min(512, max(1, to - lo)))
             unpack = zstandard.ZstdDecompressor().decompress
             yield part, *([unpack(t.as_buffer()) if t.is_valid else None for t in part.column(c)] for c in columns)
+            lo += part.num_rows
 
 
 def inflate(docs: DataFrame) -> DataFrame:
@@ -101,6 +107,15 @@ def inflate(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with a dense number (from 0) in the order of some columns, which must tell all rows apart; no task gets more than a range."""
+    ranged = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))  # one row a range
+    starts = sizes.select("_range", (F.sum("_size").over(W.orderBy("_range")) - F.col("_size")).alias("_start"))
+    at = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_at", at).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_at")).drop("_range", "_start", "_at")
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of the documents whose labels are never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import deflated, inflated, mix64, table, written
+from .common import deflated, inflated, mix64, numbered, table, written
 
 LENGTH, GRAM = 100, 44
 _WINDOWS = LENGTH - GRAM + 1
@@ -96,17 +96,17 @@ def window_runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Texts end to end in chunks: data, bounds, doc and crc of each."""
+    """Texts end to end in chunks: data, bounds, doc and tie of each."""
     for batch in it:
         column = batch.column("text")
         offsets = column.offsets.to_numpy() if hasattr(column, "offsets") else np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
         offsets = offsets.astype(np.int64)
         data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-        doc, crc = batch.column("doc").to_numpy(), batch.column("crc").to_numpy()
+        doc, tie = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
         at = 0
         while at < len(column):
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
-            yield data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], doc[at:to], crc[at:to]
+            yield data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], doc[at:to], tie[at:to]
             at = to
 
 
@@ -116,7 +116,7 @@ _RUNS = "key long, doc long, place long, meta int"
 
 
 def _listed_runs(docs: DataFrame) -> DataFrame:
-    """The runs of docs' windows: key (the n-gram's hash), doc, place (crc and lo) and meta.
+    """The runs of docs' windows: key (the n-gram's hash), doc, place (tie and lo) and meta.
 
     A task groups its own runs first: the first of those that share an n-gram asks for all of them, and the others are dealt
     anywhere, as it is known already that they share it. So a task asks once for an n-gram, however often it stands in its texts.
@@ -137,17 +137,17 @@ def _listed_runs(docs: DataFrame) -> DataFrame:
             key = np.where(first, gram, mix64((doc * 31 + place).view(np.uint64)))
             return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(place), pa.array(meta.astype(np.int32))], names=["key", "doc", "place", "meta"])
 
-        for data, bounds, doc, crc in _texts(it):
+        for data, bounds, doc, tie in _texts(it):
             lo, hi, gram, at = window_runs(data, bounds)
             if len(lo):
                 own = np.searchsorted(bounds, lo, side="right") - 1
-                held.append((gram, doc[own], (crc[own] << 32) | (lo - bounds[own]), (hi - lo) | (at - lo) << _LEFT))
+                held.append((gram, doc[own], (tie[own] << 32) | (lo - bounds[own]), (hi - lo) | (at - lo) << _LEFT))
             if sum(len(h[0]) for h in held) > FLUSH_RUNS:
                 yield settle()
         if held:
             yield settle()
 
-    return docs.select("doc", "crc", "text").mapInArrow(run, _RUNS)
+    return docs.select("doc", "tie", "text").mapInArrow(run, _RUNS)
 
 
 def _shared_runs(listed: DataFrame, hot: int) -> DataFrame:
@@ -233,13 +233,13 @@ def merge_runs(runs: list[tuple[bytes, bytes]], width: int = _WIDTH) -> Iterator
     def before(a: int, b: int) -> bool:
         """Whether a's head comes before b's, which agree with the last suffix equally far; sets what is known of the later one."""
         n = known[a]
-        x, y = head[a], head[b]
+        x, y = head[a][n:], head[b][n:]
         if x == y:
             known[b] = width
             return True
-        gap = int.from_bytes(x[n:], "big") ^ int.from_bytes(y[n:], "big")
+        gap = int.from_bytes(x, "big") ^ int.from_bytes(y, "big")
         same = width - (gap.bit_length() + 7) // 8
-        first = x[same] < y[same]
+        first = x[same - n] < y[same - n]
         known[b if first else a] = same
         return first
 
@@ -353,12 +353,12 @@ def _sorted_runs(work: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
                 text = np.frombuffer(texts[i], np.uint8)
                 runs, doc = batch.column("runs")[i].values, batch.column("doc")[i].as_py()
                 place, meta = (runs.field(c).to_numpy() for c in ("place", "meta"))
-                crc = int(place[0]) & ~0xFFFFFFFF
+                tie = int(place[0]) & ~0xFFFFFFFF
                 for k in range(0, len(place), step_runs):
                     own = slice(k, k + step_runs)
                     n = meta[own].astype(np.int64)
                     suffix, before, lo, more, left = contexts(text, place[own] & 0xFFFFFFFF, n & 63, (n >> _LEFT) & 63, hot)
-                    held.append((suffix, before, np.full(len(lo), doc, np.int64), crc | lo, more, left))
+                    held.append((suffix, before, np.full(len(lo), doc, np.int64), tie | lo, more, left))
                     size += len(lo)
                     if size >= RUN_CONTEXTS:
                         yield flush()
@@ -442,7 +442,7 @@ def _merge_range(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """doc, place, more: windows of LENGTH bytes that start at place to place + more and also start earlier.
 
-    docs: doc (long), crc (of the text) and text (binary). Written steps:
+    docs: doc (long), tie (which of a doc's texts) and text (binary). Written steps:
     1. Windows are grouped by their least n-gram (a function of the window's bytes alone), in runs of 29 on average. A run whose
        n-gram stands nowhere else has no repeat.
     2. The others' suffixes, from the n-gram on, are sorted with the bytes before them: each task sorts its own, front-codes
@@ -455,33 +455,45 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     runs = written(_shared_runs(_listed_runs(docs), hot), "suffix-runs")
     # at most HOT_SHARE rows, but for roundings
     keys = [r[0] for r in runs.where("meta = -1").select("key").distinct().collect()]
-    runs = runs.where("meta != -1").select("doc", F.shiftright("place", 32).alias("crc"), "place", F.col("meta").bitwiseAND(_PASS - 1).alias("meta"))
+    runs = runs.where("meta != -1").select("doc", F.shiftright("place", 32).alias("tie"), "place", F.col("meta").bitwiseAND(_PASS - 1).alias("meta"))
     parts = max(1, math.ceil(runs.count() / RANGE_CONTEXTS))
-    lists = runs.groupBy("doc", "crc").agg(F.collect_set(F.struct("place", "meta")).alias("runs"))
-    front = _sorted_runs(deflated(docs).join(lists, ["doc", "crc"]), parts, np.array(keys, np.int64).view(np.uint64))
+    lists = runs.groupBy("doc", "tie").agg(F.collect_set(F.struct("place", "meta")).alias("runs"))
+    front = _sorted_runs(deflated(docs).join(lists, ["doc", "tie"]), parts, np.array(keys, np.int64).view(np.uint64))
     return written(front.groupBy("part").applyInArrow(_merge_range, _FOUND), "suffix-repeats")
 
 
 def _keyed(docs: DataFrame, key: str) -> DataFrame:
-    """doc, crc, null (whether the text is), text (bytes), and own: the other columns, so that their names can't clash."""
+    """doc, tie, null (whether the text is), text (bytes), and own: the other columns, so that their names can't clash.
+
+    doc and tie name a text: a null key counts as the largest one, and of several texts under one key each gets a number, in the
+    order of 128 bits of their hashes. Keys of one text (the rule) have tie 0 and are told by a narrow count alone.
+    """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    return docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.shiftright(F.crc32(text), 1).alias("crc"),
+    rows = docs.select(
+        F.coalesce(F.col(f"`{key}`").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("i"),
         F.col("text").isNull().alias("null"), F.struct(*others).alias("own"), text.alias("text"))
+    texts = written(rows.select("doc", "h", "i").distinct(), "texts")
+    several = texts.join(texts.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1"), "doc", "left_semi")
+    number = numbered(several, ["doc", "h", "i"], "number")
+    if number.isEmpty():
+        return rows.withColumn("tie", F.lit(0).cast("long")).drop("h", "i")
+    ties = number.join(number.groupBy("doc").agg(F.min("number").alias("least")), "doc").select("doc", "h", "i", (F.col("number") - F.col("least")).alias("tie"))
+    out = rows.join(ties, ["doc", "h", "i"], "left").withColumn("tie", F.coalesce("tie", F.lit(0)).cast("long"))
+    return out.withColumn("tie", F.when(F.col("tie") < 1 << 31, F.col("tie")).otherwise(F.raise_error(F.lit("more than 2**31 texts under one key")))).drop("h", "i")
 
 
 def repeat_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """_keyed's columns, the text compressed, and spans: the stretches (lo, hi) that repeats cover, not merged; null if none.
 
-    A null key comes last. Rows of one key and different texts are ordered by their texts' checksums; equal rows don't
-    count as earlier than each other.
+    A null key comes last. Rows of one key and different texts are ordered by their texts' hashes, and are told apart however
+    many they are; equal rows don't count as earlier than each other.
     """
     keyed = _keyed(docs, key)
-    found = repeated_windows(keyed.select("doc", "crc", "text"))
+    found = repeated_windows(keyed.select("doc", "tie", "text"))
     at = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    spans = found.groupBy("doc", F.shiftright("place", 32).alias("crc")).agg(F.collect_list(F.struct(at.alias("lo"), (at + F.col("more") + LENGTH).alias("hi"))).alias("spans"))
-    return deflated(keyed).join(spans, ["doc", "crc"], "left")
+    spans = found.groupBy("doc", F.shiftright("place", 32).alias("tie")).agg(F.collect_list(F.struct(at.alias("lo"), (at + F.col("more") + LENGTH).alias("hi"))).alias("spans"))
+    return deflated(keyed).join(spans, ["doc", "tie"], "left")
 
 
 def merged_spans(spans: pa.Scalar) -> np.ndarray:

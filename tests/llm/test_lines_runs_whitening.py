@@ -229,3 +229,92 @@ def test_oracle_matches_on_small_table(spark):
     want = con.execute(lines.ORACLE).fetchall()
     got = QUERIES["op12_line_dedup"](spark, DATA).select(F.col("doc_id"), "n_lines", "n_dropped", "kept_sha256").collect()
     assert order(map(tuple, got)) == order(map(tuple, want))
+
+
+def plain_repeats(rows, length=100):
+    """rows in order of documents, (document, bytes): removed places of each, by the strings that start earlier."""
+    seen, out = {}, []
+    for doc, text in rows:
+        gone = set()
+        for i in range(len(text) - length + 1):
+            first = seen.setdefault(text[i : i + length], (doc, i))
+            if first != (doc, i):
+                gone |= set(range(i, i + length))
+        out.append((doc, len(gone)))
+    return out
+
+
+def colliding_texts(rng, n, size):
+    """n texts without anything in common whose 31-bit checksums are equal."""
+    base, rest = zlib.crc32(rng.randbytes(size)) >> 1, []
+    while len(rest) < n:
+        text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=size))
+        want = base << 1
+        # the last four bytes that lead to a checksum, by its linear table
+        low = zlib.crc32(text.encode())
+        tail = _forge(low, want)
+        if all(32 <= b < 127 for b in tail):
+            rest.append(text + tail.decode())
+    return rest
+
+
+def _forge(crc, want):
+    table_ = []
+    for i in range(256):
+        c = i
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        table_.append(c)
+    top = {c >> 24: i for i, c in enumerate(table_)}
+    state, index = want ^ 0xFFFFFFFF, []
+    for _ in range(4):
+        i = top[state >> 24]
+        index.append(i)
+        state = ((state ^ table_[i]) << 8) & 0xFFFFFFFF
+    state, out = crc ^ 0xFFFFFFFF, bytearray()
+    for i in reversed(index):
+        out.append((state & 0xFF) ^ i)
+        state = (state >> 8) ^ table_[i]
+    return bytes(out)
+
+
+def test_suffix_dedup_tells_rows_of_one_id_and_checksum_apart(spark):
+    from foldlog.llm import suffixes
+
+    rng = random.Random(9)
+    short, long_ = colliding_texts(rng, 1, 20)[0], colliding_texts(rng, 1, 412)[0]
+    same = colliding_texts(rng, 2, 300)
+    a, b = same
+    shared = "".join(rng.choices("abcdefgh ", k=150))
+    rows = [(None, a), (None, b), (None, a + shared), (None, shared + b), (7, a[:90]), (7, b[:90] + shared), (7, short), (7, long_), (7, long_), (8, long_)]
+    assert zlib.crc32(a.encode()) >> 1 == zlib.crc32(b.encode()) >> 1
+    got = suffixes.repeat_digest(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert len(got) == len(rows) and got.n_bytes.sum() == sum(len(t) for _, t in rows)
+    removed = got.set_index("n_bytes").n_removed.groupby(level=0).apply(sorted).to_dict()
+    assert removed[len(short)] == [0] and removed[len(long_)] == [0, 0, len(long_)]
+    # rows of id 7 come before those without; of the latter each pair that shares a passage loses it once
+    null = got[got.doc_id.isna()].n_removed.sum()
+    assert null == len(a) + 2 * 150 + len(b)
+
+
+def test_many_texts_without_id_are_numbered(spark):
+    from foldlog.llm import suffixes
+
+    rows = [(None, f"text {i} " + f"{i * 7919:09d} " * 14) for i in range(3000)] + [(1, "x")] * 3 + [(None, "text 5 " + "000039595 " * 14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = suffixes._keyed(docs, "doc_id").toPandas()
+    assert keyed[keyed.doc != 1].tie.nunique() == 3000 and keyed[keyed.doc != 1].tie.max() == 2999 and set(keyed[keyed.doc == 1].tie) == {0}
+    assert suffixes.repeat_digest(docs.where("doc_id is null")).count() == 3001
+
+
+def test_compressed_texts_come_in_slices_of_bytes():
+    import pyarrow as pa
+    import zstandard
+
+    from foldlog.llm.common import inflated
+
+    texts = [b"x" * n for n in (10, 3 << 20, 3 << 20, 9 << 20, 5)] + [None] * 3 + [b"y"] * 600
+    batch = pa.RecordBatch.from_pydict({"t": pa.array([t and zstandard.compress(t) for t in texts], pa.binary()), "i": pa.array(range(len(texts)))})
+    parts = list(inflated(iter([batch]), "t"))
+    assert [t for _, own in parts for t in own] == texts and [i for p, _ in parts for i in p.column("i").to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows == 1 or (p.num_rows <= 512 and sum(len(t or b"") for t in own) <= 1 << 22) for p, own in parts)
