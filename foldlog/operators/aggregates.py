@@ -37,21 +37,32 @@ def session_state(log: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when(~loads, clean_app_id(p["application_id"])))).alias("contributed_apps"), F.max(POS).alias("version"))
 
 
-def compliance_record(log: DataFrame) -> DataFrame:
-    """Per compliance stream: last result of each rule, required rules, whether all that is required passed."""
+def compliance_rule_registers(log: DataFrame) -> DataFrame:
+    """stream_id, rule_id, ok, required: the last result of each rule of a compliance stream; a row without rule holds what was last required.
+
+    One aggregation of registers, which a stream folds as well.
+    """
     e, t, p = typed(by_category(log, "compliance-")), F.col("event_type"), F.col("p")
-    rules = e.where(t.isin("ComplianceRulePassed", "ComplianceRuleFailed")).groupBy("stream_id", p["rule_id"].alias("rule_id")).agg(
-        F.max_by(t == "ComplianceRulePassed", POS).alias("ok"))
-    per = rules.groupBy("stream_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("ok"), F.col("rule_id")))).alias("passed"), F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("rule_id")))).alias("failed"))
-    need = e.where(t == "ComplianceCheckRequested").where(F.size(p["required_rules"]) > 0).groupBy("stream_id").agg(F.max_by(p["required_rules"], POS).alias("required"))
-    none = F.array().cast("array<string>")
-    out = e.select("stream_id").distinct().join(per, "stream_id", "left").join(need, "stream_id", "left").select(
-        "stream_id", *(F.coalesce(c, none).alias(c) for c in ("passed", "failed", "required")))
+    result = t.isin("ComplianceRulePassed", "ComplianceRuleFailed") & p["rule_id"].isNotNull()
+    asks = (t == "ComplianceCheckRequested") & (F.size(p["required_rules"]) > 0)
+    return e.groupBy("stream_id", F.when(result, p["rule_id"]).alias("rule_id")).agg(
+        last(t == "ComplianceRulePassed", result, POS).alias("ok"), last(p["required_rules"], asks, POS).alias("required"))
+
+
+def compliance_record_totals(registers: DataFrame) -> DataFrame:
+    """compliance_record from compliance_rule_registers."""
+    rules = lambda ok: F.array_sort(F.collect_list(F.when(F.col("ok") == ok, F.col("rule_id"))))
+    out = registers.groupBy("stream_id").agg(
+        rules(True).alias("passed"), rules(False).alias("failed"), F.coalesce(F.max(F.when(F.col("rule_id").isNull(), F.col("required"))), F.array().cast("array<string>")).alias("required"))
     return out.withColumn("missing", F.array_except("required", "passed")).withColumn("is_passed", F.when(F.size("required") > 0, F.size("missing") == 0).otherwise(
         (F.size("failed") == 0) & (F.size("passed") > 0)))
 
 
+def compliance_record(log: DataFrame) -> DataFrame:
+    """Per compliance stream: last result of each rule, required rules, whether all that is required passed."""
+    return compliance_record_totals(compliance_rule_registers(log))
+
+
 def clearance_events(log: DataFrame) -> DataFrame:
     """Positions at which a compliance stream turns from not passed to passed (all rules seen so far passed last)."""
     e = typed(by_category(log, "compliance-")).where(F.col("event_type").isin("ComplianceRulePassed", "ComplianceRuleFailed"))

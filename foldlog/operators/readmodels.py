@@ -78,56 +78,68 @@ def agent_performance(log: DataFrame, streams: str = "all", override_field: str
     """Counts, averages and rates per agent and model.
 
     streams: 'all' counts audit and session copies as the stored logs hold them, 'primary' only loan and agent-context streams.
-    avg_duration_ms is the running mean that skips durations of 0 but still counts them (running_means); 0 without analyses.
+    avg_duration_ms is the running mean that skips durations of 0 but still counts them; 0 without analyses.
     override_field: None reports no overrides; 'override' counts that payload field.
+    The log is read and parsed once; its rows of four types are kept for the two folds over them.
     """
     own = log if streams == "all" else log.where(F.col("stream_id").startswith("loan-") | (F.col("event_type") == "AgentContextLoaded"))
-    e, t, p = typed(own), F.col("event_type"), F.col("p")
-    agent = F.when(t == "DecisionGenerated", p["orchestrator_agent_id"]).otherwise(p["agent_id"])
-    model = F.when(t == "DecisionGenerated", F.try_element_at(p["model_versions"], p["orchestrator_agent_id"])).otherwise(p["model_version"])
-    work = e.where(t.isin("AgentContextLoaded", "CreditAnalysisCompleted", "DecisionGenerated")).select(
-        agent.alias("agent_id"), model.alias("model_version"), "event_type", "global_position", "recorded_at", p["recommendation"].alias("rec"),
-        F.coalesce(p["confidence_score"], F.lit(0.0)).alias("conf"), F.coalesce(p["analysis_duration_ms"], F.lit(0.0)).alias("ms"), F.lit(False).alias("override"))
-    reviews = review_attribution(own).select(
-        "agent_id", "model_version", F.lit("HumanReviewCompleted").alias("event_type"), "global_position", "recorded_at", F.lit(None).cast("string").alias("rec"),
-        F.lit(0.0).alias("conf"), F.lit(0.0).alias("ms"), (F.col("override") if override_field else F.lit(False)).alias("override"))
-    rows = work.unionByName(reviews).where("agent_id is not null and model_version is not null")
-    is_ = lambda name: t == name
-    decided = F.count_if(is_("DecisionGenerated"))
-    rate = lambda rec: F.coalesce(F.count_if(is_("DecisionGenerated") & (F.col("rec") == rec)) / F.nullif(decided, F.lit(0)), F.lit(0.0))
-    out = rows.groupBy("agent_id", "model_version").agg(
-        F.count_if(is_("CreditAnalysisCompleted")).alias("analyses_completed"), decided.alias("decisions_generated"),
-        F.avg(F.when(is_("DecisionGenerated"), F.col("conf"))).alias("avg_confidence_score"),
-        rate("APPROVE").alias("approve_rate"), rate("DECLINE").alias("decline_rate"), rate("REFER").alias("refer_rate"),
-        F.count_if(is_("HumanReviewCompleted")).alias("human_reviews_total"), F.count_if(is_("HumanReviewCompleted") & F.col("override")).alias("human_overrides_total"),
-        F.min("recorded_at").alias("first_seen_at"), F.max("recorded_at").alias("last_seen_at"))
-    means = running_means(rows.where(is_("CreditAnalysisCompleted")).select("agent_id", "model_version", "global_position", "ms"))
-    return out.join(means, ["agent_id", "model_version"], "left").fillna(0.0, ["avg_duration_ms"])
-
-
-def running_means(analyses: DataFrame) -> DataFrame:
-    """avg_duration_ms of each agent_id and model_version, from analyses' ms in order of global_position.
+    rows = subscribe(own, ["AgentContextLoaded", "CreditAnalysisCompleted", *REVIEWED]).select("stream_id", "global_position", "event_type", "recorded_at", "payload").checkpoint()
+    return performance_totals(performance_parts(rows), review_attribution(rows), override_field)
+
+
+def performance_parts(log: DataFrame) -> DataFrame:
+    """Counts and sums per agent, model and range of RANGE positions, and the range's analyses (own: position and ms).
+
+    One aggregation with bounded groups: a hot agent is many of them, and a stream folds it as it is, in any order. An event that
+    a source delivers twice counts twice.
+    """
+    e, t, p = typed(subscribe(log, ["AgentContextLoaded", "CreditAnalysisCompleted", "DecisionGenerated"])), F.col("event_type"), F.col("p")
+    decided, analysed = t == "DecisionGenerated", t == "CreditAnalysisCompleted"
+    agent = F.when(decided, p["orchestrator_agent_id"]).otherwise(p["agent_id"])
+    model = F.when(decided, F.try_element_at(p["model_versions"], p["orchestrator_agent_id"])).otherwise(p["model_version"])
+    own = F.struct("global_position", F.coalesce(p["analysis_duration_ms"], F.lit(0.0)).alias("ms"))
+    said = lambda rec: F.count_if(decided & (p["recommendation"] == rec))
+    keyed = e.withColumns({"agent_id": agent, "model_version": model, "part": F.floor(F.col("global_position") / RANGE)})
+    return keyed.where("agent_id is not null and model_version is not null").groupBy("agent_id", "model_version", "part").agg(
+        F.count_if(analysed).alias("analyses"), F.count_if(decided).alias("decisions"), F.coalesce(F.sum(F.when(decided, F.coalesce(p["confidence_score"], F.lit(0.0)))), F.lit(0.0)).alias("confidence"),
+        said("APPROVE").alias("approved"), said("DECLINE").alias("declined"), said("REFER").alias("referred"),
+        F.min("recorded_at").alias("first_seen_at"), F.max("recorded_at").alias("last_seen_at"), F.array_sort(F.collect_list(F.when(analysed, own))).alias("own"))
+
+
+def performance_totals(parts: DataFrame, reviews: DataFrame, override_field: str | None = None) -> DataFrame:
+    """agent_performance from performance_parts and review_attribution, also from those that a stream keeps.
 
     The analysis after k others takes the mean m to (m * k + ms) / (k + 1), and leaves it where ms is 0: an affine map of m.
-    The maps of RANGE positions compose to one, those of RANGE such ranges again, so no array holds an agent's analyses.
+    The maps of a range compose to one, those of RANGE such ranges again. k is the sum of what stands before: over coarse
+    ranges, then over the ranges in one, so that no task holds all ranges of an agent.
     """
     keys = ["agent_id", "model_version"]
-    parts = analyses.groupBy(*keys, F.floor(F.col("global_position") / RANGE).alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("global_position", "ms"))).alias("own")).checkpoint()
-    sizes = parts.select(*keys, "part", F.size("own").alias("n"))
-    before = sizes.select(*keys, "part", (F.sum("n").over(W.partitionBy(*keys).orderBy("part")) - F.col("n")).cast("double").alias("k"))
+    coarse = [*keys, "coarse"]
+    parts = parts.withColumn("coarse", F.floor(F.col("part") / RANGE)).checkpoint()
+    offsets = parts.groupBy(*coarse).agg(F.sum("analyses").alias("n"))
+    offsets = offsets.select(*coarse, (F.sum("n").over(W.partitionBy(*keys).orderBy("coarse")) - F.col("n")).alias("before"))
     state = lambda a, b, k: F.struct(a.alias("a"), b.alias("b"), k.alias("k"))
     step = lambda m, x: state(
         F.when(x["ms"] > 0, m["a"] * m["k"] / (m["k"] + 1)).otherwise(m["a"]),
         F.when(x["ms"] > 0, (m["b"] * m["k"] + x["ms"]) / (m["k"] + 1)).otherwise(m["b"]), m["k"] + 1)
-    maps = parts.join(before, [*keys, "part"]).select(
-        *keys, "part", F.aggregate("own", state(F.lit(1.0), F.lit(0.0), F.col("k")), step).alias("m")).select(*keys, "part", "m.a", "m.b")
+    k = F.col("before") + F.sum("analyses").over(W.partitionBy(*coarse).orderBy("part")) - F.col("analyses")
+    maps = parts.join(offsets, coarse).withColumn("k", k.cast("double")).withColumn("m", F.aggregate("own", state(F.lit(1.0), F.lit(0.0), F.col("k")), step)).drop("own")
+    sums = ("analyses", "decisions", "confidence", "approved", "declined", "referred")
     then = lambda m, x: F.struct((x["a"] * m["a"]).alias("a"), (x["a"] * m["b"] + x["b"]).alias("b"))
-    for coarser in ([F.floor(F.col("part") / RANGE).alias("part")], []):
-        own = F.array_sort(F.collect_list(F.struct("part", "a", "b")))
-        whole = F.aggregate("own", F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")), then)
-        maps = maps.groupBy(*keys, *coarser).agg(own.alias("own")).withColumn("m", whole).drop("own").select("*", "m.a", "m.b").drop("m")
-    return maps.select(*keys, F.col("b").alias("avg_duration_ms"))
+    for level, place in ((coarse, "part"), (keys, "coarse")):
+        own = F.array_sort(F.collect_list(F.struct(place, "m.a", "m.b")))
+        maps = maps.groupBy(*level).agg(*(F.sum(c).alias(c) for c in sums), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), own.alias("own"))
+        maps = maps.withColumn("m", F.aggregate("own", F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")), then)).drop("own")
+    overridden = F.count_if("override") if override_field else F.lit(0).cast("long")
+    seen = reviews.where("agent_id is not null and model_version is not null").groupBy(*keys).agg(
+        F.count("*").alias("reviews"), overridden.alias("overrides"), F.min("recorded_at").alias("first"), F.max("recorded_at").alias("last"))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    rate = lambda c: F.coalesce(F.col(c) / F.nullif(F.col("decisions"), F.lit(0)), F.lit(0.0))
+    return maps.join(seen, keys, "full_outer").select(
+        *keys, none(F.col("analyses")).alias("analyses_completed"), none(F.col("decisions")).alias("decisions_generated"), (F.col("confidence") / F.nullif(F.col("decisions"), F.lit(0))).alias("avg_confidence_score"),
+        rate("approved").alias("approve_rate"), rate("declined").alias("decline_rate"), rate("referred").alias("refer_rate"),
+        none(F.col("reviews")).alias("human_reviews_total"), none(F.col("overrides")).alias("human_overrides_total"),
+        F.least("first_seen_at", "first").alias("first_seen_at"), F.greatest("last_seen_at", "last").alias("last_seen_at"), F.coalesce("m.b", F.lit(0.0)).alias("avg_duration_ms"))
 
 
 def compliance_events(log: DataFrame) -> DataFrame:

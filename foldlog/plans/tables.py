@@ -177,7 +177,7 @@ def _streamed(spark, d, fold, keys, run=run_projection):
     base = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
     events_log(spark, d).repartitionByRange(4, "global_position").write.parquet(f"{base}/log")
     events = spark.readStream.schema(spark.read.parquet(f"{base}/log").schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/log")
-    run(events, fold, latest_by_key(f"{base}/out", keys[0]), f"{base}/checkpoint").awaitTermination()
+    run(events, fold, latest_by_key(spark, f"{base}/out", keys), f"{base}/checkpoint").awaitTermination()
     return read_latest(spark, f"{base}/out", keys)
 
 

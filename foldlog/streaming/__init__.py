@@ -4,20 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.expressions import in_shard
-from ..operators.aggregates import loan_state, session_state
-from ..operators.readmodels import application_summary, compliance_registers
+from ..operators.aggregates import compliance_rule_registers, loan_state, session_state
+from ..operators.readmodels import application_summary, compliance_registers, performance_parts
+from .relay import dead, drain, relay_outbox, take_in
+from .stateful import reviews_as_of, session_views, start_stateful, streamed_timeouts
+from .tables import KeyedTable, latest_by_key, read_latest
+
+__all__ = [
+    "FOLDS", "KeyedTable", "dead", "drain", "latest_by_key", "quarantine", "read_latest", "relay_outbox", "replay", "reviews_as_of", "run_projection", "session_views", "stage_timeouts",
+    "start_stateful", "stream_progress", "streamed_timeouts", "take_in"]
 
 #: Read models that are one aggregation of mergeable registers, so that a stream keeps them as it is, and the keys of their rows.
-#: Compliance states follow from the registers by compliance_totals.
+#: Totals follow from the registers: compliance_totals, compliance_record_totals, performance_totals.
 FOLDS = {
     "application_summary": (application_summary, ["application_id"]), "loan_state": (loan_state, ["stream_id"]),
-    "session_state": (session_state, ["stream_id"]), "compliance_registers": (compliance_registers, ["application_id", "rule_id"])}
+    "session_state": (session_state, ["stream_id"]), "compliance_registers": (compliance_registers, ["application_id", "rule_id"]),
+    "compliance_rule_registers": (compliance_rule_registers, ["stream_id", "rule_id"]), "performance_parts": (performance_parts, ["agent_id", "model_version", "part"])}
 
 
 def run_projection(events: DataFrame, fn: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -29,22 +37,6 @@ def run_projection(events: DataFrame, fn: Callable[[DataFrame], DataFrame], sink
     return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime="5 seconds")).start()
 
 
-def latest_by_key(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A sink that keeps every micro-batch's changed rows in a folder of its own: a batch that is run again replaces its folder."""
-
-    def sink(df: DataFrame, batch: int) -> None:
-        df.withColumn("batch_id", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/batch={batch:010d}")
-
-    return sink
-
-
-def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest row of each key of latest_by_key's folders."""
-    rows = spark.read.parquet(path).drop("batch")
-    cols = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch_id").alias("r")).select(*keys, "r.*")
-
-
 def replay(events: DataFrame, fn: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, first: int, last: int) -> StreamingQuery:
     """A projection over the positions first to last only, which ends with them."""
     return run_projection(events.where(in_shard(F.col("global_position"), F.lit(first), F.lit(last))), fn, sink, checkpoint)
@@ -62,15 +54,6 @@ def quarantine(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return log.where(good), log.where(~good)
 
 
-def relay_outbox(outbox: DataFrame, publish: Callable[[DataFrame], DataFrame], attempts: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """At-least-once publishing: publish returns event_id and ok of a micro-batch, which attempts records."""
-
-    def each(df: DataFrame, batch: int) -> None:
-        attempts(publish(df).withColumn("attempts", F.lit(1)), batch)
-
-    return outbox.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def stage_timeouts(log: DataFrame, asked: str, done: str, seconds: int) -> DataFrame:
     """Requests of a stream with no completion within so many seconds after them."""
     next_done = F.first(F.when(F.col("event_type") == done, F.col("recorded_at")), ignorenulls=True).over(

@@ -29,7 +29,7 @@ def test_fold_equals_batch_also_after_a_replayed_batch(spark, stream, name):
     log, events, folder = stream
     fold, keys = FOLDS[name]
     out, seen = f"{folder}/out-{uuid.uuid4().hex}", []
-    sink = latest_by_key(out, keys[0])
+    sink = latest_by_key(spark, out, keys)
 
     def twice(df, batch):
         seen.append(batch)
@@ -45,17 +45,18 @@ def test_fold_equals_batch_also_after_a_replayed_batch(spark, stream, name):
 
 def test_replay_between_two_positions(spark, stream):
     log, events, folder = stream
-    replay(events, stream_progress, latest_by_key(f"{folder}/out", "stream_id"), f"{folder}/checkpoint", 4, 13).awaitTermination()
+    replay(events, stream_progress, latest_by_key(spark, f"{folder}/out", ["stream_id"]), f"{folder}/checkpoint", 4, 13).awaitTermination()
     assert plain(read_latest(spark, f"{folder}/out", ["stream_id"])) == plain(stream_progress(log.where("global_position between 4 and 13")))
 
 
 def test_running_means_over_several_ranges(spark, monkeypatch):
     monkeypatch.setattr(readmodels, "RANGE", 4)
-    rows = [("a" if i % 3 else "b", "m", i, float(i * 7 % 5)) for i in range(1, 90)]
-    got = {r.agent_id: r.avg_duration_ms for r in readmodels.running_means(spark.createDataFrame(rows, "agent_id string, model_version string, global_position long, ms double")).collect()}
+    rows = [("a" if i % 3 else "b", float(i * 7 % 5)) for i in range(1, 90)]
+    log = make(spark, [(f"loan-{i}", "CreditAnalysisCompleted", {"application_id": str(i), "agent_id": a, "model_version": "m", "analysis_duration_ms": ms}) for i, (a, ms) in enumerate(rows)])
+    got = {r.agent_id: r.avg_duration_ms for r in readmodels.agent_performance(log).collect()}
     for agent in ("a", "b"):
         mean, n = 0.0, 0
-        for name, _, _, ms in rows:
+        for name, ms in rows:
             if name == agent:
                 mean, n = (mean * n + ms) / (n + 1) if ms > 0 else mean, n + 1
         assert got[agent] == pytest.approx(mean, rel=1e-12)
