@@ -41,11 +41,14 @@ def quality_flags(log: DataFrame) -> DataFrame:
     return each.groupBy("stream_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("n")), lambda x: x["notes"])).alias("flags"))
 
 
-def deferrals(facts: DataFrame) -> DataFrame:
-    """Per package of merged_facts: issues (critical facts that are absent or 0) and whether two of them defer the analysis."""
-    known = facts.where(F.col("fact").isin(*CRITICAL)).groupBy("stream_id").agg(
+def deferrals(log: DataFrame) -> DataFrame:
+    """Per package (stream) of log: issues (critical facts that are absent or 0) and whether two of them defer the analysis.
+
+    A package without any fact lacks all of them.
+    """
+    known = merged_facts(log).where(F.col("fact").isin(*CRITICAL)).groupBy("stream_id").agg(
         *(F.max(F.when(F.col("fact") == f, F.col("value").try_cast("double"))).alias(f) for f in CRITICAL))
-    all_ = facts.select("stream_id").distinct().join(known, "stream_id", "left")
+    all_ = log.select("stream_id").distinct().join(known, "stream_id", "left")
     issues = F.array_compact(F.array(*(F.when(F.coalesce(F.col(f), F.lit(0.0)) == 0, F.lit(f"Missing critical field: {f}")) for f in CRITICAL)))
     return all_.select("stream_id", (F.size(issues) >= 2).alias("is_deferred"), issues.alias("issues"))
 

@@ -90,14 +90,18 @@ def model_version_mismatch(log: DataFrame) -> DataFrame:
     return done.join(own, "session").where("declared is not null and declared != locked")
 
 
-def validate_commands(df: DataFrame, rules: list[tuple[str, Column, str, str]]) -> DataFrame:
+def validate_commands(df: DataFrame, rules: list[tuple[str, Column, Column | str, Column | str]]) -> DataFrame:
     """df with errors, an array of (error_type, message, suggested_action) of the rules that fail, and is_valid.
 
     rules: error type, what must hold, message, suggested action, as outcomes.command_rules gives them. Unknown counts as not held.
     """
-    error = lambda *texts: F.struct(*(F.lit(x).alias(n) for x, n in zip(texts, ("error_type", "message", "suggested_action"), strict=True)))
-    errors = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), error(kind, say, do)) for kind, ok, say, do in rules)))
-    return df.withColumn("errors", errors).withColumn("is_valid", F.size("errors") == 0)
+    return df.withColumn("errors", rule_errors(rules)).withColumn("is_valid", F.size("errors") == 0)
+
+
+def rule_errors(rules: list[tuple[str, Column, Column | str, Column | str]]) -> Column:
+    """The array of errors of the rules that fail, in their order."""
+    error = lambda *texts: F.struct(*((F.lit(x) if isinstance(x, str) else x).alias(n) for x, n in zip(texts, ("error_type", "message", "suggested_action"), strict=True)))
+    return F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), error(kind, say, do)) for kind, ok, say, do in rules)))
 
 
 def evaluate_regulations(apps: DataFrame, as_of_year: int) -> DataFrame:

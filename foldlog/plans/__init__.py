@@ -1,6 +1,6 @@
 """The registered queries over the driver's tables and the same queries in SQL."""
 
-from . import folds, stages, streams, tables
+from . import commands, folds, stages, streams, tables
 
-QUERIES: dict = {**folds.QUERIES, **tables.QUERIES, **stages.QUERIES, **streams.QUERIES}
-ORACLES: dict = {**folds.ORACLES, **tables.ORACLES, **stages.ORACLES, **streams.ORACLES}
+QUERIES: dict = {**folds.QUERIES, **tables.QUERIES, **stages.QUERIES, **streams.QUERIES, **commands.QUERIES}
+ORACLES: dict = {**folds.ORACLES, **tables.ORACLES, **stages.ORACLES, **streams.ORACLES, **commands.ORACLES}

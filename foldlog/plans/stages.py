@@ -62,11 +62,6 @@ query("g18_quality_flags", _PK + """, f AS (SELECT stream_id, CASE WHEN kind = 0
  o AS (SELECT DISTINCT stream_id FROM pk WHERE kind <> 3)
  SELECT o.stream_id, coalesce(string_agg(flag, ',' ORDER BY phase, pos, flag LIKE 'CRITICAL%'), '') AS flags FROM o LEFT JOIN f USING (stream_id) GROUP BY o.stream_id""")(
     lambda s, d: D.quality_flags(packages(s, d)).select("stream_id", F.array_join("flags", ",").alias("flags")))
-query("g19_deferrals", _PK + """, t AS (SELECT stream_id, coalesce(max(CASE WHEN fact = 'total_revenue' THEN CAST(value AS DOUBLE) END), 0) = 0 AS r,
-  coalesce(max(CASE WHEN fact = 'net_income' THEN CAST(value AS DOUBLE) END), 0) = 0 AS n, coalesce(max(CASE WHEN fact = 'total_assets' THEN CAST(value AS DOUBLE) END), 0) = 0 AS a FROM m GROUP BY stream_id)
- SELECT stream_id, CAST(r AS INT) + CAST(n AS INT) + CAST(a AS INT) >= 2 AS is_deferred, concat_ws(',', CASE WHEN r THEN 'Missing critical field: total_revenue' END,
-  CASE WHEN n THEN 'Missing critical field: net_income' END, CASE WHEN a THEN 'Missing critical field: total_assets' END) AS issues FROM t""")(
-    lambda s, d: D.deferrals(D.merged_facts(packages(s, d))).withColumn("issues", F.array_join("issues", ",")))
 query("g31_document_inventory", _PK + "SELECT stream_id, string_agg('DOC-' || l_partkey, ',' ORDER BY pos) AS document_ids, string_agg('/docs/' || l_partkey || '.csv', ',' ORDER BY pos) AS file_paths FROM pk WHERE kind = 3 GROUP BY stream_id")(
     lambda s, d: D.document_inventory(packages(s, d)).select("stream_id", F.array_join("document_ids", ",").alias("document_ids"), F.array_join("file_paths", ",").alias("file_paths")))
 query("f22_facts_from_text", """SELECT o_orderkey, CAST(floor(o_totalprice) AS DOUBLE) AS total_revenue, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS DOUBLE) END AS net_income,
@@ -110,58 +105,6 @@ query("r11_compliance_outcomes", _REG + """, b AS (SELECT application_id, min(ru
  SELECT 'loan-' || application_id AS stream_id, CASE WHEN rule IS NULL THEN 'DecisionRequested' ELSE 'ApplicationDeclined' END AS event_type, CASE WHEN rule IS NULL THEN '{"application_id":"' || application_id || '"}'
  ELSE '{"application_id":"' || application_id || '","reason":"Compliance hard block: ' || rule || '","adverse_action_notice_required":true}' END AS payload FROM b""".replace(", b AS", ", bb AS").replace("FROM b\n", "FROM bb\n").replace("FROM b", "FROM bb"))(
     lambda s, d: O.compliance_outcome_events(_regulated(s, d)))
-query("r13_fraud_anomalies", """SELECT 'fraud-APP-' || l_orderkey AS stream_id, 'FraudAnomalyDetected' AS event_type, '{"application_id":"APP-' || l_orderkey || '","anomaly_type":"T' || l_suppkey % 5 || '","severity":"'
- || CASE l_returnflag WHEN 'A' THEN 'HIGH' ELSE 'MEDIUM' END || '","evidence":"line ' || l_linenumber || '"}' AS payload FROM lineitem WHERE l_returnflag <> 'N'""")(
-    lambda s, d: O.fraud_anomaly_events(table(s, d, "lineitem").groupBy(F.concat(F.lit("APP-"), "l_orderkey").alias("application_id")).agg(F.collect_list(F.struct(
-        F.concat(F.lit("T"), F.col("l_suppkey") % 5).alias("type"), F.when(F.col("l_returnflag") == "A", "HIGH").when(F.col("l_returnflag") == "R", "MEDIUM").otherwise("LOW").alias("severity"),
-        F.concat(F.lit("line "), "l_linenumber").alias("evidence"))).alias("anomalies"))))
-query("r15_credit_fallback", CO + "SELECT application_id, 'MEDIUM' AS risk_tier, CAST(trunc(0.75::DOUBLE * requested_amount) AS BIGINT) AS limit_usd, 0.45::DOUBLE AS confidence FROM ap")(
-    lambda s, d: O.credit_fallback(applications(s, d)).select("application_id", "risk_tier", "limit_usd", "confidence"))
-
-
-def _decided(s, d):
-    k = F.col("o_orderkey")
-    return U.decision_constraints(table(s, d, "orders").select(
-        F.concat(F.lit("APP-"), k).alias("application_id"), F.when(k % 13 == 0, "BLOCKED").otherwise("CLEAR").alias("verdict"), (k % 100 / 100.0).alias("confidence"), (k % 71 / 71.0).alias("fraud_score"),
-        F.element_at(F.array(F.lit("LOW"), F.lit("MEDIUM"), F.lit("HIGH")), (k % 3 + 1).cast("int")).alias("risk_tier"), F.lit("APPROVE").alias("recommendation")))
-
-
-query("r17_decision_outcomes", """WITH x AS (SELECT 'APP-' || o_orderkey AS id, o_orderkey % 13 = 0 AS blocked, CASE WHEN o_orderkey % 100 = 0 THEN 0.5 ELSE (o_orderkey % 100) / 100.0 END AS c, (o_orderkey % 71) / 71.0 AS f, o_orderkey % 3 = 2 AS high FROM orders),
- y AS (SELECT id, CASE WHEN high AND c < 0.7 OR f > 0.6 OR c < 0.6 THEN 'REFER' WHEN blocked THEN 'DECLINE' ELSE 'APPROVE' END AS r,
-  concat_ws(', ', CASE WHEN blocked THEN '''COMPLIANCE_BLOCKED''' END, CASE WHEN c < 0.6 THEN '''CONFIDENCE_FLOOR''' END, CASE WHEN f > 0.6 THEN '''FRAUD_SCORE_THRESHOLD''' END, CASE WHEN high AND c < 0.7 THEN '''HIGH_RISK_CONFIDENCE_FLOOR''' END) AS names FROM x)
- SELECT 'loan-' || id AS stream_id, CASE r WHEN 'APPROVE' THEN 'ApplicationApproved' WHEN 'DECLINE' THEN 'ApplicationDeclined' ELSE 'HumanReviewRequested' END AS event_type,
- '{"application_id":"' || id || '"' || CASE r WHEN 'APPROVE' THEN '' WHEN 'DECLINE' THEN ',"reason":"Orchestrator decision: DECLINE"' ELSE ',"reason":"Recommendation: REFER. Constraints applied: [' || names || ']"' END || '}' AS payload FROM y""")(
-    lambda s, d: O.decision_outcome_events(_decided(s, d)))
-query("r18_next_stage", LOG + """SELECT app AS application_id, CASE WHEN NOT bool_or(event_type = 'CreditAnalysisCompleted') THEN 'credit' WHEN NOT bool_or(event_type = 'FraudScreeningCompleted') THEN 'fraud'
- WHEN NOT bool_or(event_type = 'ComplianceRulePassed') THEN 'compliance' WHEN NOT bool_or(event_type = 'DecisionGenerated') THEN 'decision' ELSE 'done' END AS next_stage
- FROM log WHERE event_type <> 'AgentContextLoaded' AND user_id % 9 < 5 + global_position % 3 GROUP BY app""")(
-    lambda s, d: O.next_stage(events_log(s, d).where("cast(substring_index(get_json_object(payload, '$.application_id'), '-', -1) as int) % 9 < 5 + global_position % 3")))
-
-
-def _commands(s, d):
-    k = F.col("o_orderkey")
-    return table(s, d, "orders").select(
-        F.when(k % 29 == 0, " ").otherwise(F.concat(F.lit("APP-"), k)).alias("application_id"), F.concat(F.lit("a"), k % 5).alias("agent_id"), F.concat(F.lit("s"), k).alias("session_id"),
-        F.when(k % 7 == 0, "EXTREME").otherwise("LOW").alias("risk_tier"), (k % 120 / 100.0).alias("confidence_score"), F.concat(F.lit("C"), "o_custkey").alias("applicant_id"), F.floor("o_totalprice").alias("requested_amount_usd"))
-
-
-_CMD = "WITH c AS (SELECT *, CASE WHEN o_orderkey % 29 = 0 THEN ' ' ELSE 'APP-' || o_orderkey END AS id, o_orderkey % 7 = 0 AS odd, (o_orderkey % 120) / 100.0 AS conf FROM orders)\n"
-query("f25_validate_commands", _CMD + """SELECT o_orderkey, concat_ws('; ', CASE WHEN id = ' ' THEN 'application_id must not be empty' END, CASE WHEN odd THEN 'risk_tier must be one of LOW, MEDIUM, HIGH' END,
- CASE WHEN conf > 1 THEN 'confidence_score must be between 0 and 1' END) AS messages, NOT (id = ' ' OR odd OR conf > 1) AS is_valid FROM c""")(
-    lambda s, d: U.validate_commands(_commands(s, d), O.command_rules("record_credit")).select(
-        F.substring("session_id", 2, 20).cast("long").alias("o_orderkey"), F.array_join("errors.message", "; ").alias("messages"), "is_valid"))
-query("r19_command_events", _CMD + """, v AS (SELECT * FROM c WHERE NOT (id = ' ' OR odd OR conf > 1)), e AS (SELECT *, unnest(['loan-' || id, 'agent-a' || o_orderkey % 5 || '-s' || o_orderkey]) AS stream_id FROM v)
- SELECT stream_id, 'CreditAnalysisCompleted' AS event_type, id AS application_id, 'LOW' AS risk_tier FROM e UNION ALL
- SELECT 'loan-' || id, 'ApplicationSubmitted', id, NULL FROM c WHERE id <> ' ' AND floor(o_totalprice) > 0""")(lambda s, d: _written(s, d))
-
-
-def _written(s, d):
-    rows = _commands(s, d)
-    both = [O.command_events(U.validate_commands(rows, O.command_rules(c)).where("is_valid"), c) for c in ("record_credit", "submit_application")]
-    field = lambda k: F.get_json_object("payload", f"$.{k}").alias(k)
-    return both[0].unionByName(both[1]).select("stream_id", "event_type", field("application_id"), field("risk_tier"))
-
-
 query("g23_node_profile", """SELECT 'agent-' || l_suppkey % 5 AS agent_type, l_returnflag AS node_name, count(*) AS runs, round(avg(l_quantity), 6) AS avg_duration_ms, CAST(max(l_quantity) AS DOUBLE) AS max_duration_ms,
  round(sum(l_partkey / 1e6), 6) AS cost FROM lineitem GROUP BY ALL""")(
     lambda s, d: O.node_profile(table(s, d, "lineitem").select(F.concat(F.lit("agent-"), F.col("l_suppkey") % 5).alias("agent_type"), F.col("l_returnflag").alias("node_name"), F.col("l_quantity").cast("double").alias("duration_ms"), (F.col("l_partkey") / 1e6).alias("cost"))).withColumns(
@@ -176,10 +119,6 @@ query("w9_running_averages", LOG + """SELECT global_position, agent_id, round(su
  FROM log WHERE event_type = 'CreditAnalysisCompleted' WINDOW w AS (PARTITION BY agent_id ORDER BY global_position ROWS UNBOUNDED PRECEDING)""")(lambda s, d: X.typed(events_log(s, d).where("event_type = 'CreditAnalysisCompleted'")).select(
     "global_position", F.col("p.agent_id").alias("agent_id"),
     (F.round(F.sum("p.confidence_score").over(_so_far()), 2) / F.count("*").over(_so_far())).alias("running_confidence")))
-query("p6_decision_history", LOG + """SELECT app AS application_id, stream_position, recorded_at, event_type, CASE WHEN event_type IN ('CreditAnalysisCompleted', 'FraudScreeningCompleted', 'DecisionGenerated') THEN agent_id WHEN event_type = 'HumanReviewCompleted' THEN reviewer_id END AS actor,
- CASE event_type WHEN 'DecisionGenerated' THEN recommendation WHEN 'HumanReviewCompleted' THEN final_decision WHEN 'CreditAnalysisCompleted' THEN risk_tier END AS outcome,
- CASE WHEN event_type IN ('CreditAnalysisCompleted', 'DecisionGenerated', 'FraudScreeningCompleted') THEN score END AS score FROM log WHERE stream_id LIKE 'loan-%'""")(lambda s, d: O.decision_history(events_log(s, d)))
-
 
 # What a sound log doesn't hold: events lost, doubled or written out of turn
 _APP = "cast(substring_index(stream_id, '-', -1) as int)"

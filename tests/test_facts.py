@@ -61,15 +61,16 @@ def test_policy_names_a_default_only_where_it_changes_the_tier(spark):
 
 
 def test_command_errors(spark):
-    rows = spark.createDataFrame([("a", "r", True, " ", "APPROVE"), ("a", "r", None, None, "MAYBE"), (None, "", False, None, "DECLINE")], "application_id string, reviewer_id string, `override` boolean, override_reason string, final_decision string")
-    got = [[e.message for e in r.errors] for r in rules.validate_commands(rows, outcomes.command_rules("record_review")).collect()]
-    assert got == [["an override needs a reason"], ["final_decision must be one of APPROVE, DECLINE"], ["application_id must not be empty", "reviewer_id must not be empty"]]
+    rows = spark.createDataFrame([("a", "r", True, " ", "APPROVE"), ("a", "r", None, None, "MAYBE"), (None, "", False, None, "REFER")], "application_id string, reviewer_id string, `override` boolean, override_reason string, final_decision string")
+    got = [[(e.error_type, e.message) for e in r.errors] for r in rules.validate_commands(rows, outcomes.command_rules("record_review")).collect()]
+    wrong = lambda text: [("VALIDATION_ERROR", text)]
+    assert got == [wrong("override_reason is required when override=True."), wrong("final_decision must be APPROVE, DECLINE, or REFER."), wrong("reviewer_id is required.")]
 
 
 def test_every_command_has_rules_and_events(spark):
-    ddl = "application_id string, agent_id string, session_id string, applicant_id string, reviewer_id string, document_id string, requested_amount_usd double, context_token_count int, risk_tier string, confidence_score double, fraud_score double, rule_id string, regulation_set string, recommendation string, contributing_agent_sessions array<string>, final_decision string, `override` boolean, override_reason string, approved_amount_usd double"
-    row = ("A", "g", "s", "c", "r", "d", 1.0, 0, "LOW", 1.0, 0.0, "KYC", "EU-AI-ACT-2025", "REFER", ["agent-g-s"], "APPROVE", True, "because", 2.0)
-    for command, (event, targets, _) in outcomes.COMMANDS.items():
+    ddl = "application_id string, agent_id string, session_id string, applicant_id string, reviewer_id string, document_id string, file_path string, model_version string, requested_amount_usd double, context_token_count int, risk_tier string, confidence_score double, fraud_score double, screening_result string, rule_id string, status string, regulation_set string, recommendation string, contributing_agent_sessions array<string>, final_decision string, `override` boolean, override_reason string, approved_amount_usd double"
+    row = ("A", "g", "s", "c", "r", "d", "/d", "v1", 1.0, 0, "VERY_HIGH", 1.0, 0.0, "REVIEW", "KYC", "PASSED", "EU-AI-ACT-2025", "REFER", ["agent-g-s"], "REFER", True, "because", 2.0)
+    for command, (event, _, targets, _) in outcomes.COMMANDS.items():
         ok = rules.validate_commands(spark.createDataFrame([row], ddl), outcomes.command_rules(command))
         assert ok.first().is_valid, command
         got = outcomes.command_events(ok, command).collect()
