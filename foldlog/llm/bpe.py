@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import byte_slices, table
+from .common import byte_slices, table, trimmed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -162,7 +162,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, offsets: bool = True) -
             more = list(zip(*encoder.encode_with_offsets(texts), strict=True)) if offsets else [encoder.encode(texts)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(m, pa.list_(pa.int32())) for m in more)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def bpe_decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -178,7 +178,7 @@ def bpe_decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
                 text = [None if x is None else x.decode("utf-8", "replace") for x in raw]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(raw, pa.binary()), pa.array(text, pa.string())], names=schema.names)
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(trimmed(run), schema)
 
 
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -200,7 +200,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 text_sha.append(hashlib.sha256(decode_bytes(ids, path)).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(trimmed(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -67,6 +71,20 @@ def byte_slices(it: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21)
             at = to
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, whose worker gives memory back to the system when a task ends: workers that wait for another stage's tasks stay small."""
+
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(it)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return task
+
+
 def deflated(docs: DataFrame) -> DataFrame:
     """docs with each text (or null) compressed, as bytes, for a shuffle or a table."""
     at = docs.columns.index("text")
@@ -78,7 +96,7 @@ def deflated(docs: DataFrame) -> DataFrame:
             packed = pa.array([pack(t.as_buffer()) if t.is_valid else None for t in part.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([packed if i == at else c for i, c in enumerate(part.columns)], names=part.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def inflated(it: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
@@ -104,7 +122,7 @@ def inflate(docs: DataFrame) -> DataFrame:
         for part, texts in inflated(it, "text"):
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()) if i == at else c for i, c in enumerate(part.columns)], names=part.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:

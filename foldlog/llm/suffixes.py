@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import deflated, inflated, mix64, numbered, table, written
+from .common import deflated, inflated, mix64, numbered, table, trimmed, written
 
 LENGTH, GRAM = 100, 44
 _WINDOWS = LENGTH - GRAM + 1
@@ -147,7 +147,7 @@ def _listed_runs(docs: DataFrame) -> DataFrame:
         if held:
             yield settle()
 
-    return docs.select("doc", "tie", "text").mapInArrow(run, _RUNS)
+    return docs.select("doc", "tie", "text").mapInArrow(trimmed(run), _RUNS)
 
 
 def _shared_runs(listed: DataFrame, hot: int) -> DataFrame:
@@ -192,7 +192,7 @@ def _shared_runs(listed: DataFrame, hot: int) -> DataFrame:
         if last is not None:
             yield judged(last, held, True)
 
-    return listed.repartition("key").sortWithinPartitions("key", F.col("meta").bitwiseAND(_PASS)).mapInArrow(run, _RUNS)
+    return listed.repartition("key").sortWithinPartitions("key", F.col("meta").bitwiseAND(_PASS)).mapInArrow(trimmed(run), _RUNS)
 
 
 def front_coded(rows: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -366,7 +366,7 @@ def _sorted_runs(work: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
         if held:
             yield flush()
 
-    return work.select("doc", "text", "runs").mapInArrow(run, _PARTS)
+    return work.select("doc", "text", "runs").mapInArrow(trimmed(run), _PARTS)
 
 
 def repeated_offsets(shared: np.ndarray, before: np.ndarray, doc: np.ndarray, place: np.ndarray, more: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -537,7 +537,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             own = b.column("own")
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else own.field(c) for c in names], names=names)
 
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(trimmed(run), schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
@@ -556,7 +556,7 @@ def repeat_digest(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                 sha.append(hashlib.sha256(_kept(text, cut)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("own").field(key), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha)], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(trimmed(run), f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import byte_slices, deflated, free_name, held_out, inflated, table, written
+from .common import byte_slices, deflated, free_name, held_out, inflated, table, trimmed, written
 
 #: Longer words are cut into pieces of PIECE letters. A part of the sorted word list has about PART_WORDS of them.
 PIECE, PART_WORDS = 32, 100_000
@@ -57,7 +57,7 @@ def word_counts(docs: DataFrame, labelled: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *times], names=["word", "n_toxic", "n_plain"])
 
     ddl = "word string, n_toxic long, n_plain long"
-    both = docs.select("text").mapInArrow(listed, ddl).unionByName(labelled.select("text", "label").mapInArrow(counted, ddl))
+    both = docs.select("text").mapInArrow(trimmed(listed), ddl).unionByName(labelled.select("text", "label").mapInArrow(trimmed(counted), ddl))
     return both.where("word != ''").groupBy("word").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_plain").alias("n_plain"))
 
 
@@ -237,7 +237,7 @@ def score_texts(docs: DataFrame, ratios: DataFrame, mean: str, peak: str, broadc
             a, b = text_features(_found(word_hashes(words), *model.value)[codes], starts)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(a), pa.array(b)], names=[*part.schema.names, mean, peak])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(mean, "double").add(peak, "double"))
+    return docs.mapInArrow(trimmed(run), StructType([*docs.schema.fields]).add(mean, "double").add(peak, "double"))
 
 
 def _score_by_join(docs: DataFrame, ratios: DataFrame, mean: str, peak: str) -> DataFrame:
@@ -251,7 +251,7 @@ def _score_by_join(docs: DataFrame, ratios: DataFrame, mean: str, peak: str) ->
             hashes = word_hashes(words)
             yield pa.RecordBatch.from_arrays([part.column(row).take(pa.array(own // len(words))), pa.array(hashes[own % len(words)])], names=["row", "word"])
 
-    found = rows.select(row, "text").mapInArrow(listed, "row long, word long").join(ratios, "word").groupBy("row").agg(F.collect_list(F.struct("word", "ratio")).alias(pairs))
+    found = rows.select(row, "text").mapInArrow(trimmed(listed), "row long, word long").join(ratios, "word").groupBy("row").agg(F.collect_list(F.struct("word", "ratio")).alias(pairs))
     both = rows.join(found.withColumnRenamed("row", row), row, "left")
     keep = docs.columns
 
@@ -266,7 +266,7 @@ def _score_by_join(docs: DataFrame, ratios: DataFrame, mean: str, peak: str) ->
                 out.append([x[0] for x in text_features(_found(word_hashes(words), h[by], r[by])[codes], starts)])
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(np.array(out, float)[:, i]) for i in (0, 1))], names=[*keep, mean, peak])
 
-    return both.mapInArrow(run, StructType([*docs.schema.fields]).add(mean, "double").add(peak, "double"))
+    return both.mapInArrow(trimmed(run), StructType([*docs.schema.fields]).add(mean, "double").add(peak, "double"))
 
 
 def _fit(rows: pa.Table) -> np.ndarray:
