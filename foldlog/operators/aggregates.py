@@ -63,6 +63,26 @@ def compliance_record(log: DataFrame) -> DataFrame:
     return compliance_record_totals(compliance_rule_registers(log))
 
 
+def uncovered_at_approval(log: DataFrame) -> DataFrame:
+    """application_id, approved_at and uncovered: approved applications, and the rules that were required and not passed when they were approved.
+
+    What was last required, and the last result of each rule, both before the (last) approval's position count. Applications
+    with all required rules passed, or with none required, have no row.
+    """
+    t, p = F.col("event_type"), F.col("p")
+    approved = by_category(log, "loan-").where("event_type = 'ApplicationApproved'").groupBy(F.regexp_replace("stream_id", "^loan-", "").alias("application_id")).agg(F.max("global_position").alias("approved_at"))
+    e = typed(by_category(log, "compliance-")).withColumn("application_id", F.regexp_replace("stream_id", "^compliance-", ""))
+    before = e.join(approved, "application_id").where(F.col("global_position") < F.col("approved_at"))
+    result = t.isin("ComplianceRulePassed", "ComplianceRuleFailed") & p["rule_id"].isNotNull()
+    registers = before.groupBy("application_id", "approved_at", F.when(result, p["rule_id"]).alias("rule_id")).agg(
+        last(t == "ComplianceRulePassed", result, "global_position").alias("ok"),
+        last(p["required_rules"], (t == "ComplianceCheckRequested") & (F.size(p["required_rules"]) > 0), "global_position").alias("required"))
+    out = registers.groupBy("application_id", "approved_at").agg(
+        F.max(F.when(F.col("rule_id").isNull(), F.col("required"))).alias("required"), F.collect_list(F.when(F.col("ok"), F.col("rule_id"))).alias("passed"))
+    left = F.array_sort(F.array_except("required", "passed"))
+    return out.withColumn("uncovered", left).where(F.size("uncovered") > 0).select("application_id", "approved_at", "uncovered")
+
+
 def clearance_events(log: DataFrame) -> DataFrame:
     """Positions at which a compliance stream turns from not passed to passed (all rules seen so far passed last)."""
     e = typed(by_category(log, "compliance-")).where(F.col("event_type").isin("ComplianceRulePassed", "ComplianceRuleFailed"))

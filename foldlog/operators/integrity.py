@@ -65,22 +65,22 @@ def verify_chain(log: DataFrame) -> DataFrame:
     """Per audit stream: is_valid, checks and the first position that fails, with which of the two failures.
 
     A missing previous hash counts as '', a JSON null doesn't and breaks the chain. Streams without checks are valid.
+    Payloads are hashed once: of each event its hash and what a check says are kept, and streams and links come from these.
     """
-    e = segments(log)
-    at = W.partitionBy("stream_id").orderBy("segment")
     json_ = lambda k: F.get_json_object("payload", f"$.{k}")
     absent = ~F.coalesce(F.array_contains(F.json_object_keys("payload"), "previous_hash"), F.lit(False))
+    said = F.when(F.col("is_check"), F.struct("global_position", json_("integrity_hash").alias("stored"), F.when(absent, "").otherwise(json_("previous_hash")).alias("said")))
+    e = segments(log).select("stream_id", "segment", "global_position", "hash", said.alias("check"))
+    at = W.partitionBy("stream_id").orderBy("segment")
     per = e.groupBy("stream_id", "segment").agg(
-        F.collect_list(F.when(~F.col("is_check"), F.struct("global_position", "hash"))).alias("h"),
-        F.max(F.when(F.col("is_check"), F.struct(
-            "global_position", json_("integrity_hash").alias("stored"), F.when(absent, "").otherwise(json_("previous_hash")).alias("said")))).alias("check"))
+        F.collect_list(F.when(F.col("check").isNull(), F.struct("global_position", "hash"))).alias("h"), F.max("check").alias("check")).checkpoint()
     linked = per.where("check is not null").withColumn("before", F.lag("check.stored", 1, "").over(at))
     broken = ~F.col("check.said").eqNullSafe(F.col("before"))
     wrong = ~_link(F.col("before"), F.col("h")).eqNullSafe(F.col("check.stored"))
     failed = linked.withColumn("failure", F.when(broken, "chain_broken").when(wrong, "hash_mismatch"))
     out = failed.groupBy("stream_id").agg(
         F.count("*").alias("checks"), F.min(F.when(F.col("failure").isNotNull(), F.struct(F.col("check.global_position").alias("at"), "failure"))).alias("f"))
-    return e.select("stream_id").distinct().join(out, "stream_id", "left").select(
+    return per.select("stream_id").distinct().join(out, "stream_id", "left").select(
         "stream_id", F.col("f").isNull().alias("is_valid"), F.coalesce("checks", F.lit(0)).alias("checks"), F.col("f.at").alias("failed_at"), F.col("f.failure").alias("failure"))
 
 
@@ -109,13 +109,22 @@ def close_segments(log: DataFrame, every: int = 20) -> DataFrame:
     return e.drop("n", "segment", "hash").withColumn("global_position", 2 * F.col("global_position")).unionByName(checks)
 
 
-def package_checksum(log: DataFrame) -> DataFrame:
-    """Per stream: SHA-256 over its events as a canonical JSON array, in order (bounded by the stream). Times are UTC."""
+def package_row() -> Column:
+    """An event as a canonical JSON object, for a package's checksum. Times are UTC."""
     text = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
     parts = {"event_id": text("event_id"), "event_type": text("event_type"), "event_version": F.col("event_version").cast("string"),
              "global_position": F.col("global_position").cast("string"), "payload": F.coalesce("payload", F.lit("null")),
              "recorded_at": F.concat(F.lit('"'), iso_timestamp(F.col("recorded_at")), F.lit('+00:00"')), "stream_position": F.col("stream_position").cast("string")}
     items = [F.concat(F.lit(f'"{k}":'), F.coalesce(v, F.lit("null"))) for k, v in parts.items()]
-    row = canonical_json(F.concat(F.lit("{"), F.concat_ws(",", *items), F.lit("}")))
-    rows = log.select("stream_id", F.struct("stream_position", row.alias("r")).alias("e")).groupBy("stream_id").agg(F.array_sort(F.collect_list("e")).alias("e"))
-    return rows.select("stream_id", F.sha2(F.concat(F.lit("["), F.array_join("e.r", ","), F.lit("]")), 256).alias("checksum"))
+    return canonical_json(F.concat(F.lit("{"), F.concat_ws(",", *items), F.lit("}")))
+
+
+def rows_checksum(rows: Column) -> Column:
+    """SHA-256 over an array of package rows in their order."""
+    return F.sha2(F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")), 256)
+
+
+def package_checksum(log: DataFrame) -> DataFrame:
+    """Per stream: SHA-256 over its events as a canonical JSON array, in order (bounded by the stream)."""
+    rows = log.select("stream_id", F.struct("stream_position", package_row().alias("r")).alias("e")).groupBy("stream_id").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    return rows.select("stream_id", rows_checksum(F.col("e.r")).alias("checksum"))

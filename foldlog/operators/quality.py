@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from ..functions.expressions import has_key
 
-#: Keys that a payload of each type must have.
+#: Keys that a payload of each type must have, as stored logs do.
 REQUIRED = {
     "ApplicationSubmitted": ("application_id", "applicant_id", "requested_amount_usd"), "CreditAnalysisCompleted": ("application_id", "risk_tier", "model_version"),
     "FraudScreeningCompleted": ("application_id", "fraud_score"), "ComplianceRulePassed": ("application_id", "rule_id"), "ComplianceRuleFailed": ("application_id", "rule_id"),
@@ -29,6 +29,51 @@ def validate_schema(log: DataFrame) -> DataFrame:
     return log.withColumn("error", error).where("error is not null").select("global_position", "event_type", "error")
 
 
+#: Kinds of values by key, wherever a payload has it; others may be anything.
+KINDS = {
+    **dict.fromkeys(("application_id", "applicant_id", "agent_id", "session_id", "rule_id", "risk_tier", "recommendation", "model_version", "reviewer_id", "final_decision", "orchestrator_agent_id"), "string"),
+    **dict.fromkeys(("requested_amount_usd", "approved_amount_usd", "confidence_score", "fraud_score", "recommended_limit_usd", "analysis_duration_ms"), "number"),
+    "override": "boolean", "contributing_agent_sessions": "array", "required_rules": "array", "model_versions": "object"}
+#: What schema_of_variant calls each kind. A number may be written as a string that reads as one.
+_NAMES = {"string": "STRING", "number": "BIGINT|DECIMAL.*|DOUBLE|FLOAT", "boolean": "BOOLEAN", "array": "ARRAY<.*", "object": "OBJECT<.*"}
+
+
+def typed_errors(log: DataFrame, required: dict[str, tuple[str, ...]] = REQUIRED, kinds: dict[str, str] = KINDS) -> DataFrame:
+    """Each fault of each event: global_position, event_type, field and error (unknown_type, not_an_object, missing, or not_a_ and the kind).
+
+    The payload is parsed once, to a variant; a JSON null counts as missing where the key is required, and as no value elsewhere.
+    """
+    e = log.select("global_position", "event_type", F.try_parse_json("payload").alias("v"))
+    shape = F.schema_of_variant("v")
+    t, value = F.col("event_type"), lambda k: F.try_variant_get("v", f"$.{k}", "variant")
+    fault = lambda field, error: F.struct(F.lit(field).alias("field"), F.lit(error).alias("error"))
+    known, found = t.isin(list(required)), []
+    for k in sorted({k for keys in required.values() for k in keys} | set(kinds)):
+        needs = t.isin([name for name, keys in required.items() if k in keys])
+        kind = F.schema_of_variant(value(k))
+        absent = value(k).isNull() | (kind == "VOID")
+        found.append(F.when(needs & absent, fault(k, "missing")))
+        if k in kinds:
+            fits = kind.rlike(f"^({_NAMES[kinds[k]]})$")
+            if kinds[k] == "number":
+                fits = fits | (kind.eqNullSafe("STRING") & F.try_variant_get("v", f"$.{k}", "string").try_cast("double").isNotNull())
+            found.append(F.when(~absent & ~fits, fault(k, f"not_a_{kinds[k]}")))
+    faults = F.when(~known, F.array(fault(None, "unknown_type"))).when(~F.coalesce(shape.startswith("OBJECT"), F.lit(False)), F.array(fault(None, "not_an_object"))).otherwise(F.array_compact(F.array(*found)))
+    return e.select("global_position", "event_type", F.explode(faults).alias("f")).select("global_position", "event_type", F.col("f.field").cast("string").alias("field"), "f.error")
+
+
+def schema_report(log: DataFrame, first: int = 10) -> DataFrame:
+    """One row: valid and faulty events, counts by event type and by stream prefix (maps), and the first faults by position."""
+    errors = typed_errors(log).checkpoint()
+    bad = errors.agg(F.count_distinct("global_position").alias("faulty"))
+    head = errors.orderBy("global_position", "field", "error").limit(first).agg(F.array_sort(F.collect_list(F.struct("global_position", "event_type", "field", "error"))).alias("first_errors"))
+    counts = log.groupBy("event_type", F.split("stream_id", "-")[0].alias("prefix")).agg(F.count("*").alias("n"))
+    by = lambda c: counts.groupBy(c).agg(F.sum("n").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n")))).alias(f"by_{c}"), F.sum("n").alias("events"))
+    # single rows
+    out = bad.crossJoin(head).crossJoin(by("event_type")).crossJoin(by("prefix").drop("events"))
+    return out.select((F.coalesce("events", F.lit(0)) - F.col("faulty")).alias("valid"), "faulty", "by_event_type", "by_prefix", "first_errors")
+
+
 def event_type_counts(log: DataFrame, top: int = 8) -> DataFrame:
     return log.groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type").limit(top)
 

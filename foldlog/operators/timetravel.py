@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.expressions import as_of, by_category, narrative, recommendation_with_floor, state_of_event, typed
-from .integrity import package_checksum, verify_chain
+from .integrity import package_row, rows_checksum, verify_chain
 from .readmodels import compliance_history, last
 
 OUTCOME = ("state", "risk_tier", "fraud_score", "compliance_status", "decision", "confidence_score", "final_decision", "human_reviewer_id", "approved_amount_usd")
@@ -96,10 +96,6 @@ def what_if(log: DataFrame, branch: str, payload: Column) -> DataFrame:
         differ.alias("divergence"), F.col("c.n").alias("events_replayed"), "events_skipped")
 
 
-def narratives(log: DataFrame) -> DataFrame:
-    return typed(by_category(log, "loan-")).select("stream_id", "stream_position", "event_type", narrative().alias("sentence"))
-
-
 def agent_attribution(log: DataFrame) -> DataFrame:
     """Per loan: the first analysis of each agent and session, and the first decision of each orchestrator."""
     e, p = typed(by_category(log, "loan-")), F.col("p")
@@ -117,15 +113,15 @@ def regulatory_package(log: DataFrame, moment) -> DataFrame:
 
     A package holds one loan's events: its size is bounded by the loan.
     """
+    log = log.where(F.col("stream_id").startswith("loan-") | F.col("stream_id").startswith("audit-")).checkpoint()  # read by four parts
     own = by_category(as_of(log, moment), "loan-")
-    lines = narratives(own).groupBy("stream_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("stream_position", "sentence"))), lambda x: x["sentence"]).alias("narrative"))
-    events = own.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("stream_position", "event_type", "payload", "recorded_at"))).alias("events"))
+    row = F.struct("stream_position", "event_type", "payload", "recorded_at", narrative().alias("sentence"), package_row().alias("row"))
+    events = typed(own).select("stream_id", row.alias("e")).groupBy("stream_id").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    whole = F.transform("e", lambda x: F.struct(*(x[c].alias(c) for c in ("stream_position", "event_type", "payload", "recorded_at"))))
+    out = events.select("stream_id", whole.alias("events"), F.col("e.sentence").alias("narrative"), rows_checksum(F.col("e.row")).alias("checksum"))
     agents = agent_attribution(own).groupBy("stream_id").agg(F.collect_list(F.struct("agent_id", "session_id", "event_type", "first_position")).alias("agents"))
     chain = verify_chain(log).select(F.regexp_replace("stream_id", "^audit-", "").alias("stream_id"), "is_valid", "checks")
     state = outcome(own).select("stream_id", F.struct(*OUTCOME).alias("summary"))
-    out = events
-    for part in (state, lines, agents, package_checksum(own), chain):
+    for part in (state, agents, chain):
         out = out.join(part, "stream_id", "left")
     return out
-
-

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import admission as A
+from ..operators import aggregates as G
 from ..operators import facts as D
 from ..operators import outcomes as O
+from ..operators import quality as Q
 from ..operators import rules as U
 from .fixtures import LOG, events_log, table
 from .stages import _PK, packages
@@ -184,3 +186,50 @@ SELECT app AS application_id, stream_position, strftime(recorded_at, '%Y-%m-%d %
   CASE WHEN made THEN score END AS confidence, CAST(NULL AS VARCHAR) AS input_hash, CASE WHEN event_type = 'DecisionGenerated' THEN recommendation END AS recommendation, 'VALID' AS chain FROM s""")
 def _history(s, d):
     return O.decision_history(events_log(s, d))
+
+
+@query("j10_uncovered_at_approval", LOG + """, a AS (SELECT app, max(global_position) AS approved_at FROM log WHERE event_type = 'ApplicationApproved' GROUP BY app),
+b AS (SELECT l.*, approved_at FROM log l JOIN a USING (app) WHERE l.global_position < approved_at),
+q AS (SELECT app, arg_max(CASE k % 3 WHEN 0 THEN ['KYC', 'AML'] WHEN 1 THEN ['KYC', 'MODEL_BIAS'] ELSE ['FRAUD_SCREEN'] END, global_position) AS required FROM b WHERE event_type = 'ComplianceCheckRequested' GROUP BY app),
+r AS (SELECT app, rule_id, arg_max(event_type, global_position) = 'ComplianceRulePassed' AS ok FROM b WHERE event_type LIKE 'ComplianceRule%' GROUP BY app, rule_id),
+n AS (SELECT app, approved_at, unnest(required) AS rule_id FROM q JOIN a USING (app))
+SELECT n.app AS application_id, n.approved_at, string_agg(n.rule_id, ',' ORDER BY n.rule_id) AS uncovered FROM n LEFT JOIN r ON n.app = r.app AND n.rule_id = r.rule_id WHERE NOT coalesce(ok, false) GROUP BY n.app, n.approved_at""")
+def _uncovered(s, d):
+    """Compliance requests of the log go to the compliance stream, with rules that depend on the event."""
+    asks = F.col("event_type") == "ComplianceCheckRequested"
+    k = F.get_json_object("props", "$.k").cast("int") % 3
+    asked = table(s, d, "events").select(F.col("event_id").cast("string").alias("event_id"), F.when(k == 0, '["KYC","AML"]').when(k == 1, '["KYC","MODEL_BIAS"]').otherwise('["FRAUD_SCREEN"]').alias("rules"))
+    log = events_log(s, d).join(asked, "event_id").withColumns({
+        "stream_id": F.when(asks, F.regexp_replace("stream_id", "^loan-", "compliance-")).otherwise(F.col("stream_id")),
+        "payload": F.when(asks, F.concat(F.lit('{"application_id":"'), F.get_json_object("payload", "$.application_id"), F.lit('","required_rules":'), F.col("rules"), F.lit("}"))).otherwise(F.col("payload"))})
+    return G.uncovered_at_approval(log.drop("rules")).withColumn("uncovered", F.array_join("uncovered", ","))
+
+
+def _damaged(s, d):
+    """The log with amounts that are words, scores that are objects, and events of no known type."""
+    n, t = F.col("event_id").cast("long"), F.col("event_type")
+    payload = F.when((t == "ApplicationApproved") & (n % 5 == 0), F.regexp_replace("payload", r'"approved_amount_usd":[^,}]*', '"approved_amount_usd":"lots"')).when(
+        (t == "FraudScreeningCompleted") & (n % 4 == 1), F.regexp_replace("payload", r'"fraud_score":[^,}]*', '"fraud_score":{"v":1}')).when((t == "HumanReviewCompleted") & (n % 3 == 0), F.lit("[1]")).otherwise(F.col("payload"))
+    return events_log(s, d).withColumns({"payload": payload, "event_type": F.when((t == "ApplicationDeclined") & (n % 7 == 2), "Mystery").otherwise(t)})
+
+
+_DAMAGED = LOG + """, t AS (SELECT global_position, stream_id, CASE WHEN event_type = 'ApplicationDeclined' AND event_id % 7 = 2 THEN 'Mystery' ELSE event_type END AS event_type, CASE
+  WHEN event_type = 'ApplicationDeclined' AND event_id % 7 = 2 THEN ['/unknown_type'] WHEN event_type = 'HumanReviewCompleted' AND event_id % 3 = 0 THEN ['/not_an_object']
+  WHEN event_type = 'ApplicationApproved' AND event_id % 5 = 0 THEN ['approved_amount_usd/not_a_number'] WHEN event_type = 'FraudScreeningCompleted' AND event_id % 4 = 1 THEN ['fraud_score/not_a_number']
+  WHEN event_type = 'CreditAnalysisCompleted' AND event_version = 1 THEN ['model_version/missing'] WHEN event_type = 'DecisionGenerated' AND event_version = 1 THEN ['model_versions/missing'] END AS faults FROM log)
+"""
+
+
+@query("g24_typed_errors", _DAMAGED + """, x AS (SELECT global_position, event_type, unnest(faults) AS f FROM t)
+SELECT global_position, event_type, nullif(split_part(f, '/', 1), '') AS field, split_part(f, '/', 2) AS error FROM x""")
+def _typed_errors(s, d):
+    return Q.typed_errors(_damaged(s, d))
+
+
+@query("g24_schema_report", _DAMAGED + """, f AS (SELECT global_position, event_type, faults[1] AS f FROM t WHERE faults IS NOT NULL ORDER BY global_position LIMIT 10)
+SELECT count(*) FILTER (faults IS NULL) AS valid, count(*) FILTER (faults IS NOT NULL) AS faulty, count(*) FILTER (event_type = 'Mystery') AS mysteries, count(*) FILTER (stream_id LIKE 'loan-%') AS loans,
+  (SELECT string_agg(global_position || ':' || f, ',' ORDER BY global_position) FROM f) AS first_errors FROM t""")
+def _schema_report(s, d):
+    line = lambda x: F.concat(x["global_position"].cast("string"), F.lit(":"), F.coalesce(x["field"], F.lit("")), F.lit("/"), x["error"])
+    return Q.schema_report(_damaged(s, d)).select(
+        "valid", "faulty", F.coalesce(F.col("by_event_type")["Mystery"], F.lit(0)).alias("mysteries"), F.coalesce(F.col("by_prefix")["loan"], F.lit(0)).alias("loans"), F.array_join(F.transform("first_errors", line), ",").alias("first_errors"))

@@ -11,6 +11,7 @@ from ..operators import joins as J
 from ..operators import outcomes as O
 from ..operators import registry as G
 from ..operators import rules as U
+from ..operators.scans import running_averages
 from ..sources import log as S
 from .fixtures import LOG, events_log, table
 from .tables import CO, _REG, _joined, _regulated, applications, companies, history
@@ -111,14 +112,13 @@ query("g23_node_profile", """SELECT 'agent-' || l_suppkey % 5 AS agent_type, l_r
         {"avg_duration_ms": F.round("avg_duration_ms", 6), "cost": F.round("cost", 6)}))
 
 
-def _so_far():
-    return W.partitionBy("p.agent_id").orderBy("global_position").rowsBetween(W.unboundedPreceding, 0)
+@query("w9_running_averages", LOG + """SELECT global_position, agent_id, round(sum(score) OVER w, 2) / count(*) OVER w AS running_confidence
+ FROM log WHERE event_type = 'CreditAnalysisCompleted' WINDOW w AS (PARTITION BY agent_id ORDER BY global_position ROWS UNBOUNDED PRECEDING)""")
+def _running_averages(s, d):
+    rows = X.typed(events_log(s, d).where("event_type = 'CreditAnalysisCompleted'")).select("global_position", F.col("p.agent_id").alias("agent_id"), F.col("p.confidence_score").alias("score"))
+    return running_averages(rows, ["agent_id"], F.col("score"), span=4096).select("global_position", "agent_id", (F.round("running_sum", 2) / F.col("running_count")).alias("running_confidence"))
 
 
-query("w9_running_averages", LOG + """SELECT global_position, agent_id, round(sum(score) OVER w, 2) / count(*) OVER w AS running_confidence
- FROM log WHERE event_type = 'CreditAnalysisCompleted' WINDOW w AS (PARTITION BY agent_id ORDER BY global_position ROWS UNBOUNDED PRECEDING)""")(lambda s, d: X.typed(events_log(s, d).where("event_type = 'CreditAnalysisCompleted'")).select(
-    "global_position", F.col("p.agent_id").alias("agent_id"),
-    (F.round(F.sum("p.confidence_score").over(_so_far()), 2) / F.count("*").over(_so_far())).alias("running_confidence")))
 
 # What a sound log doesn't hold: events lost, doubled or written out of turn
 _APP = "cast(substring_index(stream_id, '-', -1) as int)"
