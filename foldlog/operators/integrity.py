@@ -91,7 +91,7 @@ def close_segments(log: DataFrame, every: int = 20) -> DataFrame:
     one hash a segment.
     """
     e = by_category(log, "audit-").withColumn("n", F.row_number().over(W.partitionBy("stream_id").orderBy("global_position")))
-    e = e.withColumn("segment", F.floor((F.col("n") - 1) / every)).withColumn("hash", payload_hash(F.col("payload")))
+    e = e.withColumn("segment", F.floor((F.col("n") - 1) / every)).withColumn("hash", payload_hash(F.col("payload"))).checkpoint()
     seg = e.groupBy("stream_id", "segment").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("global_position", "hash"))), lambda x: x["hash"]), "").alias("joined"),
         F.max("global_position").alias("at"), F.max("recorded_at").alias("recorded_at"), F.count("*").alias("size")).where(F.col("size") == every)

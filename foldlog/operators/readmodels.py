@@ -39,7 +39,9 @@ def application_summary(log: DataFrame) -> DataFrame:
     e = typed(log.where(~F.col("stream_id").startswith("audit-") & F.col("event_type").isin(*types)))
     t, p, pos = F.col("event_type"), F.col("p"), F.col("global_position")
     submits = (t == "ApplicationSubmitted") & (F.coalesce(p["applicant_id"], F.lit("")) != "")
-    e = e.withColumn("app", p["application_id"]).where(F.col("app") != "").where((t != "ApplicationSubmitted") | submits).withColumn("set_state", state_of_event("summary"))
+    # conditions on parsed fields stand in the registers: as filters they would have the payload parsed once more each
+    counts = (t != "ApplicationSubmitted") | submits
+    e = e.withColumn("app", p["application_id"]).withColumn("set_state", F.when(counts, state_of_event("summary")))
     decided = t == "DecisionGenerated"
     session = session_stream_id(p["agent_id"], p["session_id"])
     fields = {
@@ -53,9 +55,9 @@ def application_summary(log: DataFrame) -> DataFrame:
         "human_reviewer_id": register(p["reviewer_id"], t == "HumanReviewCompleted"),
         "approved_amount_usd": register(F.coalesce(p["approved_amount_usd"], F.lit(0.0)), t == "ApplicationApproved"),
         "final_decision_at": register(F.col("recorded_at"), t.isin("ApplicationApproved", "ApplicationDeclined")),
-        "last_event_type": register(t, F.lit(True)), "last_event_at": register(F.col("recorded_at"), F.lit(True))}
+        "last_event_type": register(t, counts), "last_event_at": register(F.col("recorded_at"), counts)}
     seen = F.collect_set(F.when(t == "CreditAnalysisCompleted", F.struct(pos.alias("pos"), session.alias("s"))))
-    out = e.groupBy("app").agg(F.min(F.when(submits, pos)).alias("start"), seen.alias("seen"), *(c.alias(n) for n, c in fields.items())).where("start is not null")
+    out = e.groupBy("app").agg(F.bool_or(F.col("app") != "").alias("named"), F.min(F.when(submits, pos)).alias("start"), seen.alias("seen"), *(c.alias(n) for n, c in fields.items())).where("start is not null and named")
     after = F.array_sort(F.filter("seen", lambda x: x["pos"] >= F.col("start")))
     return out.select(
         F.col("app").alias("application_id"), *(F.when(F.col(f"{n}.pos") >= F.col("start"), F.col(f"{n}.v")).alias(n) for n in fields),
