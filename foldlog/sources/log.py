@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.upcast import upcast
 from ..schema import EVENT_DDL
 
 
@@ -48,7 +49,12 @@ def read_fact_csv(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_stream(log: DataFrame, stream_id: str, from_position: int = 0, to_position: int | None = None) -> DataFrame:
-    """Events after from_position up to to_position, which 0 and None leave open; archived streams load as well."""
+    """load_raw's events at their newest version: older payloads get the keys that they lack."""
+    return upcast(load_raw(log, stream_id, from_position, to_position)).orderBy("stream_position")
+
+
+def load_raw(log: DataFrame, stream_id: str, from_position: int = 0, to_position: int | None = None) -> DataFrame:
+    """Events after from_position up to to_position, which 0 and None leave open, as they are stored; archived streams load as well."""
     out = log.where((F.col("stream_id") == stream_id) & (F.col("stream_position") > from_position))
     return (out.where(F.col("stream_position") <= to_position) if to_position else out).orderBy("stream_position")
 

@@ -12,12 +12,13 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.expressions import in_shard
 from ..operators.aggregates import compliance_rule_registers, loan_state, session_state
 from ..operators.readmodels import application_summary, compliance_registers, performance_parts
+from .health import ProjectionHealth
 from .relay import dead, drain, relay_outbox, take_in
 from .stateful import reviews_as_of, session_views, start_stateful, streamed_timeouts
 from .tables import KeyedTable, latest_by_key, read_latest
 
 __all__ = [
-    "FOLDS", "KeyedTable", "dead", "drain", "latest_by_key", "quarantine", "read_latest", "relay_outbox", "replay", "reviews_as_of", "run_projection", "session_views", "stage_timeouts",
+    "FOLDS", "KeyedTable", "ProjectionHealth", "dead", "drain", "latest_by_key", "quarantine", "read_latest", "relay_outbox", "replay", "reviews_as_of", "run_projection", "session_views", "stage_timeouts",
     "start_stateful", "stream_progress", "streamed_timeouts", "take_in"]
 
 #: Read models that are one aggregation of mergeable registers, so that a stream keeps them as it is, and the keys of their rows.
@@ -28,12 +29,13 @@ FOLDS = {
     "compliance_rule_registers": (compliance_rule_registers, ["stream_id", "rule_id"]), "performance_parts": (performance_parts, ["agent_id", "model_version", "part"])}
 
 
-def run_projection(events: DataFrame, fn: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """One query per projection, with a checkpoint of its own; fn folds mergeable registers (groupBy and max of structs).
+def run_projection(events: DataFrame, fn: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True, name: str | None = None) -> StreamingQuery:
+    """One query per projection, with a checkpoint of its own; fn folds mergeable registers (groupBy and max of structs). Health goes by name.
 
     sink gets the groups that a micro-batch changed, whole; writing them again has the same effect.
     """
     out = fn(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(sink)
+    out = out.queryName(name) if name else out
     return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime="5 seconds")).start()
 
 
