@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -108,24 +105,42 @@ def session_totals(nodes: DataFrame) -> DataFrame:
 
 
 def throttle(df: DataFrame, key: str, ts: str, calls: int = 1, period_s: float = 60.0) -> DataFrame:
-    """df (with ord, an order within the key) with allowed: fewer than calls allowed rows of the key in the trailing period.
+    """df (with ord, which tells a key's rows apart) with allowed: fewer than calls allowed rows of the key in the trailing period.
 
-    A greedy fold over the rows of each key in order; rows arrive sorted, in Arrow batches, so a key of any length is streamed.
+    Rows of a key are judged in order of time and ord; ts is a timestamp or seconds. A limit of n calls is n servers of one call, of
+    which each row takes the first that is free: a server's calls are those that a limit of one allows of the rows left by the servers
+    before it. A server's call points to the first moment a period later, found within the moments of one period, and pointers double, so
+    a chain takes the logarithm of its length in rounds, whatever its key. A null key is a key of its own; a null time isn't allowed.
     """
-    names = df.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", allowed boolean"
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, recent = None, []
-        for pdf in batches:
-            ok = []
-            for k, t in zip(pdf[key], pd.to_datetime(pdf[ts]).astype("int64") / 1e9 if pdf[ts].dtype.kind == "M" else pdf[ts], strict=True):
-                if k != now:
-                    now, recent = k, []
-                recent = [x for x in recent if x > t - period_s]
-                ok.append(len(recent) < calls)
-                if ok[-1]:
-                    recent.append(t)
-            yield pdf[names].assign(allowed=ok)
-
-    return df.repartition(key).sortWithinPartitions(key, "ord").mapInPandas(fold, schema)
+    if calls < 1 or period_s <= 0:
+        raise ValueError("throttle takes one call at least and a period above 0")
+    seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6 if df.schema[ts].dataType.typeName().startswith("timestamp") else F.col(ts).cast("double")
+    rows = df.select(F.struct(F.col(key).alias("key")).alias("k"), seconds.alias("t"), "ord").where("t is not null")
+    moments = rows.groupBy("k", "t").agg(F.count("*").alias("n")).withColumn("taken", F.lit(0)).checkpoint()
+    for _ in range(calls):
+        called = _one_call(moments.where("taken < n").select("k", "t"), period_s).withColumn("more", F.lit(1))
+        moments = moments.join(called, ["k", "t"], "left").select("k", "t", "n", (F.col("taken") + F.coalesce("more", F.lit(0))).alias("taken")).checkpoint()
+    # of a moment's rows only so many can be allowed: the rank is limited before the shuffle
+    first = rows.withColumn("rank", F.row_number().over(W.partitionBy("k", "t").orderBy("ord"))).where(F.col("rank") <= calls)
+    allowed = first.join(moments.where("taken > 0"), ["k", "t"]).where("rank <= taken").select("k", "ord", F.lit(True).alias("yes")).alias("a")
+    out = df.alias("d").join(allowed, (F.struct(F.col(f"d.`{key}`").alias("key")) == F.col("a.k")) & (F.col("d.ord") == F.col("a.ord")), "left")
+    return out.select("d.*", F.coalesce("a.yes", F.lit(False)).alias("allowed"))
+
+
+def _one_call(moments: DataFrame, period: float) -> DataFrame:
+    """Of each k's moments t (distinct) those that a limit of one call a period allows."""
+    bucket = lambda at: F.floor(at / period)
+    free = moments.select("k", bucket(F.col("t")).alias("b"), F.col("t").alias("at"), F.col("t").alias("own"), F.lit(None).cast("double").alias("of"))
+    ends = moments.select("k", bucket(F.col("t") + period).alias("b"), (F.col("t") + period).alias("at"), F.lit(None).cast("double").alias("own"), F.col("t").alias("of"))
+    both = free.unionByName(ends)
+    here = both.withColumn("to", F.min("own").over(W.partitionBy("k", "b").orderBy(F.desc("at")).rangeBetween(W.unboundedPreceding, W.currentRow)))
+    # one row a period: the first moment after it
+    later = both.groupBy("k", "b").agg(F.min("own").alias("own")).select("k", "b", F.min("own").over(W.partitionBy("k").orderBy(F.desc("b")).rowsBetween(W.unboundedPreceding, -1)).alias("later"))
+    jumps = here.where("of is not null").join(later, ["k", "b"]).select("k", "of", F.coalesce("to", "later").alias("to")).where("to is not null").checkpoint()
+    allowed = moments.groupBy("k").agg(F.min("t").alias("t"))
+    while not jumps.isEmpty():
+        reached = allowed.join(jumps.withColumnRenamed("of", "t"), ["k", "t"]).select("k", F.col("to").alias("t"))
+        allowed = allowed.unionByName(reached).checkpoint()
+        next_ = jumps.select("k", F.col("of").alias("to"), F.col("to").alias("_to"))
+        jumps = jumps.join(next_, ["k", "to"]).select("k", "of", F.col("_to").alias("to")).checkpoint()
+    return allowed

@@ -195,7 +195,16 @@ query("w10_dwell_times", ", g AS (SELECT event_type, date_diff('microsecond', re
 query("t9_stage_timeouts", """, a AS (SELECT * FROM log WHERE event_type = 'CreditAnalysisRequested'), d AS (SELECT * FROM log WHERE event_type = 'CreditAnalysisCompleted')
  SELECT a.stream_id, a.stream_position FROM a ASOF LEFT JOIN d ON a.stream_id = d.stream_id AND a.stream_position < d.stream_position WHERE d.recorded_at IS NULL OR date_diff('microsecond', a.recorded_at, d.recorded_at) // 1000000 > 86400""")(
     lambda log: stage_timeouts(log, "CreditAnalysisRequested", "CreditAnalysisCompleted", 86400))
-query("t8_throttle")(lambda log: Q.throttle(log.select("stream_id", "stream_position", F.col("stream_position").alias("ord"), F.unix_micros(F.col("recorded_at").cast("timestamp")).cast("double").alias("t")).withColumn("t", F.col("t") / 1e6), "stream_id", "t", 2, 86400.0).select("stream_id", "stream_position", "allowed"))
+# one event after the other, with the times of those allowed in the last day
+query("t8_throttle", """, r AS (SELECT stream_id, stream_position, epoch_us(recorded_at) / 1e6 AS t, row_number() OVER (PARTITION BY stream_id ORDER BY recorded_at, stream_position) AS n FROM log),
+ f(stream_id, stream_position, n, allowed, recent) AS (
+  SELECT stream_id, stream_position, n, true, [t] FROM r WHERE n = 1 UNION ALL
+  SELECT r.stream_id, r.stream_position, r.n, len(list_filter(f.recent, lambda x: x + 86400 > r.t)) < 2,
+   CASE WHEN len(list_filter(f.recent, lambda x: x + 86400 > r.t)) < 2 THEN list_append(list_filter(f.recent, lambda x: x + 86400 > r.t), r.t) ELSE list_filter(f.recent, lambda x: x + 86400 > r.t) END
+  FROM f JOIN r ON r.stream_id = f.stream_id AND r.n = f.n + 1)
+ SELECT stream_id, stream_position, allowed FROM f""")(
+    lambda log: Q.throttle(log.select("stream_id", "stream_position", F.col("stream_position").alias("ord"), "recorded_at"), "stream_id", "recorded_at", 2, 86400.0).select("stream_id", "stream_position", "allowed"))
+ORACLES["t8_throttle"] = ORACLES["t8_throttle"].replace("WITH", "WITH RECURSIVE", 1)
 query("u2_upcast", "SELECT global_position, CASE WHEN event_type IN ('CreditAnalysisCompleted', 'DecisionGenerated') THEN 2 ELSE event_version END AS event_version, CASE WHEN event_type = 'CreditAnalysisCompleted' AND event_version = 1 THEN CASE WHEN CAST(recorded_at AS DATE) < DATE '2024-01-01' THEN 'unknown' WHEN CAST(recorded_at AS DATE) < DATE '2024-07-01' THEN 'v1.0' WHEN CAST(recorded_at AS DATE) < DATE '2025-01-01' THEN 'v1.1' WHEN CAST(recorded_at AS DATE) < DATE '2026-01-01' THEN 'v2.0' ELSE 'v2.1' END WHEN event_type = 'CreditAnalysisCompleted' OR event_type = 'AgentContextLoaded' THEN model_version END AS model_version FROM log")(
     lambda log: V.upcast(log).select("global_position", "event_version", F.get_json_object("payload", "$.model_version").alias("model_version")))
 

@@ -1,7 +1,9 @@
 """Running sums in ranges, typed validation and rules at approval, on awkward rows."""
 
 import json
+import random
 
+import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -60,3 +62,32 @@ def test_uncovered_rules_are_judged_at_the_approval(spark):
         ask("4", "KYC"), approve("5"), say("6", "KYC"), approve("6"), ask("7", "AML"), ask("7", "KYC"), say("7", "KYC"), approve("7")])
     assert {r.application_id: r.uncovered for r in aggregates.uncovered_at_approval(log).collect()} == {"1": ["AML"], "3": ["AML", "KYC"]}
     assert json.loads(log.first().payload)["required_rules"] == ["KYC", "AML"]
+
+
+def in_turn(rows, calls, period):
+    """The rows of each key in order of time and ord, one after the other."""
+    recent, out = {}, {}
+    for k, o, t in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[2], r[1])):
+        busy = [x for x in recent.get(k, []) if x + period > t]
+        out[k, o] = len(busy) < calls
+        recent[k] = busy + [t] * out[k, o]
+    return out | {(k, o): False for k, o, t in rows if t is None}
+
+
+@pytest.mark.parametrize("calls", [1, 3])
+def test_throttle_equals_one_row_after_the_other(spark, calls):
+    rng = random.Random(calls)
+    rows = [(rng.choice(["hot"] * 8 + ["a", "b", None]), i, float(rng.choice([rng.randrange(900), rng.randrange(5000)]))) for i in range(500)]
+    rows += [("far", 1, 0.0), ("far", 2, 1e7), ("far", 3, 1e7 + 59.0), ("far", 4, 1e7 + 60.0), ("a", 900, None), ("nothing", 1, None)]
+    rows += [("burst", i, 7.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "k string, ord long, t double")
+    got = {(r.k, r.ord): r.allowed for r in quality.throttle(df, "k", "t", calls, 60.0).collect()}
+    assert got == in_turn(rows, calls, 60.0)
+
+
+def test_throttle_of_nothing_and_of_timestamps(spark):
+    from datetime import datetime
+
+    assert quality.throttle(spark.createDataFrame([], "k string, ord long, t double"), "k", "t").collect() == []
+    df = spark.createDataFrame([("k", i, datetime(2024, 1, 1, 0, i)) for i in range(3)], "k string, ord long, t timestamp_ntz")
+    assert [r.allowed for r in quality.throttle(df, "k", "t", 1, 120.0).orderBy("ord").collect()] == [True, False, True]
