@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from .common import table, written
 
 COORD_BITS, TIE_BITS, ROUND_BITS = 20, 42, 12
+BLOCK_ROWS = 4096
 
 
 def _dimensions(docs: DataFrame) -> dict[str, Column]:
@@ -72,6 +73,17 @@ def _split_points(meta: DataFrame, nodes: dict[int, int], dims: list[str], toler
     return {n: (widest[n], cut[n]) for n in widest}
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """rows with copy, a number among equal rows. They are counted as one row before the shuffle, and dealt out again in blocks."""
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / BLOCK_ROWS))))
+    first = F.col("block") * BLOCK_ROWS
+    # a group's first block stays where it is; the others go out, so that no task writes a whole group
+    copies = F.explode(F.sequence(first, F.least(first + BLOCK_ROWS, F.col("copies")) - 1)).alias("copy")
+    rest = blocks.where("block > 0").repartition("text_crc32", "size", "block")
+    return blocks.where("block = 0").unionByName(rest).select(*rows.columns, copies)
+
+
 def _key(dim: str) -> Column:
     return F.shiftleft(F.col(dim), TIE_BITS) + F.col("tie")
 
@@ -95,10 +107,8 @@ def kd_shards(docs: DataFrame, n_shards: int = 24, tolerance: float = 1e-4, slot
         (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
     )
     dims = _dimensions(meta)
-    meta = written(meta.select(
-        "doc_id", "size", "text_crc32", *(c.cast("long").alias(f"d_{n}") for n, c in dims.items()),
-        F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32"), 64 - TIE_BITS).alias("tie"),
-    ), "kd-meta")
+    rows = _told_apart(meta.select("doc_id", "size", "text_crc32", *(c.cast("long").alias(f"d_{n}") for n, c in dims.items())))
+    meta = written(rows.withColumn("tie", F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "copy"), 64 - TIE_BITS)).drop("copy"), "kd-meta")
     names = [f"d_{n}" for n in dims]
     tree, nodes, now = {}, {1: n_shards}, meta.withColumn("node", F.lit(1).cast("long"))
     while any(k > 1 for k in nodes.values()):

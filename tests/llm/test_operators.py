@@ -55,6 +55,16 @@ def test_shards_of_awkward_rows(spark, awkward):
     assert sharding.kd_shards(awkward.where("false"), 3).count() == 0
 
 
+def test_shards_of_one_row_repeated(spark):
+    rows = [(None, "the same text", "en", "a", 1, None)] * 5000 + [(i, f"text {i}" + " more" * (i % 7), "de", "b", 1, None) for i in range(1000)]
+    got = sharding.kd_shards(spark.createDataFrame(rows, DDL).repartition(7)).toPandas()
+    want = sorted((d, len(t) + 8, zlib.crc32(t.encode())) for d, t, *_ in ((-1 if r[0] is None else r[0], *r[1:]) for r in rows))
+    assert sorted((-1 if d != d else int(d), s, c) for d, s, c in zip(got["doc_id"], got["size"], got["text_crc32"], strict=True)) == want
+    by = got.groupby("shard")["size"].sum()
+    assert len(by) == 24 and abs(by - by.mean()).max() <= got["size"].max()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
 def test_archives_round_trip(spark):
     long_ = "x" * 300_000
     rows = [(1, "u", "same", 0), (2, "u\r\nEvil: 1", "same", 0), (3, None, None, 1), (4, "v", "", 1), (5, "w", long_, 1), (None, "n", "same", 2)]
