@@ -34,7 +34,9 @@ def reconstruct_model_versions(log: DataFrame) -> DataFrame:
 
 
 def schedule_join(rows: DataFrame, schedule: DataFrame, ts: str = "recorded_at") -> DataFrame:
-    """rows with the schedule's value whose [start, end) holds the UTC date; null outside. The schedule is a rule table of a few rows."""
+    """rows with the schedule's value whose [start, end) holds the UTC date; null outside. The schedule is a table of at most 1,000 rows; a longer one is an error."""
+    if schedule.limit(1001).count() > 1000:
+        raise ValueError("a schedule has more than 1000 rows")
     day = F.to_date(F.col(ts))
     return rows.join(F.broadcast(schedule), (day >= F.col("start")) & (day < F.col("end")), "left").drop("start", "end")
 

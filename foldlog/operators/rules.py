@@ -104,25 +104,68 @@ def rule_errors(rules: list[tuple[str, Column, Column | str, Column | str]]) ->
     return F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), error(kind, say, do)) for kind, ok, say, do in rules)))
 
 
-def evaluate_regulations(apps: DataFrame, as_of_year: int) -> DataFrame:
+def evaluate_regulations(apps: DataFrame, as_of_year: int, rules: DataFrame | None = None) -> DataFrame:
     """One row per application and rule evaluated; evaluation stops at the first hard block.
 
-    apps: application_id, jurisdiction, legal_type, founded_year, requested_amount, aml_watch, sanctions (booleans). An unknown
-    year of foundation counts as as_of_year and blocks; every other unknown passes.
+    apps: application_id and the fields that rules name, such as jurisdiction, legal_type, founded_year, requested_amount, aml_watch and
+    sanctions. rules: rows of RULE_DDL, REGULATIONS without. age_years is the age of the applicant; an unknown year of foundation
+    counts as as_of_year. A condition on an unknown doesn't hold, so the rule passes.
     """
-    true = lambda c: F.coalesce(c, F.lit(True))
-    years = F.lit(as_of_year) - F.coalesce("founded_year", F.lit(as_of_year))
-    # Rule, what must hold, whether it blocks.
-    table = [
-        ("REG-001", true(~F.col("aml_watch")), False), ("REG-002", true(~F.col("sanctions")), True), ("REG-003", true(F.col("jurisdiction") != "MT"), True),
-        ("REG-004", true(~((F.col("legal_type") == "Sole Proprietor") & (F.col("requested_amount") > 250_000))), False),
-        ("REG-005", years >= 2, True), ("REG-006", F.lit(True), False)]
-    rows = F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(r).alias("rule_id"), F.when(ok, "NOTED" if r == "REG-006" else "PASSED").otherwise("FAILED").alias("status"), (F.lit(hard) & ~ok).alias("block")) for i, (r, ok, hard) in enumerate(table)))
+    held = apps if "founded_year" not in apps.columns else apps.withColumn("age_years", F.lit(as_of_year) - F.coalesce("founded_year", F.lit(as_of_year)))
+    table = compiled(apps.sparkSession.createDataFrame(REGULATIONS, RULE_DDL) if rules is None else rules, held)
+    if not table:
+        return held.where("false").select("application_id", F.lit("").alias("rule_id"), F.lit("").alias("status"), F.lit(False).alias("is_block"))
+    status = lambda hit, action: F.when(hit, "NOTED" if action == "NOTE" else "FAILED").otherwise("PASSED")
+    rows = F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(r).alias("rule_id"), status(hit, action).alias("status"), (F.lit(hard and action == "FAIL") & hit).alias("block")) for i, (r, hit, action, hard) in enumerate(table)))
     stop = F.array_min(F.transform(F.filter(rows, lambda x: x["block"]), lambda x: x["ordinal"]))
-    out = apps.withColumn("stop", F.coalesce(stop, F.lit(len(table)))).withColumn("r", F.explode(rows)).where("r.ordinal <= stop")
+    out = held.withColumn("stop", F.coalesce(stop, F.lit(len(table)))).withColumn("r", F.explode(rows)).where("r.ordinal <= stop")
     return out.select("application_id", "r.rule_id", "r.status", F.col("r.block").alias("is_block"))
 
 
+#: A rule takes its action where all of its conditions hold: FAIL or NOTE. One without a condition always does. A hard one that fails blocks.
+RULE_DDL = "ordinal int, rule_id string, field string, operator string, value string, action string, hard boolean"
+# The regulations of stored logs.
+REGULATIONS = [
+    (1, "REG-001", "aml_watch", "=", "true", "FAIL", False), (2, "REG-002", "sanctions", "=", "true", "FAIL", True),
+    (3, "REG-003", "jurisdiction", "=", "MT", "FAIL", True), (4, "REG-004", "legal_type", "=", "Sole Proprietor", "FAIL", False),
+    (4, "REG-004", "requested_amount", ">", "250000", "FAIL", False), (5, "REG-005", "age_years", "<", "2", "FAIL", True),
+    (6, "REG-006", None, None, None, "NOTE", False)]
+OPERATORS = {
+    "=": lambda c, v: c == v(0), "!=": lambda c, v: c != v(0), "<": lambda c, v: c < v(0), "<=": lambda c, v: c <= v(0), ">": lambda c, v: c > v(0), ">=": lambda c, v: c >= v(0),
+    "in": lambda c, v: c.isin(v()), "not in": lambda c, v: ~c.isin(v())}
+
+
+def compiled(rules: DataFrame, df: DataFrame) -> list[tuple[str, Column, str, bool]]:
+    """Rule, whether its conditions hold (never null), action and whether it is hard, in order of ordinal and rule_id.
+
+    A value is read as the type of df's field; lists of in and not in are split at commas. Unknown fields, operators, actions
+    and values that don't fit the field are errors, found when the plan is made.
+    """
+    out: dict[tuple, list] = {}
+    for r in sorted(few_rows(rules), key=lambda r: (r["ordinal"], r["rule_id"])):
+        if r["action"] not in ("FAIL", "NOTE") or (r["field"] is not None and (r["field"] not in df.columns or r["operator"] not in OPERATORS or r["value"] is None)):
+            raise ValueError(f"rule {r['rule_id']}: unknown field, operator or action, or no value, in {r.asDict()}")
+        rule = out.setdefault((r["ordinal"], r["rule_id"]), [F.lit(True), r["action"], bool(r["hard"])])
+        if rule[1:] != [r["action"], bool(r["hard"])]:
+            raise ValueError(f"rule {r['rule_id']}: its rows differ in action or hard")
+        if r["field"] is not None:
+            kind, text = df.schema[r["field"]].dataType, r["value"]
+
+            def value(at: int | None = None, kind=kind, text=text):
+                return F.lit(text).cast(kind) if at is not None else [F.lit(x.strip()).cast(kind) for x in text.split(",")]
+
+            rule[0] = rule[0] & F.coalesce(OPERATORS[r["operator"]](F.col(r["field"]), value), F.lit(False))
+    return [(rule, *rest) for (_, rule), rest in out.items()]
+
+
+def few_rows(table: DataFrame, most: int = 1000) -> list:
+    """The rows of a table of rules; one of more than most rows is an error."""
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of rules has more than {most} rows")
+    return rows
+
+
 def compliance_verdict(evaluated: DataFrame) -> DataFrame:
     """Per application: BLOCKED, CONDITIONAL (soft failures) or CLEAR, counts, failed rules in order."""
     s = F.col("status")

@@ -9,11 +9,13 @@ from pyspark.sql import Window as W
 from ..functions.expressions import as_of, by_category, narrative, recommendation_with_floor, state_of_event, typed
 from .integrity import package_row, rows_checksum, verify_chain
 from .readmodels import compliance_history, last
+from .rules import few_rows
 
 OUTCOME = ("state", "risk_tier", "fraud_score", "compliance_status", "decision", "confidence_score", "final_decision", "human_reviewer_id", "approved_amount_usd")
-# What depends on a changed branch event, and the branches for which that is known.
-DEPENDENT = ("DecisionGenerated", "ApplicationApproved", "ApplicationDeclined", "HumanReviewCompleted")
-BRANCHES = ("CreditAnalysisCompleted", "ComplianceCheckRequested", "FraudScreeningCompleted")
+# Branch events and what depends on each.
+DEPENDENTS = [
+    (branch, event) for branch in ("CreditAnalysisCompleted", "ComplianceCheckRequested", "FraudScreeningCompleted")
+    for event in ("DecisionGenerated", "ApplicationApproved", "ApplicationDeclined", "HumanReviewCompleted")]
 
 
 def compliance_at(log: DataFrame, moments: DataFrame) -> DataFrame:
@@ -72,17 +74,23 @@ def outcome(log: DataFrame) -> DataFrame:
     return e.groupBy("stream_id").agg(*_outcome())
 
 
-def what_if(log: DataFrame, branch: str, payload: Column) -> DataFrame:
+def causally_dependent(branch: str, dependents: DataFrame | None = None) -> list[str]:
+    """Event types that depend on a branch event, by rows (branch, dependent), DEPENDENTS without; none for an unknown branch."""
+    rows = DEPENDENTS if dependents is None else [(r["branch"], r["dependent"]) for r in few_rows(dependents)]
+    return sorted({event for b, event in rows if b == branch})
+
+
+def what_if(log: DataFrame, branch: str, payload: Column, dependents: DataFrame | None = None) -> DataFrame:
     """Per loan stream: real and counterfactual outcome, the fields that differ, events replayed and skipped.
 
     The first branch event is replaced by one with the given payload; later events that depend on it are dropped. A stream without
-    one gets the counterfactual event at its end. Both scenarios are one fold, keyed by stream and scenario.
+    one gets the counterfactual event at its end. dependents: see causally_dependent. Both scenarios are one fold, keyed by stream and scenario.
     """
     e = by_category(log, "loan-").select("stream_id", "stream_position", "event_type", "payload", F.min(
         F.when(F.col("event_type") == branch, F.col("stream_position"))).over(W.partitionBy("stream_id")).alias("at"))
     pos, at = F.col("stream_position"), F.col("at")
     later = F.coalesce(pos > at, F.lit(False))
-    skipped = later & F.col("event_type").isin(*DEPENDENT) if branch in BRANCHES else F.lit(False)
+    skipped = later & F.coalesce(F.col("event_type").isin(causally_dependent(branch, dependents)), F.lit(False))
     real = e.select("stream_id", F.lit("real").alias("scenario"), pos.cast("double").alias("ord"), "event_type", "payload")
     kept = e.where(~skipped & ~F.coalesce(pos == at, F.lit(False)))
     changed = kept.select("stream_id", F.lit("counterfactual").alias("scenario"), pos.cast("double").alias("ord"), "event_type", "payload")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import has_key
 from .joins import reconstruct_model_versions
+from .rules import few_rows
 
 # Fixed values: [start, end) dates and what was in force.
 MODEL_SCHEDULE = [("2024-01-01", "2024-07-01", "v1.0"), ("2024-07-01", "2025-01-01", "v1.1"), ("2025-01-01", "2026-01-01", "v2.0"), ("2026-01-01", "2099-01-01", "v2.1")]
@@ -24,6 +25,11 @@ def infer_from_schedule(ts: Column, schedule: list[tuple[str, str, str]]) -> Col
     return out
 
 
+def schedule_rows(table: DataFrame, name: str) -> list[tuple[str, str, str]]:
+    """[start, end) dates and values of one schedule of a table (schedule, start, end, value), in order, for infer_from_schedule."""
+    return sorted((str(r["start"]), str(r["end"]), r["value"]) for r in few_rows(table.where(F.col("schedule") == name)))
+
+
 class Upcasters:
     """register(type, from_version) decorates a function of (payload, recorded_at) that returns the next version's payload."""
 

@@ -220,7 +220,7 @@ query("p1_what_if", f""", l AS (SELECT stream_id, CAST(stream_position AS DOUBLE
  o AS ({_FOLD} FROM (SELECT *, {FLOOR_STATE} AS st FROM u) z GROUP BY stream_id, scenario), sk AS (SELECT stream_id, count(*) FILTER (skip) AS events_skipped FROM f GROUP BY stream_id)
  SELECT r.stream_id, concat_ws(',', {", ".join(f"CASE WHEN r.{c} IS DISTINCT FROM c.{c} THEN '{c}' END" for c in ("state", "risk_tier", "fraud_score", "decision", "confidence_score", "final_decision", "human_reviewer_id", "approved_amount_usd"))}) AS divergence,
  c.n AS events_replayed, events_skipped, r.state AS real_state, c.state AS cf_state FROM o r JOIN o c ON r.stream_id = c.stream_id AND r.scenario = 'real' AND c.scenario = 'cf' JOIN sk ON sk.stream_id = r.stream_id""")(
-    lambda log: T.what_if(log, "CreditAnalysisCompleted", F.lit(_CF)).select("stream_id", F.array_join("divergence", ",").alias("divergence"), "events_replayed", "events_skipped", F.col("real.state").alias("real_state"), F.col("counterfactual.state").alias("cf_state")))
+    lambda log: T.what_if(log, "CreditAnalysisCompleted", F.lit(_CF), log.sparkSession.createDataFrame(T.DEPENDENTS, "branch string, dependent string")).select("stream_id", F.array_join("divergence", ",").alias("divergence"), "events_replayed", "events_skipped", F.col("real.state").alias("real_state"), F.col("counterfactual.state").alias("cf_state")))
 query("p5_regulatory_package")(lambda log: T.regulatory_package(log.unionByName(S.mirror_to_audit(log)), "2030-01-01").select(
     "stream_id", F.size("events").alias("n_events"), F.col("summary.state").alias("state"), F.size("narrative").alias("n_sentences"), "checksum", "is_valid"))
 

@@ -209,4 +209,4 @@ def _joined(s, d):
 def _regulated(s, d):
     f = flags(s, d).where("is_active").groupBy("company_id").agg(F.bool_or(F.col("flag_type") == "AML_WATCH").alias("aml_watch"), F.bool_or(F.col("flag_type") == "SANCTIONS_REVIEW").alias("sanctions"))
     apps = applications(s, d).join(companies(s, d), "company_id").join(f, "company_id", "left").fillna(False, ["aml_watch", "sanctions"])
-    return U.evaluate_regulations(apps, 2025)
+    return U.evaluate_regulations(apps, 2025, s.createDataFrame(U.REGULATIONS, U.RULE_DDL))
