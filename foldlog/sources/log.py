@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -126,30 +128,93 @@ def admit_groups(proposals: DataFrame, heads: DataFrame, group: str = "group_id"
     """All-or-nothing appends over several streams: group and accepted.
 
     A group stands on a stream where its first proposal there does (of equal ord, the smaller group first); its own later ones
-    follow on the head that the first moved. Each round decides the groups that are first on all their streams: accepted
-    if every first proposal meets its head and the others follow; the heads then move on. Rounds go on until nothing
-    waits. Groups that wait for each other in a circle have no order: ValueError.
+    follow on the head that the first moved. A group is decided when it is first on all its streams: accepted if every first
+    proposal meets its head and the others follow; the heads then move on. Groups that wait for each other in a circle have no
+    order: ValueError. A null group is a group of its own; every proposal names a stream.
+
+    Streams that groups tie together are a component. Its groups are one ordered fold, in Arrow batches: it keeps the heads of
+    the component's streams and the groups that still wait, so a chain of groups needs no round of its own.
     """
     own = W.partitionBy(group, "stream_id").orderBy("ord")
     begin, k = F.first("expected_version").over(own), F.row_number().over(own)
     follows = (k == 1) | (F.col("expected_version") == F.greatest(begin, F.lit(0)) + k - 1)
-    steps = proposals.select(group, "stream_id", "ord", begin.alias("expected"), F.coalesce(follows, F.lit(False)).alias("follows"))
-    waiting = steps.groupBy(group, "stream_id").agg(F.min("ord").alias("ord"), F.count("*").alias("n"), F.first("expected").alias("expected"), F.bool_and("follows").alias("follows")).checkpoint()
-    now, done = heads.select("stream_id", "version"), None
-    while not waiting.isEmpty():
-        place = F.struct("ord", group)
-        first = waiting.withColumn("first", place == F.min(place).over(W.partitionBy("stream_id")))
-        ready = first.groupBy(group).agg(F.bool_and("first").alias("ready")).where("ready").select(group)
-        tried = waiting.join(ready, group).join(now, "stream_id", "left").withColumn("head", F.coalesce("version", F.lit(-1)))
-        meets = F.coalesce(F.col("follows") & (F.col("expected") == F.col("head")), F.lit(False))
-        verdict = tried.groupBy(group).agg(F.bool_and(meets).alias("accepted")).checkpoint()
-        if verdict.isEmpty():
-            raise ValueError(f"{waiting.select(group).distinct().count()} groups wait for each other in a circle")
-        moved = tried.join(verdict.where("accepted"), group).select("stream_id", (F.greatest("head", F.lit(0)) + F.col("n")).alias("version"))
-        now = now.unionByName(moved).groupBy("stream_id").agg(F.max("version").alias("version")).checkpoint()
-        waiting = waiting.join(verdict, group, "left_anti").checkpoint()
-        done = verdict if done is None else done.unionByName(verdict)
-    return waiting.select(group, F.lit(None).cast("boolean").alias("accepted")) if done is None else done
+    rows = proposals.select(F.col(group).alias("member"), F.col("stream_id"), "ord", begin.alias("expected"), F.coalesce(follows, F.lit(False)).alias("follows"))
+    steps = rows.groupBy("member", "stream_id").agg(F.min("ord").alias("ord"), F.count("*").alias("n"), F.first("expected").alias("expected"), F.bool_and("follows").alias("follows")).checkpoint()
+    mates = W.partitionBy("member")
+    steps = steps.withColumns({"width": F.count("*").over(mates), "anchor": F.min("stream_id").over(mates)})
+    tied = steps.where("stream_id != anchor").select(F.col("stream_id").alias("a"), F.col("anchor").alias("b")).distinct()
+    work = steps.join(connected(tied), F.col("stream_id") == F.col("node"), "left").join(heads.select("stream_id", "version"), "stream_id", "left")
+    work = work.select(F.coalesce("root", "stream_id").alias("component"), "ord", "member", "stream_id", "n", "expected", "follows", "width", F.coalesce("version", F.lit(-1)).alias("version"))
+    kind = proposals.schema[group].dataType.simpleString()
+    done = work.repartition("component").sortWithinPartitions("component", "ord", "member", "stream_id").mapInArrow(_decide, f"member {kind}, accepted boolean").checkpoint()
+    circle = done.where("accepted is null").count()
+    if circle:
+        raise ValueError(f"{circle} groups wait for each other in a circle")
+    return done.withColumnRenamed("member", group)
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fold of admit_groups over steps in order of component and place; a group in a circle gets null."""
+    now, kept, heads, queues, waiting = None, None, {}, {}, {}
+    out: list[tuple] = []
+
+    def settle(first) -> None:
+        ready = [first]
+        while ready:
+            g = ready.pop()
+            if g not in waiting or waiting[g][0] or any(queues[s][0] != g for s, *_ in waiting[g][1]):
+                continue
+            mine = waiting.pop(g)[1]
+            ok = all(follows and expected == heads[s] for s, n, expected, follows in mine)
+            out.append((g, ok))
+            for s, n, *_ in mine:
+                heads[s] = max(heads[s], 0) + n if ok else heads[s]
+                queues[s].popleft()
+            ready += dict.fromkeys(queues[s][0] for s, *_ in mine if queues[s])
+
+    for batch in batches:
+        for component, _, g, s, n, expected, follows, width, version in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if component != now:
+                out += [(other, None) for other in waiting]
+                now = component
+                for state in (heads, queues, waiting):
+                    state.clear()
+            heads.setdefault(s, version)
+            queues.setdefault(s, deque()).append(g)
+            steps = waiting.setdefault(g, [width, []])
+            steps[0] -= 1
+            steps[1].append((s, n, expected, follows))
+            if not steps[0]:
+                settle(g)
+        kept = batch.schema.field("member").type
+        yield _verdicts(out, kept)
+        out.clear()
+    if waiting:
+        yield _verdicts([(other, None) for other in waiting], kept)
+
+
+def _verdicts(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.bool_())], names=["member", "accepted"])
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """node and root (the smallest node it reaches) of every node of links (a, b).
+
+    Each round every root with a smaller neighbour points to the smallest, pointers double until they are flat, and links between
+    roots go on: at least half of the roots that still have links are gone after it.
+    """
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    out, edges = nodes.select("node", F.col("node").alias("root")).checkpoint(), links.where("a != b").checkpoint()
+    while not edges.isEmpty():
+        up = edges.select(F.greatest("a", "b").alias("root"), F.least("a", "b").alias("to")).groupBy("root").agg(F.min("to").alias("to")).checkpoint()
+        while not up.join(up.select(F.col("root").alias("to")), "to", "left_semi").isEmpty():
+            next_ = up.select(F.col("root").alias("to"), F.col("to").alias("top"))
+            up = up.join(next_, "to", "left").select("root", F.coalesce("top", "to").alias("to")).checkpoint()
+        out = out.join(up, "root", "left").select("node", F.coalesce("to", "root").alias("root")).checkpoint()
+        for end in ("a", "b"):
+            edges = edges.join(up.withColumnRenamed("root", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        edges = edges.where("a != b").distinct().checkpoint()
+    return out
 
 
 def assign_global_positions(accepted: DataFrame, order: list[str], start: int = 0) -> DataFrame:

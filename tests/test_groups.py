@@ -44,6 +44,27 @@ def test_chain_of_over_twenty_groups(spark):
     assert decided(spark, rows, []) == dict.fromkeys(range(22), True)
 
 
+def test_a_thousand_groups_on_one_stream_take_one_pass(spark):
+    rows = [("hot", i, (-1 if i == 0 else i) if i % 10 else 10**6, i) for i in range(1000)]
+    want = in_order(rows, [])
+    assert decided(spark, rows, []) == want
+    rows = [(f"s{i + j:04}", i, i if j == 0 and i else -1, i) for i in range(300) for j in (0, 1)]
+    assert decided(spark, rows, []) == in_order(rows, [])
+
+
+def test_a_group_waits_for_one_that_comes_later_on_its_other_stream(spark):
+    # group 1 is first on a (ord 1) but second on b, where group 2 stands before it
+    rows = [("a", 1, -1, 1), ("b", 5, 1, 1), ("b", 3, -1, 2), ("c", 9, -1, 2), ("d", 1, None, 3)]
+    assert decided(spark, rows, []) == {1: True, 2: True, 3: False}
+
+
+def test_components_of_paths_and_stars(spark):
+    names = [f"p{(i * 37) % 101:03}" for i in range(101)]
+    links = list(zip(names, names[1:])) + [("z0", f"z{i}") for i in range(1, 30)] + [("y", "y")]
+    got = {r.node: r.root for r in S.connected(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert got == {**dict.fromkeys(names, "p000"), **{f"z{i}": "z0" for i in range(30)}, "y": "y"}
+
+
 def test_circle_is_an_error(spark):
     rows = [("a", 1, -1, 1), ("b", 2, 1, 1), ("b", 1, -1, 2), ("a", 2, 1, 2)]
     with pytest.raises(ValueError, match="2 groups"):
