@@ -10,9 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_length, held_out, letter_codes, mix64, table
+from .common import by_length, byte_slices, held_out, letter_codes, mix64, table
 
-ORDERS, SLOTS, PROBES, SLICE = range(1, 5), 1 << 20, 3, 2048
+ORDERS, SLOTS, PROBES = range(1, 5), 1 << 20, 3
+#: Texts are worked on in slices of so many bytes; results don't depend on it.
+SLICE_BYTES = 1 << 22
 #: A language's filter holds the n-grams of an order that are at least this share of its n-grams of that order: 4 * 5,000 at most.
 LEAST_SHARE = 2e-4
 UNKNOWN = "und"
@@ -37,17 +39,14 @@ def ngrams(words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
             yield n, mix64(own + np.uint64(n))
 
 
-def _slices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        for lo in range(0, batch.num_rows, SLICE):
-            yield batch.slice(lo, SLICE)
-
-
 def language_ngrams(docs: DataFrame) -> DataFrame:
-    """lang, order, gram (its hash), n: the n-grams that are frequent in each language of docs (text, lang; null lang: left out)."""
+    """lang, order, gram (its hash), n: the n-grams that are frequent in each language of docs (text, lang; null lang: left out).
+
+    A null or empty text has none, repeated rows count as often as they stand there, other columns aren't read.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(it):
+        for part in byte_slices(it, "text", SLICE_BYTES):
             words, codes, starts = words_of(part.column("text"))
             langs = np.repeat(np.asarray(part.column("lang").to_pylist(), dtype=object), np.diff(starts))
             for lang in set(langs):
@@ -113,15 +112,17 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
 
     Of the n-grams of a text, a language's popcount, less the false positives its filter's fill lets expect, decides;
     score is its share of all languages' corrected counts. Ties go to the first language by code point. No letter or
-    null text: und, 0. Letters that no filter knows: the first language, score 1 / number of languages.
+    null text: und, 0. Letters that no filter knows: the first language, score 1 / number of languages. Repeated rows
+    get equal answers; columns of docs that are named lang_pred or score give way to the results.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c.lower() not in ("text", "lang_pred", "score")]
+    docs = docs.select(*(F.col(f"`{c}`") for c in [*keep, "text"]))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for part in _slices(it):
+        for part in byte_slices(it, "text", SLICE_BYTES):
             words, codes, starts = words_of(part.column("text"))
             by_word = own.hits(words)
             sums = np.vstack([np.zeros(by_word.shape[1]), np.cumsum(by_word[codes], axis=0)])
@@ -142,6 +143,7 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document, by filters of the documents that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     filters = train(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"))
     return identify(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), filters)

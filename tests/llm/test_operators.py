@@ -429,6 +429,33 @@ def test_language_held_out(spark):
     assert (got[got.held_out].lang == got[got.held_out].lang_pred).mean() > 0.98 and got.score.between(0, 1).all()
 
 
+def test_language_popcounts_against_sets():
+    """Hits of each word by language against sets of its n-grams' hashes, letter by letter."""
+    def grams(word):
+        return [int(g) for _, h in langid.ngrams([word]) for g in h.ravel()]
+
+    texts = {"aa": ["haus", "straße", "über"], "bb": ["maison", "été"], "cc": []}
+    known = {lang: {g for w in ws for g in grams(w)} for lang, ws in texts.items()}
+    filters = langid.Filters({lang: [int(np.uint64(g).view(np.int64)) for g in own] for lang, own in known.items()})
+    for word in ("haus", "maison", "hausen", "été", "qqq", "ü"):
+        n = len(word) + sum(max(0, len(word) + 2 - k + 1) for k in (2, 3, 4))
+        got = filters.hits([word])[0]
+        assert len(grams(word)) == n and got[0] == n
+        want = [sum(g in known[lang] for g in grams(word)) for lang in filters.langs]
+        # three probes of a nearly empty table name no other language here
+        assert got[1:].tolist() == want
+
+
+def test_languages_do_not_depend_on_slices(spark, awkward, monkeypatch):
+    filters = langid.train(table(spark, DATA, "documents").select("text", "lang"))
+    rows = table(spark, DATA, "documents").select("doc_id", "text").unionByName(awkward.select("doc_id", "text"))
+    whole = langid.identify(rows, filters).toPandas().astype(str).values.tolist()
+    monkeypatch.setattr(langid, "SLICE_BYTES", 200)
+    assert langid.identify(rows, filters).toPandas().astype(str).values.tolist() == whole
+    named = langid.identify(rows.withColumn("Score", F.lit("x")).withColumn("lang_pred", F.lit(1)), filters)
+    assert named.columns == ["doc_id", "lang_pred", "score"] and named.toPandas().astype(str).values.tolist() == whole
+
+
 def test_language_of_awkward_rows(spark, awkward):
     filters = langid.train(table(spark, DATA, "documents").select("text", "lang"))
     got = langid.identify(awkward.select("doc_id", "text"), filters).toPandas()
