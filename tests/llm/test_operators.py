@@ -4,7 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
-from itertools import pairwise
+from itertools import combinations, pairwise
 
 import numpy as np
 import pandas as pd
@@ -341,15 +341,60 @@ def test_simhash_finds_all_bit_errors(spark):
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     near = [int(b) ^ sum(1 << int(x) for x in rng.choice(64, 4, replace=False)) for b in base]
     rows = [(i, int(b).to_bytes(8, "big")) for i, b in enumerate(base)] + [(100 + i, n.to_bytes(8, "big")) for i, n in enumerate(near)]
-    links = simhash.near_links(spark.createDataFrame(rows, "rep long, fp binary"), 8, 4, 4)
+    links = simhash.near_links(spark.createDataFrame(rows, "rep long, fp binary"), 4)
     assert {tuple(sorted((r.a, r.b))) for r in links.collect()} == {(i, 100 + i) for i in range(40)}
 
 
+def test_byte_triples_lie_within_any_four():
+    triples = [set(t) for t in simhash.byte_triples()]
+    assert len(triples) == 20 and all(any(t <= set(four) for t in triples) for four in combinations(range(8), 4))
+
+
+@pytest.mark.parametrize("long", [1, 8, 2048])
+def test_simhash_long_lists_lose_no_link(spark, long):
+    """Fingerprints that share their first three bytes, some four: every level of the index has the same components as all pairs."""
+    rng = np.random.default_rng(2)
+    base = [0x0102030000000000 | int(x) for x in rng.integers(0, 1 << 40, 60)] + [0x0102030400000000 | int(x) for x in rng.integers(0, 1 << 32, 60)]
+    fps = sorted({v for b in base for v in (b, *(b ^ sum(1 << int(x) for x in rng.choice(64, n, replace=False)) for n in (1, 3, 4)))})
+    frame = spark.createDataFrame([(i, v.to_bytes(8, "big")) for i, v in enumerate(fps)], "rep long, fp binary")
+
+    def groups(pairs):
+        root = list(range(len(fps)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+        return [find(i) for i in range(len(fps))]
+
+    got = [(r.a, r.b) for r in simhash.near_links(frame, 4, long).collect()]
+    assert all((fps[a] ^ fps[b]).bit_count() <= 4 for a, b in got)
+    assert groups(got) == groups((a, b) for a, b in combinations(range(len(fps)), 2) if (fps[a] ^ fps[b]).bit_count() <= 4)
+
+
+def test_simhash_of_a_crowded_list(spark):
+    """20,000 unlike fingerprints that share four bytes: the list is dealt again, not scanned pair by pair."""
+    rng = np.random.default_rng(3)
+    fps = sorted({0x0A0B0C0D00000000 | int(x) for x in rng.integers(0, 1 << 32, 20_000)})
+    frame = spark.createDataFrame([(i, v.to_bytes(8, "big")) for i, v in enumerate(fps)], "rep long, fp binary")
+    got = {tuple(sorted((r.a, r.b))) for r in simhash.near_links(frame).collect()}
+    words = np.array(fps, np.uint64)
+    near = [(a, a + 1 + int(b)) for a in range(len(fps)) for b in np.flatnonzero(np.bitwise_count(words[a + 1 :] ^ words[a]) <= 4)]
+    assert got <= set(near) and {x for p in got for x in p} == {x for p in near for x in p}
+
+
 def test_simhash_of_awkward_rows(spark, awkward):
     got = simhash.near_duplicates(awkward.select("doc_id", "text"), "doc_id").toPandas()
     assert len(got) == len(AWKWARD)
     zero = got[got.doc_id.isin([1, 2, 7])]
     assert (zero.component == 1).all() and simhash.near_duplicates(awkward.where("false").select("doc_id", "text")).count() == 0
+    own = awkward.select("doc_id", "text", F.lit("mine").alias("fp"), F.lit("too").alias("Component"))
+    more = simhash.near_duplicates(own).toPandas()
+    assert (more.fp == "mine").all() and (more.Component == "too").all() and sorted(more._component.dropna()) == sorted(got.component.dropna())
 
 
 def plain_repeats(rows):
