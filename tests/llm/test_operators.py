@@ -217,20 +217,39 @@ def plain_limits(stats):
                     upto += w[b]
                     if upto >= share * total - 1e-9:
                         break
-                octave = max(b // 32 - 1, 0)
-                q.append(b if b < 64 else (b - 32 * octave) << octave)
-            reach = max(3 * (q[1] - q[0]), quality.METRICS[m][3])
+                octave = max(b // 256 - 1, 0)
+                q.append(b if b < 512 else (b - 256 * octave) << octave)
+            reach = 3 * (q[1] - q[0])
             out[lg, so, m] = (q[0] - reach if quality.METRICS[m][4] == "both" else -1, q[1] + reach)
-    return values, out
+    return out
+
+
+def plain_evident(row, m, sign):
+    top, under, scale, unit, _ = quality.METRICS[m]
+    found = getattr(row, top) / unit
+    return scale * unit * max(found + sign * 2 * found**0.5, 0.0) / max(getattr(row, under), 1)
 
 
 def test_kept_against_plain_quantiles(spark):
     got = quality.judged(quality.word_stats(table(spark, "/root/testdata/sf0.01", "documents")).drop("text")).toPandas()
     got["lang"], got["source"] = got.lang.fillna("-"), got.source.fillna("-")
-    values, limits = plain_limits(got)
-    fits = lambda i, r: all(limits[r.lang, r.source, m][0] <= values[m][i] <= limits[r.lang, r.source, m][1] for m in values)
-    want = [bool(not r.base_failed and fits(i, r)) for i, r in enumerate(got.itertuples())]
+    limits = plain_limits(got)
+    edges = lambda r, m: limits.get((r.lang, r.source, m), (-1, np.inf))
+    fits = lambda r: all(plain_evident(r, m, 1) >= edges(r, m)[0] and plain_evident(r, m, -1) <= edges(r, m)[1] for m in quality.METRICS)
+    want = [bool(not r.base_failed and fits(r)) for r in got.itertuples()]
     assert got.kept.tolist() == want and 0 < sum(want) < len(want)
+    assert len({v for (_, _, m), v in limits.items() if m == "word_length"}) > 40  # limits are the groups' own
+
+
+def test_quality_limits_adapt(spark):
+    """A source whose documents all have symbols keeps them; the same text fails where the others have none. Clashing columns stand."""
+    rng = np.random.default_rng(4)
+    text = lambda share, n: " ".join(f"w{int(x)}" + "#" * int(rng.random() < share) for x in rng.integers(10, 10**6, n))
+    rows = [(source, text(share, int(rng.integers(60, 200))), i) for source, share in (("code", 0.2), ("prose", 0.0)) for i in range(400)]
+    frame = spark.createDataFrame([*rows, ("prose", text(0.2, 100), 1000)], "source string, text string, doc_id long").withColumn("lang", F.lit("en"))
+    got = quality.quality_rules(frame.select("*", F.lit("mine").alias("_w"), F.lit(7).alias("limits"), F.lit(8).alias("words"), F.lit(-1).alias("n_words"))).toPandas()
+    assert (got._w == "mine").all() and (got.limits == 7).all() and (got.words == 8).all() and (got.n_words > 0).all()
+    assert got[got.doc_id < 1000].kept.mean() > 0.98 and list(got[got.doc_id == 1000].failed_rules.iloc[0]) == ["symbols"]
 
 
 def test_sketch_buckets(spark):
@@ -243,8 +262,8 @@ def test_sketch_buckets(spark):
 
 
 def quality_bucket(v):
-    octave = max(0, v.bit_length() - 6)
-    return v if v < 64 else octave * 32 + (v >> octave)
+    octave = max(0, v.bit_length() - 9)
+    return v if v < 512 else octave * 256 + (v >> octave)
 
 
 def test_toxicity_held_out(spark):
