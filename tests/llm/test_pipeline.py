@@ -1,9 +1,15 @@
 """Each stage of the pipeline against a plain version, and the whole on small and awkward inputs."""
 
+import hashlib
 import re
+from collections import Counter
+from itertools import accumulate
+
+import public_tokenizers
+import tiktoken
 
 import corpus_pipeline as P
-from foldlog.llm import toxicity
+from foldlog.llm import bpe, toxicity
 from foldlog.llm.common import table, written
 
 DATA = "/root/testdata/sf0.001"
@@ -24,10 +30,55 @@ def test_stages(spark):
     ids = sorted(after.doc_id)
     assert not any(near(a, b) > 0.95 for i, a in enumerate(ids) for b in ids[:i])
     cut = written(stages["suffix_array_dedup"](spark, single, DATA))
-    assert cut.columns == docs.columns and set(cut.toPandas().doc_id) == set(after.doc_id)
+    assert cut.columns == docs.columns and {r.doc_id: r.text for r in cut.collect()} == plain_cuts(zip(after.doc_id, after.text, strict=True))
     mix = written(stages["mixing"](spark, cut, DATA))
-    assert mix.columns == docs.columns and mix.groupBy("doc_id").count().agg({"count": "max"}).first()[0] <= 3
-    assert stages["byte_level_bpe"](spark, mix, DATA).count() == mix.count()
+    rows, taken = Counter(map(tuple, cut.collect())), Counter(map(tuple, mix.collect()))
+    assert mix.columns == docs.columns and taken.keys() <= rows.keys() and all(n <= 3 * rows[r] for r, n in taken.items())
+    source, text = docs.columns.index("source"), docs.columns.index("text")
+    words = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r[text] or ""))
+    size, got = Counter(), Counter()
+    for r, n in rows.items():
+        size[r[source]] += n * words(r)
+    for r, n in taken.items():
+        got[r[source]] += n * words(r)
+    largest = max(map(words, rows))
+    assert all(abs(got[s] - t) <= largest for s, t in plain_targets(size).items())
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    hex_ = lambda b: hashlib.sha256(b).hexdigest()
+    want = Counter()
+    for r, n in taken.items():
+        ids = enc.encode_ordinary(r[text] or "")
+        want[r[docs.columns.index("doc_id")], len(ids), hex_(",".join(map(str, ids)).encode()), hex_((r[text] or "").encode())] += n
+    assert Counter(map(tuple, stages["byte_level_bpe"](spark, mix, DATA).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == want
+
+
+def plain_cuts(rows):
+    """Each text without the characters all of whose bytes are covered by 100-byte strings that also start earlier."""
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        b, covered = t.encode(), set()
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in seen:
+                covered.update(range(i, i + 100))
+            seen.add(b[i : i + 100])
+        ends = list(accumulate(len(c.encode()) for c in t))
+        out[d] = "".join(c for c, end in zip(t, ends, strict=True) if not covered.issuperset(range(end - len(c.encode()), end)))
+    return out
+
+
+def plain_targets(size):
+    """Shares of all words by weights 1, 2, 3 in turn, at most three times a source's own; what is over goes to the others."""
+    weight = {s: i % 3 + 1 for i, s in enumerate(sorted(size, key=lambda s: (s is None, s or "")))}
+    full = {}
+    while True:
+        rest = [s for s in size if s not in full]
+        left = sum(size.values()) - sum(full.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in rest) for s in rest}
+        over = {s: 3 * size[s] for s in rest if share[s] > 3 * size[s]}
+        if not over:
+            return full | share
+        full |= over
 
 
 def test_copies_without_id_and_empty_tables(spark):

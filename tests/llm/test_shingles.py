@@ -61,3 +61,11 @@ def test_short_lists_and_long_ones_agree(spark, monkeypatch):
     monkeypatch.setattr(shingles, "SHORT", 1)
     got = {r.doc_id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_force(rows)
+
+
+def test_unlike_sets_of_one_hash_stay_apart(spark):
+    """Documents 1 and 3 are linked by their nodes; 2 has the hash of 1, but another set, and 4 repeats it."""
+    rows = [(1, 7, 5, b"a"), (2, 7, 6, b"b"), (3, 9, 5, b"c"), (4, 7, 6, b"b"), (5, 11, 5, b"a")]
+    own = spark.createDataFrame(rows, "id long, node long, n int, parity binary")
+    roots = spark.createDataFrame([(7, 7), (9, 7)], "node long, root long")
+    assert {r.id: r.component for r in shingles._with_components(own, roots, "id").collect()} == {1: 1, 3: 1, 2: 2, 4: 2, 5: 5}
