@@ -14,7 +14,7 @@ from ..operators.readmodels import performance_parts, performance_totals
 from ..sources.log import outbox_rows
 from ..streaming import KeyedTable, relay_outbox, reviews_as_of, run_projection, session_views, start_stateful, streamed_timeouts
 from ..streaming.relay import OUTBOX_DDL
-from .fixtures import LOG, events_log
+from .fixtures import LOG, events_log, table
 from .folds import ORACLES as FOLD_SQL
 from .tables import _shared
 
@@ -94,6 +94,8 @@ def _relayed(spark, d):
     """A publisher that fails on an event so often as its id leaves over by 7; five attempts are the end."""
     publish = lambda rows: rows.select("event_id", (F.col("attempts") >= F.col("event_id").cast("long") % 7).alias("ok"))
     outbox = lambda b: KeyedTable(spark, f"{b}/outbox", ["event_id"], OUTBOX_DDL)
-    base = _runs(spark, d, lambda events, b: [relay_outbox(outbox_rows(events), outbox(b), publish, f"{b}/checkpoint", batch_size=100_000)], (0,))
+    size = 100_000
+    lanes = table(spark, d, "events").count() // size + 1  # a publisher for so many rows as it takes in a round
+    base = _runs(spark, d, lambda events, b: [relay_outbox(outbox_rows(events), outbox(b), publish, f"{b}/checkpoint", batch_size=size, lanes=lanes)], (0,))
     published = F.col("published_at").isNotNull()
     return outbox(base).read().select("event_id", F.col("attempts").cast("long").alias("attempts"), published.alias("published"), (~published & (F.col("attempts") >= 5)).alias("dead"))

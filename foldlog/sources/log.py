@@ -255,6 +255,15 @@ def pending_outbox(outbox: DataFrame, batch_size: int = 100, max_attempts: int =
     return outbox.where((F.col("published_at").isNull()) & (F.col("attempts") < max_attempts)).orderBy("created_at", "event_id").limit(batch_size)
 
 
+def pending_in_lanes(outbox: DataFrame, lanes: int, batch_size: int = 100, max_attempts: int = 5) -> DataFrame:
+    """pending_outbox for several publishers side by side: each has a lane, the rows of some event_ids, and takes the oldest of its own."""
+    if lanes == 1:
+        return pending_outbox(outbox, batch_size, max_attempts)
+    oldest = F.row_number().over(W.partitionBy(F.pmod(F.xxhash64("event_id"), F.lit(lanes))).orderBy("created_at", "event_id"))
+    waits = outbox.where(F.col("published_at").isNull() & (F.col("attempts") < max_attempts))
+    return waits.withColumn("_n", oldest).where(F.col("_n") <= batch_size).drop("_n")
+
+
 def dead_letters(outbox: DataFrame, max_attempts: int = 5) -> DataFrame:
     return outbox.where(F.col("published_at").isNull() & (F.col("attempts") >= max_attempts))
 

@@ -144,3 +144,20 @@ def test_relay_counts_attempts_survives_a_crash_and_buries_the_dead(spark, tmp_p
     assert all(ok for e, (_, ok) in got.items() if e != "7") and set(sent) == set(got) - {"7"} and max(calls) <= 4
     take_in(outbox, outbox_rows(log))
     assert drain(outbox, publish) == 0 and {r.event_id: (r.attempts, r.published_at is not None) for r in outbox.read().collect()} == got
+
+
+def test_relay_in_lanes_takes_no_more_rounds_for_more_rows(spark, tmp_path):
+    log = make(spark, [("loan-1", "ApplicationSubmitted", {"application_id": str(i)}) for i in range(120)])
+    outbox_rows(log).write.parquet(f"{tmp_path}/rows")
+    outbox, calls = KeyedTable(spark, f"{tmp_path}/outbox", ["event_id"], OUTBOX_DDL), []
+
+    def publish(df):
+        lanes = df.groupBy(F.pmod(F.xxhash64("event_id"), F.lit(12))).count().collect()
+        calls.append(max((r["count"] for r in lanes), default=0))
+        return df.select("event_id", (F.col("attempts") >= F.length("event_id") - 1).alias("ok"))
+
+    rows = spark.readStream.schema(outbox_rows(log).schema).parquet(f"{tmp_path}/rows")
+    relay_outbox(rows, outbox, publish, f"{tmp_path}/checkpoint", batch_size=20, lanes=12).awaitTermination()
+    got = {r.event_id: (r.attempts, r.published_at is not None) for r in outbox.read().collect()}
+    assert len(got) == 120 and all(at == (len(e) - 1, True) for e, at in got.items())
+    assert max(calls) <= 20 and len(calls) <= 5  # one lane takes 12
