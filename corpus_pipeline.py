@@ -24,11 +24,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar rows the first, once, by doc_id and text; rows without id come after all others.
 
-    A row is known by its doc_id and text, so unlike texts under one doc_id are told apart.
+    SimHash fingerprints are linked and of each group the first goes on. Fingerprints only estimate, so an exact check of shingle sets
+    follows among those: no two rows that stay are similar at 0.8. A row is known by its doc_id and text, so unlike texts under one doc_id are told apart.
     """
     id_ = F.col("doc_id").cast("long")
     key = F.struct(F.col("doc_id").isNull().alias("late"), F.coalesce(id_, F.lit(0)).alias("id"), F.xxhash64("text").alias("text"))
-    groups = simhash.similar_documents(docs.select(key.alias("key"), "text"), "key")
+    keyed = docs.select(key.alias("key"), "text")
+    firsts = written(simhash.firsts_by_fingerprint(keyed, "key"), "simhash-firsts")
+    left = written(deflated(keyed).join(firsts, "key", "left_semi").dropDuplicates(["key"]), "simhash-left")
+    groups = simhash.similar_documents(inflate(left), "key")
     stay = groups.where("key = component").select("key").distinct()
     # repeated rows are equal in key and text; of those that differ elsewhere the first by a hash stays
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))

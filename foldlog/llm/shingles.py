@@ -202,7 +202,7 @@ def _candidates(lists: DataFrame, parities: DataFrame, roots: DataFrame | None =
     return _in_lists(rows).mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
-def _texts_of(pairs: DataFrame, own: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+def texts_of(pairs: DataFrame, own: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """node and its text, compressed, of each node of pairs."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     one = own.join(nodes, "node").groupBy("node").agg(F.min(key).alias(key))
@@ -210,7 +210,7 @@ def _texts_of(pairs: DataFrame, own: DataFrame, docs: DataFrame, key: str) -> Da
     return written(found.select("node", "text"), "texts-of-pairs")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """pairs, with ok: whether the Jaccard similarity of the two whole sets reaches the threshold."""
     from .simhash import shingle_hashes
 
@@ -266,17 +266,17 @@ def similar_sets(docs: DataFrame, key: str, size: int) -> DataFrame:
     lists = written(_shared(_postings(docs, size)), "shingle-lists")
     parities = own.select("node", "parity").distinct()
     pairs = written(_candidates(lists, parities), "pairs")
-    texts = _texts_of(pairs, own, docs, key)
-    tried = written(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, size), "links")
+    texts = texts_of(pairs, own, docs, key)
+    tried = written(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, size), "links")
     roots = written(connected_components(tried.where("ok").select("a", "b")), "roots")
     rest = written(_apart(pairs.join(tried, ["a", "b"], "left_anti"), roots), "pairs")
     if not rest.isEmpty():
-        tried = tried.unionByName(written(_verified(rest, texts, size), "links"))
+        tried = tried.unionByName(written(verified(rest, texts, size), "links"))
         roots = written(connected_components(tried.where("ok").select("a", "b")), "roots")
     if not tried.where("not ok").isEmpty():
         long = lists.groupBy("token").agg(F.count("*").alias("_n")).where(F.col("_n") > SHORT).select("token")
         rest = written(_candidates(lists.join(long, "token", "left_semi"), parities, roots).join(tried, ["a", "b"], "left_anti"), "pairs")
         if not rest.isEmpty():
-            more = written(_verified(rest, _texts_of(rest, own, docs, key), size).where("ok").select("a", "b"), "links")
+            more = written(verified(rest, texts_of(rest, own, docs, key), size).where("ok").select("a", "b"), "links")
             roots = written(connected_components(tried.where("ok").select("a", "b").unionByName(more)), "roots")
     return _with_components(own, roots, key)

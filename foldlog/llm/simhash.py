@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name, mix64, table, whole_runs, written
 from .components import connected_components
-from .shingles import similar_sets
+from .shingles import similar_sets, texts_of, verified
 
 SEED = 42
 #: Postings that a list of the index may have to be scanned by one task; a longer one is dealt again.
@@ -197,6 +197,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = 4, most
     return own.join(by_fp, fp, "left")
 
 
+def firsts_by_fingerprint(docs: DataFrame, key: str, size: int = 5, most: int = 4) -> DataFrame:
+    """The key, smallest of its group, of each group of documents whose fingerprints are linked; key may have any type that has an order.
+
+    Fingerprints and links are those of near_duplicates. A link between different fingerprints counts only after the whole sets of size-word
+    shingles are compared, so that unlike texts of near fingerprints stay. Equal keys must have equal texts.
+    """
+    own = written(fingerprints(docs.select(F.col(key).alias("key"), "text")).withColumn("node", F.conv(F.hex("fp"), 16, -10).cast("long")), "simhash")
+    reps = written(own.groupBy("fp", F.col("node").alias("rep")).agg(F.min("key").alias("least")), "simhash-reps")
+    links = written(near_links(reps, most), "links")
+    texts = texts_of(links, own, docs.select(F.col(key).alias("key"), "text"), "key")
+    roots = connected_components(verified(links, texts, size).where("ok").select("a", "b"))
+    return reps.join(roots, F.col("rep") == F.col("node"), "left").groupBy(F.coalesce("root", "rep").alias("group")).agg(F.min("least").alias(key)).select(key)
+
+
 def similar_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Components of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 

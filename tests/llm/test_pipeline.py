@@ -9,7 +9,7 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline as P
-from foldlog.llm import bpe, toxicity
+from foldlog.llm import bpe, simhash, toxicity
 from foldlog.llm.common import table, written
 
 DATA = "/root/testdata/sf0.001"
@@ -92,3 +92,19 @@ def test_unlike_texts_of_one_id_stay(spark):
     docs = spark.createDataFrame([(4, "a b c d e f g"), (5, "a b c d e f g"), (5, "h i j k l m n"), (5, "o p q r s t u"), (5, "o p q r s t u")], "doc_id long, text string")
     got = sorted((r.doc_id, r.text[0]) for r in P.drop_near_duplicates(spark, docs, DATA).collect())
     assert got == [(4, "a"), (5, "h"), (5, "o")]
+
+
+def test_near_duplicates_go_by_fingerprints(spark, monkeypatch):
+    """Of the copies with a changed word only the first reaches the comparison of sets; an unlike text stays, and so does one whose link fails."""
+    words = [f"w{i}" for i in range(400)]
+    near = " ".join(words[:200] + ["other"] + words[201:])
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, near), (3, "quite another text"), (4, " ".join(reversed(words)))], "doc_id long, text string")
+    bits = [int.from_bytes(simhash.majority_bits(simhash.shingle_hashes(t, 4)).to_bytes(8, "big")) for t in (" ".join(words), near)]
+    assert 0 < (bits[0] ^ bits[1]).bit_count() <= 4
+    met, sets = [], simhash.similar_documents
+    monkeypatch.setattr(simhash, "similar_documents", lambda d, k: (met.extend(r.key.id for r in d.collect()), sets(d, k))[1])
+    assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, DATA).collect()) == [1, 3, 4] and sorted(met) == [1, 3, 4]
+    links = spark.createDataFrame([(0, 1)], "a long, b long")
+    monkeypatch.setattr(simhash, "near_links", lambda reps, most: reps.selectExpr("min(rep) as a", "max(rep) as b").unionByName(links.where("false")))
+    unlike = docs.where("doc_id > 2")
+    assert sorted(r.doc_id for r in simhash.firsts_by_fingerprint(unlike, "doc_id").collect()) == [3, 4]
