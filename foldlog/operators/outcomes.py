@@ -89,12 +89,15 @@ def command_events(df: DataFrame, command: str, *keep: str) -> DataFrame:
         why = F.col("failure_reason") if "failure_reason" in df.columns else F.lit(None).cast("string")
         kind = F.when(passed, event).otherwise("ComplianceRuleFailed")
         values += [F.lit("1.0").alias("rule_version"), F.when(~passed, F.coalesce(why, F.lit("Compliance requirement not met"))).alias("failure_reason")]
-    row = lambda k, to, payload, kind=kind: F.struct(F.lit(k).alias("k"), to.alias("stream_id"), kind.alias("event_type"), F.lit(version).alias("event_version"), F.to_json(payload).alias("payload"))
-    copies = [row(k, stream[t](), F.struct(*values)) for k, t in enumerate(targets)]
+    to = lambda k, name, clears: F.struct(F.lit(k).alias("k"), stream[name]().alias("stream_id"), F.lit(clears).alias("clears"))
+    copies, clearance = [to(k, t, False) for k, t in enumerate(targets)], F.lit(None).cast("string")
     if command == "record_compliance" and "clears" in df.columns:
-        clearance = row(len(targets), stream["loan"](), F.struct(F.col("application_id"), F.lit("compliance_clearance").alias("rule_id"), F.lit("1.0").alias("rule_version")), F.lit(event))
-        copies.append(F.when(F.col("clears"), clearance))
-    return df.select(*keep, F.explode(F.array_compact(F.array(*copies))).alias("e")).select(*keep, "e.*")
+        clearance = F.to_json(F.struct(F.col("application_id"), F.lit("compliance_clearance").alias("rule_id"), F.lit("1.0").alias("rule_version")))
+        copies.append(F.when(F.col("clears"), to(len(targets), "loan", True)))
+    # the payload is written once, below the copies
+    rows = df.select(*keep, kind.alias("_type"), F.to_json(F.struct(*values)).alias("_payload"), clearance.alias("_clearance"), F.explode(F.array_compact(F.array(*copies))).alias("e"))
+    own = lambda c, other: F.when(F.col("e.clears"), other).otherwise(F.col(c))
+    return rows.select(*keep, "e.k", "e.stream_id", own("_type", F.lit(event)).alias("event_type"), F.lit(version).alias("event_version"), own("_payload", F.col("_clearance")).alias("payload"))
 
 
 def _event(kind: Column | str, **payload: Column) -> list[Column]:

@@ -139,14 +139,16 @@ def _validated_compliance(s, d):
 SELECT * FROM e""")
 def _written(s, d):
     rows = _commands(s, d).withColumn("clears", F.col("status") == "PASSED")
-    field = lambda k: F.get_json_object("payload", f"$.{k}")
-    who = F.when(field("orchestrator_agent_id").isNotNull(), F.concat(field("orchestrator_agent_id"), F.lit("="), F.from_json(field("model_versions"), "map<string,string>")[field("orchestrator_agent_id")]))
-    said = F.coalesce(field("recommendation"), field("risk_tier"), F.concat(field("rule_id"), F.coalesce(F.concat(F.lit(": "), field("failure_reason")), F.lit(""))))
+    p = F.col("p")
+    fields = "application_id string, orchestrator_agent_id string, model_versions map<string,string>, recommendation string, risk_tier string, rule_id string, failure_reason string, confidence_score double"
+    who = F.concat(p["orchestrator_agent_id"], F.lit("="), p["model_versions"][p["orchestrator_agent_id"]])
+    said = F.coalesce(p["recommendation"], p["risk_tier"], F.concat(p["rule_id"], F.coalesce(F.concat(F.lit(": "), p["failure_reason"]), F.lit(""))))
     out = None
     for c in ("record_credit", "submit_application", "generate_decision", "record_compliance"):
         own = O.command_events(U.validate_commands(rows, O.command_rules(c)).where("is_valid"), c)
         out = own if out is None else out.unionByName(own)
-    return out.select("stream_id", "event_type", "event_version", field("application_id").alias("application_id"), said.alias("said"), field("confidence_score").cast("double").alias("score"), who.alias("who"))
+    return out.withColumn("p", F.from_json("payload", fields)).select(
+        "stream_id", "event_type", "event_version", p["application_id"].alias("application_id"), said.alias("said"), p["confidence_score"].alias("score"), who.alias("who"))
 
 
 def command_batch(s, d):

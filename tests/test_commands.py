@@ -256,3 +256,11 @@ def test_admission_query_accepts_and_rejects(spark):
     got = QUERIES["f25_admit_commands"](spark, "/root/testdata/sf0.001").groupBy("accepted", "error_type").agg(F.count("*").alias("n")).collect()
     assert {r.error_type for r in got if not r.accepted} == {"VALIDATION_ERROR", "RESOURCE_NOT_FOUND", "DOMAIN_RULE_VIOLATION"} and sum(r.n for r in got if r.accepted) > 1000
     assert rules.ALLOWED_FROM["DecisionGenerated"] == ("PENDING_DECISION",)
+
+
+def test_a_commands_payload_is_written_and_parsed_once(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    row = spark.createDataFrame([("1", "a", "s", 0.7, "LOW")], "application_id string, agent_id string, session_id string, confidence_score double, risk_tier string")
+    events = outcomes.command_events(row, "record_credit")
+    assert plan(events).count("StructsToJsonEvaluator") == 1 and len({r.payload for r in events.collect()}) == 1 and events.count() == 2
+    assert "get_json_object" not in plan(QUERIES["r19_command_events"](spark, "/root/testdata/sf0.001"))
