@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from ..operators.upcast import upcast
 from ..schema import EVENT_DDL
+from .stored import dealt, stored
 
 
 def read_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -114,7 +115,7 @@ def admit(proposals: DataFrame, heads: DataFrame) -> DataFrame:
                     at = max(at, 0) + 1
             yield pdf[names].assign(actual=actual, accepted=ok)
 
-    return work.repartition("stream_id").sortWithinPartitions("stream_id", "ord").mapInPandas(fold, schema)
+    return dealt(work, "stream_id").sortWithinPartitions("stream_id", "ord").mapInPandas(fold, schema)
 
 
 def append_events(proposals: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -139,14 +140,14 @@ def admit_groups(proposals: DataFrame, heads: DataFrame, group: str = "group_id"
     begin, k = F.first("expected_version").over(own), F.row_number().over(own)
     follows = (k == 1) | (F.col("expected_version") == F.greatest(begin, F.lit(0)) + k - 1)
     rows = proposals.select(F.col(group).alias("member"), F.col("stream_id"), "ord", begin.alias("expected"), F.coalesce(follows, F.lit(False)).alias("follows"))
-    steps = rows.groupBy("member", "stream_id").agg(F.min("ord").alias("ord"), F.count("*").alias("n"), F.first("expected").alias("expected"), F.bool_and("follows").alias("follows")).checkpoint()
+    steps = stored(rows.groupBy("member", "stream_id").agg(F.min("ord").alias("ord"), F.count("*").alias("n"), F.first("expected").alias("expected"), F.bool_and("follows").alias("follows")))
     mates = W.partitionBy("member")
     steps = steps.withColumns({"width": F.count("*").over(mates), "anchor": F.min("stream_id").over(mates)})
     tied = steps.where("stream_id != anchor").select(F.col("stream_id").alias("a"), F.col("anchor").alias("b")).distinct()
     work = steps.join(connected(tied), F.col("stream_id") == F.col("node"), "left").join(heads.select("stream_id", "version"), "stream_id", "left")
     work = work.select(F.coalesce("root", "stream_id").alias("component"), "ord", "member", "stream_id", "n", "expected", "follows", "width", F.coalesce("version", F.lit(-1)).alias("version"))
     kind = proposals.schema[group].dataType.simpleString()
-    done = work.repartition("component").sortWithinPartitions("component", "ord", "member", "stream_id").mapInArrow(_decide, f"member {kind}, accepted boolean").checkpoint()
+    done = stored(dealt(work, "component").sortWithinPartitions("component", "ord", "member", "stream_id").mapInArrow(_decide, f"member {kind}, accepted boolean"))
     circle = done.where("accepted is null").count()
     if circle:
         raise ValueError(f"{circle} groups wait for each other in a circle")
@@ -204,16 +205,16 @@ def connected(links: DataFrame) -> DataFrame:
     roots go on: at least half of the roots that still have links are gone after it.
     """
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    out, edges = nodes.select("node", F.col("node").alias("root")).checkpoint(), links.where("a != b").checkpoint()
+    out, edges = stored(nodes.select("node", F.col("node").alias("root"))), stored(links.where("a != b"))
     while not edges.isEmpty():
-        up = edges.select(F.greatest("a", "b").alias("root"), F.least("a", "b").alias("to")).groupBy("root").agg(F.min("to").alias("to")).checkpoint()
+        up = stored(edges.select(F.greatest("a", "b").alias("root"), F.least("a", "b").alias("to")).groupBy("root").agg(F.min("to").alias("to")))
         while not up.join(up.select(F.col("root").alias("to")), "to", "left_semi").isEmpty():
             next_ = up.select(F.col("root").alias("to"), F.col("to").alias("top"))
-            up = up.join(next_, "to", "left").select("root", F.coalesce("top", "to").alias("to")).checkpoint()
-        out = out.join(up, "root", "left").select("node", F.coalesce("to", "root").alias("root")).checkpoint()
+            up = stored(up.join(next_, "to", "left").select("root", F.coalesce("top", "to").alias("to")))
+        out = stored(out.join(up, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         for end in ("a", "b"):
             edges = edges.join(up.withColumnRenamed("root", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        edges = edges.where("a != b").distinct().checkpoint()
+        edges = stored(edges.where("a != b").distinct())
     return out
 
 
@@ -223,7 +224,7 @@ def assign_global_positions(accepted: DataFrame, order: list[str], start: int =
     Rows are dealt by range into the session's number of shuffle partitions and numbered there; each partition starts
     where those before it end.
     """
-    ranged = accepted.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    ranged = stored(accepted.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"))
     starts = sizes.select("_part", (F.sum("n").over(W.orderBy("_part")) - F.col("n")).alias("before"))  # one row a partition
     number = F.row_number().over(W.partitionBy("_part").orderBy(*order))

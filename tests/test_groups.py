@@ -5,6 +5,7 @@ import random
 import pytest
 from foldlog.plans import tables
 from foldlog.sources import log as S
+from foldlog.sources.stored import dealt
 
 COLUMNS = "stream_id string, ord long, expected_version long, group_id long"
 
@@ -77,3 +78,10 @@ def test_query_decides_every_group(spark):
     assert out.where("accepted is null").count() == 0
     p = tables.proposals(spark, d).selectExpr("floor(cast(regexp_extract(stream_id, '([0-9]+)', 1) as long) / 3) as block", "ord").distinct()
     assert out.count() == p.count()
+
+
+def test_a_fold_in_python_is_spread_over_all_partitions(spark):
+    """Adaptive execution would give so few bytes to one task."""
+    rows = spark.createDataFrame([(i,) for i in range(50)], "k long")
+    assert rows.repartition("k").rdd.getNumPartitions() == 1
+    assert dealt(rows, "k").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
