@@ -264,3 +264,16 @@ def test_a_commands_payload_is_written_and_parsed_once(spark):
     events = outcomes.command_events(row, "record_credit")
     assert plan(events).count("StructsToJsonEvaluator") == 1 and len({r.payload for r in events.collect()}) == 1 and events.count() == 2
     assert "get_json_object" not in plan(QUERIES["r19_command_events"](spark, "/root/testdata/sf0.001"))
+
+
+def test_commands_go_to_python_without_lists(spark):
+    """Spark measures an Arrow batch anew with each row, which takes a pass over the batch for a column of lists."""
+    rows = spark.createDataFrame([{"ord": i} | c for i, c in enumerate(LIFE)], admission.COMMAND_DDL)
+    nodes, found = [admission.judge_commands(rows, make(spark, OLD))._jdf.queryExecution().optimizedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        nodes += below
+        if node.nodeName() == "MapInPandas":
+            found += [f["type"] for f in json.loads(below[0].schema().json())["fields"]]
+    assert found and all(isinstance(kind, str) for kind in found)
