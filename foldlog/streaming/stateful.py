@@ -1,15 +1,17 @@
 """Streams that a single aggregation can't fold: session views, reviews as of decisions, timeouts. State is keyed, order is by position.
 
-Events may come in any order and more than once; a row's position tells whether it is known.
+Events may come in any order and more than once; a row's position tells whether it is known. Each call on a state goes through a socket
+and each data frame costs milliseconds, so a key's state is read and written in few calls a batch, whatever its events, and rows stay rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -18,6 +20,7 @@ from ..operators.readmodels import REVIEWED
 from ..schema import SESSION_ENDS, SESSION_PARTIAL, SESSION_TYPES
 
 _PROVIDER, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_EPOCH, _MICRO = datetime(1970, 1, 1), timedelta(microseconds=1)
 VIEW_DDL = (
     "session_id string, agent_id string, model_version string, is_active boolean, last_completed_action string, pending_work string, needs_reconciliation boolean, "
     "total_events long, recent_events array<struct<stream_position: long, event_type: string, payload: string>>, summary array<string>")
@@ -96,53 +99,35 @@ def session_views(events: DataFrame, tail: int = 3) -> DataFrame:
 
 
 class ReviewsAsOf(StatefulProcessor):
-    """One application: each review gets the last decision before it. In order it needs the newest decision alone; what comes late is looked up."""
+    """One application: each review gets the last decision before it. In order it needs the newest decision alone; what comes late is looked up.
+
+    A batch's new events are one entry of the state, by their first position.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.head = handle.getValueState("head", "at long, made_at long, agent_id string, model_version string")
-        self.made = handle.getMapState("made", "at long", "agent_id string, model_version string")
-        self.reviews = handle.getMapState("reviews", "at long", "override boolean, recorded_at timestamp_ntz, made_at long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        at, made_at, agent, model = self.head.get() or (-1, -1, None, None)
-        new = sorted(pd.concat(list(rows)).itertuples(index=False), key=lambda r: r.global_position)
-        text = lambda x: x if isinstance(x, str) else None
-        changed: dict[int, tuple] = {}
-        if new and new[0].global_position > at:
-            for r in new:
-                at = int(r.global_position)
-                if r.is_decision:
-                    made_at, agent, model = at, text(r.agent_id), text(r.model_version)
-                    self.made.updateValue((at,), (agent, model))
-                else:
-                    changed[at] = (bool(r.override), r.recorded_at.to_pydatetime(), made_at, agent, model)
-        else:
-            for r in new:
-                if r.is_decision:
-                    self.made.updateValue((int(r.global_position),), (text(r.agent_id), text(r.model_version)))
-            made = sorted((k[0], *v) for k, v in self.made.iterator())
-            known = {k[0]: tuple(v) for k, v in self.reviews.iterator()}
-            for r in new:
-                if not r.is_decision:
-                    known.setdefault(int(r.global_position), (bool(r.override), r.recorded_at.to_pydatetime(), None))
-            before, i = (-1, None, None), 0
-            for place in sorted(known):
-                while i < len(made) and made[i][0] < place:
-                    before, i = made[i], i + 1
-                override, recorded_at, was = known[place]
-                if was != before[0]:
-                    changed[place] = (override, recorded_at, *before)
-            if made:
-                made_at, agent, model = made[-1]
-            at = max(at, int(new[-1].global_position) if new else at)
-        for place, r in changed.items():
-            self.reviews.updateValue((place,), r[:3])
-        self.head.update((at, made_at, agent, model))
-        if changed:
-            column = lambda i, kind=object: pd.Series([r[i] for r in changed.values()], dtype=kind)
-            yield pd.DataFrame({
-                "application_id": pd.Series([key[0]] * len(changed), dtype=object), "global_position": list(changed), "agent_id": column(3), "model_version": column(4),
-                "override": column(0, bool), "recorded_at": column(1, "datetime64[us]")})
+        self.seen = handle.getMapState(
+            "seen", "first long", "events array<struct<at: long, is_decision: boolean, agent_id: string, model_version: string, override: boolean, micros: long>>")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        at, *newest = self.head.get() or (-1, -1, None, None)
+        new = {r.global_position: (r.global_position, r.is_decision, r.agent_id, r.model_version, r.override, (r.recorded_at - _EPOCH) // _MICRO) for r in rows}
+        known: dict[int, tuple] = {}
+        if min(new) <= at:
+            known = {e[0]: tuple(e) for _, v in self.seen.iterator() for e in v[0]}
+            new = {place: e for place, e in new.items() if place not in known}
+        if not new:
+            return
+        self.seen.updateValue((min(new),), (sorted(new.values(), key=lambda e: e[0]),))
+        was = before = tuple(newest) if not known else (-1, None, None)  # the last decision without and with the new events
+        for place in sorted(known.keys() | new.keys()):
+            _, is_decision, agent, model, override, micros = known.get(place) or new[place]
+            if is_decision:
+                before = (place, agent, model)
+                was = before if place in known else was
+            elif place in new or was[0] != before[0]:
+                yield Row(application_id=key[0], global_position=place, agent_id=before[1], model_version=before[2], override=override, recorded_at=_EPOCH + micros * _MICRO)
+        self.head.update((max(at, *new), *before))
 
     def close(self) -> None:
         pass
@@ -157,7 +142,7 @@ def reviews_as_of(events: DataFrame) -> DataFrame:
     e = typed(subscribe(events, list(REVIEWED))).where(~F.col("stream_id").startswith("audit-")).select(
         p["application_id"].alias("application_id"), "global_position", (F.col("event_type") == "DecisionGenerated").alias("is_decision"), p["orchestrator_agent_id"].alias("agent_id"),
         F.try_element_at(p["model_versions"], p["orchestrator_agent_id"]).alias("model_version"), F.coalesce(p["override"], F.lit(False)).alias("override"), "recorded_at")
-    return e.groupBy("application_id").transformWithStateInPandas(ReviewsAsOf(), REVIEWS_DDL, "Update", "None")
+    return e.groupBy("application_id").transformWithState(ReviewsAsOf(), REVIEWS_DDL, "Update", "None")
 
 
 class Timeouts(StatefulProcessor):

@@ -2,8 +2,10 @@
 
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from foldlog.operators import readmodels
@@ -161,3 +163,52 @@ def test_relay_in_lanes_takes_no_more_rounds_for_more_rows(spark, tmp_path):
     got = {r.event_id: (r.attempts, r.published_at is not None) for r in outbox.read().collect()}
     assert len(got) == 120 and all(at == (len(e) - 1, True) for e, at in got.items())
     assert max(calls) <= 20 and len(calls) <= 5  # one lane takes 12
+
+
+class Calls:
+    """A handle whose states are kept here and whose calls are counted."""
+
+    def __init__(self, processor):
+        self.n, self.timers = 0, set()
+        processor.init(self)
+
+    def _counted(self, f):
+        def call(*a):
+            self.n += 1
+            return f(*a)
+        return call
+
+    def getValueState(self, name, schema):
+        box = [None]
+        return SimpleNamespace(get=self._counted(lambda: box[0]), update=self._counted(lambda v: box.__setitem__(0, v)))
+
+    def getMapState(self, name, key, value):
+        box = {}
+        return SimpleNamespace(updateValue=self._counted(box.__setitem__), iterator=self._counted(lambda: iter(box.items())))
+
+    def registerTimer(self, at):
+        self.n += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.n += 1
+        self.timers.discard(at)
+
+    def of(self, rows):
+        before, out = self.n, list(rows)
+        return out, self.n - before
+
+
+def test_reviews_take_few_state_calls_a_batch(spark):
+    from foldlog.streaming.stateful import ReviewsAsOf
+
+    state = Calls(p := ReviewsAsOf())
+    row = lambda at: Row(global_position=at, is_decision=at % 3 == 0, agent_id=f"a{at}", model_version=None, override=at % 2 == 0, recorded_at=datetime(2025, 1, 1, 0, 0, 0, at))
+    out, calls = state.of(p.handleInputRows(("A",), iter(map(row, range(300, 600))), None))
+    assert len(out) == 200 and calls <= 3
+    out, calls = state.of(p.handleInputRows(("A",), iter(map(row, range(1, 299))), None))  # late, and no review of the first batch follows another decision now
+    assert len(out) == 199 and calls <= 4 and {r.agent_id for r in out if r.global_position < 3} == {None}
+    out += (again := state.of(p.handleInputRows(("A",), iter(map(row, range(1, 600))), None))[0])
+    assert [r.global_position for r in again] == [299]  # the others are known
+    want = {at: None if at < 3 else f"a{at // 3 * 3}" for at in range(1, 600) if at % 3}
+    assert all(r.agent_id == want[r.global_position] and r.recorded_at.microsecond == r.global_position for r in out)
