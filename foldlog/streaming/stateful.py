@@ -6,6 +6,7 @@ and each data frame costs milliseconds, so a key's state is read and written in
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 from typing import Any
@@ -146,46 +147,55 @@ def reviews_as_of(events: DataFrame) -> DataFrame:
 
 
 class Timeouts(StatefulProcessor):
-    """One stream: the times (microseconds) of open requests and of completions by position, and a timer for each request's end."""
+    """One stream: the times (microseconds) of open requests and of completions by position, and one timer, for the end that comes first."""
+
+    OWN = "asked array<struct<at: long, micros: long>>, done array<struct<at: long, micros: long>>, timer long"
 
     def __init__(self, seconds: int):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.asked = handle.getMapState("asked", "at long", "micros long")
-        self.done = handle.getMapState("done", "at long", "micros long")
+        self.own = handle.getValueState("own", self.OWN)
 
     def _ends(self, micros: int) -> int:
         """Milliseconds at which so many whole seconds are over."""
         return micros // 1000 + 1000 * (self.seconds + 1) + 1
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            for at, asks, micros in pdf[["stream_position", "asks", "micros"]].itertuples(index=False):
-                (self.asked if asks else self.done).updateValue((int(at),), (int(micros),))
-                if asks:
-                    self.handle.registerTimer(self._ends(int(micros)))
+    def _get(self) -> tuple[dict[int, int], dict[int, int], int | None]:
+        asked, done, timer = self.own.get() or ([], [], None)
+        return {r[0]: r[1] for r in asked}, {r[0]: r[1] for r in done}, timer
+
+    def _keep(self, asked: dict[int, int], done: dict[int, int], timer: int | None) -> None:
+        """Writes the state, with a timer (the one that is set, or None) for the first end."""
+        first = min(map(self._ends, asked.values()), default=None)
+        if first is not None and (timer is None or first < timer):
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+            timer = first
+        self.own.update((sorted(asked.items()), sorted(done.items()), timer))
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        asked, done, timer = self._get()
+        for r in rows:
+            (asked if r.asks else done)[r.stream_position] = r.micros
+        self._keep(asked, done, timer)
         return iter(())
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        asked = sorted((k[0], v[0]) for k, v in self.asked.iterator())
-        done = sorted((k[0], v[0]) for k, v in self.done.iterator())
-        late, still = [], None
-        for at, micros in asked:
-            if self._ends(micros) > now:
-                still = at if still is None else still
-                continue
-            after = next((t for place, t in done if place > at), None)
-            if after is None or (after - micros) // 1_000_000 > self.seconds:
-                late.append(at)
-            self.asked.removeKey((at,))
-        for place, micros in done:  # no request before it is open, and none can come that is older than the watermark
-            if self._ends(micros) < now and (still is None or place < still):
-                self.done.removeKey((place,))
-        if late:
-            yield pd.DataFrame({"stream_id": pd.Series([key[0]] * len(late), dtype=object), "stream_position": pd.Series(late, dtype="int64")})
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        asked, done, _ = self._get()
+        # what the watermark has passed is over, too, and needs no timer of its own
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        over = sorted(at for at, micros in asked.items() if self._ends(micros) <= now)
+        places = sorted(done)
+        for at in over:
+            micros, i = asked.pop(at), bisect(places, at)
+            if i == len(places) or (done[places[i]] - micros) // 1_000_000 > self.seconds:
+                yield Row(stream_id=key[0], stream_position=at)
+        # no request before it is open, and none can come that is older than the watermark
+        still = min(asked, default=None)
+        self._keep(asked, {at: micros for at, micros in done.items() if self._ends(micros) >= now or (still is not None and at >= still)}, None)
 
     def close(self) -> None:
         pass
@@ -201,4 +211,4 @@ def streamed_timeouts(events: DataFrame, asked: str, done: str, seconds: int, la
     # the condition names event_time, or else it would be pushed below the watermark, which then missed the other types
     e = times.where(F.when(F.col("event_time").isNotNull(), F.col("event_type").isin(asked, done))).select(
         "stream_id", "stream_position", (F.col("event_type") == asked).alias("asks"), F.unix_micros("event_time").alias("micros"), "event_time")
-    return e.groupBy("stream_id").transformWithStateInPandas(Timeouts(seconds), "stream_id string, stream_position long", "Update", "EventTime")
+    return e.groupBy("stream_id").transformWithState(Timeouts(seconds), "stream_id string, stream_position long", "Update", "EventTime")

@@ -212,3 +212,16 @@ def test_reviews_take_few_state_calls_a_batch(spark):
     assert [r.global_position for r in again] == [299]  # the others are known
     want = {at: None if at < 3 else f"a{at // 3 * 3}" for at in range(1, 600) if at % 3}
     assert all(r.agent_id == want[r.global_position] and r.recorded_at.microsecond == r.global_position for r in out)
+
+
+def test_timeouts_take_one_timer_and_few_state_calls(spark):
+    from foldlog.streaming.stateful import Timeouts
+
+    state = Calls(p := Timeouts(60))
+    rows = [Row(stream_position=i, asks=i != 150, micros=i * 1_000_000) for i in range(1, 301)]
+    assert state.of(p.handleInputRows(("s",), iter(rows), None))[1] <= 3 and len(state.timers) == 1
+    at = state.timers.pop()
+    out, calls = state.of(p.handleExpiredTimer(("s",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 261_500), SimpleNamespace(getExpiryTimeInMs=lambda: at)))
+    assert [r.stream_position for r in out] == [i for i in range(1, 201) if not 90 <= i <= 150] and calls <= 3 and state.timers == {262_001}
+    out, _ = state.of(p.handleExpiredTimer(("s",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**9), SimpleNamespace(getExpiryTimeInMs=lambda: 262_001)))
+    assert [r.stream_position for r in out] == list(range(201, 301))
