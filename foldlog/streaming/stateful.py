@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -43,48 +42,44 @@ def start_stateful(out: DataFrame, sink: Callable[[DataFrame, int], None], check
 
 
 class SessionViews(StatefulProcessor):
-    """One session: registers by position, the last events whole, and a line for each older one, kept one by one."""
+    """One session: registers by position, the last events whole, and a line for each older one. Its row holds all lines, and so does its state."""
 
     OWN = (
         "begun_at long, agent_id string, model_version string, active_at long, is_active boolean, done_at long, done string, last_at long, last_type string, "
-        "total long, recent array<struct<stream_position: long, event_type: string, payload: string, line: string>>")
+        "recent array<struct<stream_position: long, event_type: string, payload: string, line: string>>, older array<struct<stream_position: long, line: string>>")
 
     def __init__(self, tail: int = 3):
         self.tail = tail
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.own = handle.getValueState("own", self.OWN)
-        self.lines = handle.getMapState("lines", "stream_position long", "line string")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        begun_at, agent, model, active_at, active, done_at, done, last_at, last_type, total, recent = self.own.get() or (-1, None, None, -1, True, -1, None, -1, None, 0, [])
-        recent = [tuple(r) for r in recent]
-        for pdf in rows:
-            for at, kind, agent_id, model_version, payload, line in pdf[["stream_position", "event_type", "agent_id", "model_version", "payload", "line"]].itertuples(index=False):
-                at = int(at)
-                if at in [r[0] for r in recent] or (at < last_at and self.lines.containsKey((at,))):
-                    continue
-                total += 1
-                begins, ends, partial = kind in ("AgentContextLoaded", "DecisionOrchestratorSessionStarted"), kind in SESSION_ENDS, kind in SESSION_PARTIAL
-                if begins and at > begun_at:
-                    begun_at, agent, model = at, agent_id, model_version
-                if (begins or ends) and at > active_at:
-                    active_at, active = at, not ends
-                if not partial and at > done_at:
-                    done_at, done = at, kind
-                if at > last_at:
-                    last_at, last_type = at, kind
-                recent = sorted([*recent, (at, kind, payload, line)])
-                while len(recent) > self.tail:
-                    self.lines.updateValue((recent[0][0],), (recent[0][3],))
-                    recent = recent[1:]
-        self.own.update((begun_at, agent, model, active_at, active, done_at, done, last_at, last_type, total, recent))
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        begun_at, agent, model, active_at, active, done_at, done, last_at, last_type, recent, older = self.own.get() or (-1, None, None, -1, True, -1, None, -1, None, [], [])
+        events, lines = {r[0]: tuple(r) for r in recent}, {r[0]: r[1] for r in older}
+        for r in rows:
+            at, kind = r.stream_position, r.event_type
+            if at in events or at in lines:
+                continue
+            begins, ends, partial = kind in ("AgentContextLoaded", "DecisionOrchestratorSessionStarted"), kind in SESSION_ENDS, kind in SESSION_PARTIAL
+            if begins and at > begun_at:
+                begun_at, agent, model = at, r.agent_id, r.model_version
+            if (begins or ends) and at > active_at:
+                active_at, active = at, not ends
+            if not partial and at > done_at:
+                done_at, done = at, kind
+            if at > last_at:
+                last_at, last_type = at, kind
+            events[at] = (at, kind, r.payload, r.line)
+            if len(events) > self.tail:
+                oldest = events.pop(min(events))
+                lines[oldest[0]] = oldest[3]
+        recent, older = sorted(events.values(), key=lambda r: r[0]), sorted(lines.items())
+        self.own.update((begun_at, agent, model, active_at, active, done_at, done, last_at, last_type, recent, older))
         partial = last_type in SESSION_PARTIAL
-        older = [line[0] for _, line in sorted((k[0], v) for k, v in self.lines.iterator())] if total > self.tail else []
-        yield pd.DataFrame({
-            "session_id": [key[0]], "agent_id": [agent], "model_version": [model], "is_active": [active], "last_completed_action": [done], "pending_work": [last_type if partial else None],
-            "needs_reconciliation": [partial], "total_events": [total],
-            "recent_events": [[{"stream_position": r[0], "event_type": r[1], "payload": r[2]} for r in recent]], "summary": [older]})
+        yield Row(
+            session_id=key[0], agent_id=agent, model_version=model, is_active=active, last_completed_action=done, pending_work=last_type if partial else None, needs_reconciliation=partial,
+            total_events=len(events) + len(lines), recent_events=[Row(stream_position=r[0], event_type=r[1], payload=r[2]) for r in recent], summary=[line for _, line in older])
 
     def close(self) -> None:
         pass
@@ -96,7 +91,7 @@ def session_views(events: DataFrame, tail: int = 3) -> DataFrame:
     e = typed(by_category(subscribe(events, list(SESSION_TYPES)), "agent-")).select(
         "stream_id", "stream_position", "event_type", "payload", F.coalesce(p["agent_id"], F.lit("unknown")).alias("agent_id"),
         F.coalesce(p["model_version"], F.lit("unknown")).alias("model_version"), summary_line(F.col("event_type"), p["application_id"]).alias("line"))
-    return e.groupBy("stream_id").transformWithStateInPandas(SessionViews(tail), VIEW_DDL, "Update", "None")
+    return e.groupBy("stream_id").transformWithState(SessionViews(tail), VIEW_DDL, "Update", "None")
 
 
 class ReviewsAsOf(StatefulProcessor):

@@ -225,3 +225,14 @@ def test_timeouts_take_one_timer_and_few_state_calls(spark):
     assert [r.stream_position for r in out] == [i for i in range(1, 201) if not 90 <= i <= 150] and calls <= 3 and state.timers == {262_001}
     out, _ = state.of(p.handleExpiredTimer(("s",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**9), SimpleNamespace(getExpiryTimeInMs=lambda: 262_001)))
     assert [r.stream_position for r in out] == list(range(201, 301))
+
+
+def test_session_views_take_two_state_calls_a_batch(spark):
+    from foldlog.streaming.stateful import SessionViews
+
+    state = Calls(p := SessionViews())
+    row = lambda at: Row(stream_position=at, event_type="AgentContextLoaded" if at == 1 else "DecisionGenerated", agent_id="a", model_version=f"v{at}", payload="{}", line=f"l{at}")
+    for positions in (range(101, 201), range(1, 101), range(1, 201)):
+        (view,), calls = state.of(p.handleInputRows(("s",), iter(map(row, positions)), None))
+        assert calls == 2
+    assert view.total_events == 200 and view.summary == [f"l{i}" for i in range(1, 198)] and [r.stream_position for r in view.recent_events] == [198, 199, 200] and view.model_version == "v1"
