@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.expressions import has_key
+from ..sources.stored import stored
 
+#: Rows of a key, times calls, that throttle folds as one array; keys of more are hot.
+FOLD = 4096
 #: Keys that a payload of each type must have, as stored logs do.
 REQUIRED = {
     "ApplicationSubmitted": ("application_id", "applicant_id", "requested_amount_usd"), "CreditAnalysisCompleted": ("application_id", "risk_tier", "model_version"),
@@ -107,26 +110,49 @@ def session_totals(nodes: DataFrame) -> DataFrame:
 def throttle(df: DataFrame, key: str, ts: str, calls: int = 1, period_s: float = 60.0) -> DataFrame:
     """df (with ord, which tells a key's rows apart) with allowed: fewer than calls allowed rows of the key in the trailing period.
 
-    Rows of a key are judged in order of time and ord; ts is a timestamp or seconds. A limit of n calls is n servers of one call, of
-    which each row takes the first that is free: a server's calls are those that a limit of one allows of the rows left by the servers
-    before it. A server's call points to the first moment a period later, found within the moments of one period, and pointers double, so
-    a chain takes the logarithm of its length in rounds, whatever its key. A null key is a key of its own; a null time isn't allowed.
+    Rows of a key are judged in order of time and ord; ts is a timestamp or seconds. A key of few rows is folded as an array. In a hot
+    key a limit of n calls is n servers of one call, of which each row takes the first that is free: a server's calls are those that a limit
+    of one allows of the rows left by the servers before it. A server's call points to the first moment a period later, found within the
+    moments of one period, and pointers double, so a chain takes the logarithm of its length in rounds. A null key is a key of its own; a
+    null time isn't allowed.
     """
     if calls < 1 or period_s <= 0:
         raise ValueError("throttle takes one call at least and a period above 0")
     seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6 if df.schema[ts].dataType.typeName().startswith("timestamp") else F.col(ts).cast("double")
     rows = df.select(F.struct(F.col(key).alias("key")).alias("k"), seconds.alias("t"), "ord").where("t is not null")
-    moments = rows.groupBy("k", "t").agg(F.count("*").alias("n")).withColumn("taken", F.lit(0)).checkpoint()
-    for _ in range(calls):
-        called = _one_call(moments.where("taken < n").select("k", "t"), period_s).withColumn("more", F.lit(1))
-        moments = moments.join(called, ["k", "t"], "left").select("k", "t", "n", (F.col("taken") + F.coalesce("more", F.lit(0))).alias("taken")).checkpoint()
     # of a moment's rows only so many can be allowed: the rank is limited before the shuffle
-    first = rows.withColumn("rank", F.row_number().over(W.partitionBy("k", "t").orderBy("ord"))).where(F.col("rank") <= calls)
-    allowed = first.join(moments.where("taken > 0"), ["k", "t"]).where("rank <= taken").select("k", "ord", F.lit(True).alias("yes")).alias("a")
+    first = stored(rows.withColumn("rank", F.row_number().over(W.partitionBy("k", "t").orderBy("ord"))).where(F.col("rank") <= calls))
+    hot = stored(first.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") * calls > FOLD).select("k"))
+    allowed = _in_turn(first.join(hot, "k", "left_anti"), calls, period_s)
+    if not hot.isEmpty():
+        allowed = allowed.unionByName(_by_servers(first.join(hot, "k", "left_semi"), calls, period_s))
+    allowed = allowed.withColumn("yes", F.lit(True)).alias("a")
     out = df.alias("d").join(allowed, (F.struct(F.col(f"d.`{key}`").alias("key")) == F.col("a.k")) & (F.col("d.ord") == F.col("a.ord")), "left")
     return out.select("d.*", F.coalesce("a.yes", F.lit(False)).alias("allowed"))
 
 
+def _in_turn(rows: DataFrame, calls: int, period: float) -> DataFrame:
+    """k and ord of the rows that are allowed, each key's one after the other: an array of a key's rows, of which the last calls are kept."""
+    state = lambda recent, yes: F.struct(recent.alias("recent"), yes.alias("yes"))
+
+    def step(m, x):
+        busy = F.filter(m["recent"], lambda at: at + period > x["t"])
+        return F.when(F.size(busy) < calls, state(F.concat(busy, F.array(x["t"])), F.concat(m["yes"], F.array(x["ord"])))).otherwise(m)
+
+    none = state(F.array().cast("array<double>"), F.array().cast(f"array<{rows.schema['ord'].dataType.simpleString()}>"))
+    own = rows.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("t", "ord"))).alias("own"))
+    return own.select("k", F.explode(F.aggregate("own", none, step)["yes"]).alias("ord"))
+
+
+def _by_servers(rows: DataFrame, calls: int, period: float) -> DataFrame:
+    """The same for keys of any size: rows with their rank among those of a moment, one server after the other."""
+    moments = rows.groupBy("k", "t").agg(F.count("*").alias("n")).withColumn("taken", F.lit(0)).checkpoint()
+    for _ in range(calls):
+        called = _one_call(moments.where("taken < n").select("k", "t"), period).withColumn("more", F.lit(1))
+        moments = moments.join(called, ["k", "t"], "left").select("k", "t", "n", (F.col("taken") + F.coalesce("more", F.lit(0))).alias("taken")).checkpoint()
+    return rows.join(moments.where("taken > 0"), ["k", "t"]).where("rank <= taken").select("k", "ord")
+
+
 def _one_call(moments: DataFrame, period: float) -> DataFrame:
     """Of each k's moments t (distinct) those that a limit of one call a period allows."""
     bucket = lambda at: F.floor(at / period)

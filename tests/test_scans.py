@@ -91,3 +91,15 @@ def test_throttle_of_nothing_and_of_timestamps(spark):
     assert quality.throttle(spark.createDataFrame([], "k string, ord long, t double"), "k", "t").collect() == []
     df = spark.createDataFrame([("k", i, datetime(2024, 1, 1, 0, i)) for i in range(3)], "k string, ord long, t timestamp_ntz")
     assert [r.allowed for r in quality.throttle(df, "k", "t", 1, 120.0).orderBy("ord").collect()] == [True, False, True]
+
+
+@pytest.mark.parametrize(("calls", "fold"), [(1, 60), (2, 60), (2, 0)])
+def test_throttle_doubles_pointers_for_hot_keys_alone(spark, monkeypatch, calls, fold):
+    rng, seen, one_call = random.Random(calls), [], quality._one_call
+    rows = [(rng.choice(["hot"] * 6 + ["a", "b", "c", None]), i, float(rng.randrange(2000))) for i in range(250)] + [("burst", i, 7.0) for i in range(300, 500)] + [("a", 900, None)]
+    monkeypatch.setattr(quality, "FOLD", fold * calls, raising=False)
+    monkeypatch.setattr(quality, "_one_call", lambda moments, period: (seen.append({r.k.key for r in moments.select("k").distinct().collect()}), one_call(moments, period))[1])
+    df = spark.createDataFrame(rows, "k string, ord long, t double")
+    got = {(r.k, r.ord): r.allowed for r in quality.throttle(df, "k", "t", calls, 60.0).collect()}
+    assert got == in_turn(rows, calls, 60.0)
+    assert len(seen) == calls and seen[0] == ({"hot"} if fold else {"hot", "a", "b", "c", None, "burst"})
