@@ -277,3 +277,8 @@ def test_commands_go_to_python_without_lists(spark):
         if node.nodeName() == "MapInPandas":
             found += [f["type"] for f in json.loads(below[0].schema().json())["fields"]]
     assert found and all(isinstance(kind, str) for kind in found)
+
+
+def test_admission_query_derives_its_log_once(spark):
+    files = QUERIES["f25_admit_commands"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any("events.parquet" in f for f in files)
