@@ -10,14 +10,16 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import NumericType, StructType
 
 from .common import byte_slices, deflated, free_name, held_out, inflated, table, trimmed, written
 
 #: Longer words are cut into pieces of PIECE letters. A part of the sorted word list has about PART_WORDS of them.
 PIECE, PART_WORDS = 32, 100_000
-#: Up to so many distinct words (12 bytes each: 48 MB) their ratios go to every task; beyond that they are joined to the words of texts.
+#: Ratios of so many distinct words (12 bytes each: 48 MB), the most used, go to every task; those of all others are joined to the texts that hold them.
 BROADCAST_WORDS = 4_000_000
+#: Uses of a word are told apart up to so many when those words are chosen: the driver gets a row for each number.
+USES = 65_536
 #: Discounts: of a shared count, and the most of a class's count, so that what one text or two use once is left to the backoff.
 SHARED_DISCOUNT, CLASS_DISCOUNT, UNIFORM = 0.75, 3, 1 / 64
 WINDOW, CALIBRATION_ROWS, THRESHOLD = 2, 50_000, 0.3
@@ -31,20 +33,21 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     clean = pc.replace_substring_regex(clean, r"(\S{%d})" % PIECE, r"\1 ")
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(clean))
     words = lists.flatten().dictionary_encode()  # a text without words gives one empty word
-    return words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
 
 
 def word_counts(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """word, n_toxic, n_plain of every distinct word of docs (text) and labelled (text as deflated, label): in how many texts of each class it stands.
+    """word, n, n_toxic, n_plain of every distinct word of docs (text) and labelled (text as deflated, label): how often docs use it, and in how many
+    texts of each class it stands.
 
     A task lists the distinct words of a few megabytes of text at a time; Spark adds them up before and after the shuffle.
     """
 
     def listed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(it, "text"):
-            words, _, _ = words_of(part.column("text"))
-            zero = pa.array(np.zeros(len(words), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), zero, zero], names=["word", "n_toxic", "n_plain"])
+            words, codes, _ = words_of(part.column("text"))
+            zero, n = np.zeros(len(words), np.int64), np.bincount(codes, minlength=len(words)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *map(pa.array, (n, zero, zero))], names=["word", "n", "n_toxic", "n_plain"])
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in inflated(it, "text"):
@@ -54,11 +57,11 @@ def word_counts(docs: DataFrame, labelled: DataFrame) -> DataFrame:
             seen = np.unique(row * len(words) + codes)  # a text counts a word once
             at, of = seen % len(words), label[seen // len(words)]
             times = [pa.array(np.bincount(at[of == c], minlength=len(words)).astype(np.int64)) for c in (1, 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *times], names=["word", "n_toxic", "n_plain"])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.zeros(len(words), np.int64)), *times], names=["word", "n", "n_toxic", "n_plain"])
 
-    ddl = "word string, n_toxic long, n_plain long"
+    ddl = "word string, n long, n_toxic long, n_plain long"
     both = docs.select("text").mapInArrow(trimmed(listed), ddl).unionByName(labelled.select("text", "label").mapInArrow(trimmed(counted), ddl))
-    return both.where("word != ''").groupBy("word").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_plain").alias("n_plain"))
+    return both.where("word != ''").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "n_toxic", "n_plain")))
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -113,9 +116,9 @@ def levels(words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return codes, length, run()
 
 
-def _sorted_part(batches: Iterator[pa.RecordBatch]) -> tuple[list[str], np.ndarray]:
+def _sorted_part(batches: Iterator[pa.RecordBatch]) -> tuple[list[str], np.ndarray, pa.ChunkedArray]:
     t = pa.Table.from_batches(list(batches)).sort_by("word")
-    return t.column("word").to_pylist(), np.stack([np.ones(len(t), np.int64), t.column("n_toxic").to_numpy(), t.column("n_plain").to_numpy()])
+    return t.column("word").to_pylist(), np.stack([np.ones(len(t), np.int64), t.column("n_toxic").to_numpy(), t.column("n_plain").to_numpy()]), t.column("n")
 
 
 def _key(codes: np.ndarray) -> str:
@@ -127,7 +130,7 @@ _EDGE = "expression string, s long, t long, p long, mass_s double, mass_t double
 
 def _edges(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts in this part of the expressions that its neighbours may hold, too: the beginnings of its first and last word."""
-    words, counts = _sorted_part(batches)
+    words, counts, _ = _sorted_part(batches)
     codes, length, each = levels(words, counts)
     rows: dict[str, tuple] = {}
     for d, level in enumerate(each):
@@ -179,21 +182,22 @@ def word_hashes(words: list[str]) -> np.ndarray:
 
 
 def word_ratios(counts: DataFrame) -> DataFrame:
-    """word (its hash) and ratio of each word of word_counts' table: the model, which grows with the corpus.
+    """word (its hash), n and ratio of each word of word_counts' table: the model, which grows with the corpus. A table without n counts each word once.
 
     Words are dealt in sorted ranges, where all that begin alike stand together, so that a task counts its expressions by
     itself; those that reach over an edge are added up first. Neither counts nor ratios depend on how words are dealt.
     """
-    counts = written(counts, "toxicity-counts")
+    counts = written(counts if "n" in counts.columns else counts.withColumn("n", F.lit(1).cast("long")), "toxicity-counts")
     parts = max(1, -(-counts.count() // PART_WORDS))
     ranges = written(counts.repartitionByRange(parts, "word").withColumn("part", F.spark_partition_id()), "toxicity-words")
     whole = counts.sparkSession.sparkContext.broadcast(_whole_edges(ranges))
 
     def run(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n = _sorted_part(batches)
-        yield pa.RecordBatch.from_arrays([pa.array(word_hashes(words)), pa.array(part_ratios(words, n, whole.value).astype(np.float32))], names=["word", "ratio"])
+        words, counts, n = _sorted_part(batches)
+        ratio = part_ratios(words, counts, whole.value).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array(word_hashes(words)), n.combine_chunks(), pa.array(ratio)], names=["word", "n", "ratio"])
 
-    return written(ranges.groupBy("part").applyInArrow(run, "word long, ratio float"), "toxicity-ratios")
+    return written(ranges.groupBy("part").applyInArrow(run, "word long, n long, ratio float"), "toxicity-ratios")
 
 
 def text_features(ratio: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -211,25 +215,46 @@ def text_features(ratio: np.ndarray, starts: np.ndarray, window: int = WINDOW) -
 
 
 def _found(words: np.ndarray, hashes: np.ndarray, ratios: np.ndarray) -> np.ndarray:
-    """Ratios of hashed words from sorted ones; 0 for the empty word."""
+    """Ratios of hashed words from sorted ones; 0 for those that aren't there, such as the empty word."""
     if not len(hashes):
         return np.zeros(len(words))
     at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
     return np.where(hashes[at] == words, ratios[at], 0.0)
 
 
+def _holds(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashed words are among sorted ones."""
+    if not len(hashes):
+        return np.zeros(len(words), bool)
+    return hashes[np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)] == words
+
+
+def _least_uses(ratios: DataFrame, words: int) -> int:
+    """The least number of uses that at most so many words of ratios reach; 0 where all words are few enough."""
+    left, least = words, 0
+    for r in ratios.groupBy(F.least("n", F.lit(USES)).alias("n")).count().orderBy(F.desc("n")).collect():
+        left -= r["count"]
+        if left < 0:
+            return least or USES + 1
+        least = r["n"]
+    return 0
+
+
 def score_texts(docs: DataFrame, ratios: DataFrame, mean: str, peak: str, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """docs with two columns named by mean and peak: the features of each whole text.
 
-    ratios: word_ratios' table. Up to broadcast_words rows it goes to every task; a larger one is joined to the distinct
-    words of each text, whose ratios then come back to the text as a list. Both ways give the same.
+    ratios: word_ratios' table. The words most used, broadcast_words at most, go to every task. All others are joined to the
+    texts that hold them, whose ratios come back to a text as a list: what is joined grows with the rare words of the
+    corpus, not with its text. How words are divided doesn't change the features.
     """
-    if ratios.count() > broadcast_words:
-        return _score_by_join(docs, ratios, mean, peak)
-    rows = ratios.toArrow()
+    least = _least_uses(ratios, broadcast_words)
+    # uses beyond USES aren't told apart: such words are all among the most used, or none is
+    often = F.least("n", F.lit(USES)) >= least
+    rows = ratios.where(often).select("word", "ratio").toArrow()
     hashes, values = rows.column("word").to_numpy(), rows.column("ratio").to_numpy()
     by = np.argsort(hashes)
     model = docs.sparkSession.sparkContext.broadcast((hashes[by], values[by]))
+    schema = StructType([*docs.schema.fields]).add(mean, "double").add(peak, "double")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(it, "text"):
@@ -237,36 +262,39 @@ def score_texts(docs: DataFrame, ratios: DataFrame, mean: str, peak: str, broadc
             a, b = text_features(_found(word_hashes(words), *model.value)[codes], starts)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(a), pa.array(b)], names=[*part.schema.names, mean, peak])
 
-    return docs.mapInArrow(trimmed(run), StructType([*docs.schema.fields]).add(mean, "double").add(peak, "double"))
+    if not least:
+        return docs.mapInArrow(trimmed(run), schema)
 
+    # rows meet their ratios by a hash: where two rows have the same, both get the ratios of both, and look up their own words alone
+    row, pairs, keep = free_name(docs, "row"), free_name(docs, "pairs"), docs.columns
+    keyed = docs.withColumn(row, F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if f.name == "text" or isinstance(f.dataType, NumericType))))
+    held = _rare_words(keyed, row, model).join(ratios.where(~often).select("word", "ratio"), "word").groupBy("row").agg(F.collect_list(F.struct("word", "ratio")).alias(pairs))
 
-def _score_by_join(docs: DataFrame, ratios: DataFrame, mean: str, peak: str) -> DataFrame:
-    row, pairs = free_name(docs, "row"), free_name(docs, "pairs")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "toxicity-texts")
+    def run_joined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in inflated(it, "text"):
+            text = pa.array(texts, pa.binary()).cast(pa.string())
+            words, codes, starts = words_of(text)
+            own = part.column(pairs).flatten()
+            h, first = np.unique(own.field("word").to_numpy(), return_index=True)
+            hashed = word_hashes(words)
+            a, b = text_features((_found(hashed, *model.value) + _found(hashed, h, own.field("ratio").to_numpy()[first]))[codes], starts)
+            yield pa.RecordBatch.from_arrays([*(text if c == "text" else part.column(c) for c in keep), pa.array(a), pa.array(b)], names=[*keep, mean, peak])
+
+    return deflated(keyed).join(held.withColumnRenamed("row", row), row, "left").mapInArrow(trimmed(run_joined), schema)
 
-    def listed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in byte_slices(it, "text"):
-            words, codes, starts = words_of(part.column("text"))
-            own = np.unique(np.repeat(np.arange(part.num_rows), np.diff(starts)) * len(words) + codes)
-            hashes = word_hashes(words)
-            yield pa.RecordBatch.from_arrays([part.column(row).take(pa.array(own // len(words))), pa.array(hashes[own % len(words)])], names=["row", "word"])
 
-    found = rows.select(row, "text").mapInArrow(trimmed(listed), "row long, word long").join(ratios, "word").groupBy("row").agg(F.collect_list(F.struct("word", "ratio")).alias(pairs))
-    both = rows.join(found.withColumnRenamed("row", row), row, "left")
-    keep = docs.columns
+def _rare_words(docs: DataFrame, row: str, often) -> DataFrame:
+    """row and word (its hash): the distinct words of each text that aren't among the broadcast ones."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(it, "text"):
-            out = []
-            for i in range(part.num_rows):
-                words, codes, starts = words_of(part.column("text").slice(i, 1))
-                own = part.column(pairs)[i].values
-                h, r = (own.field("word").to_numpy(), own.field("ratio").to_numpy()) if own is not None else (np.zeros(0, np.int64), np.zeros(0, np.float32))
-                by = np.argsort(h)
-                out.append([x[0] for x in text_features(_found(word_hashes(words), h[by], r[by])[codes], starts)])
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(np.array(out, float)[:, i]) for i in (0, 1))], names=[*keep, mean, peak])
-
-    return both.mapInArrow(trimmed(run), StructType([*docs.schema.fields]).add(mean, "double").add(peak, "double"))
+            words, codes, starts = words_of(part.column("text"))
+            hashes = word_hashes(words)
+            rare = (~_holds(hashes, often.value[0]) & np.array([bool(w) for w in words], bool))[codes]
+            at = np.unique(np.repeat(np.arange(part.num_rows), np.diff(starts))[rare] * len(words) + codes[rare])
+            yield pa.RecordBatch.from_arrays([part.column(row).take(pa.array(at // max(1, len(words)))), pa.array(hashes[at % max(1, len(words))])], names=["row", "word"])
+
+    return docs.select(row, "text").mapInArrow(trimmed(run), "row long, word long")
 
 
 def _fit(rows: pa.Table) -> np.ndarray:

@@ -321,6 +321,21 @@ def test_toxicity_scores_do_not_depend_on_partitions_or_the_way_of_joining(spark
     assert {r.doc_id: (r["mean"], r.peak) for r in joined.collect()} == plain and joined.columns == ["doc_id", "text", "row", "mean", "peak"]
 
 
+def test_toxicity_joins_the_rare_words_alone(spark, monkeypatch):
+    """Words used often go to every task whatever the size of the table; before, one word too many had all words of all texts joined."""
+    labels, docs = table(spark, DATA, "labels"), table(spark, DATA, "documents").select("doc_id", "text")
+    ratios, _ = toxicity.fit(docs, labels)
+    features = lambda most: {r.doc_id: (r["mean"], r.peak) for r in toxicity.score_texts(docs, ratios, "mean", "peak", most).collect()}
+    uses = sorted((r.n for r in ratios.collect()), reverse=True)
+    plain, joined, real = features(len(uses)), [], toxicity._rare_words
+    monkeypatch.setattr(toxicity, "_rare_words", lambda *a: joined.append(real(*a)) or joined[-1])
+    for most in (len(uses) - 1, len(uses) // 8):
+        assert features(most) == plain
+        least = min(n for n in set(uses) if sum(u >= n for u in uses) <= most)
+        assert 0 < joined[-1].count() <= sum(u for u in uses if u < least)
+    assert len(joined) == 2 and joined[0].count() < sum(uses) // 4
+
+
 def test_toxicity_of_awkward_rows(spark, awkward):
     labels = spark.createDataFrame([(3, None), (99, 1)], "doc_id long, toxic int")
     own = awkward.withColumn("mean", F.lit("m")).withColumn("peak", F.lit("p")).withColumn("score", F.lit("s"))
