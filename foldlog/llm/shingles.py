@@ -17,8 +17,9 @@ from .components import connected_components
 
 #: Sets are similar at a Jaccard similarity of NUM / DEN or more.
 NUM, DEN = 4, 5
-#: The sample that tells common shingles from rare ones; it sets the order of shingles, never the result.
-SAMPLE_SETS, COMMON, COMMON_MOST = 20_000, 5, 200_000
+#: The sample that tells common shingles from rare ones: SAMPLE_SETS sets, but no less than one of SAMPLE_STEP, so that the lists of those
+#: that pass for rare don't grow with the corpus. It sets the order of shingles, never the result.
+SAMPLE_SETS, SAMPLE_STEP, COMMON, COMMON_MOST = 20_000, 10, 3, 1_000_000
 #: Lists up to this length give all their pairs at once; longer ones a spanning forest first.
 SHORT, PARITY_BITS, SEED = 8, 512, 42
 
@@ -33,21 +34,24 @@ def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """docs without its text, with node (a hash of the set of shingles), and the set's n and parity.
+    """docs without its text, with node (a hash of the set of shingles), and the set's n, parity and wide.
 
-    parity has a bit for each of PARITY_BITS classes of shingles, set where the class has an odd number of them.
+    parity has a bit for each of PARITY_BITS classes of shingles, set where the class has an odd number of them. Sets of more
+    shingles, whose parities are as good as random, have as many classes as shingles or up to twice as many in wide; it is null for others.
     """
     keep = [c for c in docs.columns if c != "text"]
-    schema = StructType([docs.schema[c] for c in keep]).add("node", "long").add("n", "integer").add("parity", "binary")
+    schema = StructType([docs.schema[c] for c in keep]).add("node", "long").add("n", "integer").add("parity", "binary").add("wide", "binary")
+
+    def odd(s: np.ndarray, classes: int) -> bytes:
+        return np.packbits((np.bincount((s % np.uint64(classes)).astype(np.int64), minlength=classes) & 1).astype(np.uint8)).tobytes()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(it, "text"):
             rows = []
             for node, s in _sets(batch.column("text"), size):
-                odd = np.bincount((s % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
-                rows.append((node, len(s), np.packbits(odd.astype(np.uint8)).tobytes()))
-            types = (pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True))], names=[*keep, "node", "n", "parity"])
+                rows.append((node, len(s), odd(s, PARITY_BITS), odd(s, 1 << (len(s) - 1).bit_length()) if len(s) > PARITY_BITS else None))
+            types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True))], names=[*keep, "node", "n", "parity", "wide"])
 
     return docs.mapInArrow(trimmed(run), schema)
 
@@ -60,7 +64,7 @@ def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             flat = np.concatenate([s for _, s in _sets(batch.column("text"), size)])
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["token"])
 
-    step = max(1, docs.count() // SAMPLE_SETS)
+    step = min(max(1, docs.count() // SAMPLE_SETS), SAMPLE_STEP)
     some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).dropDuplicates()
     counts = some.mapInArrow(trimmed(run), "token long").groupBy("token").count()
     # at most COMMON_MOST rows
@@ -202,6 +206,32 @@ def _candidates(lists: DataFrame, parities: DataFrame, roots: DataFrame | None =
     return _in_lists(rows).mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
+def _screened(pairs: DataFrame, own: DataFrame, key: str) -> DataFrame:
+    """pairs, with may: false only where the wide parities of both sets differ in more classes than similar sets of their sizes can.
+
+    Of sets with one node that of the smallest key counts, as in texts_of. Parities of unlike width are folded to the smaller.
+    """
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = own.join(nodes, "node").groupBy("node").agg(F.min_by(F.struct("n", "wide"), key).alias("s")).where("s.wide is not null").select("node", "s.n", "s.wide")
+    both = pairs.join(sets.toDF("b", "nb", "wb"), "b", "left").join(sets.toDF("a", "na", "wa"), "a", "left")
+
+    def may(n: int, x: bytes, y: bytes) -> bool:
+        u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        if len(u) < len(v):
+            u, v = v, u
+        while len(u) > len(v):
+            u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+        return (NUM + DEN) * int(np.bitwise_count(u ^ v).sum(dtype=np.int64)) <= (DEN - NUM) * n
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            columns = (batch.column(c) for c in ("na", "nb", "wa", "wb"))
+            ok = [not (x.is_valid and y.is_valid) or may(m.as_py() + n.as_py(), x.as_py(), y.as_py()) for m, n, x, y in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "may"])
+
+    return both.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(trimmed(run), "a long, b long, may boolean")
+
+
 def texts_of(pairs: DataFrame, own: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """node and its text, compressed, of each node of pairs."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -239,7 +269,7 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _with_components(own: DataFrame, roots: DataFrame, key: str) -> DataFrame:
-    """own's columns but node, n and parity, with component: the smallest key of all nodes of one root.
+    """own's columns but node, n, parity and wide, with component: the smallest key of all nodes of one root.
 
     A node is a 64-bit hash of a set. Where sets that differ in n or parity have the same node, its links hold for the set with the
     smallest key, whose text was compared; each other set is a component of its own, so that none goes for a link it hasn't.
@@ -250,14 +280,14 @@ def _with_components(own: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     sets = written(sets.withColumn("root", F.when(F.col("first"), F.coalesce("root", "node"))), "nodes")
     least = sets.where("first").groupBy("root").agg(F.min("least").alias("component"))
     named = sets.join(least, "root", "left").select("node", "n", "parity", F.coalesce("component", "least").alias("component"))
-    return own.join(named, ["node", "n", "parity"]).drop("node", "n", "parity")
+    return own.join(named, ["node", "n", "parity"]).drop("node", "n", "parity", "wide")
 
 
 def similar_sets(docs: DataFrame, key: str, size: int) -> DataFrame:
     """docs' columns but the text, with component: the smallest key reachable over pairs of similar sets of word shingles.
 
     All pairs at NUM / DEN or more are linked and no others: the prefixes' lists hold every such pair, and a link counts
-    only after the whole sets are compared. Of each set one candidate is tried first, then those between what is still apart.
+    only after the whole sets are compared, those of pairs that wide parities leave. Of each set one candidate is tried first, then those between what is still apart.
     Long lists give a spanning forest of their candidates; where a link of it fails, all their candidates between what is
     still apart are tried as well. Equal sets are one node whatever their number, and so are texts without words. Equal
     keys must have equal texts.
@@ -265,17 +295,20 @@ def similar_sets(docs: DataFrame, key: str, size: int) -> DataFrame:
     own = written(shingle_sets(docs, size), "shingle-sets")
     lists = written(_shared(_postings(docs, size)), "shingle-lists")
     parities = own.select("node", "parity").distinct()
-    pairs = written(_candidates(lists, parities), "pairs")
-    texts = texts_of(pairs, own, docs, key)
-    tried = written(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, size), "links")
+    pairs = written(_screened(_candidates(lists, parities), own, key), "pairs")
+    like, unlike = (pairs.where(c).select("a", "b") for c in ("may", "not may"))
+    texts = texts_of(like, own, docs, key)
+    tried = written(verified(like.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, size), "links")
     roots = written(connected_components(tried.where("ok").select("a", "b")), "roots")
-    rest = written(_apart(pairs.join(tried, ["a", "b"], "left_anti"), roots), "pairs")
+    rest = written(_apart(like.join(tried, ["a", "b"], "left_anti"), roots), "pairs")
     if not rest.isEmpty():
         tried = tried.unionByName(written(verified(rest, texts, size), "links"))
         roots = written(connected_components(tried.where("ok").select("a", "b")), "roots")
-    if not tried.where("not ok").isEmpty():
+    failed = tried.where("not ok").select("a", "b").unionByName(unlike)
+    if not failed.isEmpty():
         long = lists.groupBy("token").agg(F.count("*").alias("_n")).where(F.col("_n") > SHORT).select("token")
-        rest = written(_candidates(lists.join(long, "token", "left_semi"), parities, roots).join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = _candidates(lists.join(long, "token", "left_semi"), parities, roots).join(tried.select("a", "b").unionByName(unlike), ["a", "b"], "left_anti")
+        rest = written(_screened(more, own, key).where("may").select("a", "b"), "pairs")
         if not rest.isEmpty():
             more = written(verified(rest, texts_of(rest, own, docs, key), size).where("ok").select("a", "b"), "links")
             roots = written(connected_components(tried.where("ok").select("a", "b").unionByName(more)), "roots")

@@ -1,6 +1,7 @@
 """The near-duplicate stage against all pairs by brute force, in both directions, and where spanning links fail."""
 
 import random
+from collections import Counter
 
 import pytest
 from foldlog.llm import shingles, simhash
@@ -69,3 +70,28 @@ def test_unlike_sets_of_one_hash_stay_apart(spark):
     own = spark.createDataFrame(rows, "id long, node long, n int, parity binary")
     roots = spark.createDataFrame([(7, 7), (9, 7)], "node long, root long")
     assert {r.id: r.component for r in shingles._with_components(own, roots, "id").collect()} == {1: 1, 3: 1, 2: 2, 4: 2, 5: 5}
+
+
+def passages(rng, docs, own):
+    """Texts of so many words of their own that share a passage of 60 words."""
+    shared = [f"s{i}" for i in range(60)]
+    return [(k, " ".join([f"o{rng.randrange(10**9)}" for _ in range(own)] + shared)) for k in range(docs)]
+
+
+def test_lists_of_a_common_passage_stay_short_in_a_large_corpus(spark, monkeypatch):
+    """The sample grows with the corpus; before, a passage passed for rare once the corpus was large beside SAMPLE_SETS."""
+    monkeypatch.setattr(shingles, "SAMPLE_SETS", 1)
+    docs = spark.createDataFrame(passages(random.Random(4), 400, 400), "doc_id long, text string")
+    assert shingles._shared(shingles._postings(docs, 5)).isEmpty()
+
+
+def test_long_unlike_sets_are_told_apart_without_their_texts(spark, monkeypatch):
+    """Their narrow parities are as good as random; before, each pair of them that shared a rare shingle had its texts compared."""
+    rng, given, real = random.Random(5), [], shingles.verified
+    monkeypatch.setattr(shingles, "COMMON", 10**6)
+    monkeypatch.setattr(shingles, "verified", lambda pairs, *a: given.append(pairs.count()) or real(pairs, *a))
+    base = [f"b{i}" for i in range(3000)]
+    rows = passages(rng, 12, 3000) + [(100 + k, " ".join(changed(rng, base, n))) for k, n in enumerate((0, 0, 20, 60, 110))]
+    got = {r.doc_id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_force(rows) and max(Counter(got.values()).values()) >= 4
+    assert sum(given) <= 6
