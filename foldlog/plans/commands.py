@@ -172,7 +172,7 @@ def command_batch(s, d):
 @query("f25_admit_commands")
 def _admitted(s, d):
     """One row for each command: its verdict, and the events it wrote with their positions; an application's commands see what those before wrote."""
-    accepted, rejected = A.admit_commands(command_batch(s, d), stored(events_log(s, d)))
+    accepted, rejected = A.admit_commands(command_batch(s, d), stored(events_log(s, d).drop("event_id", "metadata", "recorded_at")))
     return accepted.select("ord", F.lit(True).alias("accepted"), "stream_id", "stream_position", "event_type", F.lit(None).cast("string").alias("error_type"), F.lit(None).cast("string").alias("message")).unionByName(
         rejected.select("ord", F.lit(False).alias("accepted"), "error_type", "message"), allowMissingColumns=True)
 
