@@ -36,9 +36,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     stay = groups.where("key = component").select("key").distinct()
     # repeated rows are equal in key and text; of those that differ elsewhere the first by a hash stays
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
-    rows = deflated(docs.select(key.alias("key"), others.alias("row"), F.xxhash64(*(f"`{c}`" for c in docs.columns)).alias("by"), "text"))
+    rows = docs.select(key.alias("key"), others.alias("row"), F.xxhash64(*(f"`{c}`" for c in docs.columns)).alias("by"), "text")
     first = F.row_number().over(W.partitionBy("key").orderBy("by"))
-    once = inflate(rows.join(stay, "key", "left_semi").withColumn("n", first).where("n = 1").select("row", "text"))
+    once = rows.join(stay, "key", "left_semi").withColumn("n", first).where("n = 1")
     return once.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 

@@ -295,7 +295,7 @@ def similar_sets(docs: DataFrame, key: str, size: int) -> DataFrame:
     own = written(shingle_sets(docs, size), "shingle-sets")
     lists = written(_shared(_postings(docs, size)), "shingle-lists")
     parities = own.select("node", "parity").distinct()
-    pairs = written(_screened(_candidates(lists, parities), own, key), "pairs")
+    pairs = written(_screened(written(_candidates(lists, parities), "candidates"), own, key), "pairs")
     like, unlike = (pairs.where(c).select("a", "b") for c in ("may", "not may"))
     texts = texts_of(like, own, docs, key)
     tried = written(verified(like.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, size), "links")
@@ -308,7 +308,7 @@ def similar_sets(docs: DataFrame, key: str, size: int) -> DataFrame:
     if not failed.isEmpty():
         long = lists.groupBy("token").agg(F.count("*").alias("_n")).where(F.col("_n") > SHORT).select("token")
         more = _candidates(lists.join(long, "token", "left_semi"), parities, roots).join(tried.select("a", "b").unionByName(unlike), ["a", "b"], "left_anti")
-        rest = written(_screened(more, own, key).where("may").select("a", "b"), "pairs")
+        rest = written(_screened(written(more, "candidates"), own, key).where("may").select("a", "b"), "pairs")
         if not rest.isEmpty():
             more = written(verified(rest, texts_of(rest, own, docs, key), size).where("ok").select("a", "b"), "links")
             roots = written(connected_components(tried.where("ok").select("a", "b").unionByName(more)), "roots")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, mix64, table, whole_runs, written
+from .common import free_name, mix64, table, trimmed, whole_runs, written
 from .components import connected_components
 from .shingles import similar_sets, texts_of, verified
 
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fps = pa.array([majority_bits(shingle_hashes(t.as_py(), shingle)).to_bytes(8, "big") for t in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), fps], names=[*keep, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def byte_triples() -> list[tuple[int, ...]]:
@@ -116,7 +116,7 @@ def _index(rows: DataFrame, level: int) -> DataFrame:
                     [pa.array(keys.ravel().view(np.int64)), pa.array(used, pa.int32()), part.column("rep").take(at), part.column("fp").take(at)],
                     names=["key", "used", "rep", "fp"])
 
-    return rows.mapInArrow(run, "key long, used int, rep long, fp binary")
+    return rows.mapInArrow(trimmed(run), "key long, used int, rep long, fp binary")
 
 
 def _spanning_links(words: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -152,7 +152,7 @@ def _scanned(postings: DataFrame, most: int) -> DataFrame:
                     b.append(rep[lo + y])
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return postings.select("key", "rep", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return postings.select("key", "rep", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(run), "a long, b long")
 
 
 def near_links(fps: DataFrame, most: int = 4, long: int = LONG_LIST) -> DataFrame:
